@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def pieces(batches, rows: int = 2000, most: int = 4 << 20, column: str = "text")
         at = b.schema.get_field_index(column)
         col = b.column(at)
         size = np.zeros(b.num_rows, np.int64)
-        size[:] = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0))
+        size[:] = np.asarray(pc.fill_null(pc.binary_length(col), 0))
         begin, held = 0, 0
         for i, n in enumerate(size.tolist()):
             if i > begin and (held + n > most or i - begin >= rows):
