@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .common import table
+from .langid import identify
 from .packing import pack
+from .quality import classify
+from .toxicity import score_toxicity
 
 
 def op5_packing(spark, sf_dir):
@@ -11,8 +14,27 @@ def op5_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    """Every document's toxicity."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_langid(spark, sf_dir):
+    """Every document's language."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    """Every document's quality."""
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op5_packing": op5_packing,
+    "op2_toxicity": op2_toxicity,
+    "op6_langid": op6_langid,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

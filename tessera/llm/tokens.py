@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import array
 import os
 import re
 
-import numpy as np
-
-#: Pre-tokens of texts whose characters all lie in PLAIN; elsewhere the tokenizer splits the text itself.
+#: Pre-tokens of texts without an ODD character; elsewhere the tokenizer splits the text itself.
 SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters on which Python's classes and Unicode's L, N and White_Space differ, or that lie beyond Latin letters.
 ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 #: Pre-tokens that one worker keeps.
-KEEP = 400_000
+KEEP = 900_000
 
 _made: dict = {}
 
@@ -23,8 +22,29 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character by which byte-level BPE stands for each byte: itself, or else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Pieces(dict):
+    """Pre-token to its ids as little-endian unsigned 32-bit bytes; it starts anew when full."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEEP:
+            self.clear()
+        mapped = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = self[word] = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to encode(text, add_special_tokens=False)."""
+    """Ids of whole texts, equal to encode(text, add_special_tokens=False).ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,39 +52,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Adds words to the cache, which starts anew when it is full."""
-        new = list(words)
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(self.known) + len(got) > KEEP:
-            self.known = {}
-        self.known.update(got)
-        return got
+        self.pieces = Pieces(self.tokenizer.model)
 
     def split(self, text: str) -> list[str] | None:
+        """The pre-tokens, or None where only the tokenizer can tell."""
         return None if ODD.search(text) else SPLIT.findall(text)
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        parts = [self.split(t) for t in texts]
-        known = self.known
-        missing: set[str] = set()
-        for p in parts:
-            if p is not None:
-                missing.update(w for w in p if w not in known)
-        if missing:
-            have = known
-            got = self.learn(missing)
-            known = have if self.known is have else have | got
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join([known[w] for w in p]))
-        return out
+    def encode(self, text: str) -> bytes:
+        words = self.split(text)
+        if words is None:
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, words))
+
+    def count(self, text: str) -> int:
+        words = self.split(text)
+        if words is None:
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return sum(map(len, map(self.pieces.__getitem__, words))) // 4
 
 
 def encoder(path: str) -> Encoder:
