@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .jaccard import jaccard_components
 from .langid import identify
 from .packing import pack
 from .quality import classify
@@ -24,6 +25,11 @@ def op6_langid(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark, sf_dir):
+    """Every document's class of near-equal shingle sets."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     """Every document's quality."""
     docs = table(spark, sf_dir, "documents")
@@ -34,6 +40,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op2_toxicity": op2_toxicity,
     "op6_langid": op6_langid,
+    "op7_jaccard": op7_jaccard,
     "op9_quality": op9_quality,
 }
 
