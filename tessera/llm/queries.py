@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .automata import remove_phrases
 from .common import table
 from .jaccard import jaccard_components
 from .langid import identify
 from .packing import pack
 from .quality import classify
+from .suffixes import remove_repeats
 from .toxicity import score_toxicity
 
 
@@ -20,6 +22,16 @@ def op2_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_repeats(spark, sf_dir):
+    """Every document without the bytes that long repeats cover."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_phrases(spark, sf_dir):
+    """Every document without the words that an earlier document's windows cover."""
+    return remove_phrases(table(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark, sf_dir):
     """Every document's language."""
     return identify(table(spark, sf_dir, "documents"))
@@ -37,6 +49,8 @@ def op9_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_suffix_repeats": op3_suffix_repeats,
+    "op4_phrases": op4_phrases,
     "op5_packing": op5_packing,
     "op2_toxicity": op2_toxicity,
     "op6_langid": op6_langid,

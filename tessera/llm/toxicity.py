@@ -27,7 +27,7 @@ from .quality import calibrate
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as terms.
-HEADS = (4, 5, 6)
+HEADS = (3, 4, 5, 6)
 MOST_LABELLED = 6000
 MOST_TERMS = 4096
 LEXICONS = 9
