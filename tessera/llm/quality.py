@@ -1,66 +1,91 @@
 """Quality classifier (operator 9): supervised subword embeddings.
 
-Every word and every character n-gram of a word is hashed to a row of a table
+Every word and every character n-gram (in bytes) of a word is hashed to a row of a table
 of vectors. A document is the average of the rows of all its words; a softmax
 over that average gives the score. Table and softmax are learned together by
 stochastic gradient descent in numpy. As softmax and average are linear, the
-learned table is folded to one number per row for scoring, and a worker keeps
-the sum and count of each word it has met.
+learned table is folded to one number per row for scoring.
 """
 
 from __future__ import annotations
 
-import operator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, importable, pieces, spread
+from .common import MULT, importable, mixed, pieces, spread
 from .learning import fold, labelled_sample
+from .words import Words
 
-BUCKETS = 1 << 17
+BITS = 17
+BUCKETS = 1 << BITS
 DIM = 12
 SIZES = (2, 3, 4)
 #: Labelled documents that training uses at most.
 MOST_LABELLED = 5000
-#: Words that one worker keeps.
-KEEP = 500_000
-
-
-def features(word: str) -> np.ndarray:
-    """Rows of a word: the word itself, and its character n-grams with its ends marked."""
-    w = f"<{word}>" if len(word) <= 64 else f"<{word[:60]}>"
-    grams = {w}.union(w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)) if len(w) > 2 else {w}
-    return np.array(sorted(xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams), np.int64)
-
-
 #: The row of "this word equals the one before".
-AGAIN = xxhash.xxh32_intdigest(b"\x00again") % BUCKETS
+AGAIN = xxhash.xxh32_intdigest(b"again") % BUCKETS
+
+
+class _Text:
+    """A batch's words with one blank before, between and after them, document after document."""
+
+    def __init__(self, column):
+        w = self.words = Words(column)
+        size = w.end - w.begin
+        docs = len(w.first) - 1
+        # each document begins with a blank and each word ends with one
+        lead = w.doc + 1
+        self.end = np.cumsum(size + 1) - 1 + lead
+        self.begin = self.end - size
+        total = int((size + 1).sum()) + docs
+        out = np.full(total, 32, np.uint8)
+        if len(size):
+            inner = np.arange(int(size.sum())) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+            out[inner + np.repeat(self.begin, size)] = w.body[inner + np.repeat(w.begin, size)]
+        self.text = out
+        words = np.bincount(w.doc, size + 1, docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(docs), words + 1)
+
+
+def rows_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all documents of a batch and whose each is: for every word that of the word and those of its byte n-grams, its ends marked by blanks, and one for a word that is the same as the one before."""
+    t = _Text(column)
+    w, b = t.words, t.text.astype(np.uint64)
+    shift = np.uint64(64 - BITS)
+    rows, docs = [(w.hash * MULT >> shift).astype(np.int32)], [w.doc]
+    again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1]))
+    rows.append(np.full(len(again), AGAIN, np.int32)), docs.append(w.doc[again])
+    blank = np.r_[0, np.cumsum(t.text == 32)]
+    n_bytes = len(b)
+    key = b
+    for n in range(2, max(SIZES) + 1):
+        if n_bytes < n:
+            break
+        key = (key[: n_bytes - n + 1] << np.uint64(8)) | b[n - 1 :]
+        if n not in SIZES:
+            continue
+        at = np.arange(n_bytes - n + 1)
+        # blanks only at the ends, and no two ends of different documents
+        ok = (blank[at + n - 1] == blank[at + 1]) & (t.doc[at] == t.doc[at + n - 1])
+        if n == 2:
+            ok &= (t.text[at] != 32) | (t.text[at + 1] != 32)
+        at = at[ok]
+        rows.append((mixed(key[at] + (np.uint64(n) << np.uint64(56))) >> shift).astype(np.int32)), docs.append(t.doc[at])
+    return np.concatenate(rows), np.concatenate(docs)
 
 
 def _bags(batches):
     """(label, rows, weights) of each document; rows are distinct and weights sum to 1."""
-    known: dict[str, np.ndarray] = {}
-    for b in pieces(batches):
-        out = []
-        for text in b.column("text").to_pylist():
-            ws = WORD.findall(text or "")
-            parts = []
-            for w in ws:
-                f = known.get(w)
-                if f is None:
-                    if len(known) > KEEP // 4:
-                        known.clear()
-                    f = known[w] = features(w)
-                parts.append(f)
-            again = sum(map(operator.eq, ws, ws[1:]))
-            rows = np.concatenate([*parts, np.full(again, AGAIN)]) if parts else np.zeros(0, np.int64)
-            ids, n = np.unique(rows, return_counts=True)
-            out.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x for x, _ in out], pa.list_(pa.int32())), pa.array([y for _, y in out], pa.list_(pa.float32()))], names=["doc_id", "label", "rows", "weights"])
+    for b in pieces(batches, most=1 << 20):
+        rows, docs = rows_of(b.column("text"))
+        key, n = np.unique(docs.astype(np.int64) * BUCKETS + rows, return_counts=True)
+        at = np.searchsorted(key, np.arange(b.num_rows + 1) * BUCKETS)
+        ids = [(key[x:y] % BUCKETS).astype(np.int32) for x, y in zip(at[:-1], at[1:], strict=True)]
+        share = [(n[x:y] / max(1, n[x:y].sum())).astype(np.float32) for x, y in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], names=["doc_id", "label", "rows", "weights"])
 
 
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.6, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -89,39 +114,14 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, rate: f
     return (e @ (w[1] - w[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
-class _Sums(dict):
-    """Word to (sum of its rows' log-odds, number of rows), as one complex number."""
-
-    def __init__(self, odds):
-        self.odds = odds
-
-    def __missing__(self, word):
-        if len(self) > KEEP:
-            self.clear()
-        f = features(word)
-        v = self[word] = complex(self.odds[f].sum(), len(f))
-        return v
-
-
-_models: dict = {}
-
-
 def _score(model):
     def run(batches):
-        key, odds, bias, a, c = model.value
-        if key not in _models:
-            _models.clear()
-            _models[key] = _Sums(odds)
-        sums = _models[key]
-        for b in pieces(batches):
-            z = []
-            for text in b.column("text").to_pylist():
-                ws = WORD.findall(text or "")
-                s = sum(map(sums.__getitem__, ws), 0j)
-                again = sum(map(operator.eq, ws, ws[1:]))
-                n = s.imag + again
-                z.append(bias + (s.real + again * odds[AGAIN]) / n if n else bias)
-            p = 1 / (1 + np.exp(-np.clip(a * np.array(z) + c, -40, 40)))
+        odds, bias, a, c = model.value
+        for b in pieces(batches, most=1 << 20):
+            rows, docs = rows_of(b.column("text"))
+            n = np.bincount(docs, minlength=b.num_rows)
+            z = bias + np.bincount(docs, odds[rows], b.num_rows) / np.maximum(n, 1)
+            p = 1 / (1 + np.exp(-np.clip(a * z + c, -40, 40)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p, pa.float64())], names=["doc_id", "held_out", "score"])
 
     return run
@@ -144,7 +144,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, most: int = MOST_LABELLED):
-    """The model (key, log-odds per row, bias, slope, shift), from at most `most` labelled documents outside the held-out fold."""
+    """The model (log-odds per row, bias, slope, shift), from at most `most` labelled documents outside the held-out fold."""
     chosen = F.broadcast(labelled_sample(labels, label, modulus, held, most))
     bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     got = bags.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, rows array<int>, weights array<float>").toArrow().sort_by("doc_id")
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     odds, bias = fit([d for i, d in enumerate(data) if i % 5])
     rest = [d for i, d in enumerate(data) if not i % 5]
     a, c = calibrate(np.array([bias + w @ odds[r] for _, r, w in rest]), np.array([y for y, _, _ in rest])) if rest else (1.0, 0.0)
-    return xxhash.xxh64_hexdigest(odds.tobytes()), odds, bias, a if a > 0 else 1.0, c if a > 0 else 0.0
+    return odds, bias, a if a > 0 else 1.0, c if a > 0 else 0.0
 
 
 def _lists(column) -> list[np.ndarray]:
