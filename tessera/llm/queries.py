@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from .automata import remove_phrases
 from .common import table
+from .decontamination import find_leaks
+from .edits import count_edited, some_edits
 from .jaccard import jaccard_components
 from .langid import identify
 from .packing import pack
 from .quality import classify
 from .suffixes import remove_repeats
 from .toxicity import score_toxicity
+from .vectors import near_vectors
 
 
 def op5_packing(spark, sf_dir):
@@ -17,6 +20,11 @@ def op5_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark, sf_dir):
+    """Every pair of a document and a benchmark item that it holds."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark, sf_dir):
     """Every document's toxicity."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -42,20 +50,33 @@ def op7_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark, sf_dir):
+    """Every vector's near duplicates."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark, sf_dir):
     """Every document's quality."""
     docs = table(spark, sf_dir, "documents")
     return classify(docs, docs, table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark, sf_dir):
+    """Every document's tokens, before and after three edits."""
+    return count_edited(some_edits(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_phrases": op4_phrases,
     "op5_packing": op5_packing,
-    "op2_toxicity": op2_toxicity,
     "op6_langid": op6_langid,
     "op7_jaccard": op7_jaccard,
+    "op8_vectors": op8_vectors,
     "op9_quality": op9_quality,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -40,13 +40,18 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a batch: begin and end in bytes, document and 64-bit hash of each."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, letters: bool = False):
+        """lower: A-Z to a-z. letters: words are runs of ASCII letters and bytes beyond ASCII instead."""
         body, at = raw(column)
         if lower:
             body = body + (np.uint8(32) * ((body >= 65) & (body <= 90))).astype(np.uint8)
         self.body, self.at = body, at
         n = len(body)
-        blank = (body == 32) | ((body >= 9) & (body <= 13))
+        if letters:
+            low = body | np.uint8(32)
+            blank = ~(((low >= 97) & (low <= 122)) | (body >= 128))
+        else:
+            blank = (body == 32) | ((body >= 9) & (body <= 13))
         word = np.zeros(n + 2, np.int8)
         word[1:-1] = ~blank
         step = np.diff(word)
