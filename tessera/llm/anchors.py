@@ -23,7 +23,7 @@ from .common import importable, pieces, settle, spread
 PLACE = 32
 LOW = np.uint64((1 << PLACE) - 1)
 #: Bytes of contexts that are solved together.
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 
 
 def anchor_runs(keys: np.ndarray, width: int, doc_first: np.ndarray, doc_windows: np.ndarray, low) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,19 +157,20 @@ def _solve(kind):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text); rid is equal only for rows that are equal."""
-    d = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return d.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """(rid, doc_id, text) and, if asked for, the whole row as a struct `rest`; rid is equal only for rows of equal doc_id and text."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    d = spread(docs.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if rest else [])))
+    return d.select(F.xxhash64("doc_id", "text").alias("rid"), *d.columns)
 
 
 def covered(docs: DataFrame, kind, by_doc: bool) -> DataFrame:
-    """docs (rid, doc_id, text) with spans: an array of (s, e) in the kind's units, null where nothing recurs."""
+    """docs (of keyed) with spans: an array of (s, e) in the kind's units, null where nothing recurs."""
     importable(docs.sparkSession)
-    known = docs.where("text is not null and doc_id is not null")
+    known = docs.where("text is not null and doc_id is not null").select("rid", "doc_id", "text")
     found = known.mapInArrow(_find(kind), "h long, rid long, doc_id long, lo int, n int")
     shared = settle(found.repartition("h").sortWithinPartitions("h").mapInArrow(_shared(by_doc), "h long, rid long, lo int, n int"))
     runs = shared.groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "n")).alias("runs"))
     contexts = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "runs").mapInArrow(_contexts(kind), "h long, n int, context binary, places binary")
     spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_solve(kind), "rid long, s long, e long")
-    return docs.join(spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")).hint("shuffle_hash"), "rid", "left").select("rid", "doc_id", "text", "spans")
+    return docs.join(spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")).hint("shuffle_hash"), "rid", "left").select(*docs.columns, "spans")

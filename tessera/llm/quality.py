@@ -127,6 +127,20 @@ def _score(model):
     return run
 
 
+def _kept(model, cut):
+    """The rows, with all their columns, whose text scores at least cut."""
+
+    def run(batches):
+        odds, bias, a, c = model.value
+        for b in pieces(batches, most=1 << 20):
+            rows, docs = rows_of(b.column("text"))
+            n = np.bincount(docs, minlength=b.num_rows)
+            z = bias + np.bincount(docs, odds[rows], b.num_rows) / np.maximum(n, 1)
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(a * z + c, -40, 40))) >= cut))
+
+    return run
+
+
 def calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """Platt scaling by Newton steps with a little ridge; (1, 0) where a class is missing."""
     if len(set(y.tolist())) < 2:
@@ -173,3 +187,10 @@ def classify(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: s
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(modulus) == held).alias("held_out")))
     scored = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, cut: float = 0.7, most: int = MOST_LABELLED) -> DataFrame:
+    """docs without the rows that the classifier rejects, with all columns as they are."""
+    importable(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, modulus, held, most))
+    return spread(docs).mapInArrow(_kept(model, cut), docs.schema)

@@ -14,6 +14,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .anchors import anchor_runs, covered, keyed
 from .common import mixed, pieces, spans_union
@@ -201,6 +203,32 @@ class Bytes:
         a = view.at[doc] + lo
         return view.body[a : a + n - 1 + self.min_len].tobytes()
 
+    def _trim(self, contexts) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+        """Of the contexts that have windows whose hash occurs twice: (place, first, last such window), and their joined bytes from the one to the other's end."""
+        if not contexts:
+            return [], np.zeros(0, np.uint8)
+        text = np.frombuffer(b"".join(c.body for c in contexts), np.uint8)
+        size = np.array([len(c.body) for c in contexts], np.int64)
+        begin = np.r_[0, np.cumsum(size)[:-1]]
+        count = np.array([c.n for c in contexts], np.int64)
+        first = np.r_[0, np.cumsum(count)[:-1]]
+        of = np.repeat(np.arange(len(contexts)), count)
+        starts = begin[of] + np.arange(count.sum()) - first[of]
+        up, down = powers(len(text) + 1)
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
+        key = (sums[starts + self.min_len] - sums[starts]) * down[starts]
+        o = np.argsort(key, kind="stable")
+        same = key[o][1:] == key[o][:-1]
+        twice = np.zeros(len(key), bool)
+        twice[o] = np.r_[False, same] | np.r_[same, False]
+        at = np.flatnonzero(twice)
+        own, low = np.unique(of[at], return_index=True)
+        high = np.r_[low[1:], len(at)] - 1
+        cut = [(i, x, y) for i, x, y in zip(own.tolist(), (at[low] - first[own]).tolist(), (at[high] - first[own]).tolist(), strict=True)]
+        parts = [text[begin[i] + x : begin[i] + y + self.min_len] for i, x, y in cut]
+        return cut, np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
     def solve(self, groups):
         """Spans (rid, s, e) that repeats cover. A context that is there twice is a repeat as a whole; where an anchor has several contexts, a suffix array of them all finds what they share."""
         spans: dict[int, list[tuple[int, int]]] = {}
@@ -213,20 +241,21 @@ class Bytes:
             if len(g) > 1:
                 several.extend(range(k, k + len(g)))
             k += len(g)
-        if several:
-            body = np.frombuffer(b"".join(ctx[i].body for i in several), np.uint8)
-            size = np.array([len(ctx[i].body) for i in several], np.int64)
+        # windows whose hash is there once are in no repeat: contexts are cut to the others
+        cut, body = self._trim([ctx[i] for i in several])
+        if cut:
+            size = np.array([y - x + self.min_len for _, x, y in cut], np.int64)  # windows x to y of each
             begin = np.r_[0, np.cumsum(size)[:-1]]
-            count = np.array([ctx[i].n for i in several], np.int64)
-            of = np.repeat(np.arange(len(several)), count)
+            count = size - self.min_len + 1
+            of = np.repeat(np.arange(len(cut)), count)
             inner = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
             starts = begin[of] + inner
             left = np.where(inner == 0, -1 - of, body[np.maximum(starts - 1, 0)].astype(np.int64))
             for n, places in repeat_groups(body, starts, begin[of] + size[of], left, self.min_len):
                 for p in places.tolist():
                     j = int(np.searchsorted(begin, p, "right")) - 1
-                    s = p - int(begin[j])
-                    spans.setdefault(several[j], []).append((s, s + n))
+                    s = p - int(begin[j]) + cut[j][1]
+                    spans.setdefault(several[cut[j][0]], []).append((s, s + n))
         rid, s, e = [], [], []
         for i, found in spans.items():
             a, b = spans_union(*np.array(found, np.int64).T)
@@ -263,9 +292,9 @@ def _finish(batches):
 
 
 def _keep(batches):
-    """doc_id and the text that is left; characters that a cut splits go."""
+    """The row and the text that is left; characters that a cut splits go."""
     for b in pieces(batches):
-        out, removed = [], []
+        out = []
         null = np.asarray(b.column("text").is_null())
         for i, (body, s, e) in enumerate(cut_spans(b.column("text"), b.column("spans"))):
             parts, last = [], 0
@@ -274,8 +303,7 @@ def _keep(batches):
                 last = y
             parts.append(body[last:].tobytes())
             out.append(None if null[i] else "".join(p.decode("utf-8", "ignore") for p in parts))
-            removed.append(int((e - s).sum()))
-        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(out, pa.string()), pa.array(removed, pa.int64())], names=["rid", "kept", "n_removed"])
+        yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(out, pa.string())], names=["rest", "kept"])
 
 
 def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
@@ -292,3 +320,17 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     that is long enough. An empty table gives no rows; other columns are ignored.
     """
     return repeated_spans(keyed(docs), min_len).select("doc_id", "text", "spans").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+    """docs with all columns, their texts without what remove_repeats removes and n_chars, if there, counted anew.
+
+    Characters that a cut goes through are left out; a text that is all repeats
+    becomes empty; a null text stays null.
+    """
+    rows = keyed(docs, rest=True)
+    found = repeated_spans(rows, min_len).select("rest", "text", "spans")
+    kept = found.mapInArrow(_keep, StructType([rows.schema["rest"], StructField("kept", StringType())]))
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    new = {"text": F.col("kept").cast(kinds["text"]), "n_chars": F.length("kept").cast(kinds.get("n_chars", "long"))}
+    return kept.select(*[new[c].alias(c) if c in new else F.col("rest").getField(c).alias(c) for c in docs.columns])
