@@ -24,6 +24,8 @@ PLACE = 32
 LOW = np.uint64((1 << PLACE) - 1)
 #: Bytes of contexts that are solved together.
 CHUNK = 1 << 20
+#: Bytes of contexts in which a task looks for equal ones.
+HELD = 24 << 20
 
 
 def anchor_runs(keys: np.ndarray, width: int, doc_first: np.ndarray, doc_windows: np.ndarray, low) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,26 +97,38 @@ def _shared(by_doc: bool):
 
 
 def _contexts(kind):
-    """Of each document (rid, doc_id, text, runs) the contexts of its shared runs, equal ones of a batch once."""
+    """Of each document (rid, doc_id, text, runs) the contexts of its shared runs, equal ones of a task once."""
+
+    def flush(found):
+        todo = list(found.items())
+        for a in range(0, len(todo), 4000):
+            part = todo[a : a + 4000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([k[2] for k, _ in part], pa.binary()), pa.array([np.array(v, np.int64).tobytes() for _, v in part], pa.binary())], names=["h", "n", "context", "places"]
+            )
 
     def run(batches):
-        for b in pieces(batches, rows=1000, most=8 << 20):
+        found: dict[tuple, list] = {}
+        size = 0
+        for b in pieces(batches, rows=1000, most=4 << 20):
             view = kind.view(b.column("text"))
             rid, ids = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
             runs = b.column("runs")
             at = np.asarray(runs.offsets).astype(np.int64)
             flat = runs.values
             hs, los, ns = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("h", "lo", "n"))
-            found: dict[tuple, list] = {}
             for i in range(b.num_rows):
                 for h, lo, n in zip(hs[at[i] : at[i + 1]].tolist(), los[at[i] : at[i + 1]].tolist(), ns[at[i] : at[i + 1]].tolist(), strict=True):
-                    found.setdefault((h, n, kind.cut(view, i, lo, n)), []).append((rid[i], ids[i], lo))
-            todo = list(found.items())
-            for a in range(0, len(todo), 4000):
-                part = todo[a : a + 4000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([k[2] for k, _ in part], pa.binary()), pa.array([np.array(v, np.int64).tobytes() for _, v in part], pa.binary())], names=["h", "n", "context", "places"]
-                )
+                    key = (h, n, kind.cut(view, i, lo, n))
+                    have = found.get(key)
+                    if have is None:
+                        have = found[key] = []
+                        size += len(key[2]) + 300
+                    have.append((rid[i], ids[i], lo))
+            if size > HELD:
+                yield from flush(found)
+                found, size = {}, 0
+        yield from flush(found)
 
     return run
 

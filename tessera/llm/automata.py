@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import anchor_runs, covered, keyed
-from .common import MULT, mixed, pieces, spans_union
+from .common import pieces, spans_union
 from .words import Words, window_low
 
 WINDOW = 13
@@ -61,23 +61,18 @@ class Phrases:
     def solve(self, groups):
         """Spans (rid, s, e) of words covered by windows that start in an earlier document too."""
         ctx = [c for g in groups for c in g if len(g) > 1 or len(c.places) > 1]
-        number: dict[bytes, int] = {}
-        ids = [[number.setdefault(x, len(number)) for x in c.body.split(b" ")] for c in ctx]
-        none = [np.zeros(0, np.int64)]
+        none = np.zeros(0, np.int64)
         if not ctx:
-            return none[0], none[0], none[0]
-        flat = np.array([x for y in ids for x in y], np.uint64)
-        first = np.r_[0, np.cumsum([len(y) for y in ids])]
-        h = np.zeros(len(flat), np.uint64)
-        for k in range(self.window):
-            h[: len(h) - k] = h[: len(h) - k] * MULT + mixed(flat[k:] + np.uint64(1))
+            return none, none, none
+        w = Words(pa.array([c.body for c in ctx], pa.large_binary()))
+        first = w.first
         # windows: of each context those that its run has
         count = np.array([c.n for c in ctx], np.int64)
         of = np.repeat(np.arange(len(ctx)), count)
         inner = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
         low = np.array([c.places[:, 1].min() for c in ctx])
         high = np.array([c.places[:, 1].max() for c in ctx])
-        key = h[first[of] + inner]
+        key = w.runs(self.window)[first[of] + inner]
         o = np.argsort(key, kind="stable")
         at = np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1]])
         length = np.diff(np.r_[at, len(o)])
@@ -88,32 +83,43 @@ class Phrases:
         new = np.r_[True, (of[1:] != of[:-1]) | (when[1:] != when[:-1]) | (recurs[1:] != recurs[:-1])]
         a = np.flatnonzero(new)
         b = np.r_[a[1:], len(of)]
+        a, b = a[recurs[a]], b[recurs[a]]
+        if not len(a):
+            return none, none, none
+        # words as numbers
+        ids = np.unique(w.hash, return_inverse=True)[1].tolist()
+        begin = (first[of[a]] + inner[a]).tolist()
         passages: dict[tuple, int] = {}
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if recurs[x]:
-                s = int(inner[x])
-                p = tuple(ids[of[x]][s : s + y - x - 1 + self.window])
-                passages[p] = min(passages.get(p, int(when[x])), int(when[x]))
-        rid, s, e = [], [], []
-        if passages:
-            machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for p, d in passages.items():
-                machine.add_word(p, (len(p), d))
-            machine.make_automaton()
-            never = np.iinfo(np.int64).max
-            for c, words in zip(ctx, ids, strict=True):
-                since = np.full(len(words), never, np.int64)
-                for end, (n, d) in machine.iter(tuple(words)):
-                    since[end - n + 1 : end + 1] = np.minimum(since[end - n + 1 : end + 1], d)
-                if since.min() == never:
-                    continue
-                for d in np.unique(c.places[:, 1]).tolist():
-                    step = np.diff(np.r_[False, since < d, False].astype(np.int8))
-                    x, y = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                    own = c.places[c.places[:, 1] == d]
-                    rid.append(np.repeat(own[:, 0], len(x)))
-                    s.append((own[:, 2][:, None] + x).ravel()), e.append((own[:, 2][:, None] + y).ravel())
-        return np.concatenate(rid or none), np.concatenate(s or none), np.concatenate(e or none)
+        for s, n, d in zip(begin, (b - a - 1 + self.window).tolist(), when[a].tolist(), strict=True):
+            p = tuple(ids[s : s + n])
+            if passages.get(p, d) >= d:
+                passages[p] = d
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for p, d in passages.items():
+            machine.add_word(p, (len(p), d))
+        machine.make_automaton()
+        # a context without a recurring window holds no passage
+        hits: list[tuple[int, int, int]] = []
+        some = np.unique(of[a])
+        for i in some.tolist():
+            x = int(first[i])
+            hits.extend((d, x + end - n + 1, x + end + 1) for end, (n, d) in machine.iter(tuple(ids[x : int(first[i + 1])])))
+        since = np.full(len(w.hash), np.iinfo(np.int64).max, np.int64)
+        hits.sort(reverse=True)  # the earliest document comes last and stays
+        for d, x, y in hits:
+            since[x:y] = d
+        # every place of every such context, word by word
+        places = np.concatenate([ctx[i].places for i in some.tolist()])
+        ctx_of = np.repeat(some, [len(ctx[i].places) for i in some.tolist()])
+        size = first[ctx_of + 1] - first[ctx_of]
+        place = np.repeat(np.arange(len(places)), size)
+        word = np.arange(len(place)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+        gone = since[first[ctx_of[place]] + word] < places[place, 1]
+        edge = np.r_[True, place[1:] != place[:-1]]
+        s = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]]))
+        e = np.flatnonzero(gone & (np.r_[edge[1:], True] | ~np.r_[gone[1:], False]))
+        lo = places[place[s], 2]
+        return places[place[s], 0], lo + word[s], lo + word[e] + 1
 
 
 def _finish(batches):
