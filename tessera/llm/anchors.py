@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, pieces, settle, spread
+from .common import importable, mixed, pieces, settle, spread
 
 #: Bits of a packed key that tell the place in the batch.
 PLACE = 32
@@ -56,42 +56,62 @@ def anchor_runs(keys: np.ndarray, width: int, doc_first: np.ndarray, doc_windows
     return doc, window[first], length, keys[a[first]]
 
 
-def _find(kind):
+#: Kinds of rows: a run; one whose hash is known to recur; a hash that is known to.
+PLAIN, KNOWN, SIGN = 0, 1, 2
+
+
+def _find(kind, by_doc: bool):
+    """Runs (k, h, rid, doc_id, lo, n, state). A hash that recurs in the batch already goes to its group (k) as one sign; its runs are dealt at random."""
+
     def run(batches):
         for b in pieces(batches, rows=3000, most=1 << 20):
             view = kind.view(b.column("text"))
             doc, first, length, h = kind.runs(view)
-            rid, ids = b.column("rid").to_numpy(), b.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(rid[doc]), pa.array(ids[doc]), pa.array((first - view.first[doc]).astype(np.int32)), pa.array(length.astype(np.int32))], names=["h", "rid", "doc_id", "lo", "n"])
+            if not len(h):
+                continue
+            h = h.astype(np.int64)
+            rid, ids = b.column("rid").to_numpy()[doc], b.column("doc_id").to_numpy()[doc]
+            lo = first - view.first[doc]
+            o = np.argsort(h, kind="stable")
+            at = np.flatnonzero(np.r_[True, h[o][1:] != h[o][:-1]])
+            n = np.diff(np.r_[at, len(o)])
+            twice = (np.minimum.reduceat(ids[o], at) != np.maximum.reduceat(ids[o], at)) if by_doc else n > 1
+            state = np.empty(len(h), np.int8)
+            state[o] = np.repeat(np.where(twice, KNOWN, PLAIN), n)
+            k = np.where(state == KNOWN, mixed(rid.view(np.uint64) + lo.astype(np.uint64)).view(np.int64), h)
+            sign = o[at[twice]]
+            own = np.r_[np.arange(len(h)), sign]
+            kinds = np.r_[state, np.full(len(sign), SIGN, np.int8)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, h[sign]]), pa.array(h[own]), pa.array(rid[own]), pa.array(ids[own]), pa.array(lo[own].astype(np.int32)), pa.array(length[own].astype(np.int32)), pa.array(kinds)], names=["k", "h", "rid", "doc_id", "lo", "n", "state"])
 
     return run
 
 
+FOUND = "k long, h long, rid long, doc_id long, lo int, n int, state byte"
+
+
 def _shared(by_doc: bool):
-    """Keeps the rows, which come sorted by h, of hashes that occur twice (by_doc: in two documents)."""
+    """Keeps the runs, which come sorted by k, of hashes that occur twice (by_doc: in two documents)."""
 
     def run(batches):
-        held, last, known = None, None, False
+        held, last, good_before = None, None, False
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
-            h, d = t["h"].to_numpy(), t["doc_id"].to_numpy()
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            length = np.diff(np.r_[first, len(h)])
+            k, d, state = t["k"].to_numpy(), t["doc_id"].to_numpy(), t["state"].to_numpy()
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            length = np.diff(np.r_[first, len(k)])
             good = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) if by_doc else length > 1
-            if known and h[0] == last:
+            good |= np.maximum.reduceat(state, first) > PLAIN
+            if good_before and k[0] == last:
                 good[0] = True
-            keep = np.repeat(good, length)
+            keep = np.repeat(good, length) & (state != SIGN)
             end = first[-1]
-            last, known = h[end], bool(good[-1])
-            if not known:  # the last hash may go on in the next batch
-                keep[end:] = False
-                held = t.slice(end).to_batches()[0]
-            else:
-                held = None
-            out = t.filter(pa.array(keep)).select(["h", "rid", "lo", "n"])
-            yield from out.to_batches()
+            last, good_before = k[end], bool(good[-1])
+            # the last hash may go on in the next batch
+            held = None if good_before else t.slice(end).to_batches()[0]
+            yield from t.filter(pa.array(keep)).select(["h", "rid", "lo", "n"]).to_batches()
 
     return run
 
@@ -182,8 +202,8 @@ def covered(docs: DataFrame, kind, by_doc: bool) -> DataFrame:
     """docs (of keyed) with spans: an array of (s, e) in the kind's units, null where nothing recurs."""
     importable(docs.sparkSession)
     known = docs.where("text is not null and doc_id is not null").select("rid", "doc_id", "text")
-    found = known.mapInArrow(_find(kind), "h long, rid long, doc_id long, lo int, n int")
-    shared = settle(found.repartition("h").sortWithinPartitions("h").mapInArrow(_shared(by_doc), "h long, rid long, lo int, n int"))
+    found = known.mapInArrow(_find(kind, by_doc), FOUND)
+    shared = settle(found.repartition("k").sortWithinPartitions("k").mapInArrow(_shared(by_doc), "h long, rid long, lo int, n int"))
     runs = shared.groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "n")).alias("runs"))
     contexts = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "runs").mapInArrow(_contexts(kind), "h long, n int, context binary, places binary")
     spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_solve(kind), "rid long, s long, e long")
