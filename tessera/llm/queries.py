@@ -8,6 +8,7 @@ from .decontamination import find_leaks
 from .edits import count_edited, some_edits
 from .jaccard import jaccard_components
 from .langid import identify
+from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality import classify
 from .suffixes import remove_repeats
@@ -79,4 +80,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
