@@ -1,14 +1,16 @@
 """Embedding near-duplicates (operator 8): product quantisation over inverted lists.
 
 Unit vectors are put into the inverted lists of their nearest coarse centroids and
-their residuals coded per subspace. A vector probes every list that can hold a
-neighbour: a point within radius r of x belongs to list c only if x is at most r
-from the plane between its own centroid and c's. In a list, distances to the
-coded vectors come from tables per subspace; as each coded vector keeps its coding
-error, the triangle inequality makes table distance minus error a lower bound, and
-what passes is ranked again by the exact cosine in double precision. Centroids and
-codes are fitted on a bounded sample, all vectors are indexed, and recall is
-complete for any centroids and codes.
+their residuals coded per subspace. A point within radius r of x belongs to list c
+only if its way from x crosses the plane between x's centroid and c's. Across a
+given plane it goes r / sqrt(dim) on average if its direction is any, so that x
+probes the lists whose planes are at most `reach` times that far away; a reach of
+sqrt(dim) or more probes all lists that can hold a neighbour at all, and recall is
+complete. In a list, distances to the coded vectors come from tables per subspace;
+as each coded vector keeps its coding error, the triangle inequality makes table
+distance minus error a lower bound, and what passes is ranked again by the exact
+cosine in double precision. Centroids and codes are fitted on a bounded sample; all
+vectors are indexed.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from .common import components, importable, settle, spread
 
 #: Vectors on which centroids and codes are fitted at most (in expectation).
-MOST_FITTED = 8192
-MOST_LISTS = 1024
+MOST_FITTED = 16384
+MOST_LISTS = 2048
 SUBSPACES = 8
 CODES = 32
+#: How far a probe reaches, in typical distances.
+REACH = 4.0
 #: Members of one list that one task holds.
 BLOCK = 4096
 #: Queries compared with a block at a time.
@@ -97,11 +101,12 @@ class Index:
             err += ((r - book[codes[:, k]]) ** 2).sum(1)
         return codes, np.sqrt(err)
 
-    def probes(self, near, d, radius):
-        """For each vector the lists that can hold a point within radius of it."""
+    def probes(self, near, d, radius, reach=math.inf):
+        """For each vector the lists whose planes are near enough."""
         own = d[np.arange(len(near)), near]
         gap = d - own[:, None]  # 2 * distance to the plane between * distance of the centroids
-        return gap <= 2 * self.between[near] * radius + 1e-9
+        far = radius * min(1.0, reach / math.sqrt(self.dim))
+        return gap <= 2 * self.between[near] * far + 1e-9
 
     def tables(self, x, centroid):
         """Squared distance of each query's residual to each code, by subspace."""
@@ -109,7 +114,7 @@ class Index:
         return [((r[:, p][:, None] - book[None]) ** 2).sum(2) for p, book in zip(self.parts, self.books, strict=True)]
 
 
-def _assign(shared, radius):
+def _assign(shared, radius, reach):
     def run(batches):
         index = shared.value
         for b in batches:
@@ -119,7 +124,7 @@ def _assign(shared, radius):
                 part, y = rows[a : a + 2048], x[a : a + 2048]
                 near, d = index.nearest(y)
                 codes, err = index.encode(y, near)
-                probe = index.probes(near, d, radius)
+                probe = index.probes(near, d, radius, reach)
                 which, lists = np.nonzero(probe)
                 cut = np.cumsum(np.bincount(which, minlength=len(part)))[:-1]
                 yield pa.RecordBatch.from_arrays(
@@ -196,7 +201,7 @@ def _compare(shared, cosine, radius):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 3) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, reach: float = REACH, seed: int = 3) -> DataFrame:
     """One row per vec_id: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
@@ -220,7 +225,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 3) -> Dat
         return plain
     shared = spark.sparkContext.broadcast(Index(sample, min(MOST_LISTS, max(1, round(math.sqrt(n))))))
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
-    placed = settle(spread(rows.where("vec_id is not null")).mapInArrow(_assign(shared, radius), "vec_id long, list int, code binary, err double, vec binary, probes array<int>"))
+    placed = settle(spread(rows.where("vec_id is not null")).mapInArrow(_assign(shared, radius, reach), "vec_id long, list int, code binary, err double, vec binary, probes array<int>"))
     # lists that are long are dealt to blocks; there are at most MOST_LISTS counts
     counts = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = placed.join(F.broadcast(counts), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("is_query"), "vec_id", "code", "err", "vec")
