@@ -25,18 +25,29 @@ MIN_LEN = 400
 GRAM = 32
 
 
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in a row as symbols (a byte plus 1), each ended by a 0, which is less than any byte; where each begins, and its size."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.r_[0, np.cumsum(size + 1)[:-1]].astype(np.int64) if len(texts) else size
+    out = np.zeros(int(size.sum()) + len(texts), np.uint16)
+    for t, a in zip(texts, begin.tolist(), strict=True):
+        out[a : a + len(t)] = t
+        out[a : a + len(t)] += 1
+    return out, begin, size
+
+
 def ranks(text: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """For lengths 8, 16, ... below depth, and depth: the rank of the string of that length from each place on (padded with zeros)."""
+    """For lengths 7, 14, ... below depth, and depth: the rank of the string of that length from each place on (as if zeros followed)."""
     n = len(text)
-    pad = np.r_[text.astype(np.uint64), np.zeros(8, np.uint64)]
-    key, have = np.zeros(n, np.uint64), min(8, depth)
+    pad = np.r_[text.astype(np.uint64), np.zeros(7, np.uint64)]
+    key, have = np.zeros(n, np.uint64), min(7, depth)
     for k in range(have):
-        key = (key << np.uint64(8)) | pad[k : k + n]
+        key = (key << np.uint64(9)) | pad[k : k + n]
     rank = np.unique(key, return_inverse=True)[1]
     out = {have: rank.astype(np.int32)}
     while have < depth:
         step = min(have, depth - have)
-        # the string of length have + step: its first `have` bytes, then the `have` that end with it
+        # the string of length have + step: its first `have` symbols, then the `have` that end with it
         after = np.zeros(n, np.int64)
         if step < n:
             after[: n - step] = rank[step:] + 1
@@ -50,8 +61,8 @@ def ranks(text: np.ndarray, depth: int) -> dict[int, np.ndarray]:
 def suffix_array(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
     """The starts in the order of their first min_len bytes, then of what follows as far as it is compared, and the common-prefix length of each with the one before.
 
-    starts: suffixes to sort; ends: where each one's text ends. Common prefixes of
-    less than min_len are given as 0.
+    text: symbols as joined() gives them; starts: suffixes to sort; ends: where each
+    one's text ends. Common prefixes of less than min_len are given as 0.
     """
     rank = ranks(text, min_len)
     levels = sorted((k for k in rank if k < min_len), reverse=True)
@@ -112,7 +123,7 @@ def interval_tree(lcp: np.ndarray, left: np.ndarray, min_len: int) -> list[tuple
     # [length, first, code below or -2 if diverse]
     stack: list[list[int]] = []
 
-    def joined(x: int, y: int) -> int:
+    def merged(x: int, y: int) -> int:
         return x if x == y and x >= 0 else -2
 
     n = len(lcp)
@@ -121,13 +132,13 @@ def interval_tree(lcp: np.ndarray, left: np.ndarray, min_len: int) -> list[tuple
         begin, code = i - 1, int(left[i - 1]) if i else -2
         while stack and stack[-1][0] > now:
             length, first, below = stack.pop()
-            below = joined(below, code)
+            below = merged(below, code)
             if below == -2 and length >= min_len:
                 out.append((length, first, i - 1))
             begin, code = first, below
         if now >= min_len:
             if stack and stack[-1][0] == now:
-                stack[-1][2] = joined(stack[-1][2], code)
+                stack[-1][2] = merged(stack[-1][2], code)
             else:
                 stack.append([now, begin, code])
     return out
@@ -160,9 +171,7 @@ def repeat_groups(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, left:
 
 def maximal_repeats(texts: list[bytes], min_len: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """All maximal repeats of at least min_len bytes in a few texts: (length, occurrences (text, place)), longest first."""
-    body = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(t) for t in texts], np.int64)
-    begin = np.r_[0, np.cumsum(size)[:-1]]
+    body, begin, size = joined([np.frombuffer(t, np.uint8) for t in texts])
     starts = [np.arange(b, b + n - min_len + 1) for b, n in zip(begin, size, strict=True) if n >= min_len]
     if not starts:
         return []
@@ -203,10 +212,10 @@ class Bytes:
         a = view.at[doc] + lo
         return view.body[a : a + n - 1 + self.min_len].tobytes()
 
-    def _trim(self, contexts) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-        """Of the contexts that have windows whose hash occurs twice: (place, first, last such window), and their joined bytes from the one to the other's end."""
+    def _trim(self, contexts) -> tuple[list[tuple[int, int, int]], list[np.ndarray]]:
+        """Of the contexts that have windows whose hash occurs twice: (place, first, last such window), and their bytes from the one to the other's end."""
         if not contexts:
-            return [], np.zeros(0, np.uint8)
+            return [], []
         text = np.frombuffer(b"".join(c.body for c in contexts), np.uint8)
         size = np.array([len(c.body) for c in contexts], np.int64)
         begin = np.r_[0, np.cumsum(size)[:-1]]
@@ -223,11 +232,12 @@ class Bytes:
         twice = np.zeros(len(key), bool)
         twice[o] = np.r_[False, same] | np.r_[same, False]
         at = np.flatnonzero(twice)
+        if not len(at):
+            return [], []
         own, low = np.unique(of[at], return_index=True)
         high = np.r_[low[1:], len(at)] - 1
         cut = [(i, x, y) for i, x, y in zip(own.tolist(), (at[low] - first[own]).tolist(), (at[high] - first[own]).tolist(), strict=True)]
-        parts = [text[begin[i] + x : begin[i] + y + self.min_len] for i, x, y in cut]
-        return cut, np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        return cut, [text[begin[i] + x : begin[i] + y + self.min_len] for i, x, y in cut]
 
     def solve(self, groups):
         """Spans (rid, s, e) that repeats cover. A context that is there twice is a repeat as a whole; where an anchor has several contexts, a suffix array of them all finds what they share."""
@@ -242,10 +252,9 @@ class Bytes:
                 several.extend(range(k, k + len(g)))
             k += len(g)
         # windows whose hash is there once are in no repeat: contexts are cut to the others
-        cut, body = self._trim([ctx[i] for i in several])
+        cut, parts = self._trim([ctx[i] for i in several])
         if cut:
-            size = np.array([y - x + self.min_len for _, x, y in cut], np.int64)  # windows x to y of each
-            begin = np.r_[0, np.cumsum(size)[:-1]]
+            body, begin, size = joined(parts)  # windows x to y of each
             count = size - self.min_len + 1
             of = np.repeat(np.arange(len(cut)), count)
             inner = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
