@@ -25,7 +25,7 @@ LOW = np.uint64((1 << PLACE) - 1)
 #: Bytes of contexts that are solved together.
 CHUNK = 1 << 20
 #: Bytes of contexts in which a task looks for equal ones.
-HELD = 24 << 20
+HELD = 16 << 20
 
 
 def anchor_runs(keys: np.ndarray, width: int, doc_first: np.ndarray, doc_windows: np.ndarray, low) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def _contexts(kind):
     def run(batches):
         found: dict[tuple, list] = {}
         size = 0
-        for b in pieces(batches, rows=1000, most=4 << 20):
+        for b in pieces(batches, rows=1000, most=2 << 20):
             view = kind.view(b.column("text"))
             rid, ids = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
             runs = b.column("runs")

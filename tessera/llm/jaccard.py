@@ -72,7 +72,7 @@ def _deal(bits: int, wide: bool):
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        for b in pieces(batches, rows=4000, most=6 << 20):
+        for b in pieces(batches, rows=4000, most=2 << 20):
             sets = shingle_sets(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             size = np.array([len(s) for s in sets], np.int64)
@@ -129,7 +129,7 @@ def _weigh(wide: bool):
             place = np.concatenate([x[: len(x) // 2] for x in own])
             marks = np.concatenate([x[len(x) // 2 :] for x in own])
             n = np.concatenate(counts)
-            doc = np.repeat(np.arange(len(n)), n)
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
             o = np.lexsort((marks[doc], tok)) if wide else np.argsort(tok, kind="stable")
             t, m = tok[o], marks[doc[o]]
             first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
@@ -139,14 +139,14 @@ def _weigh(wide: bool):
                 df = np.add.reduceat(new.astype(np.int64), first) if len(t) else first
             else:
                 df = (np.minimum.reduceat(m, first) != np.maximum.reduceat(m, first)).astype(np.int64) + 1 if len(t) else first
-            back = np.empty(len(tok), np.int64)
+            back = np.empty(len(tok), np.uint32)
             back[o] = np.repeat(df, length)
             shared = np.bincount(doc, back > 1, len(n)).astype(np.int64)
             cut = np.cumsum([len(x) for x in counts])[:-1]
             cut_t = np.cumsum([x.sum() for x in counts])[:-1]
             out = {"batch": [r[1] for r in rows], "docs": [r[2] for r in rows], "place": [x.astype("<u4").tobytes() for x in np.split(place, cut)], "shared": [x.astype("<u4").tobytes() for x in np.split(shared, cut)]}
             if wide:
-                out |= {"counts": [r[4] for r in rows], "tokens": [r[5] for r in rows], "df": [np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in np.split(back, cut_t)]}
+                out |= {"counts": [r[4] for r in rows], "tokens": [r[5] for r in rows], "df": [x.astype("<u4").tobytes() for x in np.split(back, cut_t)]}
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pydict({k: v[i : i + 64] for k, v in out.items()}, schema=pa.schema([(k, pa.int64() if k == "batch" else pa.binary()) for k in out]))
 

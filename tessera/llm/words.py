@@ -74,7 +74,7 @@ class Words:
     def runs(self, n: int) -> np.ndarray:
         """The hash of the n words from each word on; those that reach over a document's end are meaningless."""
         out = np.zeros(len(self.hash), np.uint64)
-        for k in range(n):
+        for k in range(min(n, len(out))):
             out[: len(out) - k] = out[: len(out) - k] * MULT + self.hash[k:]
         return mixed(out)
 
