@@ -25,8 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's default of 64 MB is held several times over by JVM and worker.
+BATCH_BYTES = 4 << 20
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the library from where the driver has it."""
+    """Lets Python workers on this machine import the library from where the driver has it, and keeps their batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
