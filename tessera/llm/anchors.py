@@ -6,14 +6,17 @@ windows can only be equal inside the group of one anchor hash. A run of
 consecutive windows with one anchor is a row (hash, row key, first window, number).
 Hashes that occur once are dropped. For the others, the stretch of text that the
 run's windows cover (a context) goes to the anchor's group; equal contexts of one
-task go there once, with the list of their places. Groups are solved in chunks of
-bounded size, and the covered spans go back to their documents.
+task go there once, and of many places only a few come with them: the others
+stream by when the group is solved. Anchors with very many runs are cut to single
+windows, whose groups are those of equal windows. Groups are solved in chunks, and
+the covered spans go back to their documents.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ PLACE = 32
 LOW = np.uint64((1 << PLACE) - 1)
 #: Bytes of contexts that are solved together.
 CHUNK = 1 << 20
+#: Runs from which on an anchor is crowded.
+CROWD = 100_000
+#: Places that go along with a context.
+INLINE = 4
 #: Bytes of contexts in which a task looks for equal ones.
 HELD = 16 << 20
 
@@ -116,18 +123,30 @@ def _shared(by_doc: bool):
     return run
 
 
-def _contexts(kind):
-    """Of each document (rid, doc_id, text, runs) the contexts of its shared runs, equal ones of a task once."""
+def _contexts(kind, crowded):
+    """Of each document (rid, doc_id, text, runs) the contexts of its shared runs, equal ones of a task once.
+
+    A context comes with up to INLINE places, those of its first and last document
+    among them; the others follow it in its group as rows of places alone. Runs of
+    crowded anchors are cut to single windows, each the group of its own hash.
+    """
 
     def flush(found):
-        todo = list(found.items())
-        for a in range(0, len(todo), 4000):
-            part = todo[a : a + 4000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([k[2] for k, _ in part], pa.binary()), pa.array([np.array(v, np.int64).tobytes() for _, v in part], pa.binary())], names=["h", "n", "context", "places"]
-            )
+        rows = []
+        for (h, n, body), places in found.items():
+            places.sort(key=lambda p: p[1])
+            near = places if len(places) <= INLINE else [*places[: INLINE - 1], places[-1]]
+            rows.append((h, False, n, body, near))
+            rest = places[INLINE - 1 : -1] if len(places) > INLINE else []
+            mark = xxhash.xxh64_digest(body, seed=n)
+            for a in range(0, len(rest), 4096):
+                rows.append((h, True, n, mark, rest[a : a + 4096]))
+        for a in range(0, len(rows), 4000):
+            h, alone, n, body, places = zip(*rows[a : a + 4000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(alone, pa.bool_()), pa.array(n, pa.int32()), pa.array(body, pa.binary()), pa.array([np.array(p, np.int64).tobytes() for p in places], pa.binary())], names=["h", "alone", "n", "context", "places"])
 
     def run(batches):
+        hot = crowded.value
         found: dict[tuple, list] = {}
         size = 0
         for b in pieces(batches, rows=1000, most=2 << 20):
@@ -139,12 +158,18 @@ def _contexts(kind):
             hs, los, ns = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("h", "lo", "n"))
             for i in range(b.num_rows):
                 for h, lo, n in zip(hs[at[i] : at[i + 1]].tolist(), los[at[i] : at[i + 1]].tolist(), ns[at[i] : at[i + 1]].tolist(), strict=True):
-                    key = (h, n, kind.cut(view, i, lo, n))
-                    have = found.get(key)
-                    if have is None:
-                        have = found[key] = []
-                        size += len(key[2]) + 300
-                    have.append((rid[i], ids[i], lo))
+                    if h in hot:
+                        cuts = [(x, 1) for x in range(lo, lo + n)]
+                    else:
+                        cuts = [(lo, n)]
+                    for x, m in cuts:
+                        body = kind.cut(view, i, x, m)
+                        key = (xxhash.xxh64_intdigest(body, seed=1) - (1 << 63) if h in hot else h, m, body)
+                        have = found.get(key)
+                        if have is None:
+                            have = found[key] = []
+                            size += len(body) + 300
+                        have.append((rid[i], ids[i], x))
             if size > HELD:
                 yield from flush(found)
                 found, size = {}, 0
@@ -154,39 +179,89 @@ def _contexts(kind):
 
 
 class Context:
-    """A distinct context: its number of windows, its bytes, and places as rows (rid, doc_id, first window)."""
+    """A distinct context: its number of windows, its bytes, and places as rows (rid, doc_id, first window), its first and last document's among them."""
+
+    __slots__ = ("n", "body", "parts")
 
-    __slots__ = ("n", "body", "places")
+    def __init__(self, n, body):
+        self.n, self.body, self.parts = n, body, []
 
-    def __init__(self, n, body, places):
-        self.n, self.body, self.places = n, body, places
+    @property
+    def places(self):
+        if len(self.parts) != 1:
+            self.parts = [b"".join(self.parts)]
+        return np.frombuffer(self.parts[0], np.int64).reshape(-1, 3)
+
+
+def spans_at(places: np.ndarray, own: np.ndarray, solution: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (rid, s, e) of places, each of the context own: those of its solution (s, e, since) with since before the place's document."""
+    size = np.array([len(x[0]) for x in solution], np.int64)
+    first = np.r_[0, np.cumsum(size)]
+    s, e, since = (np.concatenate([x[k] for x in solution]) if len(solution) else np.zeros(0, np.int64) for k in range(3))
+    n = size[own]
+    place = np.repeat(np.arange(len(places)), n)
+    at = first[own][place] + np.arange(len(place)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    on = since[at] < places[place, 1]
+    place, at = place[on], at[on]
+    return places[place, 0], places[place, 2] + s[at], places[place, 2] + e[at]
 
 
 def _solve(kind):
-    def flush(groups):
-        out = kind.solve(groups)
+    """Solves chunks of whole groups. A group's contexts come before its other places, which are told as they stream by."""
+
+    def told(places, own, solution):
+        out = spans_at(places, own, solution)
         for a in range(0, len(out[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in out], names=["rid", "s", "e"])
 
+    def flush(groups):
+        ctx = [c for g in groups for c in g]
+        solution = kind.solve(groups)
+        places = [c.places for c in ctx]
+        own = np.repeat(np.arange(len(ctx)), [len(p) for p in places])
+        if len(own):
+            yield from told(np.concatenate(places), own, solution)
+        return solution
+
     def run(batches):
         now, group, groups, size = None, {}, [], 0
+        marks, solution = None, None  # of a group whose other places stream by
+
+        def ended():
+            """The groups that are complete, with the current one."""
+            nonlocal group, groups, size
+            out = [*groups, list(group.values())] if group else groups
+            group, groups, size = {}, [], 0
+            return out
+
         for b in batches:
-            for h, n, body, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, alone, n, body, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h != now:
+                    marks = solution = None
                     if group:
-                        groups.append([Context(k[0], k[1], np.frombuffer(b"".join(v), np.int64).reshape(-1, 3)) for k, v in group.items()])
-                        if size > CHUNK:
-                            yield from flush(groups)
-                            groups, size = [], 0
-                    now, group = h, {}
-                key = (n, body)
-                if key not in group:
-                    size += len(body)
-                group.setdefault(key, []).append(places)
-        if group:
-            groups.append([Context(k[0], k[1], np.frombuffer(b"".join(v), np.int64).reshape(-1, 3)) for k, v in group.items()])
-        if groups:
-            yield from flush(groups)
+                        groups.append(list(group.values()))
+                        group = {}
+                    if size > CHUNK:
+                        yield from flush(ended())
+                    now = h
+                if not alone:
+                    c = group.get((n, body))
+                    if c is None:
+                        c = group[n, body] = Context(n, body)
+                        size += len(body)
+                    c.parts.append(places)
+                    size += len(places)
+                    continue
+                if solution is None:
+                    last = list(group.values())
+                    marks = {(c.n, xxhash.xxh64_digest(c.body, seed=c.n)): i for i, c in enumerate(last)}
+                    done = yield from flush(ended())
+                    solution = done[len(done) - len(last) :]
+                p = np.frombuffer(places, np.int64).reshape(-1, 3)
+                yield from told(p, np.full(len(p), marks[n, body]), solution)
+        rest = ended()
+        if rest:
+            yield from flush(rest)
 
     return run
 
@@ -205,6 +280,9 @@ def covered(docs: DataFrame, kind, by_doc: bool) -> DataFrame:
     found = known.mapInArrow(_find(kind, by_doc), FOUND)
     shared = settle(found.repartition("k").sortWithinPartitions("k").mapInArrow(_shared(by_doc), "h long, rid long, lo int, n int"))
     runs = shared.groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "n")).alias("runs"))
-    contexts = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "runs").mapInArrow(_contexts(kind), "h long, n int, context binary, places binary")
-    spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_solve(kind), "rid long, s long, e long")
+    # at most one of CROWD runs is an anchor's that is crowded, so that the list is short
+    hot = shared.groupBy("h").count().where(F.col("count") > CROWD).select("h").toArrow()["h"].to_pylist()
+    crowded = docs.sparkSession.sparkContext.broadcast(frozenset(hot))
+    contexts = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "runs").mapInArrow(_contexts(kind, crowded), "h long, alone boolean, n int, context binary, places binary")
+    spans = contexts.repartition("h").sortWithinPartitions("h", "alone").mapInArrow(_solve(kind), "rid long, s long, e long")
     return docs.join(spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")).hint("shuffle_hash"), "rid", "left").select(*docs.columns, "spans")

@@ -59,11 +59,17 @@ class Phrases:
         return view.text[view.begin[a] : view.end[a + n - 2 + self.window]].tobytes()
 
     def solve(self, groups):
-        """Spans (rid, s, e) of words covered by windows that start in an earlier document too."""
-        ctx = [c for g in groups for c in g if len(g) > 1 or len(c.places) > 1]
-        none = np.zeros(0, np.int64)
+        """For each context the spans of words that a passage covers, with the first document that has the passage."""
+        none = (np.zeros(0, np.int64),) * 3
+        out = [none] * sum(map(len, groups))
+        which, k = [], 0
+        for g in groups:
+            which.extend(k + i for i, c in enumerate(g) if len(g) > 1 or len(c.places) > 1)
+            k += len(g)
+        every = [c for g in groups for c in g]
+        ctx = [every[i] for i in which]
         if not ctx:
-            return none, none, none
+            return out
         w = Words(pa.array([c.body for c in ctx], pa.large_binary()))
         first = w.first
         # windows: of each context those that its run has
@@ -85,7 +91,7 @@ class Phrases:
         b = np.r_[a[1:], len(of)]
         a, b = a[recurs[a]], b[recurs[a]]
         if not len(a):
-            return none, none, none
+            return out
         # words as numbers
         ids = np.unique(w.hash, return_inverse=True)[1].tolist()
         begin = (first[of[a]] + inner[a]).tolist()
@@ -108,18 +114,19 @@ class Phrases:
         hits.sort(reverse=True)  # the earliest document comes last and stays
         for d, x, y in hits:
             since[x:y] = d
-        # every place of every such context, word by word
-        places = np.concatenate([ctx[i].places for i in some.tolist()])
-        ctx_of = np.repeat(some, [len(ctx[i].places) for i in some.tolist()])
-        size = first[ctx_of + 1] - first[ctx_of]
-        place = np.repeat(np.arange(len(places)), size)
-        word = np.arange(len(place)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-        gone = since[first[ctx_of[place]] + word] < places[place, 1]
-        edge = np.r_[True, place[1:] != place[:-1]]
-        s = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]]))
-        e = np.flatnonzero(gone & (np.r_[edge[1:], True] | ~np.r_[gone[1:], False]))
-        lo = places[place[s], 2]
-        return places[place[s], 0], lo + word[s], lo + word[e] + 1
+        # stretches of words with one first document
+        never = np.iinfo(np.int64).max
+        owner = np.repeat(np.arange(len(ctx)), np.diff(first))
+        edge = np.flatnonzero(np.r_[True, (since[1:] != since[:-1]) | (owner[1:] != owner[:-1])])
+        stop = np.r_[edge[1:], len(since)]
+        on = since[edge] < never
+        edge, stop = edge[on], stop[on]
+        cut = np.searchsorted(owner[edge], np.arange(len(ctx) + 1))
+        base = first[owner[edge]]
+        for i in some.tolist():
+            x, y = cut[i], cut[i + 1]
+            out[which[i]] = (edge[x:y] - base[x:y], stop[x:y] - base[x:y], since[edge[x:y]])
+        return out
 
 
 def _finish(batches):

@@ -22,6 +22,8 @@ from .common import mixed, pieces, spans_union
 from .words import powers, raw, window_low
 
 MIN_LEN = 400
+#: Since before all documents.
+ALWAYS = np.iinfo(np.int64).min
 GRAM = 32
 
 
@@ -240,7 +242,7 @@ class Bytes:
         return cut, [text[begin[i] + x : begin[i] + y + self.min_len] for i, x, y in cut]
 
     def solve(self, groups):
-        """Spans (rid, s, e) that repeats cover. A context that is there twice is a repeat as a whole; where an anchor has several contexts, a suffix array of them all finds what they share."""
+        """For each context the spans that repeats cover. A context that is there twice is a repeat as a whole; where an anchor has several contexts, a suffix array of them all finds what they share."""
         spans: dict[int, list[tuple[int, int]]] = {}
         ctx = [c for g in groups for c in g]
         for i, c in enumerate(ctx):
@@ -265,14 +267,12 @@ class Bytes:
                     j = int(np.searchsorted(begin, p, "right")) - 1
                     s = p - int(begin[j]) + cut[j][1]
                     spans.setdefault(several[cut[j][0]], []).append((s, s + n))
-        rid, s, e = [], [], []
+        none = (np.zeros(0, np.int64),) * 3
+        out = [none] * len(ctx)
         for i, found in spans.items():
             a, b = spans_union(*np.array(found, np.int64).T)
-            lo = ctx[i].places[:, 2]
-            rid.append(np.repeat(ctx[i].places[:, 0], len(a)))
-            s.append((lo[:, None] + a).ravel()), e.append((lo[:, None] + b).ravel())
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(rid or none), np.concatenate(s or none), np.concatenate(e or none)
+            out[i] = (a, b, np.full(len(a), ALWAYS))
+        return out
 
 
 def cut_spans(column: pa.Array, spans: pa.Array):

@@ -126,3 +126,17 @@ def test_groups_hold_all_occurrences_of_long_strings():
     texts = [b"1" + long + b"x", b"2" + long + b"y", b"3" + long[:600] + b"z"]
     got = suffixes.maximal_repeats(texts, 400)
     assert got == [(900, [(0, 1), (1, 1)]), (600, [(0, 1), (1, 1), (2, 1)])]
+
+
+def test_crowded_anchors_and_many_places(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(anchors, "CROWD", 3)
+    assert rows_of(suffixes.remove_repeats(docs)) == brute_bytes(corpus, 400)
+    assert rows_of(automata.remove_phrases(docs)) == brute_words(corpus, 13)
+    rng = random.Random(1)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(200))
+    rows = [(i, base if i % 3 else base + f" end{i} of it") for i in range(60, 0, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for crowd in (10**6, 3):
+        monkeypatch.setattr(anchors, "CROWD", crowd)
+        assert rows_of(suffixes.remove_repeats(df)) == brute_bytes(rows, 400)
+        assert rows_of(automata.remove_phrases(df)) == brute_words(rows, 13)
