@@ -1,8 +1,8 @@
 """Toxicity (operator 2): weak supervision.
 
 Terms (words and word beginnings) that tell toxic labelled documents from others
-are mined from a bounded sample and dealt to lexicon voters; pattern voters look
-at case, punctuation and address. All documents outside the held-out fold vote.
+are mined from a bounded sample and dealt to lexicon voters by how well they tell;
+pattern voters look at case, punctuation and address. All documents outside the held-out fold vote.
 A generative model takes from the voters' moments over all of them each voter's
 accuracy (by triplets of voters) and the correlations beyond what the accuracies
 explain; it weighs the votes by the inverse of that covariance. Its posteriors
@@ -36,6 +36,10 @@ MOST_TRAINED = 12_000
 KEEP = 500_000
 #: A voter that finds nothing says "not toxic" in long documents only.
 SURE_WORDS = 20
+#: The first lexicon has so many terms, and each other as many as all before it.
+FIRST = 16
+#: Words of a document for each of which a lexicon must find one term.
+SPARSE = 500
 
 #: English words of abuse; a voter beside the mined ones.
 ABUSE = frozenset("idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown dumb imbecile vermin filth hate kill".split())
@@ -60,7 +64,7 @@ def _terms(batches):
 
 
 def mine(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int) -> tuple[list[str], float]:
-    """Terms in order of weight of evidence, and the share of toxic documents.
+    """Terms in order of their odds, and the share of toxic documents.
 
     Counted on the executors over the sample of labelled documents; a term needs
     five toxic documents and odds of eight to one.
@@ -73,8 +77,7 @@ def mine(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int)
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_terms, "label int, terms array<string>")
     c = got.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
     odds = (F.col("t") + 0.1) / n1 / ((F.col("n") - F.col("t") + 0.5) / n0)
-    rows = c.where(F.col("t") >= min(5, n1)).select("term", "t", odds.alias("odds")).where("odds >= 8").orderBy(F.desc(F.col("t") * F.log("odds")), "term").limit(MOST_TERMS).collect()
-    # a beginning that only one longer term has says no more than that term
+    rows = c.where(F.col("t") >= min(5, n1)).select("term", "t", odds.alias("odds")).where("odds >= 8").orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
     return [r["term"] for r in rows], n1 / (n0 + n1)
 
 
@@ -109,17 +112,25 @@ def _lexicon(terms: list[str]) -> Lexicon:
     return _lexicons[key]
 
 
-def votes(text: str, words: list[str], hits: Counter, n_terms: int) -> np.ndarray:
-    """One vote per voter: 1 toxic, -1 not, 0 none. A voter without finds says -1 if the text is long enough to have some."""
+def lexicon_of(rank: int) -> int:
+    """The voter of the term at a place in the order of odds."""
+    return min(LEXICONS - 1, max(0, (rank // FIRST).bit_length()))
+
+
+def votes(text: str, words: list[str], hits: Counter) -> np.ndarray:
+    """One vote per voter: 1 toxic, -1 not, 0 none. A lexicon without finds says -1 if the text is long enough to have some."""
     none = -1.0 if len(words) >= SURE_WORDS else 0.0
     out = np.full(LEXICONS + 1 + len(PATTERNS), none)
-    for i in hits:
-        out[i % LEXICONS] = 1.0
+    found = [0] * LEXICONS
+    for i, n in hits.items():
+        found[lexicon_of(i)] += n
+    for k, n in enumerate(found):
+        if n and n * SPARSE >= len(words):
+            out[k] = 1.0
     if not ABUSE.isdisjoint(words):
         out[LEXICONS] = 1.0
     for k, p in enumerate(PATTERNS):
-        found = p.search(text)
-        out[LEXICONS + 1 + k] = 1.0 if found else 0.0
+        out[LEXICONS + 1 + k] = 1.0 if p.search(text) else 0.0
     return out
 
 
@@ -135,7 +146,7 @@ def _vote(model):
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = LETTERS.findall((t or "").lower())
                 h = lex.hits(words)
-                rows.append(votes(t or "", words, h, len(terms)))
+                rows.append(votes(t or "", words, h))
             v = np.array(rows)
             n, total, sums, prods = n + len(v), total + (v != 0).sum(0), sums + v.sum(0), prods + v.T @ v
         if n:
@@ -166,6 +177,25 @@ def label_model(n: int, moments: np.ndarray, prior: float) -> tuple[np.ndarray,
     return a, residual, w
 
 
+def posteriors(v: np.ndarray, mean: np.ndarray, accuracy: np.ndarray, residual: np.ndarray, prior: float) -> np.ndarray:
+    """The probability of label 1 given each row's votes.
+
+    E[v | Y] follows from the voter's mean and its covariance with Y; a voter's
+    evidence is the log-ratio of its vote's probabilities (an abstention has none)
+    and is divided by one plus its correlation with the other voters.
+    """
+    y = 2 * prior - 1
+    slope = accuracy / max(1 - y * y, 1e-9)
+    up = np.clip((1 + mean + slope * (1 - y)) / 2, 1e-4, 1 - 1e-4)  # P(vote 1 | toxic)
+    down = np.clip((1 + mean - slope * (1 + y)) / 2, 1e-4, 1 - 1e-4)
+    scale = np.sqrt(np.maximum(np.diag(residual) + accuracy**2 / max(1 - y * y, 1e-9), 1e-9))
+    corr = np.abs(residual / np.outer(scale, scale))
+    np.fill_diagonal(corr, 0)
+    share = 1 / (1 + np.minimum(corr, 1).sum(1))
+    z = math.log(prior / (1 - prior)) + ((v > 0) * np.log(up / down) * share + (v < 0) * np.log((1 - up) / (1 - down)) * share).sum(1)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def _train_rows(model):
     """Votes and term counts of the documents that train the classifier."""
 
@@ -177,15 +207,20 @@ def _train_rows(model):
             for t in b.column("text").to_pylist():
                 words = LETTERS.findall((t or "").lower())
                 h = lex.hits(words)
-                v.append(votes(t or "", words, h, len(terms)).tolist())
+                v.append(votes(t or "", words, h).tolist())
                 idx.append(sorted(h)), cnt.append([h[i] for i in sorted(h)]), words_n.append(len(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(v, pa.list_(pa.float64())), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32())), pa.array(words_n, pa.int32())], names=["doc_id", "label", "votes", "rows", "counts", "n"])
 
     return run
 
 
-def vector(idx: list[int], cnt: list[int]) -> np.ndarray:
-    return 1 + np.log(np.array(cnt, float)) if len(idx) else np.zeros(0)
+def weight_of(count: float, words: int) -> float:
+    """A term's weight in a document: the log of its count per hundred words, plus 1."""
+    return math.log1p(100 * count / max(words, 1))
+
+
+def vector(cnt: list[int], words: int) -> np.ndarray:
+    return np.array([weight_of(c, words) for c in cnt])
 
 
 def fit_linear(rows: list[tuple[list[int], np.ndarray]], target: np.ndarray, n_terms: int, epochs: int = 8, rate: float = 0.3, ridge: float = 1e-5, seed: int = 11) -> tuple[np.ndarray, float]:
@@ -210,8 +245,8 @@ def _score(model):
         for b in pieces(batches):
             z = []
             for t in b.column("text").to_pylist():
-                h = lex.hits(LETTERS.findall((t or "").lower()))
-                z.append(bias + sum(w[i] * (1 + math.log(n)) for i, n in h.items()))
+                words = LETTERS.findall((t or "").lower())
+                z.append(bias + sum(w[i] * weight_of(n, len(words)) for i, n in lex.hits(words).items()))
             p = 1 / (1 + np.exp(-np.clip(a * np.array(z) + c, -40, 40)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p, pa.float64())], names=["doc_id", "held_out", "score"])
 
@@ -231,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, m
     m = LEXICONS + 1 + len(PATTERNS)
     sums = got.select("n", F.posexplode("moments").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("k").collect()
     n, moments = sums[0]["n"], np.array([r["x"] for r in sums])
-    accuracy, residual, weight = label_model(n, moments, prior)
+    accuracy, residual, _ = label_model(n, moments, prior)
     # the classifier's documents: labelled ones for balance, and as many others
     chosen = labelled_sample(labels, "toxic", modulus, held, most)
     both = mine_rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
@@ -240,15 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, m
     data = both.unionByName(others).mapInArrow(_train_rows(shared), "doc_id long, label int, votes array<double>, rows array<int>, counts array<int>, n int").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).to_pydict()
     v, y = np.array(data["votes"]).reshape(-1, m), np.array(data["label"])
     mean = moments[m : 2 * m] / n
-    raw = (v - mean) @ weight
-    # the guess of Y becomes a posterior with the prior's share above one half
-    order = np.sort(raw)
-    edge = order[min(len(order) - 1, int(len(order) * (1 - prior)))] if len(order) else 0.0
-    top, low = raw[raw >= edge], raw[raw < edge]
-    gap = max(1e-3, (top.mean() - low.mean()) if len(top) and len(low) else 1.0)
-    mid = (top.min() + low.max()) / 2 if len(top) and len(low) else edge
-    posterior = 1 / (1 + np.exp(-np.clip((raw - mid) * 8 / gap, -30, 30)))
-    x = [(np.array(i, np.int64), vector(i, c)) for i, c in zip(data["rows"], data["counts"], strict=True)]
+    posterior = posteriors(v, mean, accuracy, residual, prior)
+    x = [(np.array(i, np.int64), vector(c, n)) for i, c, n in zip(data["rows"], data["counts"], data["n"], strict=True)]
     w, b = fit_linear(x, posterior, len(terms))
     z = np.array([b + (w[i] @ xx if len(i) else 0.0) for i, xx in x])
     known = y >= 0
