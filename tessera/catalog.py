@@ -454,7 +454,7 @@ def _edges(spark, sf_dir) -> DataFrame:
 
 
 CRAWL_SQL = """WITH RECURSIVE n AS (SELECT max(page_id) + 1 AS n FROM pages), edges AS (SELECT page_id AS src, unnest([(page_id * 7 + 3) % n, (page_id * 5 + 1) % n]) AS dst FROM pages, n),
-walk(seed, page, depth) AS (SELECT page_id, page_id, 0 FROM pages WHERE page_id % 25 = 0 UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN edges e ON w.page = e.src WHERE w.depth < 3),
+walk(seed, page, depth) AS (SELECT page_id, page_id, 0 FROM pages UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN edges e ON w.page = e.src WHERE w.depth < 3),
 firsts AS (SELECT seed, page, min(depth) AS depth FROM walk GROUP BY seed, page),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, page) AS place FROM firsts),
 crawled AS (SELECT * FROM ranked WHERE place <= 10)
@@ -462,7 +462,7 @@ crawled AS (SELECT * FROM ranked WHERE place <= 10)
 
 
 def _crawl(spark, sf_dir):
-    seeds = pages(spark, sf_dir).where("page_id % 25 = 0").select(F.col("page_id").alias("seed"), F.col("page_id").alias("page"))  # the requests of the crawl
+    seeds = pages(spark, sf_dir).select(F.col("page_id").alias("seed"), F.col("page_id").alias("page"))
     return crawl.crawl(seeds, _edges(spark, sf_dir), 3, 10)
 
 
@@ -483,7 +483,8 @@ def crawl_recovery(spark, sf_dir):
     p = pages(spark, sf_dir)
     i = F.col("page_id")
     done = p.select(i.alias("seed"), (i % 3).alias("pages_fetched"), (i % 4).alias("unique_links_seen"))
-    return crawl.with_recovery(done, p.where(i % 2 == 0).select(i.alias("seed"), i.alias("page")), 0, 1)
+    alone = p.select(i.alias("seed"), F.when(i % 2 == 0, i).alias("page")).where("page is not null")  # a fetch that failed has no page
+    return crawl.with_recovery(done, alone, 0, 1)
 
 
 def _host_events(spark, sf_dir):
