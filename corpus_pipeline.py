@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle, table
+from tessera.llm.common import BROADCAST_ROWS, settle, table
 from tessera.llm.decontamination import find_leaks
-from tessera.llm.jaccard import BROADCAST_ROWS, jaccard_components
+from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
 from tessera.llm.suffixes import without_repeats

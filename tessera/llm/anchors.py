@@ -7,7 +7,7 @@ consecutive windows with one anchor is a row (hash, row key, first window, numbe
 Hashes that occur once are dropped. For the others, the stretch of text that the
 run's windows cover (a context) goes to the anchor's group; equal contexts of one
 task go there once, and of many places only a few come with them: the others
-stream by when the group is solved. Anchors with very many runs are cut to single
+stream by when the group is solved. Anchors with very many contexts are cut to single
 windows, whose groups are those of equal windows. Groups are solved in chunks, and
 the covered spans go back to their documents.
 """
@@ -20,15 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, mixed, pieces, settle, spread
+from .common import BROADCAST_ROWS, importable, mixed, pieces, settle, spread
 
 #: Bits of a packed key that tell the place in the batch.
 PLACE = 32
 LOW = np.uint64((1 << PLACE) - 1)
 #: Bytes of contexts that are solved together.
 CHUNK = 1 << 20
-#: Runs from which on an anchor is crowded.
-CROWD = 100_000
+#: Different contexts from which on an anchor is crowded (counted by their marks).
+CROWD = 4000
 #: Places that go along with a context.
 INLINE = 4
 #: Bytes of contexts in which a task looks for equal ones.
@@ -68,12 +68,12 @@ PLAIN, KNOWN, SIGN = 0, 1, 2
 
 
 def _find(kind, by_doc: bool):
-    """Runs (k, h, rid, doc_id, lo, n, state). A hash that recurs in the batch already goes to its group (k) as one sign; its runs are dealt at random."""
+    """Runs (k, h, rid, doc_id, lo, n, mark, state); mark: two bytes of the hash of a run's context. A hash that recurs in the batch already goes to its group (k) as one sign; its runs are dealt at random."""
 
     def run(batches):
         for b in pieces(batches, rows=3000, most=1 << 20):
             view = kind.view(b.column("text"))
-            doc, first, length, h = kind.runs(view)
+            doc, first, length, h, mark = kind.runs(view)
             if not len(h):
                 continue
             h = h.astype(np.int64)
@@ -89,12 +89,12 @@ def _find(kind, by_doc: bool):
             sign = o[at[twice]]
             own = np.r_[np.arange(len(h)), sign]
             kinds = np.r_[state, np.full(len(sign), SIGN, np.int8)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, h[sign]]), pa.array(h[own]), pa.array(rid[own]), pa.array(ids[own]), pa.array(lo[own].astype(np.int32)), pa.array(length[own].astype(np.int32)), pa.array(kinds)], names=["k", "h", "rid", "doc_id", "lo", "n", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, h[sign]]), pa.array(h[own]), pa.array(rid[own]), pa.array(ids[own]), pa.array(lo[own].astype(np.int32)), pa.array(length[own].astype(np.int32)), pa.array((mark[own] >> np.uint64(48)).astype(np.uint16).view(np.int16)), pa.array(kinds)], names=["k", "h", "rid", "doc_id", "lo", "n", "mark", "state"])
 
     return run
 
 
-FOUND = "k long, h long, rid long, doc_id long, lo int, n int, state byte"
+FOUND = "k long, h long, rid long, doc_id long, lo int, n int, mark short, state byte"
 
 
 def _shared(by_doc: bool):
@@ -118,12 +118,12 @@ def _shared(by_doc: bool):
             last, good_before = k[end], bool(good[-1])
             # the last hash may go on in the next batch
             held = None if good_before else t.slice(end).to_batches()[0]
-            yield from t.filter(pa.array(keep)).select(["h", "rid", "lo", "n"]).to_batches()
+            yield from t.filter(pa.array(keep)).select(["h", "rid", "lo", "n", "mark"]).to_batches()
 
     return run
 
 
-def _contexts(kind, crowded):
+def _contexts(kind):
     """Of each document (rid, doc_id, text, runs) the contexts of its shared runs, equal ones of a task once.
 
     A context comes with up to INLINE places, those of its first and last document
@@ -146,7 +146,6 @@ def _contexts(kind, crowded):
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(alone, pa.bool_()), pa.array(n, pa.int32()), pa.array(body, pa.binary()), pa.array([np.array(p, np.int64).tobytes() for p in places], pa.binary())], names=["h", "alone", "n", "context", "places"])
 
     def run(batches):
-        hot = crowded.value
         found: dict[tuple, list] = {}
         size = 0
         for b in pieces(batches, rows=1000, most=2 << 20):
@@ -155,16 +154,13 @@ def _contexts(kind, crowded):
             runs = b.column("runs")
             at = np.asarray(runs.offsets).astype(np.int64)
             flat = runs.values
-            hs, los, ns = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("h", "lo", "n"))
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("h", "lo", "n", "crowded")]
             for i in range(b.num_rows):
-                for h, lo, n in zip(hs[at[i] : at[i + 1]].tolist(), los[at[i] : at[i + 1]].tolist(), ns[at[i] : at[i + 1]].tolist(), strict=True):
-                    if h in hot:
-                        cuts = [(x, 1) for x in range(lo, lo + n)]
-                    else:
-                        cuts = [(lo, n)]
+                for h, lo, n, many in zip(*(f[at[i] : at[i + 1]].tolist() for f in fields), strict=True):
+                    cuts = [(x, 1) for x in range(lo, lo + n)] if many else [(lo, n)]
                     for x, m in cuts:
                         body = kind.cut(view, i, x, m)
-                        key = (xxhash.xxh64_intdigest(body, seed=1) - (1 << 63) if h in hot else h, m, body)
+                        key = (xxhash.xxh64_intdigest(body, seed=1) - (1 << 63) if many else h, m, body)
                         have = found.get(key)
                         if have is None:
                             have = found[key] = []
@@ -273,16 +269,26 @@ def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
     return d.select(F.xxhash64("doc_id", "text").alias("rid"), *d.columns)
 
 
+def _flagged(shared: DataFrame) -> DataFrame:
+    """Runs with `crowded`: whether their anchor has more than CROWD contexts. Only anchors of so many runs are looked at."""
+
+    def side(df):
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    many = settle(shared.groupBy("h").count().where(F.col("count") > CROWD).select("h"))
+    if many.isEmpty():
+        return shared.withColumn("crowded", F.lit(False))
+    hot = settle(shared.join(side(many), "h").groupBy("h").agg(F.count_distinct("mark").alias("marks")).where(F.col("marks") > CROWD).select("h", F.lit(True).alias("crowded")))
+    return shared.join(side(hot), "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+
+
 def covered(docs: DataFrame, kind, by_doc: bool) -> DataFrame:
     """docs (of keyed) with spans: an array of (s, e) in the kind's units, null where nothing recurs."""
     importable(docs.sparkSession)
     known = docs.where("text is not null and doc_id is not null").select("rid", "doc_id", "text")
     found = known.mapInArrow(_find(kind, by_doc), FOUND)
-    shared = settle(found.repartition("k").sortWithinPartitions("k").mapInArrow(_shared(by_doc), "h long, rid long, lo int, n int"))
-    runs = shared.groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "n")).alias("runs"))
-    # at most one of CROWD runs is an anchor's that is crowded, so that the list is short
-    hot = shared.groupBy("h").count().where(F.col("count") > CROWD).select("h").toArrow()["h"].to_pylist()
-    crowded = docs.sparkSession.sparkContext.broadcast(frozenset(hot))
-    contexts = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "runs").mapInArrow(_contexts(kind, crowded), "h long, alone boolean, n int, context binary, places binary")
+    shared = settle(found.repartition("k").sortWithinPartitions("k").mapInArrow(_shared(by_doc), "h long, rid long, lo int, n int, mark short"))
+    runs = _flagged(shared).groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "n", "crowded")).alias("runs"))
+    contexts = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "runs").mapInArrow(_contexts(kind), "h long, alone boolean, n int, context binary, places binary")
     spans = contexts.repartition("h").sortWithinPartitions("h", "alone").mapInArrow(_solve(kind), "rid long, s long, e long")
     return docs.join(spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")).hint("shuffle_hash"), "rid", "left").select(*docs.columns, "spans")

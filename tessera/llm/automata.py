@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import anchor_runs, covered, keyed
-from .common import pieces, spans_union
-from .words import Words, window_low
+from .common import mixed, pieces, spans_union
+from .words import Words, powers, window_low
 
 WINDOW = 13
 GRAM = 4
@@ -52,7 +52,11 @@ class Phrases:
         w, g = view.words, self.gram
         keys = w.runs(g)
         size = np.diff(w.first)
-        return anchor_runs(keys, self.window - g + 1, view.first, np.maximum(0, size - self.window + 1), window_low)
+        doc, first, length, h = anchor_runs(keys, self.window - g + 1, view.first, np.maximum(0, size - self.window + 1), window_low)
+        up, down = powers(len(w.hash) + 1)
+        sums = np.zeros(len(w.hash) + 1, np.uint64)
+        np.cumsum(w.hash * up[: len(w.hash)], out=sums[1:])
+        return doc, first, length, h, mixed((sums[first + length - 1 + self.window] - sums[first]) * down[first])
 
     def cut(self, view, doc, lo, n):
         a = view.first[doc] + lo

@@ -208,7 +208,8 @@ class Bytes:
         np.cumsum((view.body.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         keys = mixed((sums[g:] - sums[:-g]) * down[: max(0, n + 1 - g)]) if n >= g else np.zeros(0, np.uint64)
         size = np.diff(view.at)
-        return anchor_runs(keys, self.min_len - g + 1, view.first, np.maximum(0, size - self.min_len + 1), window_low)
+        doc, first, length, h = anchor_runs(keys, self.min_len - g + 1, view.first, np.maximum(0, size - self.min_len + 1), window_low)
+        return doc, first, length, h, mixed((sums[first + length - 1 + self.min_len] - sums[first]) * down[first])
 
     def cut(self, view, doc, lo, n):
         a = view.at[doc] + lo
