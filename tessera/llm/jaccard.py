@@ -4,7 +4,8 @@
    shingles. Shingle hashes are dealt by value to buckets, in one row of packed
    arrays per batch and bucket; each bucket finds the shingles of two or more
    different sets and sends back one count per document. Most documents end here.
-   Equal sets have equal digests and count once, whatever the number of copies.
+   Equal sets have equal digests and count once, whatever the number of copies, and
+   a shingle that sets of one batch share goes on once.
 2. Blocks. For the rest the same exchange gives every shingle's frequency. Sets
    are ordered from rare to frequent; two similar sets share a shingle among the
    first |x| - ceil(0.8 |x|) + 1. Every task sends on one set per such shingle and
@@ -28,14 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, discard, importable, pieces, settle, spread
+from .common import BROADCAST_ROWS, Forest, components, discard, importable, pieces, settle, spread
 from .words import Words
 
 N = 5
 #: Bytes of text that one block may have in one task.
 BLOCK_BYTES = 48 << 20
-#: Rows that are broadcast at most; beyond, tables are joined by shuffling.
-BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
@@ -64,41 +63,79 @@ def similar(inter: int, a: int, b: int) -> bool:
     return 180 * inter >= 80 * (a + b)
 
 
-ROWS = "bucket int, batch long, docs binary, digests binary, counts binary, tokens binary"
+ROWS = "bucket int, batch long, docs binary, marks binary, counts binary, tokens binary"
+SCHEMA = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("docs", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
 
 
-def _deal(bits: int, wide: bool):
-    """One row per batch and bucket: the batch's documents' shingles there, document after document. wide: 8 bytes of each, else the 4 that follow the bucket's bits."""
+def _batches(batches):
+    """Of each batch its number, doc_ids, shingle sets, digests and sizes."""
+    part, seq = TaskContext.get().partitionId(), 0
+    for b in pieces(batches, rows=4000, most=2 << 20):
+        sets = shingle_sets(b.column(1))
+        yield (part << 32) + seq, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets, np.array([digest(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
+        seq += 1
+
+
+def _deal(bits: int):
+    """One row per batch and bucket: 4 bytes, after the bucket's bits, of the shingles of each different set there, set after set.
+
+    A shingle that different sets of the batch share goes there once, as one of a
+    set of its own that no other batch has, and is counted at once; equal sets go
+    once. So no shingle and no copy comes more often than there are batches.
+    """
 
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
-        for b in pieces(batches, rows=4000, most=2 << 20):
-            sets = shingle_sets(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            size = np.array([len(s) for s in sets], np.int64)
-            marks = np.array([digest(s) for s in sets], np.int64)
-            tok = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            doc = np.repeat(np.arange(len(sets)), size)
-            bucket = (tok >> np.uint64(64 - bits)).astype(np.uint16)
-            o = np.argsort(bucket, kind="stable")
+        for batch, ids, sets, marks, size in _batches(batches):
+            first = np.unique(marks, return_index=True)[1]
+            first = first[size[first] > 0]
+            tok = np.concatenate([sets[i] for i in first]) if len(first) else np.zeros(0, np.uint64)
+            doc = np.repeat(first, size[first])
+            o = np.argsort(tok, kind="stable")
             tok, doc = tok[o], doc[o]
-            per = np.bincount(bucket.astype(np.int64) * len(sets) + np.repeat(np.arange(len(sets)), size), minlength=len(sets) << bits).reshape(1 << bits, len(sets))
-            at = np.r_[0, np.cumsum(per.sum(1))]
-            tok = tok if wide else ((tok << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
-            batch = (part << 32) + seq
-            seq += 1
-            out = {k: [] for k in ("bucket", "batch", "docs", "digests", "counts", "tokens")}
+            at = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[at, len(tok)])
+            several = np.repeat(n > 1, n)
+            here = np.bincount(doc[several], minlength=len(ids))
+            # the sign of what is shared here is a set of its own, the last
+            tok, doc = np.r_[tok[~several], tok[at[n > 1]]], np.r_[doc[~several], np.full(int((n > 1).sum()), len(ids))]
+            bucket = (tok >> np.uint64(64 - bits)).astype(np.int64)
+            o = np.lexsort((tok, doc, bucket))
+            tok, doc, bucket = ((tok[o] << np.uint64(bits)) >> np.uint64(32)).astype("<u4"), doc[o], bucket[o]
+            own = np.r_[marks, np.int64(xxhash.xxh64_intdigest(b"sign", seed=batch) - (1 << 63))]
+            cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+            out = {k: [] for k in SCHEMA.names}
             for k in range(1 << bits):
-                if k and at[k] == at[k + 1]:
+                x, y = cut[k], cut[k + 1]
+                if k and x == y:
                     continue
-                # only documents with shingles here
-                own = np.flatnonzero(per[k])
+                place, count = np.unique(doc[x:y], return_counts=True)
                 out["bucket"].append(k), out["batch"].append(batch)
-                out["docs"].append(np.stack([ids, marks, size]).tobytes() if k == 0 else None)
-                out["digests"].append(np.r_[own, marks[own]].tobytes())
-                out["counts"].append(per[k][own].astype("<u4").tobytes())
-                out["tokens"].append(tok[at[k] : at[k + 1]].tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("docs", pa.binary()), ("digests", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())]))
+                out["docs"].append(np.stack([ids, marks, size, here]).tobytes() if k == 0 else None)
+                out["marks"].append(np.r_[place, own[place]].tobytes())
+                out["counts"].append(count.astype("<u4").tobytes())
+                out["tokens"].append(tok[x:y].tobytes())
+            yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
+
+    return run
+
+
+def _deal_counted(bits: int):
+    """One row per batch and bucket: the batch's different shingles there and in how many of its sets each is; and one row, in a bucket below 0, with its sets."""
+
+    def run(batches):
+        for batch, ids, sets, marks, size in _batches(batches):
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            tok, n = np.unique(flat, return_counts=True)
+            cut = np.searchsorted((tok >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+            used = [k for k in range(1 << bits) if cut[k] < cut[k + 1]]
+            none = [None] * len(used)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": [-1 - batch % (1 << 20), *used], "batch": [batch] * (len(used) + 1), "docs": [np.stack([ids, marks, size]).tobytes(), *none], "marks": [None, *none],
+                    "counts": [None, *(n[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in used)], "tokens": [flat.tobytes(), *(tok[cut[k] : cut[k + 1]].tobytes() for k in used)],
+                },
+                schema=SCHEMA,
+            )
 
     return run
 
@@ -117,49 +154,55 @@ def runs_of(batches, key: int = 0):
         yield held
 
 
-def _weigh(wide: bool):
-    """Bucket by bucket: how often each shingle occurs among different sets; back go counts of shared shingles per document or, if wide, the shingles with their frequencies."""
-    kind = np.dtype("<u8") if wide else np.dtype("<u4")
-
-    def run(batches):
-        for rows in runs_of(batches):
-            tok = np.concatenate([np.frombuffer(r[5], kind) for r in rows])
-            own = [np.frombuffer(r[3], np.int64) for r in rows]
-            counts = [np.frombuffer(r[4], "<u4").astype(np.int64) for r in rows]
-            place = np.concatenate([x[: len(x) // 2] for x in own])
-            marks = np.concatenate([x[len(x) // 2 :] for x in own])
-            n = np.concatenate(counts)
-            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-            o = np.lexsort((marks[doc], tok)) if wide else np.argsort(tok, kind="stable")
-            t, m = tok[o], marks[doc[o]]
-            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
-            length = np.diff(np.r_[first, len(t)])
-            if wide:
-                new = np.r_[True, (t[1:] != t[:-1]) | (m[1:] != m[:-1])] if len(t) else np.zeros(0, bool)
-                df = np.add.reduceat(new.astype(np.int64), first) if len(t) else first
-            else:
-                df = (np.minimum.reduceat(m, first) != np.maximum.reduceat(m, first)).astype(np.int64) + 1 if len(t) else first
-            back = np.empty(len(tok), np.uint32)
-            back[o] = np.repeat(df, length)
-            shared = np.bincount(doc, back > 1, len(n)).astype(np.int64)
-            cut = np.cumsum([len(x) for x in counts])[:-1]
-            cut_t = np.cumsum([x.sum() for x in counts])[:-1]
-            out = {"batch": [r[1] for r in rows], "docs": [r[2] for r in rows], "place": [x.astype("<u4").tobytes() for x in np.split(place, cut)], "shared": [x.astype("<u4").tobytes() for x in np.split(shared, cut)]}
-            if wide:
-                out |= {"counts": [r[4] for r in rows], "tokens": [r[5] for r in rows], "df": [x.astype("<u4").tobytes() for x in np.split(back, cut_t)]}
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_pydict({k: v[i : i + 64] for k, v in out.items()}, schema=pa.schema([(k, pa.int64() if k == "batch" else pa.binary()) for k in out]))
-
-    return run
+def _weigh(batches):
+    """Bucket by bucket: back go, for each batch, how many shingles of each of its sets are in another set too."""
+    for rows in runs_of(batches):
+        tok = np.concatenate([np.frombuffer(r[5], "<u4") for r in rows])
+        own = [np.frombuffer(r[3], np.int64) for r in rows]
+        counts = [np.frombuffer(r[4], "<u4").astype(np.int64) for r in rows]
+        place = np.concatenate([x[: len(x) // 2] for x in own])
+        marks = np.concatenate([x[len(x) // 2 :] for x in own])
+        n = np.concatenate(counts)
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        o = np.argsort(tok, kind="stable")
+        t, m = tok[o], marks[doc[o]]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
+        other = np.minimum.reduceat(m, first) != np.maximum.reduceat(m, first) if len(t) else np.zeros(0, bool)
+        back = np.empty(len(tok), bool)
+        back[o] = np.repeat(other, np.diff(np.r_[first, len(t)]))
+        shared = np.bincount(doc, back, len(n)).astype(np.int64)
+        cut = np.cumsum([len(x) for x in counts])[:-1]
+        out = {"batch": [r[1] for r in rows], "docs": [r[2] for r in rows], "place": [x.astype("<u4").tobytes() for x in np.split(place, cut)], "shared": [x.astype("<u4").tobytes() for x in np.split(shared, cut)]}
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_pydict({k: v[i : i + 64] for k, v in out.items()}, schema=pa.schema([(k, pa.int64() if k == "batch" else pa.binary()) for k in out]))
+
+
+def _weigh_counted(batches):
+    """Bucket by bucket: back goes, for each batch, in how many sets of all batches each of its shingles is. Rows of sets pass."""
+    for rows in runs_of(batches):
+        if rows[0][0] < 0:
+            out = {"batch": [r[1] for r in rows], "bucket": [r[0] for r in rows], "docs": [r[2] for r in rows], "data": [r[5] for r in rows]}
+        else:
+            tok = [np.frombuffer(r[5], "<u8") for r in rows]
+            n = np.concatenate([np.frombuffer(r[4], "<u4") for r in rows])
+            inv = np.unique(np.concatenate(tok), return_inverse=True)[1]
+            df = np.bincount(inv, n)[inv]
+            cut = np.cumsum([len(x) for x in tok])[:-1]
+            out = {"batch": [r[1] for r in rows], "bucket": [r[0] for r in rows], "docs": [None] * len(rows), "data": [np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in np.split(df, cut)]}
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_pydict({k: v[i : i + 64] for k, v in out.items()}, schema=pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("docs", pa.binary()), ("data", pa.binary())]))
 
 
 def _gather_counts(batches):
     """Batch by batch: every document with its digest, size and whether enough of it is shared."""
     for rows in runs_of(batches):
-        docs = next(np.frombuffer(r[1], np.int64).reshape(3, -1) for r in rows if r[1] is not None)
-        shared = np.zeros(docs.shape[1], np.int64)
+        docs = next(np.frombuffer(r[1], np.int64).reshape(4, -1) for r in rows if r[1] is not None)
+        shared = np.zeros(docs.shape[1] + 1, np.int64)  # the last is that of the sign
         for r in rows:
             np.add.at(shared, np.frombuffer(r[2], "<u4").astype(np.int64), np.frombuffer(r[3], "<u4").astype(np.int64))
+        # equal sets were counted at the first of them
+        first, of = np.unique(docs[1], return_index=True, return_inverse=True)[1:]
+        shared = (shared[:-1] + docs[3])[first][of]
         alive = (docs[2] > 0) & (100 * shared >= 80 * docs[2])
         yield pa.RecordBatch.from_arrays([pa.array(docs[0]), pa.array(docs[1]), pa.array(docs[2]), pa.array(alive)], names=["doc_id", "digest", "n", "alive"])
 
@@ -172,17 +215,14 @@ def _gather_prefixes(batches):
     """Batch by batch: sets ordered from rare to frequent, cut to their prefixes; (token, set) once per shingle, and links between the task's own sets."""
     forest, first = Forest(), {}
     for rows in runs_of(batches):
-        docs = next(np.frombuffer(r[1], np.int64).reshape(3, -1) for r in rows if r[1] is not None)
-        place, tok, df, shared = [], [], [], np.zeros(docs.shape[1], np.int64)
-        for r in rows:
-            at = np.frombuffer(r[2], "<u4").astype(np.int64)
-            np.add.at(shared, at, np.frombuffer(r[3], "<u4").astype(np.int64))
-            place.append(np.repeat(at, np.frombuffer(r[4], "<u4").astype(np.int64)))
-            tok.append(np.frombuffer(r[5], "<u8")), df.append(np.frombuffer(r[6], "<u4"))
-        place, tok, df = np.concatenate(place), np.concatenate(tok), np.concatenate(df)
+        docs, tok = next((np.frombuffer(r[2], np.int64).reshape(3, -1), np.frombuffer(r[3], "<u8")) for r in rows if r[1] < 0)
+        df = [np.frombuffer(r[3], "<u4") for r in sorted((r for r in rows if r[1] >= 0), key=lambda r: r[1])]
+        df = np.concatenate(df)[np.unique(tok, return_inverse=True)[1]] if df else np.zeros(0, np.uint32)
+        begin = np.r_[0, np.cumsum(docs[2])]
+        place = np.repeat(np.arange(docs.shape[1]), docs[2])
+        shared = np.bincount(place, df > 1, docs.shape[1])
         o = np.lexsort((tok, df, place))
-        place, tok, df = place[o], tok[o], df[o]
-        begin = np.searchsorted(place, np.arange(docs.shape[1] + 1))
+        tok, df = tok[o], df[o]
         for i in range(docs.shape[1]):
             n = int(docs[2, i])
             if 100 * shared[i] < 80 * n or not n:
@@ -362,8 +402,8 @@ def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataF
     importable(spark)
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     bits = min(16, max(5, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    dealt = docs.mapInArrow(_deal(bits, False), ROWS).repartition("bucket").sortWithinPartitions("bucket")
-    counted = dealt.mapInArrow(_weigh(False), "batch long, docs binary, place binary, shared binary").repartition("batch").sortWithinPartitions("batch")
+    dealt = docs.mapInArrow(_deal(bits), ROWS).repartition("bucket").sortWithinPartitions("bucket")
+    counted = dealt.mapInArrow(_weigh, "batch long, docs binary, place binary, shared binary").repartition("batch").sortWithinPartitions("batch")
     known = settle(counted.mapInArrow(_gather_counts, "doc_id long, digest long, n long, alive boolean"))
     reps = settle(known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("alive").alias("alive")))
     alive = reps.where("alive").select("doc_id", "digest")
@@ -371,8 +411,8 @@ def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataF
     block_of = None
     if n_alive:
         texts = _of(docs, alive.select("doc_id"), n_alive)
-        dealt = spread(texts).mapInArrow(_deal(bits, True), ROWS).repartition("bucket").sortWithinPartitions("bucket")
-        weighed = dealt.mapInArrow(_weigh(True), "batch long, docs binary, place binary, shared binary, counts binary, tokens binary, df binary")
+        dealt = spread(texts).mapInArrow(_deal_counted(bits), ROWS).repartition("bucket").sortWithinPartitions("bucket")
+        weighed = dealt.mapInArrow(_weigh_counted, "batch long, bucket int, docs binary, data binary")
         pre = settle(weighed.repartition("batch").sortWithinPartitions("batch").mapInArrow(_gather_prefixes, "token long, u long, v long"))
         across = pre.where("token is not null").select("token", "u")
         low = across.groupBy("token").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v < w")
