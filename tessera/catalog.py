@@ -11,6 +11,7 @@ from .functions import text as X
 from .functions import urls as U
 from .operators import batch, benchmark, crawl, dom, hosts, ladder
 from .operators import scrape as S
+from .operators.order import numbered
 from .plans import requests as R
 from .sources.tables import fetches_from_pages, read_table, spread
 
@@ -167,7 +168,7 @@ def proxy_file_scan(spark, sf_dir):
 SELECT page_id, [pool[CAST((cursor + i) % 5 AS INT) + 1] FOR i IN [0, 1, 2]] AS proxies FROM r, c""")
 def proxy_rotation(spark, sf_dir):
     pool = F.array(*[F.lit(f"p{i}") for i in range(5)])
-    return P.with_cursor(pages(spark, sf_dir).select("page_id"), "page_id").select("page_id", P.rotated(pool, F.col("cursor"), 3).alias("proxies"))
+    return numbered(pages(spark, sf_dir).select("page_id"), "place", "page_id").select("page_id", P.rotated(pool, F.col("place") - 1, 3).alias("proxies"))
 
 
 @query("""WITH a AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN [' http://a:1 ', ''] WHEN 2 THEN ['http://a:1', 'a:2'] ELSE ['http://a:1', 'http://b:1', 'socks5://c:1'] END AS l FROM pages),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_key
 from ..plans.requests import BATCH
+from .order import numbered
 
 
 def batch_error(n: Column | int, most: int = BATCH["most"], default: int = BATCH["default"]) -> Column:
@@ -17,8 +18,8 @@ def batch_error(n: Column | int, most: int = BATCH["most"], default: int = BATCH
 
 def waves(requests: DataFrame, per_host: int = BATCH["per_host_concurrency"]) -> DataFrame:
     """requests with host and wave, so that no wave has more than per_host requests of a host; a URL without host is of host ''."""
-    place = F.row_number().over(Window.partitionBy("host").orderBy("index"))
-    return requests.withColumn("host", host_key("url")).withColumn("wave", F.ceil(place / max(per_host, 1)).cast("long"))
+    placed = numbered(requests.withColumn("host", host_key("url")), "place", "index", ("host",))
+    return placed.withColumn("wave", F.ceil(F.col("place") / max(per_host, 1)).cast("long")).drop("place")
 
 
 def batch_items(answers: DataFrame, plan: DataFrame, response: list[str]) -> DataFrame:

@@ -1,9 +1,18 @@
-"""Failures of hosts over time: a score that each failure raises and each success lowers, kept within 0 and 8."""
+"""Failures of hosts over time: a score that each failure raises and each success lowers, kept within 0 and 8.
+
+A fetch is the map x -> min(hi, max(lo, x + c)). Such maps compose to maps of the
+same form, so that ranges of time are composed on their own, each range's score to
+begin with follows from those before it, and a host of very many fetches is no
+single task.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .order import ranges
 
 # fixed values
 MOST, FORCE_BROWSER = 8, 3
@@ -20,41 +29,70 @@ def fold(failed: list[bool], score: int = 0) -> list[int]:
     return out
 
 
-def _history(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    after = fold(pdf["failed"].tolist())
-    before = [0, *after[:-1]]
-    return pdf[["host", "event_id", "ts", "failed"]].assign(score_before=before, score=after, force_browser=[b >= FORCE_BROWSER for b in before])
+def _compose(batches):
+    """One map (lo, hi, c) per host and range, of rows sorted by host, range and time."""
+    key, lo, hi, c = None, 0, MOST, 0
+    for b in batches:
+        done = []
+        for host, part, failed in zip(*(b.column(k).to_pylist() for k in ("host", "part", "failed")), strict=True):
+            if (host, part) != key:
+                if key is not None:
+                    done.append((*key, lo, hi, c))
+                key, lo, hi, c = (host, part), 0, MOST, 0
+            d = 1 if failed else -1
+            lo, hi, c = max(0, min(MOST, lo + d)), max(0, min(MOST, hi + d)), c + d
+        yield _maps(done)
+    if key is not None:
+        yield _maps([(*key, lo, hi, c)])
+
+
+def _maps(rows):
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(x, pa.int32()) for x in cols[1:4]], pa.array(cols[4], pa.int64())], names=["host", "part", "lo", "hi", "c"])
+
+
+def _replay(batches):
+    """Scores of rows sorted by host, range and time, from each range's first score on."""
+    key, score = None, 0
+    for b in batches:
+        before, after = [], []
+        for host, part, start, failed in zip(*(b.column(k).to_pylist() for k in ("host", "part", "start", "failed")), strict=True):
+            if (host, part) != key:
+                key, score = (host, part), start
+            before.append(score)
+            score = min(score + 1, MOST) if failed else max(score - 1, 0)
+            after.append(score)
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("host", "event_id", "ts", "failed")), pa.array(before, pa.int32()), pa.array(after, pa.int32()), pa.array([x >= FORCE_BROWSER for x in before], pa.bool_())], names=["host", "event_id", "ts", "failed", "score_before", "score", "force_browser"])
+
+
+def _rows(fetches: DataFrame) -> DataFrame:
+    rows = fetches.where("host is not null and host <> ''").select("host", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    return rows.withColumn("part", ranges(rows, "ts"))
+
+
+def _range_maps(rows: DataFrame) -> DataFrame:
+    return rows.repartition("host", "part").sortWithinPartitions("host", "part", "ts", "event_id").mapInArrow(_compose, "host string, part int, lo int, hi int, c long")
+
+
+def _through(score, m):
+    return F.least(m["hi"], F.greatest(m["lo"], score + m["c"])).cast("int")
 
 
 def host_history(fetches: DataFrame) -> DataFrame:
     """Of fetches (host, event_id, ts, failed) the host's score before and after each, and whether it asks for a browser.
 
-    One pass over each host's fetches in the order of (ts, event_id); rows without a host are left out.
+    In the order of (ts, event_id); rows without a host are left out, and a null
+    `failed` is a success.
     """
-    return fetches.where("host is not null and host <> ''").select("host", "event_id", "ts", "failed").groupBy("host").applyInPandas(_history, SCHEMA)
+    rows = _rows(fetches)
+    parts = _range_maps(rows).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("part", "lo", "hi", "c"))).alias("m"))  # one entry a range
+    empty = F.struct(F.lit(0).alias("score"), F.array().cast("array<struct<part:int,start:int>>").alias("starts"))
+    scan = F.aggregate("m", empty, lambda a, x: F.struct(_through(a["score"], x).alias("score"), F.concat(a["starts"], F.array(F.struct(x["part"].alias("part"), a["score"].alias("start")))).alias("starts")))
+    starts = parts.select("host", F.explode(scan["starts"]).alias("s")).select("host", "s.part", "s.start")
+    return rows.join(starts, ["host", "part"]).repartition("host", "part").sortWithinPartitions("host", "part", "ts", "event_id").mapInArrow(_replay, SCHEMA)
 
 
 def host_scores(fetches: DataFrame) -> DataFrame:
-    """Each host's score at the end; hosts at 0 are forgotten.
-
-    Every fetch is the map x -> min(hi, max(lo, x + c)); maps compose to maps of
-    that form, so that parts of a host's fetches are folded on their own.
-    """
-    from pyspark.sql import functions as F
-
-    rows = fetches.where("host is not null and host <> ''")
-    order = F.array_sort(F.collect_list(F.struct("ts", "event_id", F.when(F.col("failed"), 1).otherwise(-1).alias("d"))))
-    # by day first: the composed map of a day is small whatever the number of fetches
-    day = rows.groupBy("host", F.to_date("ts").alias("day")).agg(order.alias("o"))
-    first = F.struct(F.lit(0).alias("lo"), F.lit(MOST).alias("hi"), F.lit(0).alias("c"))
-
-    def then(a, x):
-        lo = F.greatest(F.lit(0), F.least(F.lit(MOST), a["lo"] + x["d"]))
-        hi = F.greatest(F.lit(0), F.least(F.lit(MOST), a["hi"] + x["d"]))
-        return F.struct(lo.alias("lo"), hi.alias("hi"), (a["c"] + x["d"]).alias("c"))
-
-    maps = day.select("host", "day", F.aggregate("o", first, then).alias("m"))
-    days = F.array_sort(F.collect_list(F.struct("day", "m")))
-    end = F.aggregate(days, F.lit(0), lambda s, x: F.least(x["m"]["hi"], F.greatest(x["m"]["lo"], s + x["m"]["c"])))
-    return maps.groupBy("host").agg(end.alias("score")).where("score > 0")
+    """Each host's score at the end; hosts at 0 are forgotten."""
+    parts = _range_maps(_rows(fetches)).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("part", "lo", "hi", "c"))).alias("m"))
+    return parts.select("host", F.aggregate("m", F.lit(0), _through).alias("score")).where("score > 0")
