@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
-from tessera.operators import benchmark, crawl, hosts
+from tessera.operators import benchmark, crawl, hosts, order
 from tessera.streaming import hosts as stream
 from tessera.streaming import pages as page_stream
 
@@ -35,6 +35,17 @@ def test_scores_by_composed_days_equal_the_fold(spark):
     assert {r["host"]: r["score"] for r in hosts.host_scores(spark.createDataFrame(rows, EVENTS)).collect()} == want
 
 
+def test_rows_are_numbered_in_ranges(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(10**6), 400)
+    rows = [(i, "hot" if i % 3 else f"h{i % 7}") for i in ids]
+    df = spark.createDataFrame(rows, "index long, host string")
+    got = {r["index"]: (r["a"], r["b"]) for r in order.numbered(order.numbered(df, "a", "index"), "b", "index", ("host",)).collect()}
+    for i, h in rows:
+        assert got[i] == (sorted(ids).index(i) + 1, sorted(x for x, y in rows if y == h).index(i) + 1)
+    assert order.numbered(df.where("false"), "a", "index").count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(7)
     rows = [(f"h{rng.randrange(4)}", i, DAY + dt.timedelta(minutes=i), rng.random() < 0.6) for i in range(120)]
