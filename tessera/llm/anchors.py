@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, importable, mixed, pieces, settle, spread
+from .common import BROADCAST_ROWS, importable, mixed, pieces, settle, spans_union, spread
 
 #: Bits of a packed key that tell the place in the batch.
 PLACE = 32
@@ -31,6 +31,8 @@ CHUNK = 1 << 20
 CROWD = 4000
 #: Places that go along with a context.
 INLINE = 4
+#: Instead of a number of windows: spans that need no solving.
+TOLD = -1
 #: Bytes of contexts in which a task looks for equal ones.
 HELD = 16 << 20
 
@@ -127,23 +129,32 @@ def _contexts(kind):
     """Of each document (rid, doc_id, text, runs) the contexts of its shared runs, equal ones of a task once.
 
     A context comes with up to INLINE places, those of its first and last document
-    among them; the others follow it in its group as rows of places alone. Runs of
-    crowded anchors are cut to single windows, each the group of its own hash.
+    among them. The others follow it in its group as rows of places alone or, where
+    a second place is all that counts (kind.at_once), are told at once, one row a
+    document. Runs of crowded anchors are cut to single windows, each the group of
+    its own hash.
     """
 
     def flush(found):
-        rows = []
+        rows, own = [], {}
         for (h, n, body), places in found.items():
             places.sort(key=lambda p: p[1])
-            near = places if len(places) <= INLINE else [*places[: INLINE - 1], places[-1]]
-            rows.append((h, False, n, body, near))
-            rest = places[INLINE - 1 : -1] if len(places) > INLINE else []
-            mark = xxhash.xxh64_digest(body, seed=n)
-            for a in range(0, len(rest), 4096):
-                rows.append((h, True, n, mark, rest[a : a + 4096]))
+            mark, rest = xxhash.xxh64_digest(body, seed=n), []
+            if len(places) > INLINE:
+                rest, places = places[INLINE - 1 : -1], [*places[: INLINE - 1], places[-1]]
+            rows.append((h, False, n, body, np.array(places, np.int64).tobytes()))
+            if kind.at_once:  # what is there twice is covered, wherever else it is
+                for rid, _, lo in rest:
+                    own.setdefault(rid, []).append((lo, lo + len(body)))
+            else:
+                for a in range(0, len(rest), 4096):
+                    rows.append((h, True, n, mark, np.array(rest[a : a + 4096], np.int64).tobytes()))
+        for rid, spans in own.items():
+            s, e = spans_union(*np.array(spans, np.int64).T)
+            rows.append((rid, True, TOLD, np.c_[s, e].tobytes(), np.int64(rid).tobytes()))
         for a in range(0, len(rows), 4000):
             h, alone, n, body, places = zip(*rows[a : a + 4000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(alone, pa.bool_()), pa.array(n, pa.int32()), pa.array(body, pa.binary()), pa.array([np.array(p, np.int64).tobytes() for p in places], pa.binary())], names=["h", "alone", "n", "context", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(alone, pa.bool_()), pa.array(n, pa.int32()), pa.array(body, pa.binary()), pa.array(places, pa.binary())], names=["h", "alone", "n", "context", "places"])
 
     def run(batches):
         found: dict[tuple, list] = {}
@@ -206,9 +217,15 @@ def _solve(kind):
     """Solves chunks of whole groups. A group's contexts come before its other places, which are told as they stream by."""
 
     def told(places, own, solution):
-        out = spans_at(places, own, solution)
-        for a in range(0, len(out[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in out], names=["rid", "s", "e"])
+        rid, s, e = spans_at(places, own, solution)
+        o = np.lexsort((s, rid))
+        rid, pairs = rid[o], np.c_[s[o], e[o]]
+        at = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]) if len(rid) else np.zeros(0, np.int64)
+        if len(at):
+            yield packed(rid[at].tolist(), [x.tobytes() for x in np.split(pairs, at[1:])])
+
+    def packed(rid, spans):
+        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(spans, pa.binary())], names=["rid", "spans"])
 
     def flush(groups):
         ctx = [c for g in groups for c in g]
@@ -231,7 +248,11 @@ def _solve(kind):
             return out
 
         for b in batches:
+            passing = []
             for h, alone, n, body, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n == TOLD:
+                    passing.append((int.from_bytes(places, "little", signed=True), body))
+                    continue
                 if h != now:
                     marks = solution = None
                     if group:
@@ -255,6 +276,8 @@ def _solve(kind):
                     solution = done[len(done) - len(last) :]
                 p = np.frombuffer(places, np.int64).reshape(-1, 3)
                 yield from told(p, np.full(len(p), marks[n, body]), solution)
+            if passing:
+                yield packed(*zip(*passing, strict=True))
         rest = ended()
         if rest:
             yield from flush(rest)
@@ -262,6 +285,16 @@ def _solve(kind):
     return run
 
 
+def spans_of(column: pa.Array):
+    """Of each row the union of its packed spans, as (starts, ends)."""
+    offsets, there = np.asarray(column.offsets).astype(np.int64), np.asarray(column.is_valid())
+    parts = column.values
+    for i in range(len(column)):
+        blobs = [parts[k].as_py() for k in range(offsets[i], offsets[i + 1])] if there[i] else []
+        pairs = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+        yield spans_union(pairs[:, 0], pairs[:, 1])
+
+
 def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
     """(rid, doc_id, text) and, if asked for, the whole row as a struct `rest`; rid is equal only for rows of equal doc_id and text."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
@@ -283,12 +316,12 @@ def _flagged(shared: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, kind, by_doc: bool) -> DataFrame:
-    """docs (of keyed) with spans: an array of (s, e) in the kind's units, null where nothing recurs."""
+    """docs (of keyed) with spans: arrays of pairs (s, e) in the kind's units, packed, null where nothing recurs."""
     importable(docs.sparkSession)
     known = docs.where("text is not null and doc_id is not null").select("rid", "doc_id", "text")
     found = known.mapInArrow(_find(kind, by_doc), FOUND)
     shared = settle(found.repartition("k").sortWithinPartitions("k").mapInArrow(_shared(by_doc), "h long, rid long, lo int, n int, mark short"))
     runs = _flagged(shared).groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "n", "crowded")).alias("runs"))
     contexts = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "runs").mapInArrow(_contexts(kind), "h long, alone boolean, n int, context binary, places binary")
-    spans = contexts.repartition("h").sortWithinPartitions("h", "alone").mapInArrow(_solve(kind), "rid long, s long, e long")
-    return docs.join(spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")).hint("shuffle_hash"), "rid", "left").select(*docs.columns, "spans")
+    spans = contexts.repartition("h").sortWithinPartitions("h", "alone").mapInArrow(_solve(kind), "rid long, spans binary")
+    return docs.join(spans.groupBy("rid").agg(F.collect_list("spans").alias("spans")).hint("shuffle_hash"), "rid", "left").select(*docs.columns, "spans")

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import anchor_runs, covered, keyed
-from .common import mixed, pieces, spans_union
+from .anchors import anchor_runs, covered, keyed, spans_of
+from .common import mixed, pieces
 from .words import Words, powers, window_low
 
 WINDOW = 13
@@ -42,6 +42,8 @@ class _View:
 class Phrases:
     """Windows of `window` words, anchored by grams of words."""
 
+    at_once = False
+
     def __init__(self, window: int = WINDOW, gram: int | None = None):
         self.window, self.gram = window, gram or min(GRAM, window)
 
@@ -135,14 +137,10 @@ class Phrases:
 
 def _finish(batches):
     for b in pieces(batches):
-        view, spans = _View(b.column("text")), b.column("spans")
-        offsets = np.asarray(spans.offsets).astype(np.int64)
-        s, e = spans.values.field("s").to_numpy(zero_copy_only=False), spans.values.field("e").to_numpy(zero_copy_only=False)
-        there, size = np.asarray(spans.is_valid()), np.diff(view.words.first)
+        view = _View(b.column("text"))
+        size = np.diff(view.words.first)
         removed, sha = [], []
-        for i in range(b.num_rows):
-            x, y = (offsets[i], offsets[i + 1]) if there[i] else (0, 0)
-            a, z = spans_union(s[x:y], e[x:y])
+        for i, (a, z) in enumerate(spans_of(b.column("spans"))):
             base, n = int(view.words.first[i]), int(size[i])
             keep_a, keep_z = np.r_[0, z], np.r_[a, n]
             parts = [view.text[view.begin[base + p] : view.end[base + q - 1]].tobytes() for p, q in zip(keep_a.tolist(), keep_z.tolist(), strict=True) if q > p]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .anchors import anchor_runs, covered, keyed
+from .anchors import anchor_runs, covered, keyed, spans_of
 from .common import mixed, pieces, spans_union
 from .words import powers, raw, window_low
 
@@ -194,6 +194,8 @@ class _View:
 class Bytes:
     """Windows of min_len bytes, anchored by grams."""
 
+    at_once = True
+
     def __init__(self, min_len: int = MIN_LEN, gram: int | None = None):
         self.min_len = min_len
         self.gram = gram or min(GRAM, max(1, min_len // 2))
@@ -279,12 +281,8 @@ class Bytes:
 def cut_spans(column: pa.Array, spans: pa.Array):
     """Of each row the bytes, and its maximal removed runs as (starts, ends)."""
     body, at = raw(column)
-    offsets = np.asarray(spans.offsets).astype(np.int64)
-    s, e = spans.values.field("s").to_numpy(zero_copy_only=False), spans.values.field("e").to_numpy(zero_copy_only=False)
-    there = np.asarray(spans.is_valid())
-    for i in range(len(column)):
-        a, b = (offsets[i], offsets[i + 1]) if there[i] else (0, 0)
-        yield body[at[i] : at[i + 1]], *spans_union(s[a:b], e[a:b])
+    for i, (s, e) in enumerate(spans_of(spans)):
+        yield body[at[i] : at[i + 1]], s, e
 
 
 def _finish(batches):
