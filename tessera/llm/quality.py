@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     chosen = F.broadcast(labelled_sample(labels, label, modulus, held, most))
     bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     got = bags.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, rows array<int>, weights array<float>").toArrow().sort_by("doc_id")
-    data = [(y, np.array(r, np.int64), np.array(w, np.float32)) for y, r, w in zip(got["label"].to_pylist(), _lists(got["rows"]), _lists(got["weights"]), strict=True)]
+    data = list(zip(got["label"].to_pylist(), _lists(got["rows"]), _lists(got["weights"]), strict=True))
     # a fifth is left out for calibration
     odds, bias = fit([d for i, d in enumerate(data) if i % 5])
     rest = [d for i, d in enumerate(data) if not i % 5]
@@ -171,7 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 
 
 def _lists(column) -> list[np.ndarray]:
-    return [x.values.to_numpy(zero_copy_only=False) for x in column]
+    """The lists of a column as views of it."""
+    out = []
+    for chunk in column.chunks:
+        at, flat = np.asarray(chunk.offsets), chunk.values.to_numpy(zero_copy_only=False)
+        out.extend(flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+    return out
 
 
 def classify(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, cut: float = 0.7, most: int = MOST_LABELLED) -> DataFrame:
