@@ -391,16 +391,26 @@ def _of(docs: DataFrame, chosen: DataFrame, rows: int) -> DataFrame:
     return docs.join(F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen, "doc_id")
 
 
+def _sizes(batches):
+    """Rows without a doc_id: the number of shingles alone."""
+    for b in pieces(batches, most=2 << 20):
+        n = [len(s) for s in shingle_sets(b.column(1))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(0)], names=["doc_id", "n_shingles", "component_id"])
+
+
 def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Null and empty texts and texts of blanks have no shingles and are linked with
-    nothing. Repeated doc_ids give a row each; their component is the smallest id
-    that either reaches. An empty table gives no rows; other columns are ignored.
+    nothing. Repeated doc_ids give a row each, with the component of its own set. A
+    row without doc_id links with nothing and has no component. An empty table gives
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     importable(spark)
-    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nameless = rows.where("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long")
+    docs = spread(rows.where("doc_id is not null"))
     bits = min(16, max(5, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     dealt = docs.mapInArrow(_deal(bits), ROWS).repartition("bucket").sortWithinPartitions("bucket")
     counted = dealt.mapInArrow(_weigh, "batch long, docs binary, place binary, shared binary").repartition("batch").sortWithinPartitions("batch")
@@ -411,7 +421,7 @@ def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataF
     block_of = None
     if n_alive:
         texts = _of(docs, alive.select("doc_id"), n_alive)
-        dealt = spread(texts).mapInArrow(_deal_counted(bits), ROWS).repartition("bucket").sortWithinPartitions("bucket")
+        dealt = texts.mapInArrow(_deal_counted(bits), ROWS).repartition("bucket").sortWithinPartitions("bucket")
         weighed = dealt.mapInArrow(_weigh_counted, "batch long, bucket int, docs binary, data binary")
         pre = settle(weighed.repartition("batch").sortWithinPartitions("batch").mapInArrow(_gather_prefixes, "token long, u long, v long"))
         across = pre.where("token is not null").select("token", "u")
@@ -434,4 +444,4 @@ def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataF
         low = rep_of.groupBy("component").agg(F.min("rep").alias("component_rep"))
         named = rep_of.join(low, "component").select(F.col("id").alias("digest"), "component_rep")
         out = out.join(named, "digest", "left").withColumn("rep", F.coalesce("component_rep", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id")).unionByName(nameless)

@@ -258,13 +258,16 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, m
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms, prior = mine(rows, labels, modulus, held, most)
+    plain = {"terms": [], "weights": np.zeros(1), "bias": math.log(prior / (1 - prior)), "slope": 1.0, "shift": 0.0, "accuracy": np.zeros(0), "correlation": np.zeros((0, 0))}
     if not terms:
-        return {"terms": [], "weights": np.zeros(1), "bias": math.log(prior / (1 - prior)), "slope": 1.0, "shift": 0.0, "accuracy": np.zeros(0), "correlation": np.zeros((0, 0))}
+        return plain
     shared = sc.broadcast(terms)
     mine_rows = rows.where(fold(modulus) != held)
     got = mine_rows.mapInArrow(_vote(shared), "n long, moments array<double>")
     m = LEXICONS + 1 + len(PATTERNS)
     sums = got.select("n", F.posexplode("moments").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("k").collect()
+    if not sums:
+        return plain
     n, moments = sums[0]["n"], np.array([r["x"] for r in sums])
     accuracy, residual, _ = label_model(n, moments, prior)
     # the classifier's documents: labelled ones for balance, and as many others
