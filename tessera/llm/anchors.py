@@ -177,6 +177,7 @@ def _contexts(kind):
                             have = found[key] = []
                             size += len(body) + 300
                         have.append((rid[i], ids[i], x))
+                        size += 150
             if size > HELD:
                 yield from flush(found)
                 found, size = {}, 0
@@ -303,16 +304,20 @@ def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
 
 
 def _flagged(shared: DataFrame) -> DataFrame:
-    """Runs with `crowded`: whether their anchor has more than CROWD contexts. Only anchors of so many runs are looked at."""
+    """Runs with `crowded`: whether their anchor has some CROWD contexts or more.
 
-    def side(df):
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-    many = settle(shared.groupBy("h").count().where(F.col("count") > CROWD).select("h"))
-    if many.isEmpty():
+    The number of different marks is estimated from the least one of each of eight
+    classes, so that one aggregation, combined before its shuffle, tells.
+    """
+    mark = F.col("mark").cast("int").bitwiseAND(0xFFFF)
+    least = [F.coalesce(F.min(F.when(mark.bitwiseAND(7) == j, F.shiftright(mark, 3))), F.lit(8192)) for j in range(8)]
+    rows = shared.groupBy("h").agg(F.count("*").alias("n"), sum(least[1:], least[0]).alias("least"))
+    # of m random marks below 8192 the least is 8192 / (m + 1) on average
+    hot = settle(rows.where((F.col("n") > CROWD) & (F.col("least") <= 8 * 8192 / (CROWD / 8 + 1))).select("h", F.lit(True).alias("crowded")))
+    n = hot.count()
+    if not n:
         return shared.withColumn("crowded", F.lit(False))
-    hot = settle(shared.join(side(many), "h").groupBy("h").agg(F.count_distinct("mark").alias("marks")).where(F.col("marks") > CROWD).select("h", F.lit(True).alias("crowded")))
-    return shared.join(side(hot), "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    return shared.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
 
 
 def covered(docs: DataFrame, kind, by_doc: bool) -> DataFrame:
