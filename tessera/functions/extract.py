@@ -292,16 +292,25 @@ def main_text(root: Element) -> str:
     return focused if n >= 120 and (m == 0 or n * 10 >= m * 4) else full
 
 
-def fit_markdown(html: str, threshold: float, kind: str, min_words: int | None) -> tuple[str, str, str]:
-    """(raw_markdown, fit_markdown, fit_html): all that isn't hostile, and what of its main block or body survives pruning."""
+@lru_cache(maxsize=4)
+def prepared(html: str) -> tuple[str, str, Element, dict]:
+    """(raw_markdown, target, its tree, measures): what all pruning options of a page share."""
     root = without(parse(html), HOSTILE)
     raw = to_markdown(root)
     block = main_block(root)
     body = next((e for e in root.walk() if e.name == "body"), root)
     target = outer_html(block if block is not None else body)
     fragment = parse(target, fragment=True)
-    p = Pruner(threshold, kind, min_words)
+    p = Pruner(0.0, "fixed", None)
     p.measure(fragment)
+    return raw, target, fragment, p.of
+
+
+def fit_markdown(html: str, threshold: float, kind: str, min_words: int | None) -> tuple[str, str, str]:
+    """(raw_markdown, fit_markdown, fit_html): all that isn't hostile, and what of its main block or body survives pruning."""
+    raw, target, fragment, measures = prepared(html)
+    p = Pruner(threshold, kind, min_words)
+    p.of = measures
     fit = p.serialise(fragment)
     if len(fit.split()) < 10:
         fit = target
