@@ -174,6 +174,42 @@ def test_languages_of_odd_rows(spark, docs, clashing, empty_docs, corpus):
     assert langid.identify(empty_docs).count() == 0
 
 
+@pytest.fixture(scope="module")
+def spoken(spark):
+    """Texts in six invented languages of own syllables each, every third text of rare words."""
+    rng, rows = random.Random(21), []
+    for j in range(6):
+        vocab = ["".join(rng.choice("abcdefghijklmnop"[j : j + 10]) for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+        rows += [(j * 1000 + i, " ".join(rng.choice(vocab) for _ in range(60)), f"l{j}") for i in range(60)]
+    return spark.createDataFrame([*rows, (9000, "", "l0"), (9001, "12 !", "l1"), (9002, None, "l2"), (9003, "zz yy", None)], "doc_id long, text string, lang string").repartition(3), rows
+
+
+def test_language_models_in_parts_keep_every_five_gram(spark, spoken, monkeypatch):
+    docs, rows = spoken
+    counts = {}
+    for lang in {x for *_, x in rows}:
+        code, _ = langid.coded([t for i, t, x in rows if x == lang and not held(i, 4, 2)] + [t for t, x in (("", "l0"), ("12 !", "l1")) if x == lang and not held(9000 + (x == "l1"), 4, 2)])
+        counts[lang] = np.unique(langid.grams(code)[code != langid.PAD], return_counts=True)
+    one = langid.Model(counts)
+    want, _ = one.entropies([t for _, t, _ in rows])
+    most = sum(len(k) for k, _ in counts.values())
+    monkeypatch.setattr(langid, "SIDE", 4)
+    monkeypatch.setattr(langid, "PART_CELLS", most // 2)
+    monkeypatch.setattr(langid, "CHUNK", 20_000)
+    models = langid.train(docs)
+    built = [(a, b, k, p, m.value) for a, b, k, p, m in models.parts]
+    assert models.langs == one.langs and len(built) > 6 and {b - a for a, b, *_ in built} == {4, 2}
+    for a in (0, 4):  # no five-gram is missing
+        assert sum(len(m.tables[5].rows) for x, *_, m in built if x == a) == len(np.unique(np.concatenate([counts[x][0] for x in models.langs[a : a + 4]])))
+    e, n = models.entropies([[t for _, t, _ in rows[:100]], [t for _, t, _ in rows[100:]]])[0]
+    assert e == pytest.approx(want[:100], rel=1e-5) and np.isfinite(models.limits).all()
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert len(got) == len(rows) + 4
+    for (i, _, _), x in zip(rows, want, strict=True):
+        assert got[i]["lang_pred"] == one.langs[x.argmin()] and got[i]["cross_entropy"] == pytest.approx(x.min(), rel=1e-5)
+    assert {got[i]["lang_pred"] for i in (9000, 9001, 9002)} == {"und"}
+
+
 def plain_words(t):
     return re.findall(r"[^\W\d_]+", (t or "").lower())
 
