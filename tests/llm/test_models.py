@@ -210,6 +210,17 @@ def test_language_models_in_parts_keep_every_five_gram(spark, spoken, monkeypatc
     assert {got[i]["lang_pred"] for i in (9000, 9001, 9002)} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """70 languages, each of six letters that no other has."""
+    rng, rows = random.Random(4), []
+    for j in range(70):
+        own = [chr(0x4E00 + 8 * j + i) for i in range(6)]
+        rows += [(j * 100 + i, " ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(8)), f"x{j}") for i in range(6 if j < 60 else 4)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    taught = {x for i, _, x in rows if not held(i, 4, 2)}
+    assert len(taught) > 64 and all(got[i] == x for i, _, x in rows if x in taught)
+
+
 def plain_words(t):
     return re.findall(r"[^\W\d_]+", (t or "").lower())
 
