@@ -304,6 +304,54 @@ def test_retrieval_recall(spark):
     assert want and len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want) + 1
 
 
+def test_leaks_of_items_of_any_length(spark):
+    """Items of 20 to 1000 words, verbatim and paraphrased (words replaced, left out and put in), within other text; the words follow Zipf's law."""
+    rng = random.Random(14)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(6000)]
+    weight = np.cumsum([1 / (i + 3) for i in range(len(vocab))]).tolist()
+
+    def prose(n):
+        return rng.choices(vocab, cum_weights=weight, k=n)
+
+    items, docs = [], []
+    for size in (20, 40, 64, 65, 100, 200, 250, 300, 400, 600, 1000):
+        for _ in range(4):
+            k, own = len(items), prose(size)
+            items.append((k, " ".join(own[:-10]) + ". " + " ".join(own[-10:]) + "."))
+            docs.append((1000 + k, [*prose(rng.randrange(20, 400)), *own, *prose(rng.randrange(20, 400))]))
+            other = [x for w in own for x in rng.choices([[w], prose(1), [], [w, *prose(1)]], [85, 7, 4, 4])[0]]
+            docs.append((2000 + k, [*prose(rng.randrange(20, 400)), *other, *prose(rng.randrange(20, 400))]))
+    docs += [(5000 + i, prose(rng.randrange(20, 1500))) for i in range(60)]
+    seqs = {k: plain_words(t) for k, t in items}
+    places = {k: decontamination.places(s) for k, s in seqs.items()}
+    want, never = set(), set()
+    for d, w in docs:
+        for k, s in seqs.items():
+            n = len(s)
+            share = max(decontamination.lcs(places[k], n, w[a : a + n + n // 4]) / n for a in range(0, max(1, len(w) - n), max(1, n // 8)))
+            if share >= 0.72:
+                want.add((d, k))
+            if share < 0.4:
+                never.add((d, k))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1000 + k, k) for k in seqs} <= got and len(want) > 80
+    assert not want - got and not never & got
+
+
+def test_leaks_of_long_items_whose_parts_are_known(spark):
+    """Documents hold each paragraph of the items alone, so that the basis tells the paragraphs apart and a passage is far from its whole item."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9))) for _ in range(4000)]
+    items, docs = [], []
+    for k, size in enumerate((10, 14, 20)):
+        parts = [rng.sample(vocab, 32) for _ in range(size)]
+        items.append((k, ". ".join(" ".join(x) for x in parts) + "."))
+        docs.append((k, " ".join([*rng.choices(vocab, k=50), *sum(parts, []), *rng.choices(vocab, k=70)])))
+        docs += [(1000 + 100 * k + i, " ".join([*rng.choices(vocab, k=20), *parts[i % size], *rng.choices(vocab, k=40)])) for i in range(4 * size)]
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k, _ in items]
+
+
 def test_pipeline(spark):
     """Each stage does its work on what the one before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
