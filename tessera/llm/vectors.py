@@ -136,31 +136,33 @@ def _assign(shared, radius, reach):
 
 
 def _compare(shared, cosine, radius):
-    """Keys (list, block), members before queries: links per query, and links of a spanning forest."""
+    """Keys (list, block), members before queries: links per query, and per member whose own probes miss the query's list; and links of a spanning forest."""
 
     def run(batches):
         index = shared.value
-        key, ids, codes, errs, vecs = None, [], [], [], []
-        block = None
+        key, ids, codes, errs, vecs, probes = None, [], [], [], [], []
+        block, lists = None, len(index.centroids)
 
         def ready():
-            return np.array(ids, np.int64), np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1), np.array(errs), np.frombuffer(b"".join(vecs), float).reshape(len(ids), -1), np.arange(len(ids))
+            who = np.repeat(np.arange(len(ids)), [len(p) for p in probes])
+            asks = np.sort(who * lists + np.array([x for p in probes for x in p], np.int64))
+            return np.array(ids, np.int64), np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1), np.array(errs), np.frombuffer(b"".join(vecs), float).reshape(len(ids), -1), np.arange(len(ids)), asks
 
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("list", "block", "is_query", "vec_id", "code", "err", "vec")]
-            todo: list[tuple[int, bytes]] = []
+            cols = [b.column(k).to_pylist() for k in ("list", "block", "is_query", "vec_id", "code", "err", "vec", "home", "probes")]
+            todo: list[tuple[int, bytes, int]] = []
 
             def flush():
                 nonlocal todo
                 if not todo or not len(block[0]):
                     todo = []
                     return
-                member, code, err, vec, comp = block
+                member, code, err, vec, comp, asks = block
                 edges, counts = [], []
                 for a in range(0, len(todo), STEP):
                     part = todo[a : a + STEP]
-                    q = np.array([i for i, _ in part], np.int64)
-                    x = np.frombuffer(b"".join(v for _, v in part), float).reshape(len(part), -1)
+                    q = np.array([i for i, _, _ in part], np.int64)
+                    x = np.frombuffer(b"".join(v for _, v, _ in part), float).reshape(len(part), -1)
                     t = index.tables(x, index.centroids[key[0]])
                     d = np.zeros((len(part), len(member)))
                     for k, table in enumerate(t):
@@ -171,6 +173,11 @@ def _compare(shared, cosine, radius):
                     i, j = i[hit], j[hit]
                     n = np.bincount(i, minlength=len(part))
                     counts.extend((int(u), int(c)) for u, c in zip(q, n, strict=True) if c)
+                    # the member doesn't find the query where it doesn't probe its list
+                    back = j * lists + np.array([h for _, _, h in part], np.int64)[i]
+                    alone = j[asks[np.minimum(np.searchsorted(asks, back), len(asks) - 1)] != back]
+                    m = np.bincount(alone, minlength=len(member))
+                    counts.extend((int(member[x]), int(m[x])) for x in np.flatnonzero(m))
                     at = np.r_[0, np.cumsum(n)]
                     for u in np.flatnonzero(n).tolist():
                         near = j[at[u] : at[u + 1]]
@@ -186,16 +193,16 @@ def _compare(shared, cosine, radius):
                 if u:
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "n"])
 
-            for c, blk, is_query, vid, code, err, vec in zip(*cols, strict=True):
+            for c, blk, is_query, vid, code, err, vec, home, asked in zip(*cols, strict=True):
                 if (c, blk) != key:
                     yield from flush()
-                    key, ids, codes, errs, vecs, block = (c, blk), [], [], [], [], None
+                    key, ids, codes, errs, vecs, probes, block = (c, blk), [], [], [], [], [], None
                 if not is_query:
-                    ids.append(vid), codes.append(code), errs.append(err), vecs.append(vec)
+                    ids.append(vid), codes.append(code), errs.append(err), vecs.append(vec), probes.append(asked)
                 else:
                     if block is None:
                         block = ready()
-                    todo.append((vid, vec))
+                    todo.append((vid, vec, home))
             yield from flush()
 
     return run
@@ -228,9 +235,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, reach: float = REACH,
     placed = settle(spread(rows.where("vec_id is not null")).mapInArrow(_assign(shared, radius, reach), "vec_id long, list int, code binary, err double, vec binary, probes array<int>"))
     # lists that are long are dealt to blocks; there are at most MOST_LISTS counts
     counts = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = placed.join(F.broadcast(counts), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("is_query"), "vec_id", "code", "err", "vec")
-    asked = placed.select(F.explode("probes").alias("list"), "vec_id", "vec").join(F.broadcast(counts), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    query = asked.select("list", "block", F.lit(1).alias("is_query"), "vec_id", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("err"), "vec")
+    member = placed.join(F.broadcast(counts), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("is_query"), "vec_id", "code", "err", "vec", F.lit(None).cast("int").alias("home"), "probes")
+    asked = placed.select(F.explode("probes").alias("list"), F.col("list").alias("home"), "vec_id", "vec").join(F.broadcast(counts), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    query = asked.select("list", "block", F.lit(1).alias("is_query"), "vec_id", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("err"), "vec", "home", F.lit(None).cast("array<int>").alias("probes"))
     found = settle(member.unionByName(query).repartition("list", "block").sortWithinPartitions("list", "block", "is_query").mapInArrow(_compare(shared, cosine, radius), "u long, v long, n long"))
     links = found.where("n is not null").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     comp = settle(components(found.where("n is null").select("u", "v")))

@@ -163,3 +163,19 @@ def test_index_recall_is_complete():
             t = index.tables(x[a : a + 1], index.centroids[near[b]])
             low = np.sqrt(sum(tt[0, code[b, k]] for k, tt in enumerate(t))) - err[b]
             assert low <= np.linalg.norm(x[a] - x[b]) + 1e-9
+
+
+def test_links_count_for_both_sides(spark):
+    """Pairs of vectors with an uneven spectrum that link with nothing else; some are probed from one side only."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1500, 64)) * np.arange(1, 65) ** -0.7
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal(x.shape)
+    y -= (y * x).sum(1)[:, None] * x
+    y = 0.955 * x + np.sqrt(1 - 0.955**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    z = np.vstack([x, y])
+    near = (z @ z.T >= 0.95).sum(1) == 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, reach=1.0).collect()}
+    own = [i for i in range(len(x)) if near[i] and near[i + len(x)]]
+    assert len(own) > 500 and all(got[i] == got[i + len(x)] for i in own) and sum(got[i] for i in own) > 0.5 * len(own)
