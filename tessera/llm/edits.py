@@ -29,13 +29,9 @@ class Tree:
 
     def _load(self, text: str) -> None:
         words = self.enc.split(text)
-        self.whole = words is None  # only the tokenizer can split it: one segment
-        if self.whole:
-            self.parts, counts = [text], [self.enc.count(text)]
-        else:
-            segments = [words[a : a + SEGMENT] for a in range(0, len(words), SEGMENT)]
-            self.parts, counts = ["".join(x) for x in segments], [self._tokens(x) for x in segments]
-        self._build(counts)
+        segments = [words[a : a + SEGMENT] for a in range(0, len(words), SEGMENT)]
+        self.parts = ["".join(x) for x in segments]
+        self._build([self._tokens(x) for x in segments])
 
     def _tokens(self, words: list[str]) -> int:
         return sum(map(len, map(self.enc.pieces.__getitem__, words))) // 4
@@ -87,9 +83,9 @@ class Tree:
         """Replaces `cut` characters from `at` on by new."""
         at = max(0, min(at, self.length))
         cut = max(0, min(cut, self.length - at))
-        if not self.parts or self.whole:
-            text = self.text()
-            self._again(text[:at] + new + text[at + cut :])
+        if not self.parts:
+            self.encoded += len(new)
+            self._load(new)
             return
         first, inner = self._leaf(at)
         b, _ = self._leaf(at + cut)
@@ -105,10 +101,6 @@ class Tree:
                 c += 1
             text = old[:head] + new + old[head + cut :]
             words = self.enc.split(text + rest)
-            if words is None:
-                whole = self.text()
-                self._again(whole[:at] + new + whole[at + cut :])
-                return
             end = k = 0
             while end < len(text):
                 end += len(words[k])
@@ -123,10 +115,6 @@ class Tree:
             seg = words[(j - a) * share : min(k, (j - a + 1) * share)]
             self._set(j, "".join(seg), self._tokens(seg))
 
-    def _again(self, text: str) -> None:
-        self.encoded += len(text)
-        self._load(text)
-
 
 def _counts(path: str):
     def run(batches):
@@ -152,8 +140,10 @@ def count_edited(docs: DataFrame, tokenizer_path: str | None = None) -> DataFram
 
     edits: an array of (at, cut, new), applied in order: from character `at` on,
     `cut` characters are replaced by `new`; places beyond the end are the end.
-    Null texts are empty, null edits none; repeated rows are counted row by row. An
-    empty table gives no rows; other columns are ignored.
+    Null texts are empty, null edits none; repeated rows are counted row by row. A
+    text of any script and length has segments; only those that an edit touches, with
+    boundary context, are encoded again (n_chars_encoded_again). An empty table gives
+    no rows; other columns are ignored.
     """
     importable(docs.sparkSession)
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits").cast(EDITS).alias("edits")))

@@ -6,7 +6,7 @@ import array
 import os
 import re
 
-#: Pre-tokens of texts without an ODD character; elsewhere the tokenizer splits the text itself.
+#: Pre-tokens of texts without an ODD character; elsewhere the tokenizer's own pre-tokenizer splits the text.
 SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters on which Python's classes and Unicode's L, N and White_Space differ, or that lie beyond Latin letters.
 ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
@@ -54,21 +54,17 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.pieces = Pieces(self.tokenizer.model)
 
-    def split(self, text: str) -> list[str] | None:
-        """The pre-tokens, or None where only the tokenizer can tell."""
-        return None if ODD.search(text) else SPLIT.findall(text)
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens, which make up the text."""
+        if ODD.search(text):
+            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return SPLIT.findall(text)
 
     def encode(self, text: str) -> bytes:
-        words = self.split(text)
-        if words is None:
-            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, words))
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def count(self, text: str) -> int:
-        words = self.split(text)
-        if words is None:
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(len, map(self.pieces.__getitem__, words))) // 4
+        return len(self.encode(text)) // 4
 
 
 def encoder(path: str) -> Encoder:

@@ -130,6 +130,30 @@ def test_edits_encode_little_again(enc):
     assert t.encoded < 2000 and t.count == len(truth(enc, t.text()))
 
 
+SIGNS = list("ab 's1\n.-é") + list("\u201c\u2019\u2014дЖλ日本語テअनしい한글ا\u0301²½\x1c\x85\xa0\u2028\U0001f600\U00020000")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(SIGNS), max_size=600), st.lists(st.tuples(st.integers(0, 620), st.integers(0, 40), st.text(alphabet=st.sampled_from(SIGNS), max_size=40)), max_size=6))
+def test_edited_counts_of_all_scripts(text, changes):
+    e = tokens.encoder(PATH)
+    t = edits.Tree(text, e)
+    for at, cut, new in changes:
+        t.edit(at, cut, new)
+    want = apply(text, changes)
+    assert t.text() == want and t.count == len(truth(e, want)) and t.length == len(want)
+
+
+@pytest.mark.parametrize("sign", ["\u2019", "\u2014", "д", "日本"])
+def test_a_sign_of_another_script_leaves_the_segments(enc, sign):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(500))
+    text = text[:900] + sign + text[900:]
+    t = edits.Tree(text, enc)
+    t.edit(1800, 3, "xyz" + sign)
+    assert len(t.parts) > 10 and t.encoded < 0.15 * len(text) + 300 and t.count == len(truth(enc, t.text()))
+
+
 def test_counts_of_a_table(docs, corpus, enc, clashing, empty_docs):
     got = {r["doc_id"]: r for r in edits.count_edited(edits.some_edits(docs), PATH).collect()}
     for i, t in corpus:
