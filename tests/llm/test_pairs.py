@@ -138,6 +138,25 @@ def test_vectors(spark, vector_rows, block, monkeypatch):
     assert sum(found.values()) >= 0.95 * sum(links.values()) and all(found[i] <= links[i] for i in links)
 
 
+@pytest.mark.parametrize("cells", [vectors.SAMPLE_CELLS, 1])
+def test_vectors_of_all_lengths_copies_and_repeated_ids(spark, cells, monkeypatch):
+    """Lengths 1 to 5 and 16, many copies, equal rows of one id; two different rows of an id are vectors of their own."""
+    monkeypatch.setattr(vectors, "SAMPLE_CELLS", cells)
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    base = [[float(x) for x in rng.standard_normal(d)] for d in (1, 2, 3, 3, 4, 5, 16, 16, 16)]
+    rows = [base[int(rng.integers(len(base)))] for _ in range(150)] + [[x + 0.05 * float(rng.standard_normal()) for x in base[int(rng.integers(len(base)))]] for _ in range(60)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = {}
+    for dim in {len(v) for _, v in rows}:
+        want |= {r[0]: r for r in brute_vectors([r for r in rows if len(r[1]) == dim], dim)}
+    assert rows_of(vectors.near_vectors(df, reach=math.inf)) == sorted(want.values())
+    again = [(7, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.0, 1.0]), (3, [1.0, 0.0]), (9, [0.0, 1.0]), (9, [1.0, 1.0]), (11, [2.0, 2.1])]
+    got = rows_of(vectors.near_vectors(spark.createDataFrame(again, "vec_id long, embedding array<double>"), reach=math.inf))
+    assert got == [(3, 2, 3, True), (7, 3, 3, False), (9, 2, 3, False), (11, 1, 3, False)]
+
+
 def test_vectors_of_nothing_and_of_clashing_columns(spark):
     e = "vec_id long, embedding array<float>, label int, list int, vec string, n long, u long"
     assert vectors.near_vectors(spark.createDataFrame([], e)).count() == 0
@@ -146,21 +165,23 @@ def test_vectors_of_nothing_and_of_clashing_columns(spark):
     assert rows_of(vectors.near_vectors(two)) == [(3, 2, 3, True), (5, 2, 3, False)]
 
 
-def test_index_recall_is_complete():
+@pytest.mark.parametrize("second", [1, 7])
+def test_index_recall_is_complete(second):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 32))
     x[1500:] = x[:1500] + 0.15 * rng.standard_normal((1500, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    index = vectors.Index(x[:500], 40)
+    index = vectors.Index(x[:500], 40, second)
     radius = np.sqrt(2 - 2 * 0.95)
     near, d = index.nearest(x)
-    probe = index.probes(near, d, radius)
+    probe = np.zeros((len(x), index.lists), bool)
+    probe[index.probes(near, d, x, radius)] = True
     code, err = index.encode(x, near)
     i, j = np.nonzero(x @ x.T >= 0.95)
     assert probe[i, near[j]].all()
     for a in range(0, 200):
         for b in j[i == a]:
-            t = index.tables(x[a : a + 1], index.centroids[near[b]])
+            t = index.tables(x[a : a + 1], index.centroid(near[b]))
             low = np.sqrt(sum(tt[0, code[b, k]] for k, tt in enumerate(t))) - err[b]
             assert low <= np.linalg.norm(x[a] - x[b]) + 1e-9
 
