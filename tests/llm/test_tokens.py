@@ -83,6 +83,34 @@ def test_packing_over_many_partitions_and_rounds(docs, corpus, enc):
     assert n <= len({r["sequence_id"] for r in alone}) + 6
 
 
+def test_bins_that_no_task_can_hold_are_merged_all_the_same(docs, corpus, enc, monkeypatch):
+    n = check_packing(packing.pack(docs.repartition(7), PATH, 256).collect(), corpus, enc, 256)
+    monkeypatch.setattr(packing, "GROUP_MOST", 0)
+    assert abs(check_packing(packing.pack(docs.repartition(7), PATH, 256).collect(), corpus, enc, 256) - n) <= 1
+    monkeypatch.setattr(packing, "GROUP_MOST", 20)
+    assert abs(check_packing(packing.pack(docs.repartition(9), PATH, 256, fan_in=2).collect(), corpus, enc, 256) - n) <= 2
+
+
+@given(st.lists(st.integers(1, 50), max_size=120))
+@settings(max_examples=200, deadline=None)
+def test_best_fit_of_counts_is_that_of_items(sizes):
+    counts = {n: sizes.count(n) for n in set(sizes)}
+    bins, ranks = {}, {n: [] for n in counts}
+    for size, first, m, number, off in packing.best_fit_counts(counts, 50):
+        ranks[size].extend(range(first, first + m))
+        for i in range(m):
+            bins.setdefault(number + i, []).append((off, size))
+    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
+    for own in bins.values():
+        at = 0
+        for off, size in sorted(own):
+            assert off == at
+            at += size
+        assert at <= 50
+    fills = packing.best_fit(np.array(sizes, np.int64), 50)[2]
+    assert sorted(sum(s for _, s in own) for own in bins.values()) == sorted(fills.tolist())
+
+
 def test_packing_of_clashing_columns_and_nothing(clashing, corpus, enc, empty_docs):
     check_packing(packing.pack(clashing, PATH).collect(), corpus, enc, 2048)
     assert packing.pack(empty_docs, PATH).count() == 0
