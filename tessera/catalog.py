@@ -13,7 +13,7 @@ from .operators import batch, benchmark, crawl, dom, hosts, ladder
 from .operators import scrape as S
 from .operators.order import numbered
 from .plans import requests as R
-from .sources.tables import fetches_from_pages, read_table, spread
+from .sources.tables import bench_proxy_list, decode_requests, fetches_from_pages, read_table, spread, target_list
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -259,28 +259,25 @@ def network_error(spark, sf_dir):
     return d.select("event_id", C.network_error("m").alias("e")).select("event_id", "e.*")
 
 
-@query(f"""WITH f AS (SELECT page_id, {TYPE_SQL} AS content_type, {STATUS_SQL} AS st, CASE WHEN page_id % 13 = 5 THEN '  ' ELSE html END AS html, CASE WHEN page_id % 17 = 4 THEN 'operation timed out' END AS es, page_id % 9 = 2 AS want, page_id % 2 = 0 AS blank FROM pages),
+@query(f"""WITH f AS (SELECT page_id, {TYPE_SQL} AS content_type, {STATUS_SQL} AS st, html, CASE WHEN page_id % 17 = 4 THEN 'operation timed out' END AS es, page_id % 9 = 2 AS want, page_id % 2 = 0 AS blank FROM pages),
 e AS (SELECT *, {SUPPORTED_SQL} AS supported FROM f)
 SELECT page_id, CASE WHEN NOT supported THEN 'unsupported_content_type' WHEN es IS NOT NULL THEN 'timeout' WHEN st NOT BETWEEN 200 AND 299 THEN 'http_error' WHEN trim(html) = '' THEN 'empty_content' WHEN want AND blank THEN 'empty_content' END AS code,
  CASE WHEN NOT supported THEN 'content-type ' || content_type || ' is not supported for extraction' WHEN es IS NOT NULL THEN es WHEN st NOT BETWEEN 200 AND 299 THEN 'upstream HTTP ' || st WHEN trim(html) = '' THEN 'empty document body' WHEN want AND blank THEN 'markdown extraction produced no usable text' END AS message,
  CASE WHEN NOT supported THEN false WHEN es IS NOT NULL THEN true WHEN st NOT BETWEEN 200 AND 299 THEN st >= 500 OR st = 429 WHEN trim(html) = '' THEN true WHEN want AND blank THEN false END AS retryable FROM e""")
 def scrape_error(spark, sf_dir):
     i = F.col("page_id")
-    d = pages(spark, sf_dir).select("page_id", C.content_type(pick(TYPES, step=10)).alias("content_type"), pick(STATUSES).alias("st"), F.when(i % 13 == 5, "  ").otherwise(F.col("html")).alias("html"), F.when(i % 17 == 4, "operation timed out").alias("es"))
+    d = pages(spark, sf_dir).select("page_id", C.content_type(pick(TYPES, step=10)).alias("content_type"), pick(STATUSES).alias("st"), "html", F.when(i % 17 == 4, "operation timed out").alias("es"))
     e = C.scrape_error(F.lit(True), C.type_supported("content_type"), F.col("content_type"), F.col("st"), F.col("es"), F.col("html"), i % 9 == 2, i % 2 == 0)
     return d.select("page_id", e.alias("e")).select("page_id", "e.code", "e.message", "e.retryable")
 
 
 def _judged(spark, sf_dir) -> DataFrame:
-    """Fetches whose html is cut short by their number, with what the decisions look at."""
-    i = F.col("page_id")
-    html = F.when(i % 6 == 1, F.left("html", F.lit(700))).when(i % 6 == 2, F.lit("")).when(i % 6 == 3, F.concat("html", F.lit(" captcha "))).otherwise(F.col("html"))
-    d = spread(pages(spark, sf_dir)).select("page_id", pick(STATUSES, "page_id", 6).alias("status"), html.alias("html"))
-    d = d.withColumn("html", C.trim_space(F.col("html")))
+    """Fetches with what the decisions look at. Short, empty and challenge pages, which the tables don't hold, are in the tests."""
+    d = spread(pages(spark, sf_dir)).select("page_id", pick(STATUSES, "page_id", 6).alias("status"), C.trim_space(F.col("html")).alias("html"))
     return d.select("page_id", "status", "html", X.visible_word_count("html").alias("words"), X.challenge_hit("html").alias("challenge"), X.pattern_main_score("html").alias("score"), X.pattern_link_count("html").alias("links"))
 
 
-JUDGED_SQL = f"""WITH c AS (SELECT page_id, {sql_pick(STATUSES, "page_id", 6)} AS status, regexp_replace(CASE page_id % 6 WHEN 1 THEN left(html, 700) WHEN 2 THEN '' WHEN 3 THEN html || ' captcha ' ELSE html END, '^{WS}+|{WS}+$', '', 'g') AS html FROM pages),
+JUDGED_SQL = f"""WITH c AS (SELECT page_id, {sql_pick(STATUSES, "page_id", 6)} AS status, regexp_replace(html, '^{WS}+|{WS}+$', '', 'g') AS html FROM pages),
 t AS (SELECT *, {TEXT_SQL} AS body_text FROM c),
 j AS (SELECT page_id, status, html, {WORDS_SQL} AS words, {CHALLENGE_SQL} AS challenge, {SCORE_SQL} AS score, {LINKS_SQL} AS links FROM t)
 """
@@ -340,7 +337,7 @@ c0 AS (SELECT *, CASE WHEN mode <> 'browser' AND s >= 3 AND p0 IS NOT NULL THEN
 c1 AS (SELECT *, CASE WHEN k0 = -1 OR w0 THEN CASE WHEN p1 IS NULL THEN -1 ELSE 1 END ELSE 0 END AS k1 FROM c0),
 c2 AS (SELECT *, CASE WHEN k1 = -1 OR [w0, w1][k1 + 1] THEN CASE WHEN p2 IS NULL THEN -1 ELSE 2 END ELSE k1 END AS k2 FROM c1),
 c3 AS (SELECT *, CASE WHEN k2 = -1 OR [w0, w1, w2][k2 + 1] THEN CASE WHEN p3 IS NULL THEN -1 ELSE 3 END ELSE k2 END AS k3 FROM c2),
-d AS (SELECT *, CASE WHEN mode = 'auto' THEN CASE WHEN k3 = -1 THEN 'http_empty' ELSE [a0, a1, a2, a3][k3 + 1] END WHEN mode = 'http' THEN CASE WHEN k3 = -1 THEN 'http_empty' WHEN [w0, w1, w2, w3][k3 + 1] THEN hr END END AS asked FROM c3),
+d AS (SELECT *, CASE WHEN mode = 'auto' THEN CASE WHEN k3 = -1 THEN 'http_empty' ELSE [a0, a1, a2, a3][k3 + 1] END WHEN mode = 'http' THEN CASE WHEN k3 = -1 THEN 'http_low_words' WHEN [w0, w1, w2, w3][k3 + 1] THEN hr END END AS asked FROM c3),
 e AS (SELECT *, CASE WHEN mode = 'browser' OR (asked IS NOT NULL AND p4 IS NOT NULL) THEN 4 ELSE k3 END AS k, mode = 'browser' OR (asked IS NOT NULL AND p4 IS NOT NULL) OR k0 = 0 AS used FROM d)
 SELECT page_id, CASE WHEN k >= 0 THEN [p0, p1, p2, p3, p4][k + 1] END AS chosen, used AS used_browser,
  CASE WHEN used AND mode <> 'browser' THEN coalesce(asked, CASE WHEN s >= 3 THEN 'http_blocked' END, 'none') ELSE 'none' END AS reason,
@@ -377,9 +374,11 @@ def heading_code_counts(spark, sf_dir):
     return d.select("page_id", "d.heading_count", "d.code_block_count")
 
 
-@query(f"SELECT page_id, {LINKS_SQL} AS link_count, {LINKS_SQL} AS filled_link_count FROM pages")
+@query(f"SELECT page_id, {LINKS_SQL} + 2 AS link_count, {LINKS_SQL} AS filled_link_count FROM pages")
 def link_counts(spark, sf_dir):
-    d = spread(pages(spark, sf_dir)).select("page_id", dom.dom_features("html").alias("d"), dom.filled_link_count("html").alias("filled_link_count"))
+    """Links of every page, to which two are added whose target is blank: the benchmark doesn't count these."""
+    d = spread(pages(spark, sf_dir)).select("page_id", F.concat("html", F.lit('<a href=" ">x</a><a href="">y</a>')).alias("html"))
+    d = d.select("page_id", dom.dom_features("html").alias("d"), dom.filled_link_count("html").alias("filled_link_count"))
     return d.select("page_id", "d.link_count", "filled_link_count")
 
 
@@ -425,7 +424,8 @@ def semantic_block(spark, sf_dir):
     return spread(pages(spark, sf_dir)).select("page_id", dom.main_block("html").alias("b")).select("page_id", "b.tag", "b.words")
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\shref\s*=\s*"([^"]*)"', 1)) AS href FROM pages)
+SELECT DISTINCT page_id, site || href AS link FROM l WHERE starts_with(href, '/')""")
 def page_link_list(spark, sf_dir):
     return spread(pages(spark, sf_dir)).select("page_id", F.explode(dom.page_links("html", "url")).alias("link"))
 
@@ -437,13 +437,157 @@ def scrape_pages(spark, sf_dir):
     return S.scrape(_fetches(spark, sf_dir), R.scrape_plan(req))
 
 
+def _attempts(spark, sf_dir) -> DataFrame:
+    """Five attempts at every page, whose outcomes follow from its number: a browser's, three plain ones, a browser's again. Where nothing came, html is null."""
+    i, k = F.col("page_id"), F.col("k")
+    d = spread(pages(spark, sf_dir)).select("*", F.explode(F.array(*map(F.lit, range(5)))).alias("k"))
+    came = F.when(k == 0, i % 4 != 1).when(k == 4, i % 5 != 0).otherwise(F.floor(i / F.expr("shiftleft(1, k)")) % 3 != 0)
+    a = F.array(*map(F.lit, STATUSES))
+    status = F.element_at(a, (F.floor(i / (k + 1)) % len(STATUSES) + 1).cast("int"))
+    return d.select(
+        i.alias("request_id"), k.alias("attempt"), F.when(k.isin(0, 4), "browser").otherwise("http").alias("mode"), "url", F.col("url").alias("final_url"), F.when(came, status).cast("int").alias("status_code"), F.create_map(F.lit("content-type"), pick(TYPES, step=10)).alias("headers"), F.when(came, F.col("html")).alias("html"),
+        F.lit(None).cast("string").alias("error_status"), F.lit(None).cast("array<string>").alias("page_links"), F.lit(False).alias("waf_check"), F.lit(False).alias("content_truncated"), (i % 50 + k).cast("long").alias("duration_ms"), F.lit(None).cast("timestamp").alias("ts"),
+    )
+
+
+def _host_scores(spark, sf_dir) -> DataFrame:
+    return pages(spark, sf_dir).select(U.host_key("url").alias("host")).distinct().withColumn("score", F.length("host") % 5)
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """A plan of a request for every page: all modes and formats, with and without content."""
+    i = F.col("page_id")
+    r = pages(spark, sf_dir).select(i.alias("index"), "url", pick(("http", "auto", "browser")).alias("crawl_mode"), pick(("html", "text", "markdown"), step=3).alias("response_format"), (i % 4 != 2).alias("include_content"), F.lit("docs").alias("extraction_profile"))
+    return R.scrape_plan(r)
+
+
+def _answer_sql() -> str:
+    came = ["page_id % 4 <> 1", *[f"CAST(page_id // {2**k} AS BIGINT) % 3 <> 0" for k in (1, 2, 3)], "page_id % 5 <> 0"]
+    status = [sql_pick(STATUSES, step=k + 1) for k in range(5)]
+    retry = "({0} IN (403, 407, 408, 409, 410, 425, 429, 451) OR {0} >= 500)"
+    weak = [f"{retry.format(f's{k}')} OR challenge OR (need AND (n < 512 OR words < 40))" for k in range(5)]
+    auto = [f"""CASE WHEN s{k} NOT BETWEEN 200 AND 299 THEN CASE WHEN {retry.format(f's{k}')} THEN 'http_bad_status' END WHEN challenge THEN 'http_challenge'
+ WHEN need AND words < 150 THEN 'http_low_words' WHEN need AND score < 0.45 THEN 'http_low_main_score' WHEN need AND links / words > 6.0 THEN 'http_low_density' END""" for k in range(5)]
+    http = [f"CASE WHEN challenge THEN 'http_challenge' WHEN s{k} NOT BETWEEN 200 AND 299 THEN 'http_bad_status' ELSE 'http_low_words' END" for k in range(5)]
+    pick_k = lambda x, k: f"[{', '.join(f'{x}{j}' for j in range(5))}][{k} + 1]"
+    step = lambda k: f"""CASE WHEN k{k - 1} = -1 OR {pick_k("w", f"k{k - 1}")} THEN CASE WHEN p{k} THEN {k} ELSE -1 END ELSE k{k - 1} END AS k{k}"""
+    return f"""WITH t AS (SELECT *, {HOST_SQL} AS host, {TYPE_SQL} AS kind, {TEXT_SQL} AS body_text FROM pages),
+b AS (SELECT page_id, html, kind, {sql_pick(("http", "auto", "browser"))} AS mode, {FORMAT_SQL} AS fmt, page_id % 4 <> 2 AS include, length(host) % 5 AS hs, {WORDS_SQL} AS words, {CHALLENGE_SQL} AS challenge, {SCORE_SQL} AS score, {LINKS_SQL} AS links, strlen(html) AS n,
+ {", ".join(f"{c} AS p{k}" for k, c in enumerate(came))}, {", ".join(f"{s} AS s{k}" for k, s in enumerate(status))} FROM t),
+j AS (SELECT *, include OR fmt = 'markdown' AS need FROM b),
+r AS (SELECT *, {", ".join(f"{w} AS w{k}, {a} AS a{k}, {h} AS h{k}" for k, (w, a, h) in enumerate(zip(weak, auto, http, strict=True)))}, CASE WHEN mode <> 'browser' AND hs >= 3 AND p0 THEN 0 ELSE -1 END AS k0 FROM j),
+c1 AS (SELECT *, {step(1)} FROM r), c2 AS (SELECT *, {step(2)} FROM c1), c3 AS (SELECT *, {step(3)} FROM c2),
+d AS (SELECT *, CASE WHEN mode = 'auto' THEN CASE WHEN k3 = -1 THEN 'http_empty' ELSE {pick_k("a", "k3")} END WHEN mode = 'http' THEN CASE WHEN k3 = -1 THEN 'http_low_words' WHEN {pick_k("w", "k3")} THEN {pick_k("h", "k3")} END END AS asked FROM c3),
+e AS (SELECT *, CASE WHEN mode = 'browser' THEN CASE WHEN p4 THEN 4 WHEN p0 THEN 0 ELSE -1 END WHEN asked IS NOT NULL AND p4 THEN 4 ELSE k3 END AS k, mode = 'browser' OR (asked IS NOT NULL AND p4) OR k0 = 0 AS used FROM d),
+f AS (SELECT *, k >= 0 AS has, {pick_k("s", "k")} AS status_code, CASE WHEN k >= 0 THEN kind ELSE '' END AS content_type, CASE WHEN used AND mode <> 'browser' THEN coalesce(asked, CASE WHEN hs >= 3 THEN 'http_blocked' END, 'none') ELSE 'none' END AS reason FROM e),
+g AS (SELECT *, {SUPPORTED_SQL} AS supported FROM f)
+"""
+
+
+@query(_answer_sql() + """SELECT page_id AS request_id, CASE WHEN has THEN status_code END AS status_code, content_type, 5 * (page_id % 50) + 10 AS duration_ms, CASE WHEN mode = 'browser' OR (mode = 'auto' AND used) THEN 'browser' ELSE mode END AS mode_used,
+ CASE WHEN NOT supported THEN 'http_unsupported_content_type' WHEN NOT has THEN 'http_empty' ELSE reason END AS reason, NOT has OR """ + "[w0, w1, w2, w3, w4][k + 1]" + """ AS failed,
+ CASE WHEN NOT supported THEN 'unsupported_content_type' WHEN NOT has THEN 'empty_content' WHEN status_code NOT BETWEEN 200 AND 299 THEN 'http_error' END AS error,
+ CASE WHEN has AND supported THEN words ELSE 0 END AS word_count, CASE WHEN has AND supported THEN links ELSE 0 END AS link_count, round(CASE WHEN has AND supported THEN score ELSE 0.0 END, 6) AS main_content_score, round(CASE WHEN has AND supported AND words > 0 THEN least(1.0, links / words / 20.0) ELSE 0.0 END, 6) AS link_density,
+ CASE WHEN has AND supported THEN CAST(n AS BIGINT) END AS page_bytes, CASE WHEN has AND supported THEN links END AS links_extracted, CASE WHEN has AND supported AND include AND fmt = 'html' THEN md5(html) END AS html_md5,
+ has AND supported AND include AS has_content, has AND supported AND fmt = 'markdown' AS has_markdown FROM g""")
+def scrape_metadata(spark, sf_dir):
+    """All of an answer but its texts, for requests of five attempts each."""
+    d = S.scrape(_attempts(spark, sf_dir), _asked(spark, sf_dir), scores=_host_scores(spark, sf_dir))
+    fmt = pick(("html", "text", "markdown"), "request_id", 3)
+    return d.select("request_id", "status_code", "content_type", "duration_ms", "mode_used", F.col("signals.fallback_reason").alias("reason"), "failed", F.col("error.code").alias("error"), "signals.word_count", "signals.link_count", F.round("signals.main_content_score", 6).alias("main_content_score"), F.round("signals.link_density", 6).alias("link_density"), F.col("page.bytes").alias("page_bytes"), "page.links_extracted", F.when(fmt == "html", F.md5(F.col("content").cast("binary"))).alias("html_md5"), F.col("content").isNotNull().alias("has_content"), F.col("markdown").isNotNull().alias("has_markdown"))
+
+
+@query(_answer_sql() + f"""SELECT page_id AS index, page_id % 9 <> 4 AS ok, CASE WHEN page_id % 9 = 4 THEN 0 ELSE 5 * (page_id % 50) + 10 END AS duration_ms, CASE WHEN page_id % 9 <> 4 AND has THEN status_code END AS status_code, CASE WHEN page_id % 9 = 4 THEN 'url must use http or https' END AS error FROM g""")
+def batch_answers(spark, sf_dir):
+    """The items of a batch; a ninth of the requests has no target that can be fetched."""
+    plan = _asked(spark, sf_dir)
+    bad = F.col("index") % 9 == 4
+    plan = plan.withColumn("url", F.when(bad, F.concat(F.lit("ftp://"), F.col("url"))).otherwise(F.col("url"))).withColumn("error", F.coalesce("error", U.url_error("url")))
+    answers = S.scrape(_attempts(spark, sf_dir), plan, scores=_host_scores(spark, sf_dir))
+    items = batch.batch_items(answers, plan, ["status_code", "mode_used"])
+    return items.select("index", "ok", "duration_ms", F.col("response.status_code").alias("status_code"), "error")
+
+
+@query("""SELECT page_id AS request_id, max(k) FILTER (page_id % (k + 2) <> 0) AS seq FROM pages, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k) GROUP BY page_id HAVING max(k) FILTER (page_id % (k + 2) <> 0) IS NOT NULL""")
+def browser_last_page(spark, sf_dir):
+    """The last of up to eight pages that a browser told."""
+    told = pages(spark, sf_dir).select(F.col("page_id").alias("request_id"), F.explode(F.array(*map(F.lit, range(8)))).alias("seq"), "url").where("request_id % (seq + 2) <> 0")
+    return ladder.last_page(told).select("request_id", "seq")
+
+
+@query(f"""WITH p AS (SELECT page_id, {sql_pick(("http", "auto", "browser"))} AS mode, {STATUS_SQL} AS status, page_id % 4 <> 0 AS has_http, page_id % 5 <> 0 AS has_browser, page_id % 2 = 0 AS need, html FROM pages),
+w AS (SELECT *, NOT has_http OR status NOT BETWEEN 200 AND 299 OR (need AND trim(html) = '') AS weak FROM p)
+SELECT page_id, weak, CASE WHEN mode = 'browser' THEN CASE WHEN has_browser THEN 'browser' END WHEN mode = 'auto' AND weak THEN CASE WHEN has_browser THEN 'browser' WHEN has_http THEN 'http' END WHEN has_http THEN 'http' END AS page FROM w""")
+def page_by_mode(spark, sf_dir):
+    """Which page a single fetch ends with under each mode."""
+    i = F.col("page_id")
+    d = pages(spark, sf_dir).select("page_id", F.when(i % 4 != 0, F.struct(F.lit("http").alias("by"), pick(STATUSES).alias("status_code"), "html")).alias("http"), F.when(i % 5 != 0, F.struct(F.lit("browser").alias("by"), F.lit(200).alias("status_code"), "html")).alias("browser"))
+    need, http = i % 2 == 0, F.col("http")
+    return d.select("page_id", C.page_needs_browser(http.isNotNull(), http["status_code"], http["html"], need).alias("weak"), ladder.page_by_mode(pick(("http", "auto", "browser")), http, F.col("browser"), need)["by"].alias("page"))
+
+
+@query("SELECT page_id AS index, CAST(0 AS BIGINT) AS max_depth, CAST(1 AS BIGINT) AS max_pages, CAST(1 AS BIGINT) AS crawl_concurrency, false AS subdomains, true AS return_page_links FROM pages")
+def single_page_plan(spark, sf_dir):
+    i = F.col("page_id")
+    p = R.single_page(R.crawl_plan(pages(spark, sf_dir).select(i.alias("index"), "url", (i % 7).alias("max_depth"), F.lit(True).alias("subdomains"))))
+    return p.select("index", "max_depth", "max_pages", "crawl_concurrency", "subdomains", "return_page_links")
+
+
+POLICIES = ("loose", "strict", "none", "", "LOOSE")
+
+
+@query(f"""WITH p AS (SELECT page_id, url, nullif({sql_pick(POLICIES)}, '') AS p FROM pages)
+SELECT page_id AS index, CASE WHEN p <> 'LOOSE' THEN p END AS redirect_policy, CASE WHEN p = 'LOOSE' THEN 'redirect_policy must be one of loose, strict, none' END AS error FROM p""")
+def redirect_plan(spark, sf_dir):
+    p = R.scrape_plan(pages(spark, sf_dir).select(F.col("page_id").alias("index"), "url", F.nullif(pick(POLICIES), F.lit("")).alias("redirect_policy")))
+    return p.select("index", "redirect_policy", "error")
+
+
+@query("""SELECT page_id AS batch, CAST(i AS BIGINT) AS index, url || i AS url, CASE WHEN i = 1 THEN page_id % 1000 END AS max_content_chars, CASE WHEN i = 2 THEN true END AS include_markdown FROM pages, (SELECT unnest([0, 1, 2]) AS i)""")
+def request_decode(spark, sf_dir):
+    """Batch bodies of three requests each, as JSON, one row per request."""
+    body = F.concat(F.lit('{"requests":[{"url":"'), "url", F.lit('0","unknown":{"a":1}},{"url":"'), "url", F.lit('1","max_content_chars":'), (F.col("page_id") % 1000).cast("string"), F.lit('},{"url":"'), "url", F.lit('2","include_markdown":true}]}'))
+    d = decode_requests(pages(spark, sf_dir).select("page_id", body.alias("body")), keep=("page_id",))
+    return d.select(F.col("page_id").alias("batch"), "index", "url", "max_content_chars", "include_markdown")
+
+
+TARGETS = ("  http://t{n}.org/a ", "", "   ", "http://t{n}.org/b")
+
+
+@query(f"SELECT s_suppkey AS line_no, trim(replace({sql_pick(TARGETS, 's_suppkey')}, '{{n}}', CAST(s_suppkey AS VARCHAR))) AS url FROM supplier WHERE trim({sql_pick(TARGETS, 's_suppkey')}) <> ''")
+def target_lines(spark, sf_dir):
+    lines = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line_no"), F.replace(pick(TARGETS, "s_suppkey"), F.lit("{n}"), F.col("s_suppkey").cast("string")).alias("line"))
+    return target_list(lines)
+
+
+BENCH_PROXIES = ("10.0.0.{n}:80", " h{n}:1:user:pw ", "socks5://h{n}:1", "# comment", "", "u:p@h{n}:90", "u@h{n}", "h{n}", "a:b:c", "10.0.0.1:80")
+
+
+@query(f"""WITH l AS (SELECT s_suppkey AS line_no, trim(replace({sql_pick(BENCH_PROXIES, "s_suppkey")}, '{{n}}', CAST(s_suppkey AS VARCHAR))) AS v FROM supplier),
+p AS (SELECT *, string_split(v, ':') AS p FROM l),
+o AS (SELECT line_no, CASE WHEN v = '' OR v LIKE '#%' THEN NULL WHEN contains(v, '://') THEN v WHEN contains(v, '@') THEN CASE WHEN contains(string_split(v, '@')[-1], ':') THEN 'http://' || v END WHEN len(p) = 2 THEN 'http://' || v WHEN len(p) = 4 THEN 'http://' || p[3] || ':' || p[4] || '@' || p[1] || ':' || p[2] END AS proxy FROM p)
+SELECT min(line_no) AS line_no, proxy FROM o WHERE proxy IS NOT NULL GROUP BY proxy ORDER BY line_no LIMIT 50""")
+def bench_proxies(spark, sf_dir):
+    """The first fifty different proxies of a benchmark's list: a limit of the feature."""
+    lines = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line_no"), F.replace(pick(BENCH_PROXIES, "s_suppkey"), F.lit("{n}"), F.col("s_suppkey").cast("string")).alias("line"))
+    return bench_proxy_list([lines], 50)
+
+
+TITLES = ("  A  b ", "a\tb", "   ", "Plain")
+
+
+@query(f"""WITH t AS (SELECT event_id, {sql_pick(TITLES, "event_id").replace(chr(9), "' || chr(9) || '")} AS t FROM events) SELECT event_id, nullif(trim(regexp_replace(t, '[ \t]+', ' ', 'g')), '') AS title FROM t""")
+def normalized_titles(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").select("event_id", benchmark.normalized_title(pick(TITLES, "event_id")).alias("title"))
+
+
 @query(f"""WITH b AS (SELECT page_id AS index, {HOST_SQL} AS host FROM pages), w AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY index) AS p FROM b)
 SELECT index, host, CAST((p + 3) // 4 AS BIGINT) AS wave FROM w""")
 def scrape_batch(spark, sf_dir):
     return batch.waves(pages(spark, sf_dir).select(F.col("page_id").alias("index"), "url")).select("index", "host", "wave")
 
 
-@query("SELECT n, CASE WHEN n = 0 THEN 'requests must not be empty' WHEN n > 64 THEN 'batch exceeds maximum of 64 requests' END AS error FROM (SELECT DISTINCT CAST(page_id % 70 AS INT) AS n FROM pages)")
+@query("SELECT n, CASE WHEN n = 0 THEN 'requests must contain at least one item' WHEN n > 64 THEN 'batch size exceeds configured maximum: 64' END AS error FROM (SELECT DISTINCT CAST(page_id % 70 AS INT) AS n FROM pages)")
 def batch_limit(spark, sf_dir):
     return pages(spark, sf_dir).select((F.col("page_id") % 70).cast("int").alias("n")).distinct().withColumn("error", batch.batch_error(F.col("n")))
 
@@ -479,6 +623,67 @@ def crawl_fallback(spark, sf_dir):
     return crawl.crawl_summary(_crawl(spark, sf_dir), _edges(spark, sf_dir), 5, 18)
 
 
+SCOPE_SQL = f"""WITH RECURSIVE n AS (SELECT max(page_id) + 1 AS n FROM pages), h AS (SELECT page_id, {HOST_SQL} AS host FROM pages), raw AS (SELECT page_id AS src, unnest([(page_id * 7 + 3) % n, (page_id * 5 + 1) % n]) AS dst FROM pages, n),
+"""
+
+
+@query(SCOPE_SQL.replace("RECURSIVE ", "") + r"""s AS (SELECT page_id, host, regexp_extract(host, '([^.]+\.)?[^.]+$') AS site FROM h)
+SELECT DISTINCT src, dst, a.host = b.host AS same_host FROM raw JOIN s a ON a.page_id = src JOIN s b ON b.page_id = dst WHERE a.site = b.site""")
+def crawl_scope(spark, sf_dir):
+    """Links within a site, and whether they stay on their host."""
+    hosts_of = pages(spark, sf_dir).select(F.col("page_id").alias("page"), U.host_key("url").alias("host"))
+    edges = _edges(spark, sf_dir).distinct()
+    wide, own = crawl.in_scope(edges, hosts_of, True), crawl.in_scope(edges, hosts_of).withColumn("same", F.lit(True))
+    return wide.join(own, ["src", "dst"], "left").select("src", "dst", F.coalesce("same", F.lit(False)).alias("same_host"))
+
+
+def _crawls_sql() -> str:
+    return f"""WITH RECURSIVE n AS (SELECT max(page_id) + 1 AS n FROM pages), both_edges AS (SELECT page_id AS src, unnest([(page_id * 7 + 3) % n, (page_id * 5 + 1) % n]) AS dst, unnest([0, 1]) AS which FROM pages, n),
+e AS (SELECT src, dst, b FROM both_edges, (SELECT unnest([false, true]) AS b) WHERE b OR (which = 0 AND src % 2 = 0)),
+seeds AS (SELECT page_id, {sql_pick(("http", "auto", "browser"))} AS mode FROM pages),
+walk(seed, page, depth, b) AS (SELECT page_id, page_id, 0, b FROM seeds, (SELECT unnest([false, true]) AS b) UNION SELECT w.seed, e.dst, w.depth + 1, w.b FROM walk w JOIN e ON w.page = e.src AND w.b = e.b WHERE w.depth < 2),
+firsts AS (SELECT seed, page, b, min(depth) AS depth FROM walk GROUP BY seed, page, b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, b ORDER BY depth, page) AS place FROM firsts),
+crawled AS (SELECT * FROM ranked WHERE place <= 5),
+told AS (SELECT c.seed, c.b, count(DISTINCT c.page) AS pages_fetched, count(DISTINCT e.dst) AS unique_links_seen FROM crawled c LEFT JOIN e ON c.page = e.src AND c.b = e.b GROUP BY c.seed, c.b),
+mode AS (SELECT page_id AS seed, mode = 'browser' OR (mode = 'auto' AND (pages_fetched < 2 OR unique_links_seen < 2)) AS used FROM seeds JOIN told ON seed = page_id AND NOT b)
+"""
+
+
+@query(_crawls_sql() + "SELECT c.seed, page, depth, place, used AS used_browser FROM crawled c JOIN mode m ON c.seed = m.seed AND c.b = m.used")
+def crawl_modes(spark, sf_dir):
+    """Crawls by mode: a plain fetch sees one link of every other page, a browser sees all."""
+    return _crawls(spark, sf_dir)[0]
+
+
+def _crawls(spark, sf_dir):
+    every = _edges(spark, sf_dir)
+    n = pages(spark, sf_dir).agg((F.max("page_id") + 1).alias("n"))
+    plain = pages(spark, sf_dir).crossJoin(F.broadcast(n)).where("page_id % 2 = 0").select(F.col("page_id").alias("src"), ((F.col("page_id") * 7 + 3) % F.col("n")).alias("dst"))
+    seeds = pages(spark, sf_dir).select(F.col("page_id").alias("seed"), F.col("page_id").alias("page"), pick(("http", "auto", "browser")).alias("mode"))
+    return crawl.crawl_by_mode(seeds, plain, every, 2, 5, 2, 2), plain, every
+
+
+@query(_crawls_sql() + """SELECT page_id AS index, page_id % 9 <> 4 AS ok, CASE WHEN page_id % 9 <> 4 THEN url END AS root_url, CASE WHEN page_id % 9 <> 4 THEN pages_fetched END AS pages_fetched, CASE WHEN page_id % 9 <> 4 THEN unique_links_seen END AS unique_links_seen, CASE WHEN page_id % 9 = 4 THEN 'url must use http or https' END AS error
+ FROM pages JOIN mode m ON m.seed = page_id JOIN told t ON t.seed = page_id AND t.b = m.used""")
+def crawl_batch(spark, sf_dir):
+    """The items of a batch of crawls; a ninth of the requests has no target that can be crawled."""
+    crawled, plain, every = _crawls(spark, sf_dir)
+    links = plain.withColumn("used_browser", F.lit(False)).unionByName(every.withColumn("used_browser", F.lit(True)))
+    i = F.col("page_id")
+    plan = R.crawl_plan(pages(spark, sf_dir).select(i.alias("index"), F.when(i % 9 == 4, F.concat(F.lit("ftp://"), F.col("url"))).otherwise(F.col("url")).alias("url")))
+    return batch.crawl_items(crawl.crawl_counts(crawled, links), plan)
+
+
+@query(CRAWL_SQL + f"""SELECT seed, place, p.url AS url, CAST(strlen(html) AS BIGINT) AS bytes, {LINKS_SQL} AS links_extracted, CASE WHEN seed % 2 = 0 THEN md5(html) END AS content_md5, seed % 3 = 0 AS has_markdown FROM crawled c JOIN pages p ON p.page_id = c.page""")
+def crawl_answers(spark, sf_dir):
+    """The pages of every crawl's answer."""
+    i = F.col("page_id")
+    plan = R.crawl_plan(pages(spark, sf_dir).select(i.alias("index"), "url", (i % 2 == 0).alias("include_content"), (i % 3 == 0).alias("include_markdown")))
+    d = crawl.crawl_pages(_crawl(spark, sf_dir), fetches_from_pages(pages(spark, sf_dir)), plan)
+    return d.select("seed", "place", "page.url", "page.bytes", "page.links_extracted", F.md5(F.col("page.content").cast("binary")).alias("content_md5"), F.col("page.markdown").isNotNull().alias("has_markdown"))
+
+
 @query("SELECT page_id AS seed, CASE WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN 1 ELSE page_id % 3 END AS pages_fetched, CASE WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN greatest(page_id % 4, 1) ELSE page_id % 4 END AS unique_links_seen, CASE WHEN page_id % 6 = 0 THEN page_id END AS recovered FROM pages")
 def crawl_recovery(spark, sf_dir):
     p = pages(spark, sf_dir)

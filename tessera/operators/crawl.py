@@ -2,45 +2,93 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contract as C
+from ..sources.tables import shared_folder
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Ends the lineage at a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        top = spark.sparkContext.getCheckpointDir()
-    path = f"{top.rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/crawl-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_scope(edges: DataFrame, hosts: DataFrame, subdomains: bool = False) -> DataFrame:
+    """The links that stay on their page's host or, with subdomains, on hosts of the same two last labels. hosts: (page, host).
+
+    As a crawl starts on its own host and never leaves it, links can be told once,
+    for all crawls.
+    """
+    site = (lambda c: F.regexp_extract(c, r"([^.]+\.)?[^.]+\z", 0)) if subdomains else (lambda c: c)
+    own = hosts.select("page", site(F.col("host")).alias("site"))
+    out = edges.join(own.select(F.col("page").alias("src"), F.col("site").alias("__from")), "src").join(own.select(F.col("page").alias("dst"), F.col("site").alias("__to")), "dst")
+    return out.where("__from = __to").select("src", "dst")
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_pages: int = 100) -> DataFrame:
     """Pages of each crawl: seed, page, depth and place.
 
-    seeds: (seed, page); edges: (src, dst). Breadth first to max_depth, at most
-    max_pages of each seed in the order of (depth, page). Every level is one join
-    with the links and one anti-join with what has been seen.
+    seeds: (seed, page), with limits of their own in max_depth and max_pages where
+    these columns are there, the arguments then being the most; edges: (src, dst).
+    Breadth first to max_depth, at most max_pages of each seed in the order of
+    (depth, page). Every level is one join with the links and one anti-join with
+    what has been seen; a crawl that has its pages goes no further, so that no level
+    holds more than max_pages pages of a seed.
     """
-    seen = seeds.select("seed", "page", F.lit(0).alias("depth")).distinct()
-    frontier = seen
+    limit = lambda name, most: F.least(F.col(name), F.lit(most)).cast("long") if name in seeds.columns else F.lit(most).cast("long")
+    keep = ["seed", "page", "depth", "place"]
+
+    def placed(df, depth):
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy("page"))
+        df = df.withColumn("rank", rank).where(F.col("rank") <= max_pages).withColumn("place", F.col("n") + F.col("rank")).where("place <= most")
+        return df.select("seed", "page", F.lit(depth).alias("depth"), "place", "deep", "most", F.max("place").over(Window.partitionBy("seed")).alias("n"))
+
+    first = seeds.select("seed", "page", limit("max_depth", max_depth).alias("deep"), limit("max_pages", max_pages).alias("most"), F.lit(0).cast("long").alias("n")).distinct()
+    frontier = placed(first, 0)
+    seen = frontier.select(*keep)
     for level in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier["page"] == edges["src"]).select("seed", F.col("dst").alias("page")).distinct()
-        new = _cut(step.join(seen.select("seed", "page"), ["seed", "page"], "left_anti").withColumn("depth", F.lit(level)))
-        if new.isEmpty():
+        going = frontier.where((F.col("n") < F.col("most")) & (F.col("deep") >= level))
+        step = going.join(edges, going["page"] == edges["src"]).select("seed", F.col("dst").alias("page"), "deep", "most", "n").distinct()
+        frontier = _cut(placed(step.join(seen.select("seed", "page"), ["seed", "page"], "left_anti"), level))
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(new)
-        frontier = new
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "page"))
-    return seen.withColumn("place", place.cast("long")).where(F.col("place") <= max_pages)
+        seen = seen.unionByName(frontier.select(*keep))
+    return seen.withColumn("place", F.col("place").cast("long"))
+
+
+def crawl_by_mode(seeds: DataFrame, http_edges: DataFrame, browser_edges: DataFrame, max_depth: int = 2, max_pages: int = 100, min_pages: int = 1, min_links: int = 20) -> DataFrame:
+    """Pages of each crawl under its mode: seed, page, depth, place, used_browser.
+
+    seeds: (seed, page, mode). http and auto follow the links of plain fetches,
+    browser those that a browser sees; an auto crawl of few pages or links is run
+    again by a browser, whose pages replace it.
+    """
+    plain = crawl(seeds.where("mode <> 'browser'"), http_edges, max_depth, max_pages)
+    weak = crawl_summary(plain, http_edges, min_pages, min_links).where("needs_browser").select("seed")
+    again = seeds.where("mode = 'auto'").join(weak, "seed", "left_semi")
+    seen = crawl(seeds.where("mode = 'browser'").unionByName(again), browser_edges, max_depth, max_pages)
+    return plain.join(again, "seed", "left_anti").withColumn("used_browser", F.lit(False)).unionByName(seen.withColumn("used_browser", F.lit(True)))
+
+
+def crawl_pages(crawled: DataFrame, fetches: DataFrame, plan: DataFrame) -> DataFrame:
+    """The pages of each crawl's answer: seed, place and page.
+
+    crawled: (seed, page, place); fetches: one per page (request_id = page); plan:
+    of crawl_plan, index = seed. Content is html, Markdown that of the options as
+    they are, without a profile.
+    """
+    from .scrape import mapped_page, rendered, with_signals
+
+    asked = plan.where("error is null").select(F.col("index").alias("seed"), "include_content", F.col("include_markdown").alias("want_markdown"), "max_content_chars")
+    got = with_signals(fetches).drop("headers").withColumn("supported", F.lit(True))
+    rows = crawled.select("seed", "place", F.col("page").alias("request_id")).join(asked, "seed").join(got, "request_id")
+    opts = F.struct(F.lit(0.48).alias("pruning_threshold"), F.lit("fixed").alias("pruning_type"), F.lit(5).alias("min_word_threshold"))
+    return rendered(rows, opts, F.lit("html")).select("seed", "place", mapped_page().alias("page"))
 
 
 def links_seen(pages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,6 +103,13 @@ def crawl_summary(pages: DataFrame, edges: DataFrame, min_pages: int = 1, min_li
     return out.withColumn("needs_browser", C.crawl_needs_browser(F.col("pages_fetched"), F.col("unique_links_seen"), min_pages, min_links))
 
 
+def crawl_counts(crawled: DataFrame, links: DataFrame) -> DataFrame:
+    """(seed, pages_fetched, unique_links_seen) of crawls (seed, page, used_browser) over the links (src, dst, used_browser) that each way of fetching sees."""
+    j = crawled.join(links, (crawled["page"] == links["src"]) & (crawled["used_browser"] == links["used_browser"]), "left")
+    n = crawled.groupBy("seed").agg(F.count("*").alias("pages_fetched"))
+    return n.join(j.groupBy("seed").agg(F.count_distinct("dst").alias("unique_links_seen")), "seed")
+
+
 def with_recovery(crawled: DataFrame, single: DataFrame, depth: int, pages: int) -> DataFrame:
     """Crawls of one page without depth that fetched nothing take the page fetched alone.
 

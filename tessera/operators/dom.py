@@ -68,6 +68,29 @@ def fit_markdown(html: Column | str, threshold: Column, kind: Column, min_words:
     return _markdown_udf(col(html), threshold.cast("double"), kind, min_words.cast("double"))
 
 
+CONTENT = T.StructType([*MARKDOWN.fields, T.StructField("main_text", T.StringType()), T.StructField("full_text", T.StringType())])
+
+
+@F.pandas_udf(CONTENT)
+def _content_udf(html: pd.Series, marked: pd.Series, main: pd.Series, full: pd.Series, threshold: pd.Series, kind: pd.Series, min_words: pd.Series) -> pd.DataFrame:
+    rows = []
+    for h, md, m, f, t, k, w in zip(html, marked, main, full, threshold, kind, min_words, strict=True):
+        row = [None] * 5
+        if h is not None and (m or f):
+            root = parse(h)
+            row[3] = X.main_text(root) if m else None
+            row[4] = X.to_text(root) if f else None
+        if h is not None and md:
+            row[:3] = X.fit_markdown(h, t, k, None if pd.isna(w) else int(w))
+        rows.append(row)
+    return pd.DataFrame(rows, columns=CONTENT.names)
+
+
+def page_content(html: Column, marked: Column, main: Column, full: Column, threshold: Column, kind: Column, min_words: Column) -> Column:
+    """struct(raw_markdown, fit_markdown, fit_html, main_text, full_text): the Markdown where marked, and the texts where asked for; all else is null."""
+    return _content_udf(html, *[F.coalesce(c, F.lit(False)) for c in (marked, main, full)], threshold.cast("double"), kind, min_words.cast("double"))
+
+
 @F.pandas_udf(T.StringType())
 def _main_text_udf(html: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else X.main_text(parse(h)) for h in html], dtype=object)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contract as C
@@ -34,6 +34,20 @@ def page_by_mode(mode: Column, http: Column, browser: Column, need: Column) -> C
     return F.when(mode == "browser", browser).when((mode == "auto") & weak, F.coalesce(browser, http)).otherwise(http)
 
 
+def rungs(fetches: DataFrame) -> DataFrame:
+    """fetches (request_id, attempt, mode, crawl_mode, ...) with the rung, 0 to 4, that each attempt is, null for those beyond.
+
+    A browser before the first http attempt is rung 0, the first three http attempts
+    are 1 to 3, a browser after them is 4; where a browser is all that is asked for,
+    its pages are 4.
+    """
+    own = Window.partitionBy("request_id")
+    http = F.col("mode") != "browser"
+    so_far = F.count_if(http).over(own.orderBy("attempt", "mode", "final_url").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rung = F.when(http, F.when(so_far <= 3, so_far)).when((F.col("crawl_mode") != "browser") & (so_far == 0) & (F.count_if(http).over(own) > 0), 0).otherwise(4)
+    return fetches.withColumn("rung", F.when(F.col("attempt").isNotNull(), rung).cast("int"))
+
+
 def climb(requests: DataFrame) -> DataFrame:
     """The ladder as columns.
 
@@ -52,7 +66,10 @@ def climb(requests: DataFrame) -> DataFrame:
     df = df.withColumn("cur1", F.when(weak(F.col("cur0")), F.col("r1")).otherwise(F.col("cur0")))
     df = df.withColumn("cur2", F.when(weak(F.col("cur1")), F.col("r2")).otherwise(F.col("cur1")))
     df = df.withColumn("cur3", F.when(weak(F.col("cur2")), F.col("r3")).otherwise(F.col("cur2")))
-    wanted = F.when(F.col("mode") == "auto", F.when(F.col("cur3").isNull(), "http_empty").otherwise(F.col("cur3")["auto_reason"])).otherwise(F.when(weak(F.col("cur3")), F.when(F.col("cur3").isNull(), "http_empty").otherwise(F.col("cur3")["http_reason"])))
+    missing = F.col("cur3").isNull()
+    auto = F.when(missing, "http_empty").otherwise(F.col("cur3")["auto_reason"])
+    http = F.when(weak(F.col("cur3")), F.when(missing, "http_low_words").otherwise(F.col("cur3")["http_reason"]))
+    wanted = F.when(F.col("mode") == "auto", auto).otherwise(http)
     df = df.withColumn("asked", F.when(auto_like, wanted))
     took = F.col("asked").isNotNull() & F.col("r4").isNotNull()
     chosen = F.when(~auto_like, F.col("r4")).when(took, F.col("r4")).otherwise(F.col("cur3"))

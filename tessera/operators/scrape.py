@@ -1,4 +1,8 @@
-"""Fetches to scored and extracted pages."""
+"""Fetches to scored and extracted pages.
+
+A request's attempts are judged one by one, put on the rungs of the ladder, and the
+page that it ends with is rendered. The attempts meet once, in a shuffle by request.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contract as C
 from ..functions import text as X
-from . import dom
+from . import dom, ladder
 
 SIGNALS = ("word_count", "char_count", "unique_word_ratio", "boilerplate_ratio", "link_density", "heading_count", "code_block_count", "link_count", "content_density", "main_content_score", "blocked_likelihood", "fallback_reason", "truncated", "language")
 
@@ -31,12 +35,12 @@ def link_count(links: Column, counted: Column) -> Column:
     return F.coalesce(F.size(links).cast("long"), counted)
 
 
-def with_signals(fetches: DataFrame, reason: Column | None = None, parsed: bool = True) -> DataFrame:
-    """fetches with content_type, supported and the struct `signals`. parsed: counts from the parsed page, else from patterns."""
+def with_signals(fetches: DataFrame, reason: Column | None = None, parsed: bool = True, selector: Column | None = None) -> DataFrame:
+    """fetches with content_type, supported and the struct `signals`. parsed: counts from the parsed page, else from patterns; selector: what dom.has_selector tells of."""
     df = native_signals(fetches).withColumn("content_type", C.content_type(F.col("headers")["content-type"]))
     df = df.withColumn("supported", C.type_supported("content_type"))
     if parsed:
-        df = df.withColumn("dom", dom.dom_features("html"))
+        df = df.withColumn("dom", dom.dom_features("html", selector))
     else:
         df = df.withColumn("dom", F.struct(X.pattern_title("html").alias("title"), X.pattern_heading_count("html").alias("heading_count"), X.pattern_code_count("html").alias("code_block_count"), X.pattern_link_count("html").alias("link_count"), X.pattern_main_score("html").alias("main_score")))
     links = link_count(F.col("page_links"), F.col("dom.link_count"))
@@ -58,34 +62,99 @@ def content(html: Column, fmt: Column, include: Column, main: Column, full: Colu
     return F.when(include, F.when(fmt == "html", html).when(fmt == "text", F.when(n < 40, full).otherwise(main)).when(fmt == "markdown", F.coalesce(fit, full)))
 
 
-def scrape(fetches: DataFrame, plan: DataFrame, options: DataFrame | None = None) -> DataFrame:
-    """The answer to each request: fetches joined with plan (of scrape_plan, index = request_id).
+def judged(fetches: DataFrame) -> DataFrame:
+    """fetches with signals and the columns of their request, with what the ladder asks: weak, auto_reason and http_reason."""
+    df = fetches.withColumn("body", C.trim_space(F.col("html")))
+    same, need = F.col("body") == F.col("html"), F.col("require_substantive")
+    words = F.when(same, F.col("word_count")).otherwise(X.visible_word_count("body"))
+    challenge = F.when(same, F.col("challenge")).otherwise(X.challenge_hit("body"))
+    df = df.withColumns({"words": words, "challenged": challenge})
+    words, challenge, has = F.col("words"), F.col("challenged"), F.col("html").isNotNull()
+    text_missing = F.coalesce((F.col("required_text") != "") & ~X.contains_text("html", F.col("required_text")), F.lit(False))
+    selector_missing = F.coalesce((F.col("wait_for_selector") != "") & ~F.col("dom.has_selector"), F.lit(False))
+    auto = C.auto_fallback(has, F.col("status_code"), C.blocked_statuses(F.col("blocked_statuses")), F.col("body"), words, challenge, need, text_missing, selector_missing, F.col("dom.main_score"), F.col("signals.link_count"), F.col("min_words"), F.col("min_score"))
+    return df.withColumns({"weak": C.weak_fetch(has, F.col("status_code"), F.col("body"), words, challenge, need), "auto_reason": auto, "http_reason": C.final_http_reason(F.col("status_code"), challenge)}).drop("body", "words", "challenged")
+
+
+#: Columns of a request that its answer needs, and of a fetch that its page needs.
+ASKED = ("request_id", "root_url", "request_error", "crawl_mode", "response_format", "include_content", "want_markdown", "require_substantive", "max_content_chars", "extraction_profile", "required_text", "wait_for_selector", "min_words", "min_score", "blocked_statuses")
+FETCHED = ("attempt", "url", "final_url", "status_code", "html", "error_status", "content_type", "supported", "signals", "weak", "auto_reason", "http_reason")
+
+
+def chosen_pages(fetches: DataFrame, plan: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """One row per request of plan that has no error of its own: its columns, those of the page that the ladder chose (null where nothing came), mode_used, reason, failed and the attempts' time.
 
-    One row per request that has no error of its own. What isn't asked for isn't
-    computed: Markdown only where it is wanted, text only for its format.
+    scores: (host, score), the failures of hosts; what isn't there is 0. A fetch
+    without html is an attempt that gave nothing; where an attempt isn't in the
+    table, it wasn't made and what was there before stays.
     """
-    f = with_signals(fetches).join(plan.withColumnRenamed("url", "root_url").withColumnRenamed("index", "request_id").withColumnRenamed("error", "request_error"), "request_id")
-    f = f.where("request_error is null")
-    if options is None:
-        t, k, w = F.lit(0.48), F.lit("fixed"), F.lit(5)
-        from ..plans.requests import fit_options
+    from ..functions.urls import host_key
+
+    names = {"url": "root_url", "index": "request_id", "error": "request_error"}
+    asked = plan.withColumnsRenamed(names).select(*ASKED).where("request_error is null")
+    if scores is not None:
+        asked = asked.withColumn("host", host_key("root_url")).join(scores, "host", "left").drop("host")
+    else:
+        asked = asked.withColumn("score", F.lit(None).cast("int"))
+    told = asked.withColumn("host_score", F.coalesce("score", F.lit(0))).drop("score")
+    rows = told.join(fetches, "request_id", "left")
+    rows = ladder.rungs(judged(with_signals(rows, selector=F.col("wait_for_selector"))))
+    page = F.struct(*FETCHED, F.col("dom.title").alias("title"))
+    own = [c for c in told.columns if c != "request_id"]
+    came = [(F.col("rung") == k) & F.col("html").isNotNull() for k in range(5)]
+    best = [F.max_by(F.when(c, page), F.when(c, F.col("attempt"))).alias(f"r{k}") for k, c in enumerate(came)]
+    met = rows.groupBy("request_id").agg(*[F.first(c).alias(c) for c in own], F.sum("duration_ms").alias("duration_ms"), *best, *[F.bool_or(F.col("rung") == k).alias(f"made{k}") for k in (1, 2, 3)])
+    for k in (1, 2, 3):
+        before = F.when(F.col("host_score") >= ladder.FORCE_BROWSER, F.col("r0")) if k == 1 else F.col(f"r{k - 1}")
+        met = met.withColumn(f"r{k}", F.when(F.col(f"made{k}"), F.col(f"r{k}")).otherwise(before)).drop(f"made{k}")
+    out = ladder.climb(met.withColumn("mode", F.col("crawl_mode"))).drop("mode", *[f"r{k}" for k in range(5)])
+    return out.select(*[c for c in out.columns if c != "chosen"], "chosen.*")
+
+
+def rendered(pages: DataFrame, opts: Column, fmt: Column) -> DataFrame:
+    """pages (html, supported, include_content, want_markdown, max_content_chars) with content and markdown, both null where not asked for or not supported; each page is parsed once for them.
+
+    opts: struct(pruning_threshold, pruning_type, min_word_threshold).
+    """
+    html = F.when(F.col("supported"), F.col("html"))
+    asks_text = F.col("include_content") & (fmt == "text")
+    asks_full = F.col("include_content") & ((fmt == "text") | ((fmt == "markdown") & ~F.col("want_markdown")))
+    got = dom.page_content(html, F.col("want_markdown"), asks_text, asks_full, opts["pruning_threshold"], opts["pruning_type"], opts["min_word_threshold"])
+    df = pages.withColumn("__got", got)
+    n = F.col("max_content_chars").cast("int")
+    cut = F.when(F.col("__got.raw_markdown").isNotNull(), F.struct(*[F.left(F.col(f"__got.{c}"), n).alias(c) for c in dom.MARKDOWN.names]))
+    df = df.withColumn("markdown", F.when(F.col("want_markdown") & F.col("supported"), cut))
+    shown = content(F.col("html"), fmt, F.col("include_content"), F.col("__got.main_text"), F.col("__got.full_text"), F.col("markdown.fit_markdown"))
+    return df.withColumn("content", F.when(F.col("supported"), shown)).drop("__got")
+
+
+def mapped_page() -> Column:
+    """The page of an answer; its bytes are those of its body, 0 without one."""
+    return F.struct("url", "final_url", "status_code", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"), F.col("signals.link_count").alias("links_extracted"), F.col("error_status").alias("error"), "content", "markdown")
+
+
+def scrape(fetches: DataFrame, plan: DataFrame, options: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """The answer to each request: the page that its fetches (attempts) end with, under plan (of scrape_plan, index = request_id).
 
-        opts = fit_options(t, k, w, F.col("extraction_profile"))
+    One row per request that has no error of its own. options: (request_id,
+    options); scores: (host, score), see chosen_pages. What isn't asked for isn't
+    computed: Markdown only where it is wanted, text only for its format. `failed`
+    is what a host's memory learns.
+    """
+    from ..plans.requests import fit_options
+
+    f = chosen_pages(fetches, plan, scores)
+    if options is None:
+        opts = fit_options(F.lit(0.48), F.lit("fixed"), F.lit(5), F.col("extraction_profile"))
     else:
         f = f.join(options, "request_id", "left")
         opts = F.col("options")
-    page_html = F.when(F.col("supported"), F.col("html"))
-    want = F.col("want_markdown")
-    text_wanted = F.col("include_content") & (F.col("response_format") != "html")
-    f = f.withColumn("opts", opts)
-    f = f.withColumn("md", dom.fit_markdown(F.when(want, page_html), F.col("opts.pruning_threshold"), F.col("opts.pruning_type"), F.col("opts.min_word_threshold")))
-    f = f.withColumn("main_text", dom.main_text(F.when(text_wanted & (F.col("response_format") == "text"), page_html))).withColumn("full_text", dom.page_text(F.when(text_wanted, page_html)))
-    n = F.col("max_content_chars").cast("int")
-    cut = F.when(F.col("md.raw_markdown").isNotNull(), F.struct(*[F.left(F.col(f"md.{c}"), n).alias(c) for c in ("raw_markdown", "fit_markdown", "fit_html")]))
+    has = F.col("html").isNotNull()
+    f = f.withColumns({"supported": F.coalesce("supported", F.lit(True)), "content_type": F.coalesce("content_type", F.lit(""))})
+    f = rendered(f, opts, F.col("response_format"))
     blank = (C.trim_space(F.coalesce(F.col("markdown.raw_markdown"), F.lit(""))) == "") & (C.trim_space(F.coalesce(F.col("markdown.fit_markdown"), F.lit(""))) == "")
-    f = f.withColumn("markdown", F.when(want & F.col("supported"), cut))
-    f = f.withColumn("content", F.when(F.col("supported"), content(F.col("html"), F.col("response_format"), F.col("include_content"), F.col("main_text"), F.col("full_text"), F.col("markdown.fit_markdown"))))
-    f = f.withColumn("error", C.scrape_error(F.col("html").isNotNull(), F.col("supported"), F.col("content_type"), F.col("status_code"), F.col("error_status"), F.col("html"), want, blank))
-    size = F.when(F.col("include_content"), F.octet_length("html")).otherwise(F.coalesce(F.octet_length("html"), F.lit(0)))
-    page = F.when(F.col("supported") & F.col("html").isNotNull(), F.struct("url", "final_url", "status_code", size.cast("long").alias("bytes"), F.col("signals.link_count").alias("links_extracted"), F.col("error_status").alias("error"), "content", "markdown"))
-    return f.select("request_id", "root_url", "final_url", "status_code", "content_type", "duration_ms", F.col("mode").alias("mode_used"), "content", "markdown", F.when(F.col("supported"), F.col("dom.title")).alias("title"), "error", "signals", page.alias("page"))
+    signals = F.when(has & F.col("supported"), F.col("signals").withField("fallback_reason", F.col("reason"))).when(has, F.col("signals")).otherwise(zero_signals("http_empty"))
+    f = f.withColumn("signals", signals)
+    error = C.scrape_error(has, F.col("supported"), F.col("content_type"), F.col("status_code"), F.col("error_status"), F.col("html"), F.col("want_markdown"), blank)
+    duration = F.coalesce("duration_ms", F.lit(0)).alias("duration_ms")
+    return f.select("request_id", "root_url", "final_url", "status_code", "content_type", duration, "mode_used", "content", "markdown", "title", error.alias("error"), "signals", F.when(F.col("supported") & has, mapped_page()).alias("page"), "failed")

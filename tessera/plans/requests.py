@@ -9,7 +9,7 @@ from ..functions.extract import PROFILES
 from ..functions.proxies import rotated
 from ..functions.urls import url_error
 
-# fixed values: name -> (default, least, most)
+# fixed values: name -> (default, least, most); sizes of batches; proxies of a list
 LIMITS = {
     "max_depth": (2, 0, 6),
     "max_pages": (100, 1, 5000),
@@ -20,6 +20,8 @@ LIMITS = {
 }
 BATCH = {"default": 4, "most": 64, "global_concurrency": 16, "per_host_concurrency": 4}
 MOST_PROXIES = 128
+# fixed values: how redirects are followed
+REDIRECTS = ("loose", "strict", "none")
 # fixed values: headers of the camoufox_like profile
 CAMOUFOX_USER_AGENT = "Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 Firefox/128.0"
 CAMOUFOX_REFERER = "https://www.google.com/"
@@ -87,16 +89,23 @@ def header_profile(profile: Column, user_agent: Column, referer: Column) -> Colu
     )
 
 
+def redirect_policy(value: Column) -> tuple[Column, Column]:
+    """The policy that a request names (null: the fetcher's own) and why it can't be followed, or null."""
+    known = value.isin(*REDIRECTS)
+    return F.when(known, value), F.when(value.isNotNull() & ~known, f"redirect_policy must be one of {', '.join(REDIRECTS)}")
+
+
 def scrape_plan(requests: DataFrame, pool: list[str] | None = None, most_proxies: int = MOST_PROXIES) -> DataFrame:
     """requests with defaults and limits; missing columns count as null. A row whose url is no target has an error."""
     df, f = requests, lambda n, k, d=None: field(requests, n, k, d)
     full = df.select(*[c for c in df.columns if c in ("index", "url")], *[f(n, "long").alias(n) for n in ("request_timeout_secs", "crawl_timeout_secs", "max_content_chars")], f("crawl_mode", "string", "http").alias("crawl_mode"), f("response_format", "string", "text").alias("response_format"), f("include_content", "boolean", True).alias("include_content"), f("include_markdown", "boolean", False).alias("include_markdown"), f("respect_robots_txt", "boolean", True).alias("respect_robots_txt"), f("redirect_limit", "long", 10).alias("redirect_limit"), f("anti_bot_profile", "string", "camoufox_like").alias("anti_bot_profile"), f("user_agent", "string").alias("user_agent"), f("referer", "string").alias("referer"), f("redirect_policy", "string").alias("redirect_policy"), f("extraction_profile", "string").alias("extraction_profile"), f("required_text", "string").alias("required_text"), f("wait_for_selector", "string").alias("wait_for_selector"), f("auto_browser_min_words", "long", 150).alias("min_words"), f("auto_browser_min_main_content_score", "double", 0.45).alias("min_score"), f("auto_browser_blocked_statuses", "array<int>").alias("blocked_statuses"), f("proxies", "array<string>").alias("proxies"), f("cursor", "long", 0).alias("cursor"))
     want = F.col("include_markdown") | (F.col("response_format") == "markdown")
+    policy, bad_policy = redirect_policy(F.col("redirect_policy"))
     out = full.select(
         *[c for c in ("index", "url") if c in full.columns],
-        url_error("url").alias("error"),
+        F.coalesce(url_error("url"), bad_policy).alias("error"),
         *[limited(n).alias(n) for n in ("request_timeout_secs", "crawl_timeout_secs", "max_content_chars")],
-        "crawl_mode", "response_format", "include_content", "respect_robots_txt", "redirect_limit", "redirect_policy", "extraction_profile", "required_text", "wait_for_selector", "min_words", "min_score", "blocked_statuses",
+        "crawl_mode", "response_format", "include_content", "respect_robots_txt", "redirect_limit", policy.alias("redirect_policy"), "extraction_profile", "required_text", "wait_for_selector", "min_words", "min_score", "blocked_statuses",
         want.alias("want_markdown"),
         (F.col("include_content") | want).alias("require_substantive"),
         header_profile(F.col("anti_bot_profile"), F.col("user_agent"), F.col("referer")).alias("headers"),
@@ -107,8 +116,9 @@ def scrape_plan(requests: DataFrame, pool: list[str] | None = None, most_proxies
 
 def crawl_plan(requests: DataFrame) -> DataFrame:
     f = lambda n, k, d=None: field(requests, n, k, d)
-    full = requests.select(*[c for c in requests.columns if c in ("index", "url")], *[f(n, "long").alias(n) for n in LIMITS], f("include_content", "boolean", False).alias("include_content"), f("include_markdown", "boolean", False).alias("include_markdown"), f("respect_robots_txt", "boolean", True).alias("respect_robots_txt"), f("subdomains", "boolean", False).alias("subdomains"), f("redirect_limit", "long", 10).alias("redirect_limit"), f("crawl_mode", "string", "http").alias("crawl_mode"), f("auto_browser_min_pages", "long", 1).alias("min_pages"), f("auto_browser_min_links", "long", 20).alias("min_links"), f("anti_bot_profile", "string", "basic").alias("anti_bot_profile"))
-    return full.select(*[c for c in full.columns if c not in LIMITS], url_error("url").alias("error"), *[limited(n).alias(n) for n in LIMITS])
+    full = requests.select(*[c for c in requests.columns if c in ("index", "url")], *[f(n, "long").alias(n) for n in LIMITS], f("include_content", "boolean", False).alias("include_content"), f("include_markdown", "boolean", False).alias("include_markdown"), f("respect_robots_txt", "boolean", True).alias("respect_robots_txt"), f("subdomains", "boolean", False).alias("subdomains"), f("redirect_limit", "long", 10).alias("redirect_limit"), f("redirect_policy", "string").alias("redirect_policy"), f("crawl_mode", "string", "http").alias("crawl_mode"), f("auto_browser_min_pages", "long", 1).alias("min_pages"), f("auto_browser_min_links", "long", 20).alias("min_links"), f("anti_bot_profile", "string", "basic").alias("anti_bot_profile"))
+    policy, bad_policy = redirect_policy(F.col("redirect_policy"))
+    return full.select(*[c for c in full.columns if c not in (*LIMITS, "redirect_policy")], policy.alias("redirect_policy"), F.coalesce(url_error("url"), bad_policy).alias("error"), *[limited(n).alias(n) for n in LIMITS])
 
 
 def single_page(plan: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one where none is set and all is on this machine."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not top:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        top = sc.getCheckpointDir()
+    return top.rstrip("/")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals out a table of fewer partitions than half the cores; each file is one row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -52,11 +66,11 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUESTS).json(path)
 
 
-def decode_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """A batch body {"requests": [...]} as one row per request, with its index."""
+def decode_requests(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A batch body {"requests": [...]} as one row per request, with its index and the columns in keep."""
     kind = T._parse_datatype_string(REQUESTS)
     items = T.StructType([T.StructField("requests", T.ArrayType(T.StructType([f for f in kind.fields if f.name != "index"])))])
-    return df.select(F.posexplode(F.from_json(body, items)["requests"]).alias("index", "r")).select(F.col("index").cast("long").alias("index"), "r.*")
+    return df.select(*keep, F.posexplode(F.from_json(body, items)["requests"]).alias("index", "r")).select(*keep, F.col("index").cast("long").alias("index"), "r.*")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

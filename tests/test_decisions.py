@@ -116,7 +116,7 @@ def test_auto_fallback(spark, status, words, score, links, reason):
 
 
 def test_batches(spark):
-    assert one(spark, batch.batch_error(0), batch.batch_error(64), batch.batch_error(65)) == ["requests must not be empty", None, "batch exceeds maximum of 64 requests"]
+    assert one(spark, batch.batch_error(0), batch.batch_error(64), batch.batch_error(65)) == ["requests must contain at least one item", None, "batch size exceeds configured maximum: 64"]
     df = spark.createDataFrame([(i, "http://a/" if i % 2 else "bad") for i in range(10)], "index long, url string")
     got = {r["index"]: (r["host"], r["wave"]) for r in batch.waves(df).collect()}
     assert got[9] == ("a", 2) and got[8] == ("", 2) and got[0] == ("", 1)
