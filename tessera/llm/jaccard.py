@@ -3,9 +3,10 @@
 1. Sharing. A document that is 0.8-similar to another shares at least 0.8 of its
    shingles. Shingle hashes are dealt by value to buckets, in one row of packed
    arrays per batch and bucket; each bucket finds the shingles of two or more
-   different sets and sends back one count per document. Most documents end here.
-   Equal sets have equal digests and count once, whatever the number of copies, and
-   a shingle that sets of one batch share goes on once.
+   batches and sends back one count per document. Most documents end here. Equal
+   sets of a batch, and a shingle that sets of one batch share, go on once. Copies
+   in several batches pass this filter; from here on, equal sets, told by their
+   digests, count once, whatever their number.
 2. Blocks. For the rest the same exchange gives every shingle's frequency. Sets
    are ordered from rare to frequent; two similar sets share a shingle among the
    first |x| - ceil(0.8 |x|) + 1. Every task sends on one set per such shingle and
@@ -35,6 +36,10 @@ from .words import Words
 N = 5
 #: Bytes of text that one block may have in one task.
 BLOCK_BYTES = 48 << 20
+#: Bits of a bucket's number at most.
+MOST_BITS = 18
+#: Shingles of a bucket that are sorted at a time.
+SORTED = 1 << 21
 
 
 def shingle_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
@@ -63,29 +68,49 @@ def similar(inter: int, a: int, b: int) -> bool:
     return 180 * inter >= 80 * (a + b)
 
 
-ROWS = "bucket int, batch long, docs binary, marks binary, counts binary, tokens binary"
-SCHEMA = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("docs", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+ROWS = "bucket int, batch long, docs binary, places binary, counts binary, tokens binary"
+SCHEMA = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("docs", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+#: Shingles that a batch has for each bucket, if it can.
+SHARE = 32
+#: Documents of a batch at most, so that two bytes tell their place.
+MOST_DOCS = 60_000
 
 
-def _batches(batches):
-    """Of each batch its number, doc_ids, shingle sets, digests and sizes."""
-    part, seq = TaskContext.get().partitionId(), 0
-    for b in pieces(batches, rows=4000, most=2 << 20):
-        sets = shingle_sets(b.column(1))
-        yield (part << 32) + seq, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets, np.array([digest(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
+def _batches(batches, bits: int):
+    """Of each batch its number, doc_ids, shingle sets, digests and sizes. The more buckets, the longer the batches, so that rows don't get short."""
+    part, seq, ids, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
+
+    def done():
+        nonlocal seq, ids, sets, held
         seq += 1
+        out = (part << 32) + seq - 1, np.concatenate(ids), sets, np.array([digest(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
+        ids, sets, held = [], [], 0
+        return out
+
+    for b in pieces(batches, rows=4000, most=2 << 20):
+        own = shingle_sets(b.column(1))
+        if ids and len(sets) + len(own) > MOST_DOCS:
+            yield done()
+        ids.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        sets.extend(own)
+        held += sum(map(len, own))
+        if held >= SHARE << bits:
+            yield done()
+    if ids:
+        yield done()
 
 
 def _deal(bits: int):
     """One row per batch and bucket: 4 bytes, after the bucket's bits, of the shingles of each different set there, set after set.
 
     A shingle that different sets of the batch share goes there once, as one of a
-    set of its own that no other batch has, and is counted at once; equal sets go
-    once. So no shingle and no copy comes more often than there are batches.
+    set of its own, the last, and is counted at once; equal sets go once. So no
+    shingle and no copy comes more often than there are batches, and a shingle that
+    comes twice is in two batches.
     """
 
     def run(batches):
-        for batch, ids, sets, marks, size in _batches(batches):
+        for batch, ids, sets, marks, size in _batches(batches, bits):
             first = np.unique(marks, return_index=True)[1]
             first = first[size[first] > 0]
             tok = np.concatenate([sets[i] for i in first]) if len(first) else np.zeros(0, np.uint64)
@@ -96,25 +121,25 @@ def _deal(bits: int):
             n = np.diff(np.r_[at, len(tok)])
             several = np.repeat(n > 1, n)
             here = np.bincount(doc[several], minlength=len(ids))
-            # the sign of what is shared here is a set of its own, the last
             tok, doc = np.r_[tok[~several], tok[at[n > 1]]], np.r_[doc[~several], np.full(int((n > 1).sum()), len(ids))]
             bucket = (tok >> np.uint64(64 - bits)).astype(np.int64)
             o = np.lexsort((tok, doc, bucket))
             tok, doc, bucket = ((tok[o] << np.uint64(bits)) >> np.uint64(32)).astype("<u4"), doc[o], bucket[o]
-            own = np.r_[marks, np.int64(xxhash.xxh64_intdigest(b"sign", seed=batch) - (1 << 63))]
-            cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            out = {k: [] for k in SCHEMA.names}
-            for k in range(1 << bits):
-                x, y = cut[k], cut[k + 1]
-                if k and x == y:
-                    continue
-                place, count = np.unique(doc[x:y], return_counts=True)
-                out["bucket"].append(k), out["batch"].append(batch)
-                out["docs"].append(np.stack([ids, marks, size, here]).tobytes() if k == 0 else None)
-                out["marks"].append(np.r_[place, own[place]].tobytes())
-                out["counts"].append(count.astype("<u4").tobytes())
-                out["tokens"].append(tok[x:y].tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
+            # runs of one set in one bucket
+            run_at = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])]) if len(tok) else np.zeros(0, np.int64)
+            place, count = doc[run_at].astype("<u2"), np.diff(np.r_[run_at, len(tok)]).astype("<u4")
+            used = np.unique(np.r_[0, bucket])
+            cut, run_cut = np.searchsorted(bucket, np.r_[used, 1 << bits]), np.searchsorted(bucket[run_at], np.r_[used, 1 << bits])
+            docs = np.stack([ids, marks, size, here]).tobytes()
+            for a in range(0, len(used), 4096):
+                out = {k: [] for k in SCHEMA.names}
+                for i in range(a, min(a + 4096, len(used))):
+                    x, y = run_cut[i], run_cut[i + 1]
+                    out["bucket"].append(int(used[i])), out["batch"].append(batch)
+                    out["docs"].append(docs if i == 0 else None)
+                    out["places"].append(place[x:y].tobytes()), out["counts"].append(count[x:y].tobytes())
+                    out["tokens"].append(tok[cut[i] : cut[i + 1]].tobytes())
+                yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
 
     return run
 
@@ -123,7 +148,7 @@ def _deal_counted(bits: int):
     """One row per batch and bucket: the batch's different shingles there and in how many of its sets each is; and one row, in a bucket below 0, with its sets."""
 
     def run(batches):
-        for batch, ids, sets, marks, size in _batches(batches):
+        for batch, ids, sets, marks, size in _batches(batches, bits):
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             tok, n = np.unique(flat, return_counts=True)
             cut = np.searchsorted((tok >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
@@ -131,7 +156,7 @@ def _deal_counted(bits: int):
             none = [None] * len(used)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "bucket": [-1 - batch % (1 << 20), *used], "batch": [batch] * (len(used) + 1), "docs": [np.stack([ids, marks, size]).tobytes(), *none], "marks": [None, *none],
+                    "bucket": [-1 - batch % (1 << 20), *used], "batch": [batch] * (len(used) + 1), "docs": [np.stack([ids, marks, size]).tobytes(), *none], "places": [None, *none],
                     "counts": [None, *(n[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in used)], "tokens": [flat.tobytes(), *(tok[cut[k] : cut[k + 1]].tobytes() for k in used)],
                 },
                 schema=SCHEMA,
@@ -155,24 +180,27 @@ def runs_of(batches, key: int = 0):
 
 
 def _weigh(batches):
-    """Bucket by bucket: back go, for each batch, how many shingles of each of its sets are in another set too."""
+    """Bucket by bucket: back go, for each batch, how many shingles of each of its sets are in another batch too. Long buckets are sorted in ranges of their shingles."""
     for rows in runs_of(batches):
         tok = np.concatenate([np.frombuffer(r[5], "<u4") for r in rows])
-        own = [np.frombuffer(r[3], np.int64) for r in rows]
-        counts = [np.frombuffer(r[4], "<u4").astype(np.int64) for r in rows]
-        place = np.concatenate([x[: len(x) // 2] for x in own])
-        marks = np.concatenate([x[len(x) // 2 :] for x in own])
+        counts = [np.frombuffer(r[4], "<u4") for r in rows]
         n = np.concatenate(counts)
         doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        o = np.argsort(tok, kind="stable")
-        t, m = tok[o], marks[doc[o]]
-        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
-        other = np.minimum.reduceat(m, first) != np.maximum.reduceat(m, first) if len(t) else np.zeros(0, bool)
-        back = np.empty(len(tok), bool)
-        back[o] = np.repeat(other, np.diff(np.r_[first, len(t)]))
-        shared = np.bincount(doc, back, len(n)).astype(np.int64)
+        shared = np.zeros(len(n), np.int64)
+        ranges = np.linspace(0, 1 << 32, -(-len(tok) // SORTED) + 1).astype(np.int64)
+        for low, high in zip(ranges[:-1], ranges[1:], strict=True):
+            t, d = tok, doc
+            if len(ranges) > 2:
+                on = (tok >= low) & (tok < high)
+                t, d = tok[on], doc[on]
+            if not len(t):
+                continue
+            o = np.argsort(t, kind="stable")
+            t, d = t[o], d[o]
+            same = t[1:] == t[:-1]
+            shared += np.bincount(d[np.r_[False, same] | np.r_[same, False]], minlength=len(n))
         cut = np.cumsum([len(x) for x in counts])[:-1]
-        out = {"batch": [r[1] for r in rows], "docs": [r[2] for r in rows], "place": [x.astype("<u4").tobytes() for x in np.split(place, cut)], "shared": [x.astype("<u4").tobytes() for x in np.split(shared, cut)]}
+        out = {"batch": [r[1] for r in rows], "docs": [r[2] for r in rows], "place": [r[3] for r in rows], "shared": [x.astype("<u4").tobytes() for x in np.split(shared, cut)]}
         for i in range(0, len(rows), 64):
             yield pa.RecordBatch.from_pydict({k: v[i : i + 64] for k, v in out.items()}, schema=pa.schema([(k, pa.int64() if k == "batch" else pa.binary()) for k in out]))
 
@@ -199,7 +227,7 @@ def _gather_counts(batches):
         docs = next(np.frombuffer(r[1], np.int64).reshape(4, -1) for r in rows if r[1] is not None)
         shared = np.zeros(docs.shape[1] + 1, np.int64)  # the last is that of the sign
         for r in rows:
-            np.add.at(shared, np.frombuffer(r[2], "<u4").astype(np.int64), np.frombuffer(r[3], "<u4").astype(np.int64))
+            np.add.at(shared, np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<u4").astype(np.int64))
         # equal sets were counted at the first of them
         first, of = np.unique(docs[1], return_index=True, return_inverse=True)[1:]
         shared = (shared[:-1] + docs[3])[first][of]
@@ -398,6 +426,12 @@ def _sizes(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(0)], names=["doc_id", "n_shingles", "component_id"])
 
 
+def _bits(docs: DataFrame) -> int:
+    """Bits of a bucket's number: some four buckets for each partition of the input or of a shuffle, so that their size doesn't grow with the input and partitions are even."""
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    return min(MOST_BITS, max(5, math.ceil(math.log2(4 * partitions))))
+
+
 def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -411,7 +445,7 @@ def jaccard_components(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nameless = rows.where("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long")
     docs = spread(rows.where("doc_id is not null"))
-    bits = min(16, max(5, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    bits = _bits(docs)
     dealt = docs.mapInArrow(_deal(bits), ROWS).repartition("bucket").sortWithinPartitions("bucket")
     counted = dealt.mapInArrow(_weigh, "batch long, docs binary, place binary, shared binary").repartition("batch").sortWithinPartitions("batch")
     known = settle(counted.mapInArrow(_gather_counts, "doc_id long, digest long, n long, alive boolean"))
