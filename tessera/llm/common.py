@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 #: A word: a run of bytes that are neither a blank nor one of \t \n \v \f \r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A-Z to a-z, all else unchanged.
@@ -46,15 +48,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores // 2 else df.repartition(cores)
 
 
+#: Paths of the settled tables that are there, in the order in which they were made.
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path in the shared checkpoint folder; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(top)
-        top = sc.getCheckpointDir()
-    return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -63,16 +63,31 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    _made.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a settled table that no later plan reads."""
     path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _delete(df.sparkSession, path)
+
+
+def settled_alone(df: DataFrame, make) -> DataFrame:
+    """make(df), settled; all tables that were settled on the way, and df if it is such a table, are deleted."""
+    before = len(_made)
+    out = settle(make(df))
+    for path in [p for p in _made[before:] if p != out._tessera_path]:
+        _delete(out.sparkSession, path)
+    discard(df)
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,7 +99,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pieces(batches, rows: int = 2000, most: int = 4 << 20, column: str = "text"):
+def trim() -> None:
+    """Gives freed memory back to the system, which the allocator else keeps for the life of the worker."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def pieces(batches, rows: int = 2000, most: int = 1 << 20, column: str = "text"):
     """Cuts record batches into slices of few rows and, single long rows apart, few bytes."""
     for b in batches:
         if not b.num_rows:
@@ -100,6 +123,7 @@ def pieces(batches, rows: int = 2000, most: int = 4 << 20, column: str = "text")
                 begin, held = i, 0
             held += n
         yield b.slice(begin)
+    trim()
 
 
 def spans_union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

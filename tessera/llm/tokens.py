@@ -11,7 +11,7 @@ SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 #: Characters on which Python's classes and Unicode's L, N and White_Space differ, or that lie beyond Latin letters.
 ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 #: Pre-tokens that one worker keeps.
-KEEP = 900_000
+KEEP = 500_000
 
 _made: dict = {}
 

@@ -10,18 +10,25 @@ from .common import MULT, mixed
 #: A multiplier's inverse modulo 2**64.
 BACK = np.uint64(pow(int(MULT), -1, 1 << 64))
 
+#: Powers that a worker keeps; those for a longer text are made for it alone.
+MOST_POWERS = 5 << 19
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """MULT**i and MULT**-i for i below n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((MULT, BACK)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.cumprod(out, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = (n | 0xFFFF) + 1
+    made = []
+    for base in (MULT, BACK):
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        made.append(np.cumprod(out, dtype=np.uint64, out=out))
+    if size <= MOST_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
