@@ -1,6 +1,6 @@
 """Quality classifier (operator 9): supervised subword embeddings.
 
-Every word and every character n-gram (in bytes) of a word is hashed to a row of a table
+Every word and every character n-gram of a word is hashed to a row of a table
 of vectors. A document is the average of the rows of all its words; a softmax
 over that average gives the score. Table and softmax are learned together by
 stochastic gradient descent in numpy. As softmax and average are linear, the
@@ -30,28 +30,32 @@ AGAIN = xxhash.xxh32_intdigest(b"again") % BUCKETS
 
 
 class _Text:
-    """A batch's words with one blank before, between and after them, document after document."""
+    """The characters of a batch's words with one blank before, between and after them, document after document."""
 
     def __init__(self, column):
         w = self.words = Words(column)
-        size = w.end - w.begin
+        # characters before each byte
+        at = np.r_[0, np.cumsum((w.body & 0xC0) != 0x80)]
+        begin = at[w.begin]
+        size = at[w.end] - begin
         docs = len(w.first) - 1
         # each document begins with a blank and each word ends with one
         lead = w.doc + 1
         self.end = np.cumsum(size + 1) - 1 + lead
         self.begin = self.end - size
         total = int((size + 1).sum()) + docs
-        out = np.full(total, 32, np.uint8)
+        out = np.full(total, 32, np.uint32)
         if len(size):
+            code = np.frombuffer(w.body.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
             inner = np.arange(int(size.sum())) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-            out[inner + np.repeat(self.begin, size)] = w.body[inner + np.repeat(w.begin, size)]
+            out[inner + np.repeat(self.begin, size)] = code[inner + np.repeat(begin, size)]
         self.text = out
         words = np.bincount(w.doc, size + 1, docs).astype(np.int64) if docs else np.zeros(0, np.int64)
         self.doc = np.repeat(np.arange(docs), words + 1)
 
 
 def rows_of(column) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of all documents of a batch and whose each is: for every word that of the word and those of its byte n-grams, its ends marked by blanks, and one for a word that is the same as the one before."""
+    """The rows of all documents of a batch and whose each is: for every word that of the word and those of its character n-grams, its ends marked by blanks, and one for a word that is the same as the one before."""
     t = _Text(column)
     w, b = t.words, t.text.astype(np.uint64)
     shift = np.uint64(64 - BITS)
@@ -59,15 +63,15 @@ def rows_of(column) -> tuple[np.ndarray, np.ndarray]:
     again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1]))
     rows.append(np.full(len(again), AGAIN, np.int32)), docs.append(w.doc[again])
     blank = np.r_[0, np.cumsum(t.text == 32)]
-    n_bytes = len(b)
+    n_chars = len(b)
     key = b
     for n in range(2, max(SIZES) + 1):
-        if n_bytes < n:
+        if n_chars < n:
             break
-        key = (key[: n_bytes - n + 1] << np.uint64(8)) | b[n - 1 :]
+        key = key[: n_chars - n + 1] * MULT + b[n - 1 :]
         if n not in SIZES:
             continue
-        at = np.arange(n_bytes - n + 1)
+        at = np.arange(n_chars - n + 1)
         # blanks only at the ends, and no two ends of different documents
         ok = (blank[at + n - 1] == blank[at + 1]) & (t.doc[at] == t.doc[at + n - 1])
         if n == 2:
@@ -183,8 +187,9 @@ def classify(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: s
     """Scores every whole text: doc_id, held_out, score (higher: label 1 likelier), predicted.
 
     Null and empty texts get the score of no evidence; repeated rows are scored
-    row by row; without labelled rows every score is the same. Other columns are
-    ignored.
+    row by row, a row without a doc_id like any other; equal texts have equal
+    scores; a text of any length is read whole. Without labelled rows every score is
+    the same. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -195,7 +200,11 @@ def classify(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, cut: float = 0.7, most: int = MOST_LABELLED) -> DataFrame:
-    """docs without the rows that the classifier rejects, with all columns as they are."""
+    """docs without the rows that the classifier rejects, with all columns as they are, whatever their names.
+
+    Null and empty texts are judged by the score of no evidence; each row is judged
+    on its own, so equal ones stay or go together; an empty table stays empty.
+    """
     importable(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, modulus, held, most))
     return spread(docs).mapInArrow(_kept(model, cut), docs.schema)

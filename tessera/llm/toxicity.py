@@ -5,8 +5,9 @@ are mined from a bounded sample and dealt to lexicon voters by how well they tel
 pattern voters look at case, punctuation and address. All documents outside the held-out fold vote.
 A generative model takes from the voters' moments over all of them each voter's
 accuracy (by triplets of voters) and the correlations beyond what the accuracies
-explain; it weighs the votes by the inverse of that covariance. Its posteriors
-are the labels from which a linear classifier over term counts is trained.
+explain; a vote's evidence, the log-ratio of its probabilities, is divided by one plus
+its voter's correlations, so that voters that repeat each other don't count for more.
+The posteriors are the labels from which a linear classifier over term counts is trained.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as terms.
 HEADS = (3, 4, 5, 6)
 MOST_LABELLED = 6000
+#: Terms of the lexicons, those of the best odds: 16 in the first of nine, twice as many up to each other one.
 MOST_TERMS = 4096
 LEXICONS = 9
 #: Documents whose posterior labels train the classifier at most.
@@ -140,10 +142,9 @@ def _vote(model):
         lex = _lexicon(terms)
         m = LEXICONS + 1 + len(PATTERNS)
         total, sums, prods, n = np.zeros(m), np.zeros(m), np.zeros((m, m)), 0
-        ids, kept = [], []
         for b in pieces(batches):
             rows = []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for t in b.column("text").to_pylist():
                 words = LETTERS.findall((t or "").lower())
                 h = lex.hits(words)
                 rows.append(votes(t or "", words, h))
@@ -155,13 +156,13 @@ def _vote(model):
     return run
 
 
-def label_model(n: int, moments: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Accuracies, residual correlations and weights of the voters from their moments.
+def label_model(n: int, moments: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Accuracies and residual correlations of the voters from their moments.
 
     With Y in {-1, 1} of mean 2*prior-1, votes that are independent given Y have
     Cov(i, j) = Cov(i, Y) Cov(j, Y) / Var(Y); the median over triplets gives
     each |Cov(i, Y)|. What of Cov(i, j) is beyond that product is the voters'
-    own correlation. The weights are those of the best linear guess of Y.
+    own correlation.
     """
     m = LEXICONS + 1 + len(PATTERNS)
     mean = moments[m : 2 * m] / n
@@ -172,9 +173,7 @@ def label_model(n: int, moments: np.ndarray, prior: float) -> tuple[np.ndarray,
         got = [abs(cov[i, j] * cov[i, k] / cov[j, k]) for j, k in itertools.combinations([x for x in range(m) if x != i], 2) if abs(cov[j, k]) > 1e-6 and cov[i, j] > 0 and cov[i, k] > 0]
         a[i] = math.sqrt(np.median(got) * var_y) if got else 0.0
     a = np.minimum(a, np.sqrt(np.maximum(np.diag(cov), 0) * var_y) * 0.999)
-    residual = cov - np.outer(a, a) / var_y
-    w = np.linalg.solve(cov + (1e-3 + 1e-3 * np.trace(cov) / m) * np.eye(m), a)
-    return a, residual, w
+    return a, cov - np.outer(a, a) / var_y
 
 
 def posteriors(v: np.ndarray, mean: np.ndarray, accuracy: np.ndarray, residual: np.ndarray, prior: float) -> np.ndarray:
@@ -269,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, m
     if not sums:
         return plain
     n, moments = sums[0]["n"], np.array([r["x"] for r in sums])
-    accuracy, residual, _ = label_model(n, moments, prior)
+    accuracy, residual = label_model(n, moments, prior)
     # the classifier's documents: labelled ones for balance, and as many others
     chosen = labelled_sample(labels, "toxic", modulus, held, most)
     both = mine_rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
@@ -293,8 +292,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: i
     """Scores every whole text: doc_id, held_out, score (higher: label 1 likelier), predicted.
 
     Null and empty texts have no terms and get the score of the bias; repeated
-    rows are scored row by row; without labels of both kinds every score is the
-    prior. Other columns are ignored.
+    rows are scored row by row, a row without a doc_id like any other; equal texts
+    have equal scores; a text of any length is read whole. Without labels of both
+    kinds every score is the prior. An empty table gives no rows; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     importable(spark)

@@ -79,6 +79,15 @@ def test_rows_of_a_text():
     assert own[0] == sorted(own[2] * 2 + [quality.AGAIN]) and len(own[3]) == 1 + 2 + 1
 
 
+def test_rows_of_a_text_are_of_characters():
+    import pyarrow as pa
+
+    rows, docs = quality.rows_of(pa.array(["日本 éa", "aé", "日本", "ab"]))
+    own = [sorted(rows[docs == d].tolist()) for d in range(4)]
+    assert [len(x) for x in own] == [14, 7, 7, 7]  # the word, three 2-grams, two 3-grams, one 4-gram
+    assert set(own[2]) <= set(own[0]) and not set(own[1]) & set(own[2])
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(8)
     m, n = toxicity.LEXICONS + 1 + len(toxicity.PATTERNS), 60_000
@@ -87,11 +96,19 @@ def test_label_model_finds_accuracies_and_correlations():
     v = np.where(rng.random((n, m)) < right, y[:, None], -y[:, None]).astype(float)
     v[:, 1] = v[:, 0]  # two voters that are one
     moments = np.r_[(v != 0).sum(0), v.sum(0), (v.T @ v).ravel()]
-    a, residual, w = toxicity.label_model(n, moments, 0.3)
+    a, residual = toxicity.label_model(n, moments, 0.3)
     var = 1 - 0.4**2
     assert a[2:] / var == pytest.approx((2 * right - 1)[2:], abs=0.08)
-    assert residual[0, 1] > 5 * abs(residual[2, 3]) and w[0] + w[1] < 1.8 * w[2]
-    assert np.mean(np.sign((v - moments[m : 2 * m] / n) @ w + (0.6 - 1) * 0) == y) > 0.9
+    assert residual[0, 1] > 5 * abs(residual[2, 3])
+    mean = moments[m : 2 * m] / n
+    assert np.mean((toxicity.posteriors(v, mean, a, residual, 0.3) > 0.5) == (y > 0)) > 0.9
+    # voters that are one say hardly more together than either alone would
+    one, both = np.zeros((1, m)), np.zeros((1, m))
+    one[0, 0], both[0, :2] = 1, 1
+    alone = residual.copy()
+    alone[0, 1] = alone[1, 0] = 0
+    odds = lambda v, r: np.log(1 / (1 / toxicity.posteriors(v, mean, a, r, 0.3)[0] - 1)) - np.log(0.3 / 0.7)
+    assert odds(both, residual) < 1.5 * odds(one, alone)
 
 
 def test_posteriors_follow_precise_voters():
@@ -102,7 +119,7 @@ def test_posteriors_follow_precise_voters():
     v[:, 0][y & (rng.random(len(y)) < 0.6)] = 1  # never wrong when it says toxic
     v[:, 1:][rng.random((len(y), m - 1)) < np.where(y, 0.5, 0.2)[:, None]] = 1
     moments = np.r_[(v != 0).sum(0), v.sum(0), (v.T @ v).ravel()]
-    a, residual, _ = toxicity.label_model(len(y), moments, 0.1)
+    a, residual = toxicity.label_model(len(y), moments, 0.1)
     p = toxicity.posteriors(v, v.mean(0), a, residual, 0.1)
     assert ((p > 0.5) == y).mean() > 0.97 and p[v[:, 0] > 0].mean() > 0.9
 
@@ -352,6 +369,43 @@ def test_leaks_of_long_items_whose_parts_are_known(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k, _ in items]
 
 
+def test_pipeline_takes_planted_passages_and_leaves_clean_text(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    passages = [text(55) for _ in range(5)]
+    own = {i: (text(40), text(50)) for i in range(40)}
+    rows = [(i, f"{a} {passages[i % 5]} {b}" if i < 20 else f"{a} {b}", "en", "s", 0) for i, (a, b) in own.items()]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeats(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    for i, text_, *_ in rows:
+        if i < 20:
+            assert passages[i % 5][3:-3] not in got[i] and own[i][0][:-3] in got[i] and own[i][1][3:] in got[i]
+        else:
+            assert got[i] == text_
+
+
+def test_pipeline_judges_rows_one_by_one(spark):
+    """Rows that share a doc_id, equal rows, null and empty texts, rows without a doc_id, and an empty table."""
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    a, b, c = text(80), text(80), text(80)
+    near = " ".join(["changed", *a.split(" ")[1:]])
+    rows = [(1, a), (1, a), (1, b), (2, near), (3, c), (3, a), (4, None), (5, ""), (None, a), (None, None), (6, f"{text(30)} {item} {text(30)}"), (6, text(60)), (7, ""), (4, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone long, row long, again string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, "x") for i, t in rows], schema).repartition(3)
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert told(got) == sorted([(1, a), (1, b), (3, c), (4, None), (5, ""), (None, a), (None, None), *rows[10:13]], key=repr)
+    got = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert got.columns == docs.columns and told(got) == sorted([r for r in rows if r is not rows[10]], key=repr)
+    nothing = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SF).count() == 0
+    assert corpus_pipeline.packing(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.quality(spark, docs, SF).columns == docs.columns
+
+
 def test_pipeline(spark):
     """Each stage does its work on what the one before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -363,6 +417,9 @@ def test_pipeline(spark):
         assert ids <= {r["doc_id"] for r in kept.select("doc_id").collect()}
         seen.append(len(ids))
         kept = out
+        if name == "repeats":
+            assert out.join(before, "doc_id").where("text <> before").count() > 10
+        before = out.select("doc_id", F.col("text").alias("before"))
     assert seen[0] > seen[1] > seen[2] == seen[3] > seen[4] > 0.6 * seen[0]
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert {r["doc_id"] for r in last.select("doc_id").collect()} == ids and last.columns == packing.pack(kept.limit(0)).columns
