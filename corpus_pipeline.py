@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
 all but the last return the columns of documents. SQL can't express the learned
 first stage, so no stage has an oracle; tests hold each against brute force.
+
+Rows are judged one by one: where several rows have a doc_id, each is kept or goes
+for its own text. Null and empty texts, and rows without a doc_id, are rows like
+others but for what a stage says of them; texts of any length are read whole; an
+empty table stays empty; further columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -10,43 +15,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, settle, table
+from tessera.llm.common import BROADCAST_ROWS, settle, settled_alone, table
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
-from tessera.llm.suffixes import without_repeats
+from tessera.llm.suffixes import PASSAGE, without_repeats
+
+
+def _row() -> "F.Column":
+    """A number of a row that equal (doc_id, text) share, null without a doc_id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs as the operators read them, under their rows' numbers."""
+    return docs.select(_row().alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the given doc_ids, which are broadcast while few. A null doc_id stays."""
-    gone = settle(ids.select(F.col("doc_id").alias("__gone")).distinct())
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, docs["doc_id"].cast("long") == side["__gone"], "left_anti")
+def _sized(df: DataFrame) -> DataFrame:
+    """df to be broadcast while it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows of the given numbers (gone)."""
+    return docs.join(_sized(settle(rows.distinct())), _row() == F.col("gone"), "left_anti")
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with one of each set of rows equal in doc_id and text: of equal ones, any stands for all."""
+    again = settle(docs.groupBy(_row().alias("again")).agg(F.count("*").alias("n")).where("n > 1 and again is not null").select("again"))
+    if again.isEmpty():
+        return docs
+    one = docs.join(_sized(again), _row() == F.col("again"))
+    return docs.join(_sized(again), _row() == F.col("again"), "left_anti").unionByName(one.dropDuplicates(["again"]).drop("again"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier (9) doesn't reject."""
+    """Documents that the quality classifier (9) doesn't reject; null and empty texts have the score of no evidence."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class of the n-gram Jaccard join (7)."""
-    return _without(docs, jaccard_components(docs).where("doc_id <> component_id"))
+    """One document of each class of the n-gram Jaccard join (7): that of the smallest doc_id, of several such the one of the smallest number.
+
+    Texts without words and rows without a doc_id are in no class and stay, but of
+    rows that are equal in doc_id and text one stays.
+    """
+    found = settle(jaccard_components(_rows(docs)).where("doc_id <> component_id").select(F.col("doc_id").alias("row"), F.col("component_id").alias("class")))
+    member = found.unionByName(found.select(F.col("class").alias("row"), "class")).distinct()
+    named = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("name")).join(_sized(member), "row")
+    first = named.groupBy("class").agg(F.min(F.struct("name", "row")).alias("first")).select("class", F.col("first.row").alias("stays"))
+    gone = member.join(first, "class").where("row <> stays")
+    return _once(_without(docs, gone.select(F.col("row").alias("gone"))))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that suffix-array dedup (3) removes."""
-    return without_repeats(docs)
+    """Texts without the bytes that suffix-array dedup (3) removes: those of strings of PASSAGE bytes, some 40 words, that are there twice. A null text stays null."""
+    return without_repeats(docs, PASSAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item (1)."""
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold no benchmark item (1); rows without a doc_id stay."""
+    leaks = find_leaks(_rows(docs), table(spark, sf_dir, "benchmark"))
+    return _without(docs, leaks.where("doc_id is not null").select(F.col("doc_id").alias("gone")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed (5)."""
+    """The pieces of all documents, packed (5): a null or empty text is one id, repeated rows are packed row by row."""
     return pack(docs)
 
 
@@ -59,5 +96,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        docs = settled_alone(docs, lambda kept, stage=stage: stage(spark, kept, sf_dir))
     return docs
