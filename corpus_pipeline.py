@@ -23,14 +23,15 @@ from tessera.llm.quality import keep_good
 from tessera.llm.suffixes import PASSAGE, without_repeats
 
 
-def _row() -> "F.Column":
-    """A number of a row that equal (doc_id, text) share, null without a doc_id."""
-    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): each row as a struct, and its number, which equal (doc_id, text) share and which is null without a doc_id."""
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs as the operators read them, under their rows' numbers."""
-    return docs.select(_row().alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _texts(rows: DataFrame) -> DataFrame:
+    """The texts as the operators read them, under their rows' numbers."""
+    return rows.select(F.col("row").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -38,18 +39,18 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the rows of the given numbers (gone)."""
-    return docs.join(_sized(settle(rows.distinct())), _row() == F.col("gone"), "left_anti")
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows but those of the given numbers."""
+    return rows.join(_sized(settle(gone.select("row").distinct())), "row", "left_anti")
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    """docs with one of each set of rows equal in doc_id and text: of equal ones, any stands for all."""
-    again = settle(docs.groupBy(_row().alias("again")).agg(F.count("*").alias("n")).where("n > 1 and again is not null").select("again"))
+def _once(rows: DataFrame) -> DataFrame:
+    """One of each set of rows equal in doc_id and text: of equal ones, any stands for all."""
+    again = settle(rows.where("row is not null").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"))
     if again.isEmpty():
-        return docs
-    one = docs.join(_sized(again), _row() == F.col("again"))
-    return docs.join(_sized(again), _row() == F.col("again"), "left_anti").unionByName(one.dropDuplicates(["again"]).drop("again"))
+        return rows
+    again = _sized(again)
+    return rows.join(again, "row", "left_anti").unionByName(rows.join(again, "row").dropDuplicates(["row"]))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +64,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words and rows without a doc_id are in no class and stay, but of
     rows that are equal in doc_id and text one stays.
     """
-    found = settle(jaccard_components(_rows(docs)).where("doc_id <> component_id").select(F.col("doc_id").alias("row"), F.col("component_id").alias("class")))
-    member = found.unionByName(found.select(F.col("class").alias("row"), "class")).distinct()
-    named = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("name")).join(_sized(member), "row")
+    rows = _numbered(docs)
+    found = settle(jaccard_components(_texts(rows)).where("doc_id <> component_id").select(F.col("doc_id").alias("row"), F.col("component_id").alias("class")))
+    member = settle(found.unionByName(found.select(F.col("class").alias("row"), "class")).distinct())
+    named = rows.select("row", F.col("doc.doc_id").cast("long").alias("name")).join(_sized(member), "row")
     first = named.groupBy("class").agg(F.min(F.struct("name", "row")).alias("first")).select("class", F.col("first.row").alias("stays"))
-    gone = member.join(first, "class").where("row <> stays")
-    return _once(_without(docs, gone.select(F.col("row").alias("gone"))))
+    return _once(_without(rows, member.join(first, "class").where("row <> stays"))).select("doc.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +79,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (1); rows without a doc_id stay."""
-    leaks = find_leaks(_rows(docs), table(spark, sf_dir, "benchmark"))
-    return _without(docs, leaks.where("doc_id is not null").select(F.col("doc_id").alias("gone")))
+    rows = _numbered(docs)
+    leaks = find_leaks(_texts(rows), table(spark, sf_dir, "benchmark"))
+    return _without(rows, leaks.where("doc_id is not null").select(F.col("doc_id").alias("row"))).select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
