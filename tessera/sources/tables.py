@@ -34,10 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+#: Partitions of a table that is dealt out at most: a larger one has work enough for many cores, and its shuffle would cost more than it gains.
+SPREAD_MOST = 256
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals out a table of fewer partitions than half the cores; each file is one row group."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores // 2 else df.repartition(cores)
+    """Deals out a table of fewer partitions than half the cores, as files of one row group give them; a larger one stays as it is."""
+    cores, n = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < min(cores // 2, SPREAD_MOST) else df
 
 
 def fetches_from_pages(pages: DataFrame, status: Column | None = None, content_type: Column | None = None) -> DataFrame:
