@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import shared_folder, spread
 
 #: A word: a run of bytes that are neither a blank nor one of \t \n \v \f \r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,12 +42,6 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals out a table that has fewer partitions than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores // 2 else df.repartition(cores)
-
-
 #: Paths of the settled tables that are there, in the order in which they were made.
 _made: list[str] = []
 
