@@ -7,9 +7,11 @@ consecutive windows with one anchor is a row (hash, row key, first window, numbe
 Hashes that occur once are dropped. For the others, the stretch of text that the
 run's windows cover (a context) goes to the anchor's group; equal contexts of one
 task go there once, and of many places only a few come with them: the others
-stream by when the group is solved. Anchors with very many contexts are cut to single
-windows, whose groups are those of equal windows. Groups are solved in chunks, and
-the covered spans go back to their documents.
+stream by when the group is solved. Where strings longer than a window are asked
+for too, a context goes on behind its last window as far as shared windows do.
+Anchors with very many contexts are cut to single windows, whose groups are those
+of equal windows (kind.single). Groups are solved in chunks, and the covered spans
+go back to their documents.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ CROWD = 4000
 INLINE = 4
 #: Instead of a number of windows: spans that need no solving.
 TOLD = -1
+#: Instead of a number of windows, less the level: a single string, given by its digest.
+DIGEST = -2
 #: Bytes of contexts in which a task looks for equal ones.
 HELD = 16 << 20
 
@@ -99,6 +103,9 @@ def _find(kind, by_doc: bool):
 FOUND = "k long, h long, rid long, doc_id long, lo int, n int, mark short, state byte"
 
 
+SHARED = ["h", "rid", "doc_id", "lo", "n", "mark"]
+
+
 def _shared(by_doc: bool):
     """Keeps the runs, which come sorted by k, of hashes that occur twice (by_doc: in two documents)."""
 
@@ -120,13 +127,20 @@ def _shared(by_doc: bool):
             last, good_before = k[end], bool(good[-1])
             # the last hash may go on in the next batch
             held = None if good_before else t.slice(end).to_batches()[0]
-            yield from t.filter(pa.array(keep)).select(["h", "rid", "lo", "n", "mark"]).to_batches()
+            yield from t.filter(pa.array(keep)).select(SHARED).to_batches()
 
     return run
 
 
+def _stretches(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each run of a document, sorted by its first window: the last window of the shared windows that follow one another from it on."""
+    last = lo + n - 1
+    ends = np.flatnonzero(np.r_[lo[1:] != last[:-1] + 1, True])
+    return last[ends][np.searchsorted(ends, np.arange(len(lo)))]
+
+
 def _contexts(kind):
-    """Of each document (rid, doc_id, text, runs) the contexts of its shared runs, equal ones of a task once.
+    """Of each document (rid, key, text, runs) the contexts of its shared runs, equal ones of a task once.
 
     A context comes with up to INLINE places, those of its first and last document
     among them. The others follow it in its group as rows of places alone or, where
@@ -139,19 +153,20 @@ def _contexts(kind):
         rows, own = [], {}
         for (h, n, body), places in found.items():
             places.sort(key=lambda p: p[1])
-            mark, rest = xxhash.xxh64_digest(body, seed=n), []
+            mark, rest = xxhash.xxh64_digest(body, seed=max(n, 0)), []
             if len(places) > INLINE:
                 rest, places = places[INLINE - 1 : -1], [*places[: INLINE - 1], places[-1]]
             rows.append((h, False, n, body, np.array(places, np.int64).tobytes()))
             if kind.at_once:  # what is there twice is covered, wherever else it is
-                for rid, _, lo in rest:
-                    own.setdefault(rid, []).append((lo, lo + len(body)))
+                whole = kind.whole(n, body)
+                for rid, doc_id, lo in rest:
+                    own.setdefault((rid, doc_id), []).extend((lo + s, lo + e) for s, e in whole)
             else:
                 for a in range(0, len(rest), 4096):
                     rows.append((h, True, n, mark, np.array(rest[a : a + 4096], np.int64).tobytes()))
-        for rid, spans in own.items():
+        for key, spans in own.items():
             s, e = spans_union(*np.array(spans, np.int64).T)
-            rows.append((rid, True, TOLD, np.c_[s, e].tobytes(), np.int64(rid).tobytes()))
+            rows.append((key[0], True, TOLD, np.c_[s, e].tobytes(), np.array(key, np.int64).tobytes()))
         for a in range(0, len(rows), 4000):
             h, alone, n, body, places = zip(*rows[a : a + 4000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(alone, pa.bool_()), pa.array(n, pa.int32()), pa.array(body, pa.binary()), pa.array(places, pa.binary())], names=["h", "alone", "n", "context", "places"])
@@ -161,26 +176,28 @@ def _contexts(kind):
         size = 0
         for b in pieces(batches, rows=1000, most=2 << 20):
             view = kind.view(b.column("text"))
-            rid, ids = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
+            rid, ids = b.column("rid").to_pylist(), b.column("key").to_pylist()
             runs = b.column("runs")
             at = np.asarray(runs.offsets).astype(np.int64)
             flat = runs.values
             fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("h", "lo", "n", "crowded")]
             for i in range(b.num_rows):
-                for h, lo, n, many in zip(*(f[at[i] : at[i + 1]].tolist() for f in fields), strict=True):
-                    cuts = [(x, 1) for x in range(lo, lo + n)] if many else [(lo, n)]
-                    for x, m in cuts:
-                        body = kind.cut(view, i, x, m)
-                        key = (xxhash.xxh64_intdigest(body, seed=1) - (1 << 63) if many else h, m, body)
+                own = [f[at[i] : at[i + 1]] for f in fields]
+                o = np.unique(own[1], return_index=True)[1]  # rows that are equal have each run twice
+                h, lo, n, many = (f[o] for f in own)
+                for h, lo, n, many, last in zip(h.tolist(), lo.tolist(), n.tolist(), many.tolist(), _stretches(lo, n).tolist(), strict=True):
+                    cuts = kind.single(view, i, lo, n, last) if many else [(h, n, lo, kind.cut(view, i, lo, n, last))]
+                    for h, n, x, body in cuts:
+                        key = (h, n, body)
                         have = found.get(key)
                         if have is None:
                             have = found[key] = []
                             size += len(body) + 300
                         have.append((rid[i], ids[i], x))
                         size += 150
-            if size > HELD:
-                yield from flush(found)
-                found, size = {}, 0
+                        if size > HELD:
+                            yield from flush(found)
+                            found, size = {}, 0
         yield from flush(found)
 
     return run
@@ -202,7 +219,7 @@ class Context:
 
 
 def spans_at(places: np.ndarray, own: np.ndarray, solution: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (rid, s, e) of places, each of the context own: those of its solution (s, e, since) with since before the place's document."""
+    """Spans (place, s, e) of places, each of the context own: those of its solution (s, e, since) with since before the place's document."""
     size = np.array([len(x[0]) for x in solution], np.int64)
     first = np.r_[0, np.cumsum(size)]
     s, e, since = (np.concatenate([x[k] for x in solution]) if len(solution) else np.zeros(0, np.int64) for k in range(3))
@@ -211,22 +228,23 @@ def spans_at(places: np.ndarray, own: np.ndarray, solution: list) -> tuple[np.nd
     at = first[own][place] + np.arange(len(place)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
     on = since[at] < places[place, 1]
     place, at = place[on], at[on]
-    return places[place, 0], places[place, 2] + s[at], places[place, 2] + e[at]
+    return place, places[place, 2] + s[at], places[place, 2] + e[at]
 
 
 def _solve(kind):
     """Solves chunks of whole groups. A group's contexts come before its other places, which are told as they stream by."""
 
     def told(places, own, solution):
-        rid, s, e = spans_at(places, own, solution)
-        o = np.lexsort((s, rid))
-        rid, pairs = rid[o], np.c_[s[o], e[o]]
-        at = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]) if len(rid) else np.zeros(0, np.int64)
+        place, s, e = spans_at(places, own, solution)
+        rid, ids = places[place, 0], places[place, 1]
+        o = np.lexsort((s, ids, rid))
+        rid, ids, pairs = rid[o], ids[o], np.c_[s[o], e[o]]
+        at = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (ids[1:] != ids[:-1])]) if len(rid) else np.zeros(0, np.int64)
         if len(at):
-            yield packed(rid[at].tolist(), [x.tobytes() for x in np.split(pairs, at[1:])])
+            yield packed(rid[at], ids[at], [x.tobytes() for x in np.split(pairs, at[1:])])
 
-    def packed(rid, spans):
-        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(spans, pa.binary())], names=["rid", "spans"])
+    def packed(rid, ids, spans):
+        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], names=["rid", "doc_id", "spans"])
 
     def flush(groups):
         ctx = [c for g in groups for c in g]
@@ -252,7 +270,7 @@ def _solve(kind):
             passing = []
             for h, alone, n, body, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if n == TOLD:
-                    passing.append((int.from_bytes(places, "little", signed=True), body))
+                    passing.append((*np.frombuffer(places, np.int64).tolist(), body))
                     continue
                 if h != now:
                     marks = solution = None
@@ -297,7 +315,7 @@ def spans_of(column: pa.Array):
 
 
 def keyed(docs: DataFrame, rest: bool = False) -> DataFrame:
-    """(rid, doc_id, text) and, if asked for, the whole row as a struct `rest`; rid is equal only for rows of equal doc_id and text."""
+    """(rid, doc_id, text) and, if asked for, the whole row as a struct `rest`; rid, a hash, and doc_id together are equal only for rows of equal doc_id and text."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     d = spread(docs.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if rest else [])))
     return d.select(F.xxhash64("doc_id", "text").alias("rid"), *d.columns)
@@ -321,12 +339,20 @@ def _flagged(shared: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, kind, by_doc: bool) -> DataFrame:
-    """docs (of keyed) with spans: arrays of pairs (s, e) in the kind's units, packed, null where nothing recurs."""
+    """docs (of keyed) with spans: arrays of pairs (s, e) in the kind's units, packed, null where nothing recurs.
+
+    by_doc: only what recurs in another document counts; rows without a doc_id are
+    in no document then, so that they lose nothing and take nothing.
+    """
     importable(docs.sparkSession)
-    known = docs.where("text is not null and doc_id is not null").select("rid", "doc_id", "text")
+    known = docs.where("text is not null and doc_id is not null" if by_doc else "text is not null").select("rid", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
     found = known.mapInArrow(_find(kind, by_doc), FOUND)
-    shared = settle(found.repartition("k").sortWithinPartitions("k").mapInArrow(_shared(by_doc), "h long, rid long, lo int, n int, mark short"))
-    runs = _flagged(shared).groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "n", "crowded")).alias("runs"))
-    contexts = docs.join(runs.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "runs").mapInArrow(_contexts(kind), "h long, alone boolean, n int, context binary, places binary")
-    spans = contexts.repartition("h").sortWithinPartitions("h", "alone").mapInArrow(_solve(kind), "rid long, spans binary")
-    return docs.join(spans.groupBy("rid").agg(F.collect_list("spans").alias("spans")).hint("shuffle_hash"), "rid", "left").select(*docs.columns, "spans")
+    shared = settle(found.repartition("k").sortWithinPartitions("k").mapInArrow(_shared(by_doc), "h long, rid long, doc_id long, lo int, n int, mark short"))
+    runs = _flagged(shared).groupBy("rid", "doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "crowded")).alias("runs"))
+    whose = docs.withColumn("key", F.coalesce("doc_id", F.lit(0)))
+    runs = runs.withColumnRenamed("doc_id", "key")
+    # both joins read all columns of docs, so that one exchange of the texts serves both
+    contexts = whose.join(runs.hint("shuffle_hash"), ["rid", "key"]).mapInArrow(_contexts(kind), "h long, alone boolean, n int, context binary, places binary")
+    spans = contexts.repartition("h").sortWithinPartitions("h", "alone").mapInArrow(_solve(kind), "rid long, doc_id long, spans binary")
+    spans = spans.groupBy("rid", F.col("doc_id").alias("key")).agg(F.collect_list("spans").alias("spans"))
+    return whose.join(spans.hint("shuffle_hash"), ["rid", "key"], "left").select(*docs.columns, "spans")

@@ -14,6 +14,7 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from .anchors import anchor_runs, covered, keyed, spans_of
@@ -60,10 +61,17 @@ class Phrases:
         np.cumsum(w.hash * up[: len(w.hash)], out=sums[1:])
         return doc, first, length, h, mixed((sums[first + length - 1 + self.window] - sums[first]) * down[first])
 
-    def cut(self, view, doc, lo, n):
+    def cut(self, view, doc, lo, n, last):
+        """The text of the windows lo to lo + n - 1; what follows up to window `last` isn't asked for."""
         a = view.first[doc] + lo
         return view.text[view.begin[a] : view.end[a + n - 2 + self.window]].tobytes()
 
+    def single(self, view, doc, lo, n, last):
+        """Each of the windows, in the group of its hash."""
+        for x in range(lo, lo + n):
+            body = self.cut(view, doc, x, 1, last)
+            yield xxhash.xxh64_intdigest(body, seed=1) - (1 << 63), 1, x, body
+
     def solve(self, groups):
         """For each context the spans of words that a passage covers, with the first document that has the passage."""
         none = (np.zeros(0, np.int64),) * 3
@@ -154,7 +162,9 @@ def remove_phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Each word covered by a window of `window` words that also starts in a document
     with a smaller doc_id is removed. Null and empty texts have no words. Rows
-    with one doc_id count as one document, so none is earlier than another. An
-    empty table gives no rows; other columns are ignored.
+    with one doc_id count as one document, so none is earlier than another; a row
+    without one is neither earlier nor later than any and keeps all its words. A
+    text of any length is read whole. An empty table gives no rows; other columns
+    are ignored.
     """
     return covered(keyed(docs), Phrases(window), by_doc=True).select("doc_id", "text", "spans").mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -43,4 +43,25 @@ c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
 n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
 SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON x = c.vec_id"""
 
-ORACLE_SQL = {"op4_phrases": PHRASES, "op7_jaccard": JACCARD, "op8_vectors": VECTORS}
+def repeats(name: str, n: int) -> str:
+    """Tables of which `name` has the maximal runs (r, a, z), from 1, that strings of n bytes that are there twice cover."""
+    return f"""{name}_w AS (SELECT r, pos, md5_number(b[pos:pos + {n - 1}]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - {n - 2})) AS pos FROM d)),
+{name}_s AS (SELECT h FROM {name}_w GROUP BY h HAVING count(*) > 1),
+{name}_p AS (SELECT r, pos, lag(pos) OVER (PARTITION BY r ORDER BY pos) AS before FROM {name}_w SEMI JOIN {name}_s USING (h)),
+{name}_i AS (SELECT r, pos, sum(CASE WHEN before IS NULL OR pos > before + {n} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS k FROM {name}_p),
+{name} AS (SELECT r, k, min(pos) AS a, max(pos) + {n} AS z FROM {name}_i GROUP BY r, k)"""
+
+
+REPEATS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+{repeats("cut", 400)},
+{repeats("passage", 200)},
+n AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS removed, count(*) AS spans FROM cut GROUP BY r),
+m AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS covered FROM passage GROUP BY r),
+edge AS (SELECT r, a, z FROM cut UNION ALL SELECT r, octet_length(b) + 1, octet_length(b) + 1 FROM d),
+kept AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a, z), 1) AS x, a AS y FROM edge),
+body AS (SELECT r, string_agg(hex(b[x:y - 1]), '' ORDER BY x) AS body FROM kept JOIN d USING (r) WHERE x < y GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(body, ''))) AS kept_sha256, coalesce(covered, 0) AS n_passage
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r) LEFT JOIN body USING (r)"""
+
+ORACLE_SQL = {"op3_suffix_repeats": REPEATS, "op4_phrases": PHRASES, "op7_jaccard": JACCARD, "op8_vectors": VECTORS}

@@ -11,7 +11,7 @@ from .langid import identify
 from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality import classify
-from .suffixes import remove_repeats
+from .suffixes import PASSAGE, remove_repeats
 from .toxicity import score_toxicity
 from .vectors import near_vectors
 
@@ -32,8 +32,8 @@ def op2_toxicity(spark, sf_dir):
 
 
 def op3_suffix_repeats(spark, sf_dir):
-    """Every document without the bytes that long repeats cover."""
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    """Every document without the bytes that repeats of 400 bytes cover; n_passage counts those that repeats of 200 bytes cover."""
+    return remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def op4_phrases(spark, sf_dir):

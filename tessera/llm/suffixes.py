@@ -5,6 +5,9 @@ stack. Every interval of suffixes whose common prefix has at least min_len bytes
 and whose left neighbours differ is a maximal repeat group; its occurrences are all
 suffixes of the interval, not only adjacent ones. On the cluster the texts are the
 contexts of one anchor chunk (see anchors), whose windows are min_len bytes long.
+Covered bytes can be told for several lengths at once: windows have the least, a
+context reaches as far as the greatest, and each maximal repeat counts for all
+lengths up to its own. The spans of length number k are shifted by k * LEVEL.
 """
 
 from __future__ import annotations
@@ -13,105 +16,63 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .anchors import anchor_runs, covered, keyed, spans_of
+from .anchors import DIGEST, anchor_runs, covered, keyed, spans_of
 from .common import mixed, pieces, spans_union
 from .words import powers, raw, window_low
 
 MIN_LEN = 400
+#: Bytes of a repeated passage of some 40 words or more, which op3 tells as well and the pipeline cuts.
+PASSAGE = 200
+#: By how much the spans of each further length are shifted.
+LEVEL = 1 << 40
 #: Since before all documents.
 ALWAYS = np.iinfo(np.int64).min
 GRAM = 32
 
 
 def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts in a row as symbols (a byte plus 1), each ended by a 0, which is less than any byte; where each begins, and its size."""
+    """Texts in a row; where each begins, and its size."""
     size = np.array([len(t) for t in texts], np.int64)
-    begin = np.r_[0, np.cumsum(size + 1)[:-1]].astype(np.int64) if len(texts) else size
-    out = np.zeros(int(size.sum()) + len(texts), np.uint16)
-    for t, a in zip(texts, begin.tolist(), strict=True):
-        out[a : a + len(t)] = t
-        out[a : a + len(t)] += 1
-    return out, begin, size
-
-
-def ranks(text: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """For lengths 7, 14, ... below depth, and depth: the rank of the string of that length from each place on (as if zeros followed)."""
-    n = len(text)
-    pad = np.r_[text.astype(np.uint64), np.zeros(7, np.uint64)]
-    key, have = np.zeros(n, np.uint64), min(7, depth)
-    for k in range(have):
-        key = (key << np.uint64(9)) | pad[k : k + n]
-    rank = np.unique(key, return_inverse=True)[1]
-    out = {have: rank.astype(np.int32)}
-    while have < depth:
-        step = min(have, depth - have)
-        # the string of length have + step: its first `have` symbols, then the `have` that end with it
-        after = np.zeros(n, np.int64)
-        if step < n:
-            after[: n - step] = rank[step:] + 1
-        both = rank.astype(np.int64) * np.int64(n + 1) + after
-        have += step
-        rank = np.unique(both, return_inverse=True)[1]
-        out[have] = rank.astype(np.int32)
-    return out
-
-
-def suffix_array(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of their first min_len bytes, then of what follows as far as it is compared, and the common-prefix length of each with the one before.
-
-    text: symbols as joined() gives them; starts: suffixes to sort; ends: where each
-    one's text ends. Common prefixes of less than min_len are given as 0.
-    """
-    rank = ranks(text, min_len)
-    levels = sorted((k for k in rank if k < min_len), reverse=True)
-    full = rank[min_len][starts]
-    o = np.argsort(full, kind="stable")
-    s, e, f = starts[o], ends[o], full[o]
-    # suffixes equal in min_len bytes go on: ordered by the ranks that follow, blockwise
-    same = np.r_[False, f[1:] == f[:-1]]
-    if same.any():
-        tail = int((e - s).max()) - min_len
-        tied = same | np.r_[same[1:], False]
-        idx = np.flatnonzero(tied)
-        cols, off = [], min_len
-        n = len(text)
-        while off < min_len + tail:
-            p = s[idx] + off
-            r = np.where(p < e[idx], rank[min_len][np.minimum(p, n - 1)] + 1, 0)
-            cols.append(r)
-            off += min_len
-        o2 = np.lexsort((*cols[::-1], f[idx]))
-        s[idx], e[idx] = s[idx][o2], e[idx][o2]
-    lcp = np.zeros(len(s), np.int64)
-    at = np.flatnonzero(same)
-    if len(at):
-        a, b = s[at], s[at - 1]
-        most = np.minimum(e[at] - a, e[at - 1] - b)
-        got = np.full(len(at), min_len)
-        n = len(text)
-        for step in [min_len, *levels]:
-            while True:
-                pa_, pb = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-                more = (got + step <= most) & (rank[step][pa_] == rank[step][pb])
-                if not more.any():
-                    break
-                got[more] += step
-                if step < min_len:
-                    break
-        for _ in range(8):
-            more = got < most
-            if not more.any():
-                break
-            more &= text[np.minimum(a + got, n - 1)] == text[np.minimum(b + got, n - 1)]
-            if not more.any():
-                break
-            got[more] += 1
-        lcp[at] = np.minimum(got, most)
-    return s, lcp
+    return (np.concatenate(texts) if texts else np.zeros(0, np.uint8)), np.r_[0, np.cumsum(size)[:-1]].astype(np.int64) if len(texts) else size, size
+
+
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int = 64) -> np.ndarray:
+    """How many bytes from a and from b on are equal, pair by pair, up to most."""
+    got, todo, n = np.zeros(len(a), np.int64), np.flatnonzero(most > 0), len(text)
+    while len(todo):
+        for part in np.array_split(todo, -(-len(todo) // 20_000)):
+            at = got[part][:, None] + np.arange(step)
+            off = (text[np.minimum(a[part][:, None] + at, n - 1)] != text[np.minimum(b[part][:, None] + at, n - 1)]) | (at >= most[part][:, None])
+            got[part] += np.where(off.any(1), off.argmax(1), step)
+        todo = todo[(got[todo] % step == 0) & (got[todo] < most[todo])]
+        # a pair that differs right at a step's end stays once more and gains nothing
+        if len(todo):
+            at = got[todo]
+            todo = todo[text[np.minimum(a[todo] + at, n - 1)] == text[np.minimum(b[todo] + at, n - 1)]]
+    return np.minimum(got, most)
+
+
+def window_classes(text: np.ndarray, starts: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of starts in an order that puts equal strings of min_len bytes together, and where each such class begins (with the end). Strings are told by a 64-bit hash; what is made of a class compares its bytes."""
+    up, down = powers(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
+    key = (sums[starts + min_len] - sums[starts]) * down[starts]
+    o = np.argsort(key, kind="stable")
+    return o, np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1], True]) if len(o) else np.zeros(1, np.int64)
+
+
+def suffix_array(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes [start, end) by their bytes, and the common-prefix length of each with the one before (0 for the first)."""
+    body = [text[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+    o = np.array(sorted(range(len(body)), key=body.__getitem__), np.int64)
+    s, e = starts[o], ends[o]
+    return o, np.r_[0, common_prefix(text, s[1:], s[:-1], np.minimum(e[1:] - s[1:], e[:-1] - s[:-1]))]
 
 
 def interval_tree(lcp: np.ndarray, left: np.ndarray, min_len: int) -> list[tuple[int, int, int]]:
@@ -146,43 +107,43 @@ def interval_tree(lcp: np.ndarray, left: np.ndarray, min_len: int) -> list[tuple
     return out
 
 
-def repeat_groups(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, min_len: int) -> list[tuple[int, np.ndarray]]:
-    """Maximal repeat groups (length, all starts) among the given suffixes.
+def repeat_groups(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal repeat groups among the given suffixes, one after the other: each one's length and number of occurrences, and all occurrences as places in starts.
 
-    left: by start, a code of what precedes it (negative: like nothing else).
+    left: for each start a code of what precedes it (negative: like nothing else).
     Classes of suffixes equal in min_len bytes that are all preceded by one code
-    hold no maximal repeat and are left out before the scan.
+    hold no maximal repeat and are left out; the others are sorted and scanned. A
+    class of two is an interval of its own.
     """
-    if not len(starts):
-        return []
-    o = np.argsort(starts)
-    s, lcp = suffix_array(text, starts, ends, min_len)
-    code = left[o][np.searchsorted(starts[o], s)]
-    first = np.flatnonzero(lcp == 0)
-    length = np.diff(np.r_[first, len(s)])
-    low, high = np.minimum.reduceat(code, first), np.maximum.reduceat(code, first)
-    out = []
-    for k in np.flatnonzero((length > 1) & ((low != high) | (low < 0))).tolist():
-        a, b = first[k], first[k] + length[k]
-        part = lcp[a:b].copy()
-        part[0] = 0
-        for n, i, j in interval_tree(part, code[a:b], min_len):
-            out.append((n, s[a + i : a + j + 1]))
-    return out
+    o, cut = window_classes(text, starts, min_len)
+    size = np.diff(cut)
+    low, high = (np.minimum.reduceat(left[o], cut[:-1]), np.maximum.reduceat(left[o], cut[:-1])) if len(o) else (size, size)
+    good = (size > 1) & ((low != high) | (low < 0))
+    two = cut[:-1][good & (size == 2)]
+    a, b = o[two], o[two + 1]
+    n = common_prefix(text, starts[a], starts[b], np.minimum(ends[a] - starts[a], ends[b] - starts[b]))
+    on = n >= min_len
+    lengths, counts, places = [n[on]], [np.full(int(on.sum()), 2)], [np.c_[a[on], b[on]].ravel()]
+    for k in np.flatnonzero(good & (size > 2)).tolist():
+        own = o[cut[k] : cut[k + 1]]
+        order, lcp = suffix_array(text, starts[own], ends[own])
+        own = own[order]
+        for m, i, j in interval_tree(lcp, left[own], min_len):
+            lengths.append(np.array([m])), counts.append(np.array([j - i + 1])), places.append(own[i : j + 1])
+    return np.concatenate(lengths), np.concatenate(counts), np.concatenate(places)
 
 
 def maximal_repeats(texts: list[bytes], min_len: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """All maximal repeats of at least min_len bytes in a few texts: (length, occurrences (text, place)), longest first."""
     body, begin, size = joined([np.frombuffer(t, np.uint8) for t in texts])
-    starts = [np.arange(b, b + n - min_len + 1) for b, n in zip(begin, size, strict=True) if n >= min_len]
-    if not starts:
+    of = np.repeat(np.arange(len(size)), np.maximum(0, size - min_len + 1))
+    if not len(of):
         return []
-    starts = np.concatenate(starts)
-    of = np.searchsorted(begin, starts, "right") - 1
-    at_begin = starts == begin[of]
-    left = np.where(at_begin, -1 - of, body[np.maximum(starts - 1, 0)].astype(np.int64))
-    got = repeat_groups(body, starts, begin[of] + size[of], left, min_len)
-    return sorted(((n, sorted((int(np.searchsorted(begin, p, "right") - 1), int(p - begin[np.searchsorted(begin, p, "right") - 1])) for p in places)) for n, places in got), key=lambda x: (-x[0], x[1]))
+    starts = np.concatenate([np.arange(b, b + n - min_len + 1) for b, n in zip(begin, size, strict=True) if n >= min_len])
+    left = np.where(starts == begin[of], -1 - of, body[np.maximum(starts - 1, 0)].astype(np.int64))
+    lengths, counts, places = repeat_groups(body, starts, begin[of] + size[of], left, min_len)
+    groups = np.split(places, np.cumsum(counts)[:-1])
+    return sorted(((int(n), sorted((int(of[p]), int(starts[p] - begin[of[p]])) for p in own)) for n, own in zip(lengths, groups, strict=True)), key=lambda x: (-x[0], x[1]))
 
 
 class _View:
@@ -192,14 +153,21 @@ class _View:
 
 
 class Bytes:
-    """Windows of min_len bytes, anchored by grams."""
+    """Windows of min_len bytes, anchored by grams; strings of the greater lengths in `also` are told too."""
 
     at_once = True
 
-    def __init__(self, min_len: int = MIN_LEN, gram: int | None = None):
-        self.min_len = min_len
+    def __init__(self, min_len: int = MIN_LEN, gram: int | None = None, also: tuple[int, ...] = ()):
+        self.min_len, self.lengths = min_len, (min_len, *also)
         self.gram = gram or min(GRAM, max(1, min_len // 2))
 
+    def whole(self, n, body):
+        """The spans of a context that is there twice."""
+        if n <= DIGEST:
+            k = DIGEST - n
+            return [(k * LEVEL, k * LEVEL + self.lengths[k])]
+        return [(k * LEVEL, k * LEVEL + len(body)) for k, m in enumerate(self.lengths) if m <= len(body)]
+
     def view(self, column):
         return _View(column)
 
@@ -213,90 +181,80 @@ class Bytes:
         doc, first, length, h = anchor_runs(keys, self.min_len - g + 1, view.first, np.maximum(0, size - self.min_len + 1), window_low)
         return doc, first, length, h, mixed((sums[first + length - 1 + self.min_len] - sums[first]) * down[first])
 
-    def cut(self, view, doc, lo, n):
+    def cut(self, view, doc, lo, n, last):
+        """The bytes of the windows lo to lo + n - 1, and of the longest strings that start with them as far as the windows up to `last` reach."""
         a = view.at[doc] + lo
-        return view.body[a : a + n - 1 + self.min_len].tobytes()
-
-    def _trim(self, contexts) -> tuple[list[tuple[int, int, int]], list[np.ndarray]]:
-        """Of the contexts that have windows whose hash occurs twice: (place, first, last such window), and their bytes from the one to the other's end."""
-        if not contexts:
-            return [], []
-        text = np.frombuffer(b"".join(c.body for c in contexts), np.uint8)
-        size = np.array([len(c.body) for c in contexts], np.int64)
-        begin = np.r_[0, np.cumsum(size)[:-1]]
-        count = np.array([c.n for c in contexts], np.int64)
-        first = np.r_[0, np.cumsum(count)[:-1]]
-        of = np.repeat(np.arange(len(contexts)), count)
-        starts = begin[of] + np.arange(count.sum()) - first[of]
-        up, down = powers(len(text) + 1)
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
-        key = (sums[starts + self.min_len] - sums[starts]) * down[starts]
-        o = np.argsort(key, kind="stable")
-        same = key[o][1:] == key[o][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[o] = np.r_[False, same] | np.r_[same, False]
-        at = np.flatnonzero(twice)
-        if not len(at):
-            return [], []
-        own, low = np.unique(of[at], return_index=True)
-        high = np.r_[low[1:], len(at)] - 1
-        cut = [(i, x, y) for i, x, y in zip(own.tolist(), (at[low] - first[own]).tolist(), (at[high] - first[own]).tolist(), strict=True)]
-        return cut, [text[begin[i] + x : begin[i] + y + self.min_len] for i, x, y in cut]
+        return view.body[a : a + min(n - 1 + max(self.lengths), last - lo + self.min_len)].tobytes()
+
+    def single(self, view, doc, lo, n, last):
+        """A digest of each string that starts with one of the windows, in the group of its own hash: 16 bytes instead of the string."""
+        text = view.body[view.at[doc] + lo : view.at[doc] + last + self.min_len].tobytes()
+        for k, m in enumerate(self.lengths):
+            for x in range(min(n, len(text) - m + 1)):
+                body = xxhash.xxh3_128_digest(text[x : x + m], seed=k)
+                yield int.from_bytes(body[:8], "little", signed=True), DIGEST - k, lo + x, body
 
     def solve(self, groups):
         """For each context the spans that repeats cover. A context that is there twice is a repeat as a whole; where an anchor has several contexts, a suffix array of them all finds what they share."""
-        spans: dict[int, list[tuple[int, int]]] = {}
         ctx = [c for g in groups for c in g]
-        for i, c in enumerate(ctx):
-            if len(c.places) > 1:
-                spans[i] = [(0, len(c.body))]
+        found = [(i, *span) for i, c in enumerate(ctx) if len(c.places) > 1 for span in self.whole(c.n, c.body)]
         several, k = [], 0
         for g in groups:
-            if len(g) > 1:
-                several.extend(range(k, k + len(g)))
+            own = [k + i for i, c in enumerate(g) if c.n > 0]
+            if len(own) > 1:
+                several.extend(own)
             k += len(g)
-        # windows whose hash is there once are in no repeat: contexts are cut to the others
-        cut, parts = self._trim([ctx[i] for i in several])
-        if cut:
-            body, begin, size = joined(parts)  # windows x to y of each
-            count = size - self.min_len + 1
-            of = np.repeat(np.arange(len(cut)), count)
+        which, s, e = np.array(found, np.int64).reshape(-1, 3).T
+        if several:
+            body, begin, size = joined([np.frombuffer(ctx[i].body, np.uint8) for i in several])
+            count = np.array([ctx[i].n for i in several], np.int64)
+            of = np.repeat(np.arange(len(several)), count)
             inner = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
             starts = begin[of] + inner
             left = np.where(inner == 0, -1 - of, body[np.maximum(starts - 1, 0)].astype(np.int64))
-            for n, places in repeat_groups(body, starts, begin[of] + size[of], left, self.min_len):
-                for p in places.tolist():
-                    j = int(np.searchsorted(begin, p, "right")) - 1
-                    s = p - int(begin[j]) + cut[j][1]
-                    spans.setdefault(several[cut[j][0]], []).append((s, s + n))
+            n, counts, places = repeat_groups(body, starts, begin[of] + size[of], left, self.min_len)
+            n = np.repeat(n, counts)
+            for k, m in enumerate(self.lengths):
+                p, own = places[n >= m], n[n >= m]
+                which, s, e = np.r_[which, np.array(several)[of[p]]], np.r_[s, k * LEVEL + inner[p]], np.r_[e, k * LEVEL + inner[p] + own]
         none = (np.zeros(0, np.int64),) * 3
         out = [none] * len(ctx)
-        for i, found in spans.items():
-            a, b = spans_union(*np.array(found, np.int64).T)
-            out[i] = (a, b, np.full(len(a), ALWAYS))
+        # one union of all: contexts lie apart by more than all levels
+        apart = LEVEL * (len(self.lengths) + 1)
+        a, b = spans_union(which * apart + s, which * apart + e)
+        which = a // apart
+        at = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(a) else np.zeros(0, np.int64)
+        for x, y in zip(at.tolist(), [*at[1:].tolist(), len(a)], strict=False):
+            i = int(which[x])
+            out[i] = (a[x:y] - i * apart, b[x:y] - i * apart, np.full(y - x, ALWAYS))
         return out
 
 
-def cut_spans(column: pa.Array, spans: pa.Array):
-    """Of each row the bytes, and its maximal removed runs as (starts, ends)."""
+def cut_spans(column: pa.Array, spans: pa.Array, levels: int = 1):
+    """Of each row the bytes, and for each length its maximal removed runs as (starts, ends)."""
     body, at = raw(column)
     for i, (s, e) in enumerate(spans_of(spans)):
-        yield body[at[i] : at[i + 1]], s, e
+        cut = np.searchsorted(s, LEVEL * np.arange(levels + 1))
+        yield body[at[i] : at[i + 1]], [(s[x:y] - k * LEVEL, e[x:y] - k * LEVEL) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
 
 
-def _finish(batches):
-    for b in pieces(batches):
-        rows = []
-        for body, s, e in cut_spans(b.column("text"), b.column("spans")):
-            h, last = hashlib.sha256(), 0
-            for x, y in zip(s.tolist(), e.tolist(), strict=True):
-                h.update(body[last:x])
-                last = y
-            h.update(body[last:])
-            rows.append((len(body), int((e - s).sum()), len(s), h.hexdigest()))
-        n, removed, k, sha = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _finish(levels: int):
+    """What is left without the runs of the last length, and the bytes that those of the first cover."""
+
+    def run(batches):
+        for b in pieces(batches):
+            rows = []
+            for body, found in cut_spans(b.column("text"), b.column("spans"), levels):
+                (s, e), h, last = found[-1], hashlib.sha256(), 0
+                for x, y in zip(s.tolist(), e.tolist(), strict=True):
+                    h.update(body[last:x])
+                    last = y
+                h.update(body[last:])
+                rows.append((len(body), int((e - s).sum()), len(s), h.hexdigest(), int((found[0][1] - found[0][0]).sum())))
+            n, removed, k, sha, passage = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(passage, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
+
+    return run
 
 
 def _keep(batches):
@@ -304,7 +262,7 @@ def _keep(batches):
     for b in pieces(batches):
         out = []
         null = np.asarray(b.column("text").is_null())
-        for i, (body, s, e) in enumerate(cut_spans(b.column("text"), b.column("spans"))):
+        for i, (body, [(s, e)]) in enumerate(cut_spans(b.column("text"), b.column("spans"))):
             parts, last = [], 0
             for x, y in zip(s.tolist(), e.tolist(), strict=True):
                 parts.append(body[last:x].tobytes())
@@ -314,30 +272,39 @@ def _keep(batches):
         yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(out, pa.string())], names=["rest", "kept"])
 
 
-def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """docs (rid, doc_id, text) with the spans of bytes that repeats of min_len bytes or more cover."""
-    return covered(docs, Bytes(min_len), by_doc=False)
+def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, also: tuple[int, ...] = ()) -> DataFrame:
+    """docs (rid, doc_id, text) with the spans of bytes that repeats of min_len bytes or more cover, and those of each greater length in `also`, shifted by LEVEL each."""
+    return covered(docs, Bytes(min_len, also=also), by_doc=False)
 
 
-def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, passage: int | None = None) -> DataFrame:
     """What is left of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Each byte covered by a min_len-byte string that also starts anywhere else,
-    in the same document too, is removed. Null and empty texts have no bytes.
-    Rows that are equal in doc_id and text are copies of each other and lose all
-    that is long enough. An empty table gives no rows; other columns are ignored.
+    in the same document too, is removed. With `passage`, a length of less than
+    min_len, a column n_passage counts the bytes that repeats of that length cover.
+    Null and empty texts have no bytes; a text of any length is read whole, in one
+    task. Rows that are equal in doc_id and text are copies of each other and lose
+    all that is long enough; a row without a doc_id is judged like any other. An
+    empty table gives no rows; other columns are ignored.
     """
-    return repeated_spans(keyed(docs), min_len).select("doc_id", "text", "spans").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long"
+    if passage and passage >= min_len:
+        raise ValueError("passage must be less than min_len")
+    least, also = (passage, (min_len,)) if passage else (min_len, ())
+    out = repeated_spans(keyed(docs), least, also).select("doc_id", "text", "spans").mapInArrow(_finish(1 + len(also)), columns)
+    return out if passage else out.drop("n_passage")
 
 
 def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """docs with all columns, their texts without what remove_repeats removes and n_chars, if there, counted anew.
 
     Characters that a cut goes through are left out; a text that is all repeats
-    becomes empty; a null text stays null.
+    becomes empty; a null text stays null; a row without a doc_id is judged like
+    any other. Equal rows all lose what they share.
     """
     rows = keyed(docs, rest=True)
-    found = repeated_spans(rows, min_len).select("rest", "text", "spans")
+    found = repeated_spans(rows, min_len).select("doc_id", "rest", "text", "spans")
     kept = found.mapInArrow(_keep, StructType([rows.schema["rest"], StructField("kept", StringType())]))
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     new = {"text": F.col("kept").cast(kinds["text"]), "n_chars": F.length("kept").cast(kinds.get("n_chars", "long"))}

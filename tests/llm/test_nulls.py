@@ -24,9 +24,9 @@ def by_size(df, size, *cols):
     return sorted((r[size], *(r[c] for c in cols)) for r in df.collect())
 
 
-def test_rows_without_an_id_lose_nothing_and_take_nothing(rows):
+def test_rows_without_an_id_have_bytes_but_are_no_documents(rows):
     n = len(LONG.encode())
-    assert by_size(suffixes.remove_repeats(rows), "n_bytes", "n_removed") == [(0, 0), (0, 0), (11, 0), (n, 0), (n, 0)]
+    assert by_size(suffixes.remove_repeats(rows), "n_bytes", "n_removed") == [(0, 0), (0, 0), (11, 0), (n, n), (n, n)]
     assert by_size(automata.remove_phrases(rows), "n_words", "n_removed") == [(0, 0), (0, 0), (6, 0), (120, 0), (120, 0)]
     assert suffixes.without_repeats(rows).count() == 5
 

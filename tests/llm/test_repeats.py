@@ -12,6 +12,10 @@ from tessera.llm import anchors, automata, suffixes
 
 
 def brute_bytes(rows, n):
+    return sorted(brute_rows(rows, n))
+
+
+def brute_rows(rows, n):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[k : k + n] for _, b in texts for k in range(len(b) - n + 1))
     out = []
@@ -23,7 +27,7 @@ def brute_bytes(rows, n):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         runs = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         out.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    return out
 
 
 def brute_words(rows, n):
@@ -52,6 +56,25 @@ def test_bytes(docs, corpus, n):
     assert rows_of(suffixes.remove_repeats(docs, n)) == brute_bytes(corpus, n)
 
 
+@pytest.mark.parametrize(("n", "m"), [(400, 200), (90, 60), (300, 299)])
+def test_two_lengths_at_once(docs, corpus, n, m, monkeypatch):
+    want = [(*x, y[2]) for x, y in zip(brute_bytes(corpus, n), brute_bytes(corpus, m), strict=True)]
+    assert rows_of(suffixes.remove_repeats(docs, n, m)) == want
+    monkeypatch.setattr(anchors, "CROWD", 3)
+    assert rows_of(suffixes.remove_repeats(docs, n, m)) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_two_lengths_of_texts_in_many_pieces(spark, seed):
+    rng = random.Random(seed)
+    parts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 60))) for _ in range(25)]
+    rows = [(i if i % 7 else None, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n, m in ((50, 20), (41, 7)):
+        want = Counter((i, *x[1:], y[2]) for (i, _), x, y in zip(rows, brute_rows(rows, n), brute_rows(rows, m), strict=True))
+        assert Counter(map(tuple, suffixes.remove_repeats(df, n, m).collect())) == want
+
+
 @pytest.mark.parametrize("n", [13, 5])
 def test_phrases(docs, corpus, n):
     assert rows_of(automata.remove_phrases(docs, n)) == brute_words(corpus, n)
