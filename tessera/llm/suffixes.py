@@ -257,19 +257,25 @@ def _finish(levels: int):
     return run
 
 
-def _keep(batches):
-    """The row and the text that is left; characters that a cut splits go."""
-    for b in pieces(batches):
-        out = []
-        null = np.asarray(b.column("text").is_null())
-        for i, (body, [(s, e)]) in enumerate(cut_spans(b.column("text"), b.column("spans"))):
-            parts, last = [], 0
-            for x, y in zip(s.tolist(), e.tolist(), strict=True):
-                parts.append(body[last:x].tobytes())
-                last = y
-            parts.append(body[last:].tobytes())
-            out.append(None if null[i] else "".join(p.decode("utf-8", "ignore") for p in parts))
-        yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(out, pa.string())], names=["rest", "kept"])
+def _keep(spared: str | None):
+    """The row and the text that is left, all of it where `spared` holds; characters that a cut splits go."""
+
+    def run(batches):
+        for b in pieces(batches):
+            out = []
+            whole = np.asarray(b.column("text").is_null())
+            keep = np.asarray(b.column("rest").field(spared).fill_null(False)) if spared else np.zeros(len(whole), bool)
+            for i, (body, [(s, e)]) in enumerate(cut_spans(b.column("text"), b.column("spans"))):
+                parts, last = [], 0
+                if not keep[i]:
+                    for x, y in zip(s.tolist(), e.tolist(), strict=True):
+                        parts.append(body[last:x].tobytes())
+                        last = y
+                parts.append(body[last:].tobytes())
+                out.append(None if whole[i] else "".join(p.decode("utf-8", "ignore") for p in parts))
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(out, pa.string())], names=["rest", "kept"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN, also: tuple[int, ...] = ()) -> DataFrame:
@@ -296,16 +302,17 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, passage: int | None
     return out if passage else out.drop("n_passage")
 
 
-def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, spared: str | None = None) -> DataFrame:
     """docs with all columns, their texts without what remove_repeats removes and n_chars, if there, counted anew.
 
     Characters that a cut goes through are left out; a text that is all repeats
     becomes empty; a null text stays null; a row without a doc_id is judged like
-    any other. Equal rows all lose what they share.
+    any other. Equal rows all lose what they share. spared: a boolean column whose
+    rows keep their texts, though what they hold still counts for the others.
     """
     rows = keyed(docs, rest=True)
     found = repeated_spans(rows, min_len).select("doc_id", "rest", "text", "spans")
-    kept = found.mapInArrow(_keep, StructType([rows.schema["rest"], StructField("kept", StringType())]))
+    kept = found.mapInArrow(_keep(spared), StructType([rows.schema["rest"], StructField("kept", StringType())]))
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     new = {"text": F.col("kept").cast(kinds["text"]), "n_chars": F.length("kept").cast(kinds.get("n_chars", "long"))}
     return kept.select(*[new[c].alias(c) if c in new else F.col("rest").getField(c).alias(c) for c in docs.columns])

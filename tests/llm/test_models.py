@@ -381,6 +381,15 @@ def test_pipeline_takes_planted_passages_and_leaves_clean_text(spark):
             assert passages[i % 5][3:-3] not in got[i] and own[i][0][:-3] in got[i] and own[i][1][3:] in got[i]
         else:
             assert got[i] == text_
+    # what holds a benchmark item is left whole for the next stage, though it is there twice
+    item = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    assert len(item.encode()) > 200
+    more = [(100 + i, f"{own[i][0]} {item} {passages[0]} {own[i][1]}", "en", "s", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string, spared long")
+    got = corpus_pipeline.repeats(spark, docs, SF)
+    assert got.columns == docs.columns and {r["doc_id"]: r["text"] for r in got.where("doc_id >= 100").collect()} == {r[0]: r[1] for r in more}
+    assert passages[0][3:-3] not in got.where("doc_id = 0").first()["text"]
+    assert corpus_pipeline.decontaminate(spark, got, SF).where("doc_id >= 100").count() == 0
 
 
 def test_pipeline_judges_rows_one_by_one(spark):
