@@ -73,15 +73,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that suffix-array dedup (3) removes: those of strings of PASSAGE bytes, some 40 words, that are there twice. A null text stays null."""
-    return without_repeats(docs, PASSAGE)
+    """Texts without the bytes that suffix-array dedup (3) removes: those of strings of PASSAGE bytes, some 40 words, that are there twice. A null text stays null.
+
+    A document that holds a benchmark item keeps its text: the next stage takes it
+    out as a whole, and could not tell it by what a cut would leave of the item.
+    """
+    rows, spared = _numbered(docs), "spared"
+    while spared in docs.columns:
+        spared += "_"
+    leaks = _leaks(spark, rows, sf_dir).withColumn(spared, F.lit(True))
+    flagged = rows.join(_sized(leaks), "row", "left").select("doc.*", spared)
+    return without_repeats(flagged, PASSAGE, spared).drop(spared)
+
+
+def _leaks(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
+    """The numbers of rows that hold a benchmark item."""
+    found = find_leaks(_texts(rows), table(spark, sf_dir, "benchmark"))
+    return settle(found.where("doc_id is not null").select(F.col("doc_id").alias("row")).distinct())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (1); rows without a doc_id stay."""
     rows = _numbered(docs)
-    leaks = find_leaks(_texts(rows), table(spark, sf_dir, "benchmark"))
-    return _without(rows, leaks.where("doc_id is not null").select(F.col("doc_id").alias("row"))).select("doc.*")
+    return _without(rows, _leaks(spark, rows, sf_dir)).select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
