@@ -64,4 +64,68 @@ body AS (SELECT r, string_agg(hex(b[x:y - 1]), '' ORDER BY x) AS body FROM kept
 SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(body, ''))) AS kept_sha256, coalesce(covered, 0) AS n_passage
 FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r) LEFT JOIN body USING (r)"""
 
-ORACLE_SQL = {"op3_suffix_repeats": REPEATS, "op4_phrases": PHRASES, "op7_jaccard": JACCARD, "op8_vectors": VECTORS}
+
+def field(column: str) -> str:
+    """A value as a leaf holds it."""
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+#: The unsigned crc32 of a string of ASCII, a bit at a time: each byte is put in, then eight steps (256) follow.
+CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256]))),
+ lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END), CAST(4294967295 AS BIGINT))"""
+
+
+def tree(name: str, leaves: str) -> str:
+    """Tables of the nodes (t, lv, i, h) above leaves (t, i, h), and of their runs of three."""
+    return f"""{name}(t, lv, i, h) AS (SELECT t, 0, i, h FROM {leaves} UNION ALL
+ SELECT t, lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM {name}) WHERE n > 1 GROUP BY t, lv, i // 3),
+{name}_root AS (SELECT t, arg_max(h, lv) AS root, max(lv) AS top FROM {name} GROUP BY t),
+{name}_run AS (SELECT t, lv, i // 3 AS r, coalesce(max(h) FILTER (i % 3 = 0), '') AS a, coalesce(max(h) FILTER (i % 3 = 1), '') AS b, coalesce(max(h) FILTER (i % 3 = 2), '') AS c FROM {name} JOIN {name}_root USING (t) WHERE lv < top GROUP BY t, lv, i // 3)"""
+
+
+def climb(name: str, nodes: str, start: str) -> str:
+    """A table of the way (d, t, lv, i, proof, h) of each start (d, t, i, proof, h) up its tree."""
+    return f"""{name}(d, t, lv, i, proof, h) AS (SELECT d, t, 0, i, proof, h FROM {start} UNION ALL
+ SELECT w.d, w.t, w.lv + 1, w.i // 3, w.proof || CASE w.i % 3 WHEN 0 THEN b || c WHEN 1 THEN a || c ELSE a || b END, sha256(CASE w.i % 3 WHEN 0 THEN w.h || b || c WHEN 1 THEN a || w.h || c ELSE a || b || w.h END)
+ FROM {name} w JOIN {nodes}_run r ON r.t = w.t AND r.lv = w.lv AND r.r = w.i // 3),
+{name}_end AS (SELECT d, t, arg_max(proof, lv) AS proof, arg_max(h, lv) AS h FROM {name} GROUP BY d, t)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE docs AS (SELECT *, row_number() OVER () AS d, coalesce('1' || source, '0') AS t, {leaf("text")} AS leaf, CASE WHEN {CRC32} % 2 = 0 THEN {leaf(r"replace(text, chr(10), '')")} ELSE {leaf("text")} END AS bent FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM docs),
+{tree("node", "leaves")},
+subs AS (SELECT '' AS t, t AS of, row_number() OVER (ORDER BY t) - 1 AS i, root AS h FROM node_root),
+{tree("top", "subs")},
+low AS (SELECT d, t, i, '' AS proof, bent AS h FROM leaves),
+{climb("way", "node", "low")},
+mid AS (SELECT d, '' AS t, i, proof, w.h FROM way_end w JOIN subs ON subs.of = w.t),
+{climb("last", "top", "mid")}
+SELECT doc_id, leaf, r.root AS subroot, o.root AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = o.root AS verified
+FROM leaves l JOIN last_end e ON e.d = l.d JOIN node_root r ON r.t = l.t, top_root o"""
+
+TAKEN = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def whole(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE)))"
+
+
+HARD_NEGATIVES = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {whole(256)} AS e FROM embeddings WHERE label IS NOT NULL AND {TAKEN}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.*, other AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+TOP_PRODUCTS = f"""
+WITH v AS (SELECT vec_id, {whole(1024)} AS e FROM embeddings WHERE {TAKEN}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+ORACLE_SQL = {"op3_suffix_repeats": REPEATS, "op4_phrases": PHRASES, "op7_jaccard": JACCARD, "op8_vectors": VECTORS, "op11_manifest": MANIFEST, "op12_hard_negatives": HARD_NEGATIVES, "op13_top_products": TOP_PRODUCTS}

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .automata import remove_phrases
+from .bitslices import top_products
 from .common import table
 from .decontamination import find_leaks
 from .edits import count_edited, some_edits
 from .jaccard import jaccard_components
 from .langid import identify
+from .merkle import verified_documents
 from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality import classify
+from .radix import hard_negatives
 from .suffixes import PASSAGE, remove_repeats
 from .toxicity import score_toxicity
 from .vectors import near_vectors
@@ -67,6 +72,22 @@ def op10_token_counts(spark, sf_dir):
     return count_edited(some_edits(table(spark, sf_dir, "documents")))
 
 
+def op11_manifest(spark, sf_dir):
+    """Every document's leaf and proof in the manifest, and whether it still verifies after texts were tampered with."""
+    return verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    """The hard negatives of every anchor and positive; every seventh label is changed first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_top_products(spark, sf_dir):
+    """The ten rows of the highest inner product with every hundredth vector."""
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +99,9 @@ QUERIES = {
     "op8_vectors": op8_vectors,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_manifest": op11_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_top_products": op13_top_products,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
