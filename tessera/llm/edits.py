@@ -90,13 +90,14 @@ class Tree:
         first, inner = self._leaf(at)
         b, _ = self._leaf(at + cut)
         a = first
-        # what is before a segment with a character that isn't blank is split as it was
-        while a > 0 and (a == first or not self.parts[a].strip()):
+        # what is before a segment with a character that isn't blank is split as it was, if no added token can reach it
+        head = inner
+        while a > 0 and (a == first or not self.parts[a].strip() or head < self.enc.reach):
             a -= 1
-        head = sum(map(len, self.parts[a:first])) + inner
+            head += len(self.parts[a])
         while True:
             old, rest, c = "".join(self.parts[a : b + 1]), "", b + 1
-            while c < len(self.parts) and not rest.strip():
+            while c < len(self.parts) and (not rest.strip() or len(rest) < self.enc.reach):
                 rest += self.parts[c]
                 c += 1
             text = old[:head] + new + old[head + cut :]
@@ -151,7 +152,12 @@ def count_edited(docs: DataFrame, tokenizer_path: str | None = None) -> DataFram
 
 
 def some_edits(docs: DataFrame) -> DataFrame:
-    """docs with three edits each that follow from doc_id and length: a word replaced near a third, a sentence put in at two thirds, ten characters cut at the end of the first quarter."""
+    """docs with three edits each that follow from doc_id and length: a word replaced near a third, a sentence put in at two thirds, ten characters cut at the end of the first quarter.
+
+    A null or empty text is edited at its start; without a doc_id the new words are
+    null, so that these two edits put nothing in. Columns keep their names, but that
+    one called edits is replaced.
+    """
     n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
 
     def edit(at, cut, new):

@@ -32,30 +32,54 @@ def byte_letters() -> dict[int, str]:
 class Pieces(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit bytes; it starts anew when full."""
 
-    def __init__(self, model):
-        self.model, self.letters = model, byte_letters()
+    def __init__(self, model, added: dict[str, int]):
+        self.model, self.added, self.letters = model, added, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEEP:
             self.clear()
+        if word in self.added:  # no other pre-token is written like one
+            ids = self[word] = array.array("I", [self.added[word]]).tobytes()
+            return ids
         mapped = word.encode("utf-8").decode("latin-1").translate(self.letters)
         ids = self[word] = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return ids
 
 
 class Encoder:
-    """Ids of whole texts, equal to encode(text, add_special_tokens=False).ids."""
+    """Ids of whole texts, equal to encode(text, add_special_tokens=False).ids.
+
+    As there, a text that spells one of the file's added tokens, such as
+    <|endoftext|>, has its id, and what is between two of them is split on its own.
+    reach: the characters on either side of an edit that can become part of one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = Pieces(self.tokenizer.model)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError(f"{path} has added tokens that take blanks or words around them")
+        own = {t.content: i for i, t in added.items()}
+        self.pieces = Pieces(self.tokenizer.model, own)
+        # of several that begin at one place, the longest
+        self.special = re.compile("|".join(map(re.escape, sorted(own, key=len, reverse=True)))) if own else None
+        self.reach = max(map(len, own), default=1) - 1
 
     def split(self, text: str) -> list[str]:
-        """The pre-tokens, which make up the text."""
+        """The pre-tokens, added tokens among them, which make up the text."""
+        if self.special is None or not self.special.search(text):
+            return self._words(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += self._words(text[at : m.start()])
+            out.append(m[0])
+            at = m.end()
+        return out + self._words(text[at:])
+
+    def _words(self, text: str) -> list[str]:
         if ODD.search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return SPLIT.findall(text)

@@ -31,8 +31,39 @@ def test_cached_ids_are_the_tokenizers(text):
     assert e.encode(text) == array.array("I", truth(e, text)).tobytes() and e.count(text) == len(truth(e, text))
 
 
-def test_special_strings_are_text(enc):
-    assert 50256 not in truth(enc, "a <|endoftext|> b") and enc.encode("<|endoftext|>") == array.array("I", truth(enc, "<|endoftext|>")).tobytes()
+SPECIAL = st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<", "|", ">", " ", "  ", "\n", "a", "word", "é", "д", "<|endoftext|", "1", "'s"]), max_size=12).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(SPECIAL)
+def test_added_tokens_have_their_ids(text):
+    e = tokens.encoder(PATH)
+    assert "".join(e.split(text)) == text and e.encode(text) == array.array("I", truth(e, text)).tobytes()
+
+
+def test_an_added_token_at_starts_ends_and_in_words(enc):
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>", "ab<|endoftext|>cd", " <|endoftext|>", "a \n<|endoftext|>\n b"):
+        assert 50256 in truth(enc, text) and enc.encode(text) == array.array("I", truth(enc, text)).tobytes()
+    assert 50256 not in truth(enc, "<|endoftext |>")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(SPECIAL, st.sampled_from(["", "and more words " * 9])), max_size=8), st.lists(st.tuples(st.integers(0, 600), st.integers(0, 30), SPECIAL), max_size=8))
+def test_edits_make_and_break_added_tokens(parts, changes):
+    e, text = tokens.encoder(PATH), "".join(a + b for a, b in parts)
+    t = edits.Tree(text, e)
+    for at, cut, new in changes:
+        t.edit(at, cut, new)
+        text = apply(text, [(at, cut, new)])
+        assert t.text() == text and t.count == len(truth(e, text))
+
+
+def test_packing_and_counts_of_added_tokens(spark, enc):
+    rows = [(i, t) for i, t in enumerate(["x <|endoftext|> y", "<|endoftext|>" * 3000, "plain", None, "a<|endoftext|>"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_packing(packing.pack(df, PATH).collect(), rows, enc, 2048)
+    got = {r["doc_id"]: r["n_tokens"] for r in edits.count_edited(edits.some_edits(df), PATH).collect()}
+    assert got == {i: len(truth(enc, t)) for i, t in rows}
 
 
 def test_cache_starts_anew(enc, monkeypatch):
