@@ -9,7 +9,7 @@ from .functions import contract as C
 from .functions import proxies as P
 from .functions import text as X
 from .functions import urls as U
-from .operators import batch, benchmark, crawl, dom, hosts, ladder
+from .operators import admission, batch, benchmark, crawl, dom, hosts, ladder, metrics
 from .operators import scrape as S
 from .operators.order import numbered
 from .plans import requests as R
@@ -710,6 +710,93 @@ def host_final_scores(spark, sf_dir):
     return hosts.host_scores(_host_events(spark, sf_dir))
 
 
+def _events(spark, sf_dir):
+    """Events whose ts is a moment, not a wall clock's time."""
+    return read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+IDLE = 5 * 86400
+
+
+def _forgetful_sql(idle: int) -> str:
+    """Each event's score before and after it, where a host idle for longer than `idle` seconds begins anew: k numbers such beginnings."""
+    return f"""WITH e AS (SELECT *, event_type = 'error' AS failed, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > {idle}000000 AS fresh FROM events),
+s AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e),
+h AS (SELECT *, list_prepend(0, list(CASE WHEN failed THEN 1 ELSE -1 END) OVER (PARTITION BY user_id, k ORDER BY ts, event_id)) AS h FROM s),
+scored AS (SELECT user_id, event_id, ts, failed, CASE WHEN len(h) = 2 THEN 0 ELSE list_reduce(h[:-2], lambda a, x: greatest(0, least(8, a + x))) END AS score_before, list_reduce(h, lambda a, x: greatest(0, least(8, a + x))) AS score FROM h)
+"""
+
+
+@query(_forgetful_sql(IDLE) + "SELECT CAST(user_id AS VARCHAR) AS host, event_id, score_before, score, score_before >= 3 AS force_browser FROM scored")
+def host_memory_expiry(spark, sf_dir):
+    """Failure memory of hosts that forgets a host after five days without a fetch."""
+    return hosts.host_history(_host_events(spark, sf_dir), IDLE).select("host", "event_id", "score_before", "score", "force_browser")
+
+
+@query(_forgetful_sql(IDLE) + f"""SELECT r.event_id AS request_id, CAST(r.user_id AS VARCHAR) AS host, CASE WHEN s.score IS NULL OR epoch_us(r.at) - epoch_us(s.ts) > {IDLE}000000 THEN 0 ELSE s.score END AS host_score,
+ coalesce(s.score, 0) >= 3 AND epoch_us(r.at) - epoch_us(s.ts) <= {IDLE}000000 AS force_browser
+FROM (SELECT event_id, user_id, ts + INTERVAL 7 HOUR AS at FROM events WHERE event_type <> 'error') r ASOF LEFT JOIN (SELECT user_id, max_by(ts, event_id) AS ts, max_by(score, event_id) AS score, ts AS t FROM scored GROUP BY user_id, ts) s ON r.user_id = s.user_id AND r.at >= s.t""")
+def host_score_lookup(spark, sf_dir):
+    """The score of a request's host at the request's time, seven hours after an event that wasn't an error."""
+    r = _events(spark, sf_dir).where("event_type <> 'error'").select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("host"), (F.col("ts") + F.expr("INTERVAL 7 HOURS")).alias("ts"))
+    return hosts.scores_at(r, _host_events(spark, sf_dir), IDLE).select("request_id", "host", "host_score", "force_browser")
+
+
+def _arrivals(spark, sf_dir):
+    """Events as fetches of twenty hosts that arrive by half days, every 37th three half days late."""
+    e, i = _events(spark, sf_dir), F.col("event_id")
+    arrival = F.floor(F.unix_seconds("ts") / 43200) + F.when(i % 37 == 0, 3).otherwise(0)
+    return e.select(F.concat(F.lit("h"), (F.col("user_id") % 20).cast("string")).alias("host"), F.col("event_type").alias("status"), "ts", F.round(F.col("value") * 100).cast("long").alias("duration_ms"), arrival.cast("long").alias("arrival"))
+
+
+ARRIVALS_SQL = """WITH f AS (SELECT 'h' || (user_id % 20) AS host, event_type AS status, ts, CAST(round(value * 100) AS BIGINT) AS duration_ms, epoch_us(ts) // 1000000 // 43200 + CASE WHEN event_id % 37 = 0 THEN 3 ELSE 0 END AS arrival FROM events),
+m AS (SELECT arrival, max(max(epoch_us(ts))) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - 21600000000 AS mark FROM f GROUP BY arrival),
+kept AS (SELECT f.*, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM f JOIN m USING (arrival) WHERE mark IS NULL OR epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) + 3600000000 > mark)
+"""
+SUMS_SQL = "CAST(count(*) AS BIGINT) AS fetches, CAST(sum(duration_ms) AS BIGINT) AS total_ms, " + ", ".join(f"count(*) FILTER (duration_ms <= {b}) AS le_{b}" for b in metrics.BUCKETS)
+
+
+@query(ARRIVALS_SQL + f"SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS window_start, host, status, {SUMS_SQL} FROM kept GROUP BY ALL")
+def window_metrics(spark, sf_dir):
+    """Hourly metrics of hosts and statuses, without the rows that come more than six hours late."""
+    d = metrics.fetch_metrics(metrics.on_time(_arrivals(spark, sf_dir), 3600, 21600), 3600)
+    return d.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+@query(ARRIVALS_SQL + f"SELECT status, {SUMS_SQL} FROM kept GROUP BY status")
+def status_metrics(spark, sf_dir):
+    """The same metrics summed up for each status."""
+    return metrics.metric_totals(metrics.fetch_metrics(metrics.on_time(_arrivals(spark, sf_dir), 3600, 21600), 3600))
+
+
+def _timed_requests(spark, sf_dir):
+    """Events as requests that take six seconds for each hundredth of their value; a seventh of them is of one host."""
+    e, i, us = _events(spark, sf_dir), F.col("event_id"), F.unix_micros("ts")
+    return e.select(i.alias("request_id"), F.when(i % 7 == 0, "hot").otherwise(F.concat(F.lit("h"), (F.col("user_id") % 40).cast("string"))).alias("host"), us.alias("start_us"), (us + F.round(F.col("value") * 100).cast("long") * 6_000_000).alias("end_us"))
+
+
+def _admission_sql(limit: int, by: str) -> str:
+    """Request after request, with the ends of those that run."""
+    return f"""WITH RECURSIVE r AS (SELECT event_id AS request_id, CASE WHEN event_id % 7 = 0 THEN 'hot' ELSE 'h' || (user_id % 40) END AS host, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 6000000 AS e FROM events),
+q AS (SELECT *, {by} AS scope, row_number() OVER (PARTITION BY {by} ORDER BY s, request_id) AS k FROM r),
+go(scope, k, request_id, host, ends, admitted) AS (SELECT scope, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST([] AS BIGINT[]), true FROM q GROUP BY scope UNION ALL
+ SELECT q.scope, q.k, q.request_id, q.host, CASE WHEN len(list_filter(go.ends, lambda x: x > q.s)) < {limit} THEN list_append(list_filter(go.ends, lambda x: x > q.s), q.e) ELSE list_filter(go.ends, lambda x: x > q.s) END, len(list_filter(go.ends, lambda x: x > q.s)) < {limit}
+ FROM go JOIN q ON q.scope = go.scope AND q.k = go.k + 1)
+SELECT request_id, host, admitted, CASE WHEN NOT admitted THEN 429 END AS status, CASE WHEN NOT admitted THEN 'crawler is saturated, retry later' END AS error FROM go WHERE k > 0"""
+
+
+@query(_admission_sql(24, "0"))
+def admission_global(spark, sf_dir):
+    """Requests that a service of 24 permits admits or turns away."""
+    return admission.admit(_timed_requests(spark, sf_dir), 24).select("request_id", "host", "admitted", "status", "error")
+
+
+@query(_admission_sql(2, "host"))
+def admission_by_host(spark, sf_dir):
+    """Requests that hosts of two permits each admit or turn away."""
+    return admission.admit(_timed_requests(spark, sf_dir), 2, ("host",)).select("request_id", "host", "admitted", "status", "error")
+
+
 def _runs(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     i = F.col("event_id")
@@ -722,16 +809,22 @@ canonical AS (SELECT 'u' || i AS url, 'TITLE ' || i AS canonical_title FROM rang
 
 
 @query(RUNS_SQL + """SELECT tool, count(*) AS runs, count(*) FILTER (ok) AS successes, round(avg(duration_s) FILTER (ok), 4) AS avg_latency, CAST(trunc(avg(bytes_extracted) FILTER (ok)) AS BIGINT) AS avg_bytes, round(avg(link_count) FILTER (ok), 2) AS avg_links,
- CAST(len(list(error) FILTER (NOT ok)) AS INT) AS n_errors FROM runs GROUP BY tool""")
+ count(*) FILTER (NOT ok) AS n_errors FROM runs GROUP BY tool""")
 def bench_summary(spark, sf_dir):
     d = benchmark.summarize(_runs(spark, sf_dir))
-    return d.select("tool", "runs", "successes", "avg_latency", "avg_bytes", "avg_links", F.size("errors").alias("n_errors"))
+    return d.select("tool", "runs", "successes", "avg_latency", "avg_bytes", "avg_links", "n_errors")
+
+
+@query(RUNS_SQL + "SELECT tool, run_id, error FROM runs WHERE NOT ok")
+def bench_errors(spark, sf_dir):
+    """The error of every run that failed."""
+    return benchmark.run_errors(_runs(spark, sf_dir))
 
 
 @query(RUNS_SQL + """, v AS (SELECT tool, list(duration_s ORDER BY duration_s) AS v FROM runs WHERE ok GROUP BY tool), n AS (SELECT *, len(v) AS n FROM v), j AS (SELECT *, least(greatest(19 * (n + 1) // 20, 1), n - 1) AS j FROM n)
 SELECT tool, round(CASE WHEN n = 1 THEN v[1] ELSE (v[j] * (20 - (19 * (n + 1) - 20 * j)) + v[j + 1] * (19 * (n + 1) - 20 * j)) / 20 END, 4) AS p95_latency FROM j""")
 def bench_p95(spark, sf_dir):
-    return benchmark.summarize(_runs(spark, sf_dir)).select("tool", "p95_latency")
+    return benchmark.p95_latency(_runs(spark, sf_dir)).select("tool", F.round("p95_latency", 4).alias("p95_latency"))
 
 
 @query(RUNS_SQL + """SELECT tool, round(avg(CASE WHEN lower(trim(title)) = lower(trim(canonical_title)) THEN 1 WHEN canonical_title IS NULL THEN NULL ELSE 0 END) FILTER (ok), 4) AS title_match_rate, round(avg(CAST(bytes_extracted > 0 AS INT)) FILTER (ok), 4) AS content_rate, round(avg(CAST(link_count > 0 AS INT)) FILTER (ok), 4) AS links_rate FROM runs LEFT JOIN canonical USING (url) GROUP BY tool""")

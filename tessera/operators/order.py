@@ -7,23 +7,44 @@ from pyspark.sql import functions as F
 
 
 def ranges(df: DataFrame, order: str) -> Column:
-    """The number of a row's range of the order, non-decreasing in it; ranges hold about equal shares of the rows."""
+    """The number of a row's range of the order, non-decreasing in it; ranges hold about equal shares of the rows.
+
+    The cuts are one constant array, searched in as many steps as its size has bits.
+    Nulls are in the first range.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order).cast("double")
     cuts = sorted(set(df.select(key.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < key)) if cuts else F.lit(0)
+    if not cuts:
+        return F.lit(0)
+    bits = len(cuts).bit_length()
+    padded = F.split(F.lit(",".join(map(repr, cuts + [float("inf")] * ((1 << bits) - 1 - len(cuts))))), ",").cast("array<double>")
+    found = F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), F.lit(0), lambda at, step: F.when(F.get(padded, at + step - 1) < key, at + step).otherwise(at))
+    return F.when(key.isNull(), 0).otherwise(found)
 
 
-def numbered(df: DataFrame, name: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with a row's place (from 1) in the order, within equal values of `by`.
+def running(df: DataFrame, name: str, value: Column, order: tuple[str, ...], by: tuple[str, ...] = (), how: str = "sum", own: bool = True) -> DataFrame:
+    """df with the sum, max or last non-null of value over the rows up to its own in the order, within equal values of `by`.
 
-    Rows are numbered within ranges; a range's rows before it are counted. So
-    neither all rows nor those of one value meet in a task.
+    own=False: up to the row before. The order must tell rows apart; ranges are told
+    by its first column. Only one row of each range is carried to those after it, so
+    that neither all rows nor those of one value meet in a task. Nulls count for
+    nothing; before the first value the result is null, of a sum 0.
     """
-    d = df.withColumn("__range", ranges(df, order))
-    key = [*by, "__range"]
-    before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counts = d.groupBy(*key).agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    placed = d.withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
-    return placed.join(counts, key).withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")
+    d = df.withColumns({"__range": ranges(df, order[0]), "__value": value})
+    key, at = [*by, "__range"], F.struct(*order)
+    whole = {"sum": F.sum("__value"), "max": F.max("__value"), "last": F.max_by("__value", F.when(F.col("__value").isNotNull(), at))}[how]
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    earlier = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # rows: ranges
+    totals = d.groupBy(*key).agg(whole.alias("__total"))
+    totals = totals.withColumn("__before", over("__total").over(earlier.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).drop("__total")
+    inner = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    here = d.withColumn("__here", over("__value").over(inner))
+    met = here.join(totals.withColumnsRenamed({c: f"__{c}" for c in key}), F.expr(" and ".join(f"`{c}` <=> `__{c}`" for c in key))) if by else here.join(totals, key)
+    both = {"sum": F.coalesce("__before", F.lit(0)) + F.coalesce("__here", F.lit(0)), "max": F.greatest("__before", "__here"), "last": F.coalesce("__here", "__before")}[how]
+    return met.withColumn(name, both).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, name: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with a row's place (from 1) in the order, within equal values of `by`; see running."""
+    return running(df, name, F.lit(1).cast("long"), (order,), by)

@@ -172,8 +172,9 @@ def test_summary_of_runs(spark):
     rows = [(1, "b", "u", True, 1.0, 10, 0, "T", None), (2, "b", "u", True, 2.0, 5, 3, " t ", None), (3, "b", "u", False, 9.0, 0, 0, None, "late"), (4, "a", "v", False, 1.0, 0, 0, None, "no")]
     runs = spark.createDataFrame(rows, "run_id long, tool string, url string, ok boolean, duration_s double, bytes_extracted long, link_count long, title string, error string")
     b, a = benchmark.summarize(runs, spark.createDataFrame([("u", "t")], "url string, title string")).collect()
-    assert (b.tool, b.runs, b.successes, b.avg_latency, b.p95_latency, b.avg_bytes, b.avg_links, b.title_match_rate, b.content_rate, b.links_rate, b.errors) == ("b", 3, 2, 1.5, 2.85, 7, 1.5, 1.0, 1.0, 0.5, ["late"])
-    assert (a.avg_latency, a.p95_latency, a.avg_bytes, a.avg_links, a.title_match_rate, a.errors) == (None, None, 0, 0.0, None, ["no"])
+    assert (b.tool, b.runs, b.successes, b.avg_latency, b.p95_latency, b.avg_bytes, b.avg_links, b.title_match_rate, b.content_rate, b.links_rate, b.n_errors) == ("b", 3, 2, 1.5, 2.85, 7, 1.5, 1.0, 1.0, 0.5, 1)
+    assert (a.avg_latency, a.p95_latency, a.avg_bytes, a.avg_links, a.title_match_rate, a.n_errors) == (None, None, 0, 0.0, None, 1)
+    assert sorted(map(tuple, benchmark.run_errors(runs).collect())) == [("a", 4, "no"), ("b", 3, "late")]
 
 
 def plain(v):
