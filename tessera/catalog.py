@@ -836,3 +836,6 @@ def bench_quality(spark, sf_dir):
 @query(f"WITH f AS (SELECT {STATUS_SQL} AS status_code, strlen(html) AS n FROM pages) SELECT 'http' AS mode, status_code, count(*) AS fetches, CAST(sum(n) AS BIGINT) AS bytes FROM f GROUP BY status_code")
 def mode_status_metrics(spark, sf_dir):
     return _fetches(spark, sf_dir).groupBy("mode", "status_code").agg(F.count("*").alias("fetches"), F.sum(F.octet_length("html")).cast("long").alias("bytes"))
+
+
+from . import catalog_site  # noqa: E402, F401  registers its queries

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from .order import running
 
 # fixed values: what a request that is turned away is told
@@ -61,12 +62,12 @@ def admit(requests: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFram
     """
     tie = ("request_id", "end_us")
     named = requests.select(F.struct(*requests.columns).alias("__row"), *by, "request_id", "start_us", F.coalesce("end_us", "start_us").alias("end_us"))
-    every = _load(named.where("start_us is not null"), "__all", by, F.lit(True), tie).withColumn("__sure", F.col("__all") < limit)
-    judged = _load(every, "__certain", by, F.col("__sure"), (*tie, "__all"))
+    every = cut(_load(named.where("start_us is not null"), "__all", by, F.lit(True), tie).withColumn("__sure", F.col("__all") < limit))
+    judged = cut(_load(every, "__certain", by, F.col("__sure"), (*tie, "__all")))
     # stretches of overlapping requests that aren't certain, named by their first
     order, first = ("start_us", *tie, "__all"), F.struct("start_us", "request_id")
     left = running(judged.where("not __sure"), "__until", F.greatest("start_us", "end_us"), order, by, "max", own=False)
-    left = running(left, "__stretch", F.when(F.col("__until").isNull() | (F.col("start_us") >= F.col("__until")), first), order, by, "last")
+    left = running(cut(left), "__stretch", F.when(F.col("__until").isNull() | (F.col("start_us") >= F.col("__until")), first), order, by, "last")
     scope = F.to_json(F.struct(*by)) if by else F.lit("")
     rows = left.select("__row", scope.alias("__scope"), F.to_json("__stretch").alias("__stretch"), *order, (limit - F.col("__certain")).alias("__room"))
     kind = named.schema["__row"].dataType.simpleString()

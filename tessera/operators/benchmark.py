@@ -87,6 +87,56 @@ def summarize(runs: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
     return out.orderBy("first_run").select("tool", "runs", "successes", "avg_latency", "p95_latency", "avg_bytes", "avg_links", "title_match_rate", "content_rate", "links_rate", "n_errors")
 
 
+#: The levels of a rolled-up report, by the keys that each has.
+LEVELS = (("tool", "url", "iteration"), ("tool", "url"), ("tool", "iteration"), ("tool",), ())
+
+
+def rolled_up(runs: DataFrame) -> DataFrame:
+    """Runs, successes and mean latency of every level of LEVELS at once: level, tool, url, iteration, runs, successes, total_ms (of the ok runs) and avg_latency.
+
+    level is the grouping id: its bits tell which of tool, url and iteration a row sums
+    over, so that a total is told from a key that is null. Rows are expanded to the
+    levels and pre-aggregated before their one shuffle. An empty table has the total
+    alone, of 0 runs.
+    """
+    keys, latency = ("tool", "url", "iteration"), F.avg(F.when(F.col("ok"), F.col("duration_s")))
+    out = runs.groupingSets([[F.col(c) for c in level] for level in LEVELS], *map(F.col, keys))
+    return out.agg(F.grouping_id().alias("level"), F.count("*").alias("runs"), F.count_if("ok").alias("successes"), F.sum(F.when(F.col("ok"), F.round(F.col("duration_s") * 1000).cast("long"))).alias("total_ms"), F.round(latency, 4).alias("avg_latency")).select("level", *keys, "runs", "successes", "total_ms", "avg_latency")
+
+
+#: Size parameters of the sketches: a quantile's rank is within RANK_ERROR of the true one, a number of different values within DISTINCT_ERROR of it, both with 99 % certainty.
+KLL_K, HLL_LG = 400, 12
+RANK_ERROR, DISTINCT_ERROR = 0.01, 0.05
+
+
+def daily_sketches(runs: DataFrame) -> DataFrame:
+    """Of runs (ts, tool, url, ok, duration_s, used_browser) one row per day and tool, which add up: day, tool, runs, fallbacks, latency (a KLL sketch of the durations of ok runs) and urls (an HLL sketch).
+
+    Null durations and urls are in no sketch; rows without ts are of the day null.
+    """
+    ok = F.when(F.col("ok"), F.col("duration_s"))
+    return runs.groupBy(F.to_date("ts").alias("day"), "tool").agg(F.count("*").alias("runs"), F.count_if("used_browser").alias("fallbacks"), F.kll_sketch_agg_double(ok, KLL_K).alias("latency"), F.hll_sketch_agg("url", HLL_LG).alias("urls"))
+
+
+def sketched_summary(days: DataFrame, first=None, last=None) -> DataFrame:
+    """Of daily sketches those of first to last (dates; all by default), merged by tool: tool, runs, fallback_rate, median_latency, p95_latency, urls. No run is read again."""
+    if first is not None:
+        days = days.where(F.col("day") >= F.lit(first))
+    if last is not None:
+        days = days.where(F.col("day") <= F.lit(last))
+    all_days = days.groupBy("tool").agg(F.sum("runs").alias("runs"), F.sum("fallbacks").alias("fallbacks"), F.kll_merge_agg_double("latency").alias("latency"), F.hll_union_agg("urls").alias("urls"))
+    any_run = F.kll_sketch_get_n_double("latency") > 0
+    at = [F.when(any_run, F.kll_sketch_get_quantile_double("latency", F.lit(q))).alias(f"{n}_latency") for n, q in (("median", 0.5), ("p95", 0.95))]
+    return all_days.select("tool", "runs", (F.col("fallbacks") / F.col("runs")).alias("fallback_rate"), *at, F.hll_sketch_estimate("urls").alias("urls"))
+
+
+def stability(runs: DataFrame) -> DataFrame:
+    """How alike repeated runs of a page are: tool, urls, stable_urls (all ok runs gave one content_hash) and stability, of pages with more than one ok run."""
+    by = runs.where("ok and content_hash is not null").groupBy("tool", "url").agg(F.count("*").alias("n"), F.min("content_hash").alias("low"), F.max("content_hash").alias("high")).where("n > 1")
+    out = by.groupBy("tool").agg(F.count("*").alias("urls"), F.count_if(F.col("low") == F.col("high")).alias("stable_urls"))
+    return out.withColumn("stability", F.round(F.col("stable_urls") / F.col("urls"), 4))
+
+
 def run_grid(tools: DataFrame, targets: DataFrame, iterations: int) -> DataFrame:
     """Every tool on every target, iteration by iteration; both tables are lists of a command line."""
     return tools.crossJoin(targets).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contract as C
-from ..sources.tables import shared_folder
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage at a table in the shared checkpoint folder."""
-    path = f"{shared_folder(df.sparkSession)}/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.tables import cut
 
 
 def in_scope(edges: DataFrame, hosts: DataFrame, subdomains: bool = False) -> DataFrame:
@@ -34,7 +25,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_pages: int
     """Pages of each crawl: seed, page, depth and place.
 
     seeds: (seed, page), with limits of their own in max_depth and max_pages where
-    these columns are there, the arguments then being the most; edges: (src, dst).
+    these columns are there, the arguments then being the most; edges: (src, dst), a
+    table, as every level reads it (cut what is costly to make).
     Breadth first to max_depth, at most max_pages of each seed in the order of
     (depth, page). Every level is one join with the links and one anti-join with
     what has been seen; a crawl that has its pages goes no further, so that no level
@@ -54,7 +46,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_pages: int
     for level in range(1, max_depth + 1):
         going = frontier.where((F.col("n") < F.col("most")) & (F.col("deep") >= level))
         step = going.join(edges, going["page"] == edges["src"]).select("seed", F.col("dst").alias("page"), "deep", "most", "n").distinct()
-        frontier = _cut(placed(step.join(seen.select("seed", "page"), ["seed", "page"], "left_anti"), level))
+        frontier = cut(placed(step.join(seen.select("seed", "page"), ["seed", "page"], "left_anti"), level))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.select(*keep))
@@ -79,16 +71,39 @@ def crawl_pages(crawled: DataFrame, fetches: DataFrame, plan: DataFrame) -> Data
     """The pages of each crawl's answer: seed, place and page.
 
     crawled: (seed, page, place); fetches: one per page (request_id = page); plan:
-    of crawl_plan, index = seed. Content is html, Markdown that of the options as
-    they are, without a profile.
+    of crawl_plan, index = seed. Content is html, Markdown that of the request's own
+    options (fit), without a profile. A page is parsed once for each way in which
+    crawls ask for it, however many have it.
     """
     from .scrape import mapped_page, rendered, with_signals
 
-    asked = plan.where("error is null").select(F.col("index").alias("seed"), "include_content", F.col("include_markdown").alias("want_markdown"), "max_content_chars")
+    way = ["include_content", "want_markdown", "max_content_chars", "fit"]
+    asked = plan.where("error is null").select(F.col("index").alias("seed"), "include_content", F.col("include_markdown").alias("want_markdown"), "max_content_chars", "fit")
+    rows = crawled.select("seed", "place", F.col("page").alias("request_id")).join(asked, "seed")
+    once = rows.select("request_id", *way).distinct()
     got = with_signals(fetches).drop("headers").withColumn("supported", F.lit(True))
-    rows = crawled.select("seed", "place", F.col("page").alias("request_id")).join(asked, "seed").join(got, "request_id")
-    opts = F.struct(F.lit(0.48).alias("pruning_threshold"), F.lit("fixed").alias("pruning_type"), F.lit(5).alias("min_word_threshold"))
-    return rendered(rows, opts, F.lit("html")).select("seed", "place", mapped_page().alias("page"))
+    shown = rendered(once.join(got, "request_id"), F.col("fit"), F.lit("html")).select("request_id", *way, mapped_page().alias("page"))
+    return rows.join(shown, ["request_id", *way]).select("seed", "place", "page")
+
+
+def crawl_answers(plan: DataFrame, pages: DataFrame, counts: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """The whole answer to each request of plan (of crawl_plan), in the order of index: index, root_url, crawl_duration_ms, pages_fetched, unique_links_seen, pages, error.
+
+    pages: (seed, place, page); counts: (seed, pages_fetched, unique_links_seen), as
+    they are after recovery; durations: (seed, ms). An answer holds at most max_pages
+    pages, which is what bounds its row. A request with an error has nothing else; one
+    that fetched nothing has no pages and is no error.
+    """
+    own = pages.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "page"))), lambda x: x["page"]).alias("pages"))
+    told = counts.select(F.col("seed").alias("index"), "pages_fetched", "unique_links_seen").join(own.withColumnRenamed("seed", "index"), "index", "left")
+    out = plan.select("index", F.col("url").alias("root_url"), "error").join(told, "index", "left")
+    if durations is None:
+        out = out.withColumn("ms", F.lit(0).cast("long"))
+    else:
+        out = out.join(durations.select(F.col("seed").alias("index"), "ms"), "index", "left")
+    ok = F.col("error").isNull()
+    numbers = {"ms": "crawl_duration_ms", "pages_fetched": "pages_fetched", "unique_links_seen": "unique_links_seen"}
+    return out.select("index", F.when(ok, F.col("root_url")).alias("root_url"), *[F.when(ok, F.coalesce(F.col(c), F.lit(0)).cast("long")).alias(n) for c, n in numbers.items()], F.when(ok, F.coalesce("pages", F.array().cast(own.schema["pages"].dataType))).alias("pages"), "error").orderBy("index")
 
 
 def links_seen(pages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -110,13 +125,14 @@ def crawl_counts(crawled: DataFrame, links: DataFrame) -> DataFrame:
     return n.join(j.groupBy("seed").agg(F.count_distinct("dst").alias("unique_links_seen")), "seed")
 
 
-def with_recovery(crawled: DataFrame, single: DataFrame, depth: int, pages: int) -> DataFrame:
+def with_recovery(crawled: DataFrame, single: DataFrame, depth: int | Column, pages: int | Column) -> DataFrame:
     """Crawls of one page without depth that fetched nothing take the page fetched alone.
 
-    crawled: (seed, pages_fetched, unique_links_seen); single: (seed, page).
+    crawled: (seed, pages_fetched, unique_links_seen, ...); single: (seed, page);
+    depth, pages: what was asked for, of all crawls or as columns of crawled.
     """
-    if depth or pages != 1:
-        return crawled.withColumn("recovered", F.lit(None).cast("long"))
-    j = crawled.join(single.select("seed", F.col("page").alias("alone")), "seed", "left")
-    took = (F.col("pages_fetched") == 0) & F.col("alone").isNotNull()
+    depth, pages = (c if isinstance(c, Column) else F.lit(c) for c in (depth, pages))
+    rows = crawled.withColumn("__alone", (depth == 0) & (pages == 1) & (F.col("pages_fetched") == 0))
+    j = rows.join(single.select("seed", F.col("page").alias("alone")), "seed", "left")
+    took = F.col("__alone") & F.col("alone").isNotNull()
     return j.select("seed", F.when(took, 1).otherwise(F.col("pages_fetched")).cast("long").alias("pages_fetched"), F.when(took, F.greatest("unique_links_seen", F.lit(1))).otherwise(F.col("unique_links_seen")).cast("long").alias("unique_links_seen"), F.when(took, F.col("alone")).cast("long").alias("recovered"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from .asof import as_of
 from .order import running
 
@@ -72,9 +73,9 @@ def _tree(fetches: DataFrame, idle: int | None) -> tuple[list[DataFrame], DataFr
     """The levels of runs, from the fetches up, and each host's map."""
     rows = fetches.where("host is not null and host <> ''").select("host", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("failed", F.lit(False)).alias("failed"))
     placed = running(rows, "at", F.lit(1).cast("long"), ("ts", "event_id"), ("host",), own=False).withColumn("us", F.unix_micros("ts"))
-    levels = [_runs(placed, "event_id", "ts", "us", "failed")]
-    maps, n = _maps(levels[0], idle, True), -(-rows.count() // RUN)
-    while n > 1:  # runs of the largest host at most
+    levels = [cut(_runs(placed, "event_id", "ts", "us", "failed"))]
+    maps, n = _maps(levels[0], idle, True), levels[0].groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while n > 1:  # runs of the largest host
         levels.append(_runs(maps, "lo", "hi", "c", "first", "last"))
         maps, n = _maps(levels[-1], idle, False), -(-n // RUN)
     return levels, maps
@@ -133,7 +134,7 @@ def scores_at(requests: DataFrame, fetches: DataFrame, idle_seconds: float | Non
     host idle for longer than idle_seconds at ts. Repeated requests are answered row
     by row.
     """
-    history = host_history(fetches, idle_seconds).select("host", "ts", "event_id", F.struct("score", "ts").alias("__known"))
+    history = cut(host_history(fetches, idle_seconds).select("host", "ts", "event_id", F.struct("score", "ts").alias("__known")))
     out = as_of(requests.withColumn("ts", F.col("ts").cast("timestamp")), history, ("host",), "ts", "event_id", "__known")
     score = F.col("__known.score")
     if idle_seconds is not None:

@@ -31,8 +31,8 @@ def running(df: DataFrame, name: str, value: Column, order: tuple[str, ...], by:
     that neither all rows nor those of one value meet in a task. Nulls count for
     nothing; before the first value the result is null, of a sum 0.
     """
-    d = df.withColumns({"__range": ranges(df, order[0]), "__value": value})
     key, at = [*by, "__range"], F.struct(*order)
+    d = df.withColumns({"__range": ranges(df, order[0]), "__value": value}).repartition(*key)  # one exchange for both
     whole = {"sum": F.sum("__value"), "max": F.max("__value"), "last": F.max_by("__value", F.when(F.col("__value").isNotNull(), at))}[how]
     over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
     earlier = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # rows: ranges

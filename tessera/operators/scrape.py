@@ -77,7 +77,7 @@ def judged(fetches: DataFrame) -> DataFrame:
 
 
 #: Columns of a request that its answer needs, and of a fetch that its page needs.
-ASKED = ("request_id", "root_url", "request_error", "crawl_mode", "response_format", "include_content", "want_markdown", "require_substantive", "max_content_chars", "extraction_profile", "required_text", "wait_for_selector", "min_words", "min_score", "blocked_statuses")
+ASKED = ("request_id", "root_url", "request_error", "crawl_mode", "response_format", "include_content", "want_markdown", "require_substantive", "max_content_chars", "extraction_profile", "fit", "required_text", "wait_for_selector", "min_words", "min_score", "blocked_statuses")
 FETCHED = ("attempt", "url", "final_url", "status_code", "html", "error_status", "content_type", "supported", "signals", "weak", "auto_reason", "http_reason")
 
 
@@ -136,17 +136,14 @@ def mapped_page() -> Column:
 def scrape(fetches: DataFrame, plan: DataFrame, options: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """The answer to each request: the page that its fetches (attempts) end with, under plan (of scrape_plan, index = request_id).
 
-    One row per request that has no error of its own. options: (request_id,
-    options); scores: (host, score), see chosen_pages. What isn't asked for isn't
+    One row per request that has no error of its own. Markdown is pruned by the
+    plan's options (fit). options: (request_id, options) instead of these; scores: (host, score), see chosen_pages. What isn't asked for isn't
     computed: Markdown only where it is wanted, text only for its format. `failed`
     is what a host's memory learns.
     """
-    from ..plans.requests import fit_options
-
     f = chosen_pages(fetches, plan, scores)
-    if options is None:
-        opts = fit_options(F.lit(0.48), F.lit("fixed"), F.lit(5), F.col("extraction_profile"))
-    else:
+    opts = F.col("fit")
+    if options is not None:
         f = f.join(options, "request_id", "left")
         opts = F.col("options")
     has = F.col("html").isNotNull()

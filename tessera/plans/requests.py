@@ -55,6 +55,13 @@ def fit_options(threshold: Column, kind: Column, min_words: Column, profile: Col
     return out
 
 
+def asked_fit(requests: DataFrame) -> Column:
+    """A request's own struct fit_markdown; what it doesn't tell is the default. A null min_word_threshold is the default too, 0 asks for none."""
+    threshold, kind, words = PROFILES["balanced"]
+    own = field(requests, "fit_markdown", "struct<pruning_threshold: double, pruning_type: string, min_word_threshold: long>")
+    return F.struct(F.coalesce(own["pruning_threshold"], F.lit(threshold)).alias("pruning_threshold"), F.coalesce(F.lower(own["pruning_type"]), F.lit(kind)).alias("pruning_type"), F.coalesce(own["min_word_threshold"], F.lit(words)).cast("long").alias("min_word_threshold"))
+
+
 def browser_timeouts(request: Column, crawl: Column, page_timeout: Column) -> tuple[Column, Column]:
     """Both timeouts, lowered to the page's own where one is given."""
     lower = lambda t: F.when(page_timeout.isNull(), t).otherwise(clamp(page_timeout, 1, F.greatest(t, F.lit(1))))
@@ -98,7 +105,7 @@ def redirect_policy(value: Column) -> tuple[Column, Column]:
 def scrape_plan(requests: DataFrame, pool: list[str] | None = None, most_proxies: int = MOST_PROXIES) -> DataFrame:
     """requests with defaults and limits; missing columns count as null. A row whose url is no target has an error."""
     df, f = requests, lambda n, k, d=None: field(requests, n, k, d)
-    full = df.select(*[c for c in df.columns if c in ("index", "url")], *[f(n, "long").alias(n) for n in ("request_timeout_secs", "crawl_timeout_secs", "max_content_chars")], f("crawl_mode", "string", "http").alias("crawl_mode"), f("response_format", "string", "text").alias("response_format"), f("include_content", "boolean", True).alias("include_content"), f("include_markdown", "boolean", False).alias("include_markdown"), f("respect_robots_txt", "boolean", True).alias("respect_robots_txt"), f("redirect_limit", "long", 10).alias("redirect_limit"), f("anti_bot_profile", "string", "camoufox_like").alias("anti_bot_profile"), f("user_agent", "string").alias("user_agent"), f("referer", "string").alias("referer"), f("redirect_policy", "string").alias("redirect_policy"), f("extraction_profile", "string").alias("extraction_profile"), f("required_text", "string").alias("required_text"), f("wait_for_selector", "string").alias("wait_for_selector"), f("auto_browser_min_words", "long", 150).alias("min_words"), f("auto_browser_min_main_content_score", "double", 0.45).alias("min_score"), f("auto_browser_blocked_statuses", "array<int>").alias("blocked_statuses"), f("proxies", "array<string>").alias("proxies"), f("cursor", "long", 0).alias("cursor"))
+    full = df.select(*[c for c in df.columns if c in ("index", "url")], *[f(n, "long").alias(n) for n in ("request_timeout_secs", "crawl_timeout_secs", "max_content_chars")], f("crawl_mode", "string", "http").alias("crawl_mode"), f("response_format", "string", "text").alias("response_format"), f("include_content", "boolean", True).alias("include_content"), f("include_markdown", "boolean", False).alias("include_markdown"), f("respect_robots_txt", "boolean", True).alias("respect_robots_txt"), f("redirect_limit", "long", 10).alias("redirect_limit"), f("anti_bot_profile", "string", "camoufox_like").alias("anti_bot_profile"), f("user_agent", "string").alias("user_agent"), f("referer", "string").alias("referer"), f("redirect_policy", "string").alias("redirect_policy"), f("extraction_profile", "string").alias("extraction_profile"), f("required_text", "string").alias("required_text"), f("wait_for_selector", "string").alias("wait_for_selector"), f("auto_browser_min_words", "long", 150).alias("min_words"), f("auto_browser_min_main_content_score", "double", 0.45).alias("min_score"), f("auto_browser_blocked_statuses", "array<int>").alias("blocked_statuses"), f("proxies", "array<string>").alias("proxies"), f("cursor", "long", 0).alias("cursor"), asked_fit(df).alias("fit"))
     want = F.col("include_markdown") | (F.col("response_format") == "markdown")
     policy, bad_policy = redirect_policy(F.col("redirect_policy"))
     out = full.select(
@@ -107,6 +114,7 @@ def scrape_plan(requests: DataFrame, pool: list[str] | None = None, most_proxies
         *[limited(n).alias(n) for n in ("request_timeout_secs", "crawl_timeout_secs", "max_content_chars")],
         "crawl_mode", "response_format", "include_content", "respect_robots_txt", "redirect_limit", policy.alias("redirect_policy"), "extraction_profile", "required_text", "wait_for_selector", "min_words", "min_score", "blocked_statuses",
         want.alias("want_markdown"),
+        fit_options(F.col("fit.pruning_threshold"), F.col("fit.pruning_type"), F.col("fit.min_word_threshold"), F.col("extraction_profile")).alias("fit"),
         (F.col("include_content") | want).alias("require_substantive"),
         header_profile(F.col("anti_bot_profile"), F.col("user_agent"), F.col("referer")).alias("headers"),
         (F.when(F.col("proxies").isNotNull(), F.col("proxies")).otherwise(rotated(F.array(*map(F.lit, pool)), F.col("cursor"), most_proxies)) if pool else F.col("proxies")).alias("proxies"),
@@ -116,7 +124,7 @@ def scrape_plan(requests: DataFrame, pool: list[str] | None = None, most_proxies
 
 def crawl_plan(requests: DataFrame) -> DataFrame:
     f = lambda n, k, d=None: field(requests, n, k, d)
-    full = requests.select(*[c for c in requests.columns if c in ("index", "url")], *[f(n, "long").alias(n) for n in LIMITS], f("include_content", "boolean", False).alias("include_content"), f("include_markdown", "boolean", False).alias("include_markdown"), f("respect_robots_txt", "boolean", True).alias("respect_robots_txt"), f("subdomains", "boolean", False).alias("subdomains"), f("redirect_limit", "long", 10).alias("redirect_limit"), f("redirect_policy", "string").alias("redirect_policy"), f("crawl_mode", "string", "http").alias("crawl_mode"), f("auto_browser_min_pages", "long", 1).alias("min_pages"), f("auto_browser_min_links", "long", 20).alias("min_links"), f("anti_bot_profile", "string", "basic").alias("anti_bot_profile"))
+    full = requests.select(*[c for c in requests.columns if c in ("index", "url")], *[f(n, "long").alias(n) for n in LIMITS], f("include_content", "boolean", False).alias("include_content"), f("include_markdown", "boolean", False).alias("include_markdown"), f("respect_robots_txt", "boolean", True).alias("respect_robots_txt"), f("subdomains", "boolean", False).alias("subdomains"), f("redirect_limit", "long", 10).alias("redirect_limit"), f("redirect_policy", "string").alias("redirect_policy"), f("crawl_mode", "string", "http").alias("crawl_mode"), f("auto_browser_min_pages", "long", 1).alias("min_pages"), f("auto_browser_min_links", "long", 20).alias("min_links"), f("anti_bot_profile", "string", "basic").alias("anti_bot_profile"), asked_fit(requests).alias("fit"))
     policy, bad_policy = redirect_policy(F.col("redirect_policy"))
     return full.select(*[c for c in full.columns if c not in (*LIMITS, "redirect_policy")], policy.alias("redirect_policy"), F.coalesce(url_error("url"), bad_policy).alias("error"), *[limited(n).alias(n) for n in LIMITS])
 

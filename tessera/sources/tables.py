@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,34 @@ def shared_folder(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+#: Scratch tables that are there: path to the JVM that made it, in the order in which they were made.
+scratch: dict[str, object] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage: writes df as a table in the shared folder and reads it again. The table goes with delete_scratch, or at the end of the program."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    scratch[path] = spark._jvm
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def delete_scratch(path: str) -> None:
+    """Deletes a scratch table, or whatever is at its path."""
+    jvm = scratch.pop(path)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(scratch):
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            delete_scratch(path)
+
+
 #: Partitions of a table that is dealt out at most: a larger one has work enough for many cores, and its shuffle would cost more than it gains.
 SPREAD_MOST = 256
 
