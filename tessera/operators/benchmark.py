@@ -96,8 +96,8 @@ def rolled_up(runs: DataFrame) -> DataFrame:
 
     level is the grouping id: its bits tell which of tool, url and iteration a row sums
     over, so that a total is told from a key that is null. Rows are expanded to the
-    levels and pre-aggregated before their one shuffle. An empty table has the total
-    alone, of 0 runs.
+    levels and pre-aggregated before their one shuffle. An empty table gives no rows,
+    no total either.
     """
     keys, latency = ("tool", "url", "iteration"), F.avg(F.when(F.col("ok"), F.col("duration_s")))
     out = runs.groupingSets([[F.col(c) for c in level] for level in LEVELS], *map(F.col, keys))
