@@ -9,7 +9,7 @@ from .functions import contract as C
 from .functions import proxies as P
 from .functions import text as X
 from .functions import urls as U
-from .operators import admission, batch, benchmark, crawl, dom, hosts, ladder, metrics
+from .operators import admission, batch, benchmark, crawl, dom, hosts, ladder, links, metrics
 from .operators import scrape as S
 from .operators.order import numbered
 from .plans import requests as R
@@ -364,34 +364,33 @@ def page_recovery(spark, sf_dir):
 
 @query(r"""SELECT page_id, nullif(trim(regexp_replace(""" + UNESCAPE_SQL.format(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + rf""", '{WS}+', ' ', 'g')), '') AS title FROM pages""")
 def title_extract(spark, sf_dir):
-    d = spread(pages(spark, sf_dir)).select("page_id", dom.dom_features("html").alias("d"))
-    return d.select("page_id", "d.title")
+    return spread(pages(spark, sf_dir)).select("page_id", X.pattern_title(X.markup("html")).alias("title"))
 
 
 @query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<h[1-6][\s/>]')) AS BIGINT) AS heading_count, CAST(len(regexp_extract_all(html, '(?i)<(?:pre|code)[\s/>]')) AS BIGINT) AS code_block_count FROM pages")
 def heading_code_counts(spark, sf_dir):
-    d = spread(pages(spark, sf_dir)).select("page_id", dom.dom_features("html").alias("d"))
-    return d.select("page_id", "d.heading_count", "d.code_block_count")
+    d = spread(pages(spark, sf_dir)).select("page_id", X.markup("html").alias("html"))
+    return d.select("page_id", X.pattern_heading_count("html").alias("heading_count"), X.pattern_code_count("html").alias("code_block_count"))
 
 
 @query(f"SELECT page_id, {LINKS_SQL} + 2 AS link_count, {LINKS_SQL} AS filled_link_count FROM pages")
 def link_counts(spark, sf_dir):
     """Links of every page, to which two are added whose target is blank: the benchmark doesn't count these."""
     d = spread(pages(spark, sf_dir)).select("page_id", F.concat("html", F.lit('<a href=" ">x</a><a href="">y</a>')).alias("html"))
-    d = d.select("page_id", dom.dom_features("html").alias("d"), dom.filled_link_count("html").alias("filled_link_count"))
-    return d.select("page_id", "d.link_count", "filled_link_count")
+    d = d.withColumn("html", X.markup("html"))
+    return d.select("page_id", X.pattern_link_count("html").alias("link_count"), X.pattern_filled_link_count("html").alias("filled_link_count"))
 
 
 @query(f"WITH t AS (SELECT page_id, html, {TEXT_SQL} AS body_text FROM pages) SELECT page_id, round({SCORE_SQL}, 6) AS main_content_score FROM t")
 def main_content_score(spark, sf_dir):
-    d = spread(pages(spark, sf_dir)).select("page_id", dom.dom_features("html").alias("d"))
-    return d.select("page_id", F.round("d.main_score", 6).alias("main_content_score"))
+    return spread(pages(spark, sf_dir)).select("page_id", F.round(X.pattern_main_score("html"), 6).alias("main_content_score"))
 
 
 @query(r"""SELECT page_id, regexp_matches(html, '(?i)<article[\s>]') AS has_article, regexp_matches(html, '(?i)<div class="?ad"?>') AS has_ad FROM pages""")
 def selector_match(spark, sf_dir):
     d = spread(pages(spark, sf_dir))
-    return d.select("page_id", dom.dom_features("html", F.lit("article")).alias("a"), dom.dom_features("html", F.lit("div.ad")).alias("b")).select("page_id", F.col("a.has_selector").alias("has_article"), F.col("b.has_selector").alias("has_ad"))
+    d = d.select("page_id", X.markup("html").alias("html"))
+    return d.select("page_id", X.pattern_selector("html", "article").alias("has_article"), X.pattern_selector("html", "div.ad").alias("has_ad"))
 
 
 MD_PARTS = ("a\n\n\n\nb", "x ![i](data:image/png;base64,AAAA) y", "![k](http://h/i.png)", "\n\n lead", "![open](data:image/gif;x", "tail \n\n\n\n\n")
@@ -421,13 +420,14 @@ def main_text(spark, sf_dir):
 @query(r"""WITH a AS (SELECT page_id, """ + UNESCAPE_SQL.format(r"array_to_string(list_filter(string_split_regex(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]*>'), lambda x: x <> ''), ' ')") + rf""" AS t FROM pages), n AS (SELECT page_id, CAST(len(regexp_extract_all(t, '[^{WS[1:-1]}]+')) AS BIGINT) AS n FROM a)
 SELECT page_id, CASE WHEN n >= 40 THEN 'article' END AS tag, CASE WHEN n >= 40 THEN n END AS words FROM n""")
 def semantic_block(spark, sf_dir):
-    return spread(pages(spark, sf_dir)).select("page_id", dom.main_block("html").alias("b")).select("page_id", "b.tag", "b.words")
+    return spread(pages(spark, sf_dir)).select("page_id", X.pattern_main_block(X.markup("html"), X.MAIN_BLOCKS).alias("b")).select("page_id", "b.tag", "b.words")
 
 
 @query(r"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\shref\s*=\s*"([^"]*)"', 1)) AS href FROM pages)
 SELECT DISTINCT page_id, site || href AS link FROM l WHERE starts_with(href, '/')""")
 def page_link_list(spark, sf_dir):
-    return spread(pages(spark, sf_dir)).select("page_id", F.explode(dom.page_links("html", "url")).alias("link"))
+    d = spread(pages(spark, sf_dir)).select("page_id", "url", F.explode(F.array_distinct(links.references("html"))).alias("ref"))
+    return d.select("page_id", U.resolved("url", "ref").alias("link")).where("link is not null").distinct()
 
 
 @query()

@@ -7,6 +7,7 @@ import re
 from functools import lru_cache
 
 from .dom import RAW, VOID, Element, Selector, escape, escape_attr, outer_html, parse
+from .text import MAIN_BLOCKS
 
 # fixed values: weight of each tag in an element's score, 0.5 for others
 TAG_WEIGHT = {"div": 0.5, "p": 1.0, "article": 1.5, "section": 1.0, "span": 0.3, "li": 0.5, "ul": 0.5, "ol": 0.5, "h1": 1.2, "h2": 1.1, "h3": 1.0, "h4": 0.9, "h5": 0.8, "h6": 0.7}
@@ -17,7 +18,7 @@ WEIGHTS = (0.4, 0.2, 0.2, 0.1, 0.1)
 # fixed values: what is dropped before extraction
 HOSTILE = Selector("script, style, link[rel=stylesheet], nav, footer, header, aside, form, iframe, noscript, [role=navigation], [role=contentinfo], [data-ad], [class*=ad-], [id*=ad-], [class*=ads]")
 # fixed values: where main content is looked for, in this order
-MAIN = [Selector(s) for s in ("article", "main", "[role=main]", "section[id*=content]", "div[id*=content]", "section[class*=content]", "div[class*=content]", "section[class*=article]", "div[class*=article]")]
+MAIN = [Selector(s) for s in MAIN_BLOCKS]
 # fixed values: elements of main content that raise a page's score
 MAIN_BONUS = Selector("main, article, [role=main]")
 

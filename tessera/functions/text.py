@@ -6,6 +6,7 @@ of A-Z only.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -137,10 +138,72 @@ def truncate(c: Column | str, n: Column | int) -> Column:
 # Forms that read html by pattern; equal to the parsed page where it is well formed.
 
 
+#: What a page holds but doesn't show: comments, scripts and styles.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+
+
+def markup(html: Column | str) -> Column:
+    """A page without comments, scripts and styles, whose text is no markup; the forms below are to be asked of it."""
+    return F.regexp_replace(col(html), HIDDEN, "")
+
+
 def pattern_link_count(html: Column | str) -> Column:
     return F.regexp_count(col(html), F.lit(r"(?i)<a\b[^>]*\shref\s*=")).cast("long")
 
 
+def pattern_filled_link_count(html: Column | str) -> Column:
+    """Links whose target isn't blank, as the benchmark counts them."""
+    return F.regexp_count(col(html), F.lit(r"""(?i)<a\b[^>]*\shref\s*=\s*(?:"\s*[^"\s]|'\s*[^'\s]|[^"'\s>])""")).cast("long")
+
+
+_SIMPLE = r"([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:[*]?=[\w-]+)?\])*)"
+
+
+def opening(selector: str) -> str:
+    """The pattern of the opening tags that a selector of one element matches: a tag, classes, ids and [attribute], [attribute=word], [attribute*=part], in any number."""
+    m = re.fullmatch(_SIMPLE, selector.strip())
+    if not m or not selector.strip():
+        raise ValueError(f"not a selector of one element: {selector}")
+    wanted = ""
+    for sign, name in re.findall(r"([.#])([\w-]+)", re.sub(r"\[.*?\]", "", m[2])):
+        value = re.escape(name)
+        inside = (lambda q, v=value: rf"(?:[^{q}]*\s)?{v}(?:\s[^{q}]*)?") if sign == "." else (lambda q, v=value: v)
+        wanted += _attribute("class" if sign == "." else "id", inside, value)
+    for name, part, value in re.findall(r"\[([\w-]+)(?:([*]?)=([\w-]+))?\]", m[2]):
+        v = re.escape(value)
+        wanted += _attribute(name, (lambda q, v=v, part=part: rf"[^{q}]*{v}[^{q}]*" if part else v), rf"[^\s>\"']*{v}[^\s>\"']*" if part else v) if value else rf"(?=[^>]*\s{re.escape(name)}[\s=/>])"
+    tag = "[a-zA-Z][a-zA-Z0-9-]*" if m[1] in (None, "*") else re.escape(m[1])
+    return rf"(?is)<({tag})(?=[\s/>]){wanted}[^>]*>"
+
+
+def _attribute(name: str, inside, bare: str) -> str:
+    return rf"""(?=[^>]*\s{re.escape(name)}\s*=\s*(?:"{inside('"')}"|'{inside("'")}'|{bare}(?=[\s/>])))"""
+
+
+def pattern_selector(html: Column | str, selector: str) -> Column:
+    """Whether a page has an element that a selector of one element matches; see opening."""
+    return col(html).rlike(opening(selector))
+
+
+# fixed values: selectors of main content
+MAIN_BLOCKS = ("article", "main", "[role=main]", "section[id*=content]", "div[id*=content]", "section[class*=content]", "div[class*=content]", "section[class*=article]", "div[class*=article]")
+
+
+def pattern_main_block(html: Column | str, selectors: tuple[str, ...], least: int = 40) -> Column:
+    """struct(tag, words) of the block of most words, at least `least`, among the elements that the selectors match; of equal ones that of the first selector, then the first. Null fields without one. An element ends at the first end of its tag."""
+    def words(block: Column) -> Column:
+        return F.regexp_count(unescape(F.regexp_replace(block, ANY_TAG, " ")), F.lit(rf"[^{SPACE}]+")).cast("long")
+
+    def blocks(k: int, selector: str) -> Column:
+        whole = rf"{opening(selector)}(.*?)</\1\s*>"
+        tags, bodies = (F.regexp_extract_all(col(html), F.lit(whole), F.lit(g)) for g in (1, 2))
+        return F.zip_with(F.transform(tags, lambda t, i: F.named_struct(F.lit("selector"), F.lit(-k), F.lit("place"), -i, F.lit("tag"), ascii_lower(t))), bodies, lambda at, body: F.named_struct(F.lit("words"), words(body), F.lit("selector"), at["selector"], F.lit("place"), at["place"], F.lit("tag"), at["tag"]))
+
+    found = [blocks(k, selector) for k, selector in enumerate(selectors)]
+    best = F.array_max(F.filter(F.concat(*found), lambda x: x["words"] >= least))
+    return F.get(F.transform(F.array(best), lambda b: F.named_struct(F.lit("tag"), b["tag"], F.lit("words"), b["words"])), F.lit(0))
+
+
 def pattern_heading_count(html: Column | str) -> Column:
     return F.regexp_count(head_bytes(html, DOM_BYTES), F.lit(r"(?i)<h[1-6](?=[\s/>])")).cast("long")
 

@@ -35,14 +35,22 @@ def link_count(links: Column, counted: Column) -> Column:
     return F.coalesce(F.size(links).cast("long"), counted)
 
 
-def with_signals(fetches: DataFrame, reason: Column | None = None, parsed: bool = True, selector: Column | None = None) -> DataFrame:
-    """fetches with content_type, supported and the struct `signals`. parsed: counts from the parsed page, else from patterns; selector: what dom.has_selector tells of."""
+def with_signals(fetches: DataFrame, reason: Column | None = None, parsed: bool = False, selector: Column | None = None) -> DataFrame:
+    """fetches with content_type, supported and the struct `signals`, all of native columns.
+
+    parsed: title and counts from the parsed page instead of patterns; selector: what
+    dom.has_selector tells of, for which the pages that are asked for one are parsed.
+    """
     df = native_signals(fetches).withColumn("content_type", C.content_type(F.col("headers")["content-type"]))
     df = df.withColumn("supported", C.type_supported("content_type"))
     if parsed:
         df = df.withColumn("dom", dom.dom_features("html", selector))
     else:
-        df = df.withColumn("dom", F.struct(X.pattern_title("html").alias("title"), X.pattern_heading_count("html").alias("heading_count"), X.pattern_code_count("html").alias("code_block_count"), X.pattern_link_count("html").alias("link_count"), X.pattern_main_score("html").alias("main_score")))
+        shown, has = F.col("__markup"), F.lit(False)
+        if selector is not None:
+            has = F.coalesce(dom.dom_features(F.when(selector != "", F.col("html")), selector)["has_selector"], F.lit(False))
+        df = df.withColumn("__markup", X.markup("html"))
+        df = df.withColumn("dom", F.struct(X.pattern_title(shown).alias("title"), X.pattern_heading_count(shown).alias("heading_count"), X.pattern_code_count(shown).alias("code_block_count"), X.pattern_link_count(shown).alias("link_count"), X.pattern_main_score("html").alias("main_score"), has.alias("has_selector"))).drop("__markup")
     links = link_count(F.col("page_links"), F.col("dom.link_count"))
     told = reason if reason is not None else F.lit("none")
     signals = F.struct(

@@ -90,3 +90,32 @@ def test_markdown_clean_up_is_the_same_in_both_forms(spark):
 def test_text_is_contained_whatever_its_case(spark):
     r = spark.range(1).select(X.contains_text(F.lit("<P>Hello É"), F.lit("p>hEL")), X.contains_text(F.lit("x"), F.lit("")), X.contains_text(F.lit("É"), F.lit("é"))).first()
     assert list(r) == [True, True, False]
+
+
+HTML = """<!-- <h1>no</h1><a href=x> --><script>'<h2><a href="s">'</script><style>h3 {}</style><title> A &amp; b </title>
+<article id=one class="Main ad"><h1 class=t>x</h1><pre><code>c</code></pre><a href="">e</a><a href=' '>b</a><a HREF=full>f</a><a name=n>n</a></article><div data-content="1" class='x ad y'>z</div><uploads class="ads">"""
+
+
+def test_patterns_of_markup(spark):
+    d = spark.createDataFrame([(HTML,), (None,), ("",)], "html string").select(X.markup("html").alias("html"))
+    got = [tuple(r) for r in d.select(X.pattern_title("html"), X.pattern_heading_count("html"), X.pattern_code_count("html"), X.pattern_link_count("html"), X.pattern_filled_link_count("html")).collect()]
+    assert got == [("A & b", 1, 2, 3, 1), (None,) * 5, (None, 0, 0, 0, 0)]
+
+
+SELECTORS = ["article", "article.ad", "article.Main.ad", "#one", "div.ad", "div.x.y", ".y", "[data-content]", "div[data-content=1]", "*", "[class*=a]", "article[id*=n]"]
+NO_SELECTORS = ["main", "div.Main", "uploads.ad", "#two", "article.a", "div#one", "div[data-content=2]", "[data-contents]", "pre.c", "h2"]
+
+
+def test_selectors_of_one_element(spark):
+    d = spark.createDataFrame([(HTML,)], "html string").select(X.markup("html").alias("html"))
+    assert list(d.select(*[X.pattern_selector("html", s).alias(s) for s in SELECTORS + NO_SELECTORS]).first()) == [True] * len(SELECTORS) + [False] * len(NO_SELECTORS)
+    for s in ("a b", "a > b", "a, b", "", "a:hover"):
+        with pytest.raises(ValueError, match="selector"):
+            X.opening(s)
+
+
+def test_main_block_by_pattern(spark):
+    w = lambda n: "<b>w</b> " * n
+    rows = [f"<article>{w(39)}</article>", f"<article>{w(40)}</article>", f"<div id='mycontent'>{w(60)}</div><main>{w(50)}</main>", f"<main>{w(50)}</main><article>{w(50)}</article>", f"<p role='main'>{w(45)}&amp;</p>", "", None]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, html string").select("i", X.pattern_main_block("html", X.MAIN_BLOCKS).alias("b")).orderBy("i")
+    assert [tuple(r) for r in d.select("b.tag", "b.words").collect()] == [(None, None), ("article", 40), ("div", 60), ("article", 50), ("p", 46), (None, None), (None, None)]
