@@ -838,4 +838,4 @@ def mode_status_metrics(spark, sf_dir):
     return _fetches(spark, sf_dir).groupBy("mode", "status_code").agg(F.count("*").alias("fetches"), F.sum(F.octet_length("html")).cast("long").alias("bytes"))
 
 
-from . import catalog_site  # noqa: E402, F401  registers its queries
+from . import catalog_requests, catalog_site  # noqa: E402, F401  they register their queries

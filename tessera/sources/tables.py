@@ -138,15 +138,20 @@ def target_list(lines: DataFrame) -> DataFrame:
     return lines.select("line_no", F.trim("line").alias("url")).where("url <> ''")
 
 
+#: How a setting of each kind is written; anything else is the default.
+SETTING = {"long": r"^[+-]?[0-9]+\z", "double": r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z", "boolean": r"^(true|false)\z"}
+
+
+def setting(value: Column, kind: str, default) -> Column:
+    """A setting's text as a value of its kind (string, long, double, boolean), or the default where it is null or can't be read as such."""
+    if kind == "string":
+        return F.coalesce(value, F.lit(default))
+    return F.coalesce(F.when(value.rlike(SETTING[kind]), value.try_cast(kind)), F.lit(default).cast(kind))
+
+
 def conf(spark: SparkSession, key: str, default, kind: str = "string"):
     """A setting of the session under tessera., or the default where it is unset or can't be read as such."""
-    got = spark.conf.get(f"tessera.{key}", None)
-    if got is None or kind == "string":
-        return default if got is None else got
-    try:
-        return {"long": int, "double": float, "boolean": lambda x: {"true": True, "false": False}[x.lower()]}[kind](got)
-    except (ValueError, KeyError):
-        return default
+    return spark.range(1).select(setting(F.lit(spark.conf.get(f"tessera.{key}", None)).cast("string"), kind, default)).first()[0]
 
 
 def as_json(df: DataFrame, keep_nulls: tuple[str, ...] = ()) -> DataFrame:
