@@ -204,12 +204,20 @@ def pattern_main_block(html: Column | str, selectors: tuple[str, ...], least: in
     return F.get(F.transform(F.array(best), lambda b: F.named_struct(F.lit("tag"), b["tag"], F.lit("words"), b["words"])), F.lit(0))
 
 
+def heading_count(head: Column | str) -> Column:
+    return F.regexp_count(col(head), F.lit(r"(?i)<h[1-6](?=[\s/>])")).cast("long")
+
+
+def code_count(head: Column | str) -> Column:
+    return F.regexp_count(col(head), F.lit(r"(?i)<(?:pre|code)(?=[\s/>])")).cast("long")
+
+
 def pattern_heading_count(html: Column | str) -> Column:
-    return F.regexp_count(head_bytes(html, DOM_BYTES), F.lit(r"(?i)<h[1-6](?=[\s/>])")).cast("long")
+    return heading_count(head_bytes(html, DOM_BYTES))
 
 
 def pattern_code_count(html: Column | str) -> Column:
-    return F.regexp_count(head_bytes(html, DOM_BYTES), F.lit(r"(?i)<(?:pre|code)(?=[\s/>])")).cast("long")
+    return code_count(head_bytes(html, DOM_BYTES))
 
 
 # fixed values: entities that pages of plain prose use; "&amp;" comes last
@@ -225,12 +233,22 @@ def pattern_title(html: Column | str) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(unescape(t), f"{SPACE}+", " "), "^ | $", ""), F.lit(""))
 
 
-def pattern_main_score(html: Column | str) -> Column:
-    """Share of text, length of text and a main element, weighed to 0..1."""
-    sample = head_bytes(html, DOM_BYTES)
-    body = F.regexp_extract(sample, r"(?is)<body[^>]*>(.*)\z", 1)
-    text = unescape(F.array_join(F.filter(F.split(body, "<[^>]*>"), lambda x: x != ""), " "))
+def body_text(sample: Column | str) -> Column:
+    """The text of a page's body, a blank between its pieces."""
+    body = F.regexp_extract(col(sample), r"(?is)<body[^>]*>(.*)\z", 1)
+    return unescape(F.array_join(F.filter(F.split(body, "<[^>]*>"), lambda x: x != ""), " "))
+
+
+def main_score(sample: Column | str, text: Column | str) -> Column:
+    """Share of text, length of text and a main element, weighed to 0..1, of the head of a page and its body_text."""
+    sample, text = col(sample), col(text)
     n = F.greatest(F.regexp_count(text, F.lit(rf"[^{SPACE}]+")), F.lit(1))
     density = F.least(F.lit(1.0), F.octet_length(text) / F.greatest(F.octet_length(sample), F.lit(1)))
     bonus = F.when(sample.rlike("(?i)<(article|main)[^a-z]"), 0.12).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.75 * density + 0.2 * F.least(n, F.lit(800)) / 800 + bonus))
+
+
+def pattern_main_score(html: Column | str) -> Column:
+    """main_score of a page's head, which is cut once."""
+    met = F.transform(F.array(head_bytes(html, DOM_BYTES)), lambda x: F.named_struct(F.lit("sample"), x, F.lit("text"), body_text(x)))
+    return F.get(F.transform(met, lambda x: main_score(x["sample"], x["text"])), F.lit(0))

@@ -46,11 +46,14 @@ def with_signals(fetches: DataFrame, reason: Column | None = None, parsed: bool
     if parsed:
         df = df.withColumn("dom", dom.dom_features("html", selector))
     else:
-        shown, has = F.col("__markup"), F.lit(False)
+        has = F.lit(False)
         if selector is not None:
             has = F.coalesce(dom.dom_features(F.when(selector != "", F.col("html")), selector)["has_selector"], F.lit(False))
-        df = df.withColumn("__markup", X.markup("html"))
-        df = df.withColumn("dom", F.struct(X.pattern_title(shown).alias("title"), X.pattern_heading_count(shown).alias("heading_count"), X.pattern_code_count(shown).alias("code_block_count"), X.pattern_link_count(shown).alias("link_count"), X.pattern_main_score("html").alias("main_score"), has.alias("has_selector"))).drop("__markup")
+        # each part of a page that several columns read is a column of its own
+        df = df.withColumns({"__markup": X.markup("html"), "__sample": X.head_bytes("html", X.DOM_BYTES)})
+        df = df.withColumns({"__head": X.head_bytes("__markup", X.DOM_BYTES), "__text": X.body_text("__sample")})
+        counts = {"title": X.pattern_title("__markup"), "heading_count": X.heading_count("__head"), "code_block_count": X.code_count("__head"), "link_count": X.pattern_link_count("__markup"), "main_score": X.main_score("__sample", "__text"), "has_selector": has}
+        df = df.withColumn("dom", F.struct(*[c.alias(n) for n, c in counts.items()])).drop("__markup", "__sample", "__head", "__text")
     links = link_count(F.col("page_links"), F.col("dom.link_count"))
     told = reason if reason is not None else F.lit("none")
     signals = F.struct(
