@@ -10,7 +10,7 @@ def ranges(df: DataFrame, order: str) -> Column:
     """The number of a row's range of the order, non-decreasing in it; ranges hold about equal shares of the rows.
 
     The cuts are one constant array, searched in as many steps as its size has bits.
-    Nulls are in the first range.
+    The order is a number or a time; nulls are in the first range.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order).cast("double")
