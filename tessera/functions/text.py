@@ -135,11 +135,12 @@ def truncate(c: Column | str, n: Column | int) -> Column:
     return F.left(col(c), n if isinstance(n, Column) else F.lit(n))
 
 
-# Forms that read html by pattern; equal to the parsed page where it is well formed.
+# Forms that read html by pattern; equal to the parsed page where it is well formed. A tag ends at the next < or >, so
+# that a page of unclosed tags, however long, is read in one go.
 
 
 #: What a page holds but doesn't show: comments, scripts and styles.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 
 
 def markup(html: Column | str) -> Column:
@@ -148,12 +149,12 @@ def markup(html: Column | str) -> Column:
 
 
 def pattern_link_count(html: Column | str) -> Column:
-    return F.regexp_count(col(html), F.lit(r"(?i)<a\b[^>]*\shref\s*=")).cast("long")
+    return F.regexp_count(col(html), F.lit(r"(?i)<a\b[^<>]*\shref\s*=")).cast("long")
 
 
 def pattern_filled_link_count(html: Column | str) -> Column:
     """Links whose target isn't blank, as the benchmark counts them."""
-    return F.regexp_count(col(html), F.lit(r"""(?i)<a\b[^>]*\shref\s*=\s*(?:"\s*[^"\s]|'\s*[^'\s]|[^"'\s>])""")).cast("long")
+    return F.regexp_count(col(html), F.lit(r"""(?i)<a\b[^<>]*\shref\s*=\s*(?:"\s*[^"\s]|'\s*[^'\s]|[^"'\s>])""")).cast("long")
 
 
 _SIMPLE = r"([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:[*]?=[\w-]+)?\])*)"
@@ -171,13 +172,13 @@ def opening(selector: str) -> str:
         wanted += _attribute("class" if sign == "." else "id", inside, value)
     for name, part, value in re.findall(r"\[([\w-]+)(?:([*]?)=([\w-]+))?\]", m[2]):
         v = re.escape(value)
-        wanted += _attribute(name, (lambda q, v=v, part=part: rf"[^{q}]*{v}[^{q}]*" if part else v), rf"[^\s>\"']*{v}[^\s>\"']*" if part else v) if value else rf"(?=[^>]*\s{re.escape(name)}[\s=/>])"
+        wanted += _attribute(name, (lambda q, v=v, part=part: rf"[^{q}]*{v}[^{q}]*" if part else v), rf"[^\s>\"']*{v}[^\s>\"']*" if part else v) if value else rf"(?=[^<>]*\s{re.escape(name)}[\s=/>])"
     tag = "[a-zA-Z][a-zA-Z0-9-]*" if m[1] in (None, "*") else re.escape(m[1])
-    return rf"(?is)<({tag})(?=[\s/>]){wanted}[^>]*>"
+    return rf"(?is)<({tag})(?=[\s/>]){wanted}[^<>]*>"
 
 
 def _attribute(name: str, inside, bare: str) -> str:
-    return rf"""(?=[^>]*\s{re.escape(name)}\s*=\s*(?:"{inside('"')}"|'{inside("'")}'|{bare}(?=[\s/>])))"""
+    return rf"""(?=[^<>]*\s{re.escape(name)}\s*=\s*(?:"{inside('"')}"|'{inside("'")}'|{bare}(?=[\s/>])))"""
 
 
 def pattern_selector(html: Column | str, selector: str) -> Column:
@@ -229,13 +230,13 @@ def unescape(c: Column | str) -> Column:
 
 
 def pattern_title(html: Column | str) -> Column:
-    t = F.regexp_extract(head_bytes(html, TITLE_BYTES), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    t = F.regexp_extract(head_bytes(html, TITLE_BYTES), r"(?is)<title[^<>]*>(.*?)</title>", 1)
     return F.nullif(F.regexp_replace(F.regexp_replace(unescape(t), f"{SPACE}+", " "), "^ | $", ""), F.lit(""))
 
 
 def body_text(sample: Column | str) -> Column:
     """The text of a page's body, a blank between its pieces."""
-    body = F.regexp_extract(col(sample), r"(?is)<body[^>]*>(.*)\z", 1)
+    body = F.regexp_extract(col(sample), r"(?is)<body[^<>]*>(.*)\z", 1)
     return unescape(F.array_join(F.filter(F.split(body, "<[^>]*>"), lambda x: x != ""), " "))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import markup
 from ..functions.urls import page_key, resolved, without_tracking
 
-VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+VALUE = r"""("[^"<>]*"|'[^'<>]*'|[^\s"'<>][^\s<>]*)"""
 
 
 def _unquoted(value: Column) -> Column:
@@ -18,14 +18,14 @@ def _unquoted(value: Column) -> Column:
 def references(html: Column | str) -> Column:
     """The targets of a page's links as they are written, in their order; those in comments, scripts and styles don't count."""
     html = F.col(html) if isinstance(html, str) else html
-    found = F.regexp_extract_all(markup(html), F.lit(rf"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*{VALUE}"), F.lit(1))
+    found = F.regexp_extract_all(markup(html), F.lit(rf"(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*{VALUE}"), F.lit(1))
     return F.transform(found, _unquoted)
 
 
 def base_url(html: Column | str, url: Column | str) -> Column:
     """The URL that a page's references start from: that of its base element, if there is one that is good, or its own."""
     html, url = (F.col(c) if isinstance(c, str) else c for c in (html, url))
-    own = _unquoted(F.regexp_extract(markup(html), rf"(?is)<base\s(?:[^>]*?\s)?href\s*=\s*{VALUE}", 1))
+    own = _unquoted(F.regexp_extract(markup(html), rf"(?is)<base\s(?:[^<>]*?\s)?href\s*=\s*{VALUE}", 1))
     return F.coalesce(resolved(url, F.nullif(own, F.lit(""))), url)
 
 

@@ -119,3 +119,12 @@ def test_main_block_by_pattern(spark):
     rows = [f"<article>{w(39)}</article>", f"<article>{w(40)}</article>", f"<div id='mycontent'>{w(60)}</div><main>{w(50)}</main>", f"<main>{w(50)}</main><article>{w(50)}</article>", f"<p role='main'>{w(45)}&amp;</p>", "", None]
     d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, html string").select("i", X.pattern_main_block("html", X.MAIN_BLOCKS).alias("b")).orderBy("i")
     assert [tuple(r) for r in d.select("b.tag", "b.words").collect()] == [(None, None), ("article", 40), ("div", 60), ("article", 50), ("p", 46), (None, None), (None, None)]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href='", "<a href", "<div class=x", "<!--", "<script", "<title", "<body <", "</a", "<article>"])
+def test_long_pages_of_unclosed_tags(spark, piece):
+    from tessera.operators import links
+
+    d = spark.range(1).select(F.repeat(F.lit(piece), 200_000).alias("html")).withColumn("shown", X.markup("html"))
+    got = d.select(X.pattern_title("shown"), X.pattern_heading_count("shown"), X.pattern_link_count("shown"), X.pattern_filled_link_count("shown"), X.pattern_main_score("html"), X.pattern_selector("shown", "div.x"), F.size(links.references("html"))).first()
+    assert got[0] is None and got[1] == 0
