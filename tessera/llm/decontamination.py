@@ -2,9 +2,9 @@
 
 Texts are lower-cased and read as words of letters. Only words of the benchmark
 have columns; their weights come from document frequencies over all documents. A
-randomised singular value decomposition of the TF-IDF passages (of a bounded
-sample of documents, and of the items) is computed on the executors in two
-passes; only matrices of columns by rank reach the driver. Then every document is
+randomised singular value decomposition of the TF-IDF passages of all documents
+and of the items is computed on the executors in one pass; only matrices of
+columns by rank reach the driver. Then every document is
 cut to overlapping passages, which are projected and compared by cosine with all
 items and, where an item is longer than a passage, with its own passages of that
 length; for candidates the longest common subsequence with the item's words, and
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, importable, pieces, settle, spread
+from .common import importable, pieces, spread
 from .words import Words
 
 #: Words of half a passage; passages overlap by one half.
@@ -31,12 +31,12 @@ HALF = 32
 STEP = 16
 RANK = 96
 EXTRA = 16
-#: Documents whose passages the decomposition sees at most (in expectation).
-MOST_FITTED = 2000
 #: Columns at most: words of the benchmark beyond share them by hash.
 MOST_COLUMNS = 1 << 17
 #: Items and passages of items, roughly, that are compared in one pass over the documents.
 MOST_ITEMS = 20_000
+#: Bytes of text whose passages the decomposition holds at a time, so that their sums stay in a core's cache.
+RANGE_BYTES = 1 << 17
 #: Cosines that are computed at a time.
 CELLS = 4 << 20
 COSINE = 0.55
@@ -172,48 +172,41 @@ def blocks(items: Items, w: Words, weights: np.ndarray, table: np.ndarray) -> tu
     return out, doc, start
 
 
-def _passage_rows(items, w, idf):
-    """The TF-IDF passages of a batch as (passage, column, value), scaled to length 1."""
-    size = np.diff(w.first)
-    at, col = items.column(w.hash)
-    halves = -(-size // HALF)
-    first_half = np.r_[0, np.cumsum(halves)]
-    half = first_half[w.doc[at]] + (at - w.first[w.doc[at]]) // HALF
-    # a word belongs to the passage that begins with its half, and to the one before in its document
-    before = half > first_half[w.doc[at]]
-    p, c = np.r_[half, half[before] - 1], np.r_[col, col[before]]
-    key, n = np.unique(p.astype(np.int64) * items.columns + c, return_counts=True)
-    p, c = key // items.columns, key % items.columns
-    v = n * idf[c]
-    norm = np.sqrt(np.bincount(p, v * v, int(first_half[-1])))
-    return p, c, (v / np.maximum(norm[p], 1e-12)).astype(np.float32), int(first_half[-1])
-
-
-def _range(shared, idf, omega_or_q, gram: bool):
-    """Sums over passages of A' (A X), or of (A X)' (A X) if gram, in slices."""
+def _range(shared, idf, omega):
+    """Sums over passages of A' (A X), in slices; A's rows are the TF-IDF passages, scaled to length 1."""
 
     def run(batches):
-        items, x = shared.value, omega_or_q.value
-        weights = idf.value
-        total = np.zeros((x.shape[1] if gram else items.columns, x.shape[1]))
+        items, weights = shared.value, idf.value
+        x = (omega.value * weights[:, None]).astype(np.float32)
+        total = np.zeros(x.shape)
         some = False
-        for b in pieces(batches, most=1 << 19):
-            p, c, v, n = _passage_rows(items, Words(b.column("low"), letters=True), weights)
-            if not len(p):
+        for b in pieces(batches, most=RANGE_BYTES, column="low"):
+            w = Words(b.column("low"), letters=True)
+            at, col = items.column(w.hash)
+            if not len(at):
                 continue
             some = True
-            begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-            y = np.add.reduceat(x[c] * v[:, None], begin, axis=0)
-            if gram:
-                total += y.T @ y
-            else:
-                row = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(p)]))
-                o = np.argsort(c, kind="stable")
-                first = np.flatnonzero(np.r_[True, c[o][1:] != c[o][:-1]])
-                total[c[o][first]] += np.add.reduceat(y[row[o]] * v[o, None], first, axis=0)
+            # each document's halves, and one without words after them
+            first_half = np.r_[0, np.cumsum(1 - (-np.diff(w.first) // HALF))]
+            half = first_half[w.doc[at]] + (at - w.first[w.doc[at]]) // HALF
+            # a word belongs to the passage that begins with its half, and to the one before in its document
+            before = half > first_half[w.doc[at]]
+            key, n = np.unique(np.r_[half, half[before] - 1] * items.columns + np.r_[col, col[before]], return_counts=True)
+            norm2 = np.bincount(key // items.columns, np.square(n * weights[key % items.columns]), int(first_half[-1]))
+            y = np.zeros((len(norm2) + 2, x.shape[1]), np.float32)
+            begin = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
+            y[half[begin] + 1] = np.add.reduceat(x[col], begin, axis=0)
+            passage = y[:-1] + y[1:]
+            passage[1:] *= np.where(norm2 > 0, 1 / np.maximum(norm2, 1e-24), 0).astype(np.float32)[:, None]
+            passage[0] = 0
+            z = passage[1:] + passage[:-1]  # a half's words are in two passages
+            o = np.argsort(col, kind="stable")
+            first = np.flatnonzero(np.r_[True, col[o][1:] != col[o][:-1]])
+            total[col[o][first]] += np.add.reduceat(z[half[o]], first, axis=0)
         if some:
+            total *= weights[:, None]
             for k, part in enumerate(np.array_split(total, 8)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(float).tobytes()], pa.binary())], names=["k", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "part"])
 
     return run
 
@@ -260,30 +253,28 @@ def _item_vectors(items: Items, idf: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (out / np.maximum(np.sqrt((out * out).sum(1)), 1e-12)[:, None]).astype(np.float32)
 
 
-def decompose(sample: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 17) -> np.ndarray:
-    """Right singular vectors (columns by rank) of the passages and items: A'(A W) for a random W spans their range; the Gram matrix in its basis gives their turn.
+def decompose(rows: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 17) -> np.ndarray:
+    """Right singular vectors (columns by rank) of the passages of all rows and the items, in one pass: of C = A'A, C W for a random W tells its range, and W'C W the turn within it (Nystroem).
 
     An item counts as much as a passage; so that the rank holds what tells items
     apart, the items' rows come in with the weight of the average column.
     """
-    sc = sample.sparkSession.sparkContext
+    sc = rows.sparkSession.sparkContext
     rank = min(rank, items.columns)
-    w = np.random.default_rng(seed).standard_normal((items.columns, min(items.columns, rank + EXTRA))).astype(np.float32)
-    shared, weights = sc.broadcast(items), sc.broadcast(idf)
-    got = added(sample.mapInArrow(_range(shared, weights, sc.broadcast(w), False), "k int, part binary"), float)
+    w = np.linalg.qr(np.random.default_rng(seed).standard_normal((items.columns, min(items.columns, rank + EXTRA))))[0].astype(np.float32)
+    got = added(rows.mapInArrow(_range(sc.broadcast(items), sc.broadcast(idf), sc.broadcast(w)), "k int, part binary"), float)
     b = ItemRows(items, idf)
     z = b.back(b.times(w))
-    scale = 1.0
     if got is not None:
         y = got.reshape(items.columns, -1)
-        scale = max(1.0, np.linalg.norm(y) / max(np.linalg.norm(z), 1e-12))
-        z = y + scale * z
-    q = np.linalg.qr(z)[0].astype(np.float32)
-    got = added(sample.mapInArrow(_range(shared, weights, sc.broadcast(q), True), "k int, part binary"), float)
-    bq = b.times(q)
-    g = scale * bq.T @ bq + (got.reshape(q.shape[1], -1) if got is not None else 0)
-    value, turn = np.linalg.eigh(g)
-    return (q @ turn[:, ::-1][:, :rank]).astype(np.float32)
+        z = y + max(1.0, np.linalg.norm(y) / max(np.linalg.norm(z), 1e-12)) * z
+    core = w.T @ z
+    value, turn = np.linalg.eigh((core + core.T) / 2)
+    good = value > 1e-6 * value[-1]
+    root = z @ (turn[:, good] / np.sqrt(value[good]))  # C is about root root'
+    value, turn = np.linalg.eigh(root.T @ root)
+    good = np.flatnonzero(value > 1e-9 * value[-1])[::-1][:rank]
+    return (root @ (turn[:, good] / np.sqrt(value[good]))).astype(np.float32)
 
 
 def _search(model, item_vectors, cosine):
@@ -405,10 +396,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
         counts = added(rows.mapInArrow(_frequencies(shared), "k int, part binary"), np.int64)
         n = int(counts[-1]) if counts is not None else 0
         idf = np.log((n + 1) / ((counts[:-1] if n else np.zeros(items.columns)) + 1)) + 0.1
-        keep = min(1.0, MOST_FITTED / max(1, n))
-        sample = settle(rows.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(keep * (1 << 30))))
-        v = decompose(sample, items, idf)
-        discard(sample)
+        v = decompose(rows, items, idf)
         iv = _item_vectors(items, idf, v)
         found = rows.mapInArrow(_search(sc.broadcast((items, idf, v)), sc.broadcast(iv), cosine), RESULT)
         out = found if out is None else out.unionByName(found)

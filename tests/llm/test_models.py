@@ -287,6 +287,37 @@ def test_leaks(spark, leaks):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
 
 
+def test_every_document_is_in_the_decomposition(spark, monkeypatch):
+    """The basis turns the passages' C = A'A, read directly from all of 5000 documents, into a diagonal."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)]
+    docs = [(i, " ".join(rng.choices(vocab[i % 7 :], k=rng.randrange(1, 90))) + " beyond") for i in range(5000)]
+    told, whole = [], decontamination.decompose
+
+    def kept(rows, items, idf):
+        told.append((items, idf, whole(rows, items, idf)))
+        return told[-1][-1]
+
+    monkeypatch.setattr(decontamination, "decompose", kept)
+    b = spark.createDataFrame([(1, " ".join(vocab[:20])), (2, " ".join(vocab[10:]))], "item_id long, text string")
+    decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), b)
+    [(items, idf, v)] = told
+    c = np.zeros((items.columns, items.columns))
+    for seq in decontamination.words_of([t for _, t in docs]):
+        at, col = items.column(seq)
+        for a in range(0, len(seq), decontamination.HALF):
+            row = np.bincount(col[(at >= a) & (at < a + 2 * decontamination.HALF)], minlength=items.columns) * idf
+            c += np.outer(row, row) / max(row @ row, 1e-12)
+    rows = np.array([np.bincount(items.column(np.array(x, np.uint64))[1], minlength=items.columns) * idf for x in items.seqs])
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    own = rows.T @ rows
+    # the items' weight is that of the whole: as it comes from a random product, it is read from the basis
+    left, right = v.T @ c @ v, v.T @ own @ v
+    off = ~np.eye(len(left), dtype=bool)
+    scale = -(left[off] @ right[off]) / (right[off] @ right[off])
+    assert scale > 1 and np.abs((left + scale * right)[off]).max() < 1e-3 * np.abs(left).max()
+
+
 def test_leaks_of_odd_tables(spark, leaks, clashing, empty_docs):
     _, items, _ = leaks
     b = spark.createDataFrame(items, "item_id long, text string")
