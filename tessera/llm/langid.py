@@ -11,7 +11,7 @@ interpolated log-probabilities of every order in sorted arrays of key hashes,
 one column per language. Scoring looks each character's five-gram up in its part
 and goes to lower orders for those that are missing; a worker holds one part at a
 time. The lowest cross-entropy per character wins; a threshold per language, from
-training texts, rejects.
+all its training texts, rejects.
 """
 
 from __future__ import annotations
@@ -37,8 +37,6 @@ SIDE = 16
 CHUNK = 16 << 20
 #: Five-grams that a counting task holds before it sends them on.
 HELD_GRAMS = 2_000_000
-#: Training documents per language whose cross-entropies set the threshold of rejection.
-MOST_CALIBRATED = 300
 
 _letters: list = []
 
@@ -363,14 +361,9 @@ def train(docs: DataFrame, modulus: int = 4, held: int = 2) -> Models:
             models.parts.append((a, a + len(side), k, parts, spark.sparkContext.broadcast(model)))
             del t, keys, n, code, model
     discard(counts)
-    share = F.broadcast(spark.createDataFrame([(k, min(1.0, MOST_CALIBRATED / n)) for k, n in sizes.items()], "lang string, share double"))
-    few = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
-    t = few.mapInArrow(_own(models), "j int, e double").toArrow()
-    own, e = t["j"].to_numpy(), t["e"].to_numpy()
-    for j in range(len(models.langs)):
-        x = e[own == j]
-        if len(x) >= 5:
-            models.limits[j] = x.mean() + 5 * x.std() + 0.25
+    own = rows.select("lang", "text").mapInArrow(_own(models), "j int, e double").groupBy("j").agg(F.count("*").alias("n"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("spread"))
+    for r in own.where("n >= 5").collect():
+        models.limits[r["j"]] = r["mean"] + 5 * r["spread"] + 0.25
     return models
 
 

@@ -238,6 +238,19 @@ def test_every_language_is_learned(spark):
     assert len(taught) > 64 and all(got[i] == x for i, _, x in rows if x in taught)
 
 
+def test_thresholds_of_rejection_are_of_all_training_documents(spark):
+    """A language has some 975 training texts, of very different oddness; mean and spread are those of all."""
+    rng = random.Random(17)
+    vocab = {x: ["".join(rng.choice(x) for _ in range(rng.randrange(3, 8))) for _ in range(300)] for x in ("abcdefgh", "ghijklmn")}
+    rows = [(i, " ".join(rng.choice(vocab[x]) for _ in range(20)) + (" zyxwv" * (i % 9)), x) for i, x in enumerate(list(vocab) * 1300)]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    for j, lang in enumerate(models.langs):
+        own = [t for i, t, x in rows if x == lang and not held(i, 4, 2)]
+        assert len(own) > 900
+        e = models.entropies([own])[0][0][:, j]
+        assert models.limits[j] == pytest.approx(e.mean() + 5 * e.std() + 0.25, rel=1e-9)
+
+
 def plain_words(t):
     return re.findall(r"[^\W\d_]+", (t or "").lower())
 
