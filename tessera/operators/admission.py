@@ -6,6 +6,8 @@ running count is carried over ranges of time. Requests that would be admitted ev
 no other had been turned away are certain; only the others depend on each other, and
 only while their times overlap. So these alone are replayed, each stretch of
 overlapping ones on its own, against the permits that certain requests leave free.
+Of long stretches one piece of time is replayed after the other, and only the ends of
+what still runs are carried on, so that no task holds a whole stretch.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
-from .order import running
+from .order import ranges, running
+
+#: Requests of a stretch, roughly, that a task replays at a time.
+REPLAYED = 1_000_000
 
 # fixed values: what a request that is turned away is told
 SATURATED, SATURATED_STATUS = "crawler is saturated, retry later", 429
@@ -33,21 +38,53 @@ def _load(requests: DataFrame, name: str, by: tuple[str, ...], counts, order: tu
     return swept.where("__side = 1").drop("__us", "__side", "__step")
 
 
-def _replayed(batches):
-    """Of rows sorted by stretch and start, which are admitted."""
-    key, running_ends = None, []
-    for b in batches:
-        out = np.zeros(b.num_rows, bool)
-        for i, (scope, stretch, start, end, room) in enumerate(zip(*(b.column(c).to_pylist() for c in ("__scope", "__stretch", "start_us", "end_us", "__room")), strict=True)):
-            if (scope, stretch) != key:
-                key, running_ends = (scope, stretch), []
-            while running_ends and running_ends[0] <= start:
-                heapq.heappop(running_ends)
-            if len(running_ends) < room:
-                out[i] = True
-                if end > start:
-                    heapq.heappush(running_ends, end)
-        yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(out)], names=["__row", "admitted"])
+def _replayed(held: dict):
+    """Of rows sorted by stretch and start, which are admitted; held: the ends of what runs of a stretch before them."""
+
+    def run(batches):
+        key, running_ends = None, []
+        for b in batches:
+            out = np.zeros(b.num_rows, bool)
+            for i, (scope, stretch, start, end, room) in enumerate(zip(*(b.column(c).to_pylist() for c in ("__scope", "__stretch", "start_us", "end_us", "__room")), strict=True)):
+                if (scope, stretch) != key:
+                    key = (scope, stretch)
+                    running_ends = sorted(held.get(key, ()))
+                while running_ends and running_ends[0] <= start:
+                    heapq.heappop(running_ends)
+                if len(running_ends) < room:
+                    out[i] = True
+                    if end > start:
+                        heapq.heappush(running_ends, end)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__row", "__scope", "__stretch", "end_us")), pa.array(out)], names=["__row", "__scope", "__stretch", "end_us", "admitted"])
+
+    return run
+
+
+def _replay(rows: DataFrame, order: tuple[str, ...], held: dict) -> DataFrame:
+    kind = rows.schema["__row"].dataType.simpleString()
+    key = ("__scope", "__stretch")
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(_replayed(held), f"__row {kind}, __scope string, __stretch string, end_us long, admitted boolean")
+
+
+def _replay_all(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Which rows are admitted: short stretches side by side, long ones piece by piece in the order of time."""
+    key = ["__scope", "__stretch"]
+    long = cut(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > REPLAYED).select(*key, "n"))
+    most = long.agg(F.max("n"), F.sum("n")).first()
+    if most[0] is None:
+        return _replay(rows, order, {}).select("__row", "admitted")
+    out = _replay(rows.join(long, key, "left_anti"), order, {}).select("__row", "admitted")
+    those = rows.join(long.select(*key), key, "left_semi")
+    parted = cut(those.withColumn("__piece", ranges(those, "start_us", -(-most[1] // REPLAYED))), "__piece")
+    ends = sorted(parted.groupBy("__piece").agg(F.max("start_us").alias("last")).collect(), key=lambda r: r["__piece"])
+    held: dict = {}
+    for r in ends:
+        told = cut(_replay(parted.where(F.col("__piece") == r["__piece"]), order, held))
+        held = {k: left for k, v in held.items() if (left := [e for e in v if e > r["last"]])}
+        for x in told.where(F.col("admitted") & (F.col("end_us") > r["last"])).select(*key, "end_us").collect():
+            held.setdefault((x[0], x[1]), []).append(x[2])
+        out = out.unionByName(told.select("__row", "admitted"))
+    return out
 
 
 def admit(requests: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -70,8 +107,7 @@ def admit(requests: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFram
     left = running(cut(left), "__stretch", F.when(F.col("__until").isNull() | (F.col("start_us") >= F.col("__until")), first), order, by, "last")
     scope = F.to_json(F.struct(*by)) if by else F.lit("")
     rows = left.select("__row", scope.alias("__scope"), F.to_json("__stretch").alias("__stretch"), *order, (limit - F.col("__certain")).alias("__room"))
-    kind = named.schema["__row"].dataType.simpleString()
-    told = rows.repartition("__scope", "__stretch").sortWithinPartitions("__scope", "__stretch", *order).mapInArrow(_replayed, f"__row {kind}, admitted boolean")
+    told = _replay_all(cut(rows), order)
     out = judged.where("__sure").select("__row", F.lit(True).alias("admitted")).unionByName(told).unionByName(named.where("start_us is null").select("__row", F.lit(False).alias("admitted")))
     refused = ~F.col("admitted")
     return out.select("__row.*", "admitted", F.when(refused, F.lit(SATURATED_STATUS)).alias("status"), F.when(refused, F.lit(SATURATED)).alias("error"))

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranges(df: DataFrame, order: str) -> Column:
-    """The number of a row's range of the order, non-decreasing in it; ranges hold about equal shares of the rows.
+def ranges(df: DataFrame, order: str, n: int | None = None) -> Column:
+    """The number of a row's range of the order, non-decreasing in it; the n ranges (as many as a shuffle has partitions by default) hold about equal shares of the rows.
 
     The cuts are one constant array, searched in as many steps as its size has bits.
     The order is a number or a time; nulls are in the first range.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order).cast("double")
     cuts = sorted(set(df.select(key.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     if not cuts:

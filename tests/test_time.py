@@ -221,6 +221,20 @@ def test_admission(spark, by, limit, long):
     assert all((r["status"], r["error"]) == ((None, None) if r["admitted"] else (429, "crawler is saturated, retry later")) for r in got)
 
 
+@pytest.mark.parametrize("by", [(), ("host",)])
+def test_long_stretches_are_replayed_piece_by_piece(spark, monkeypatch, by):
+    """A service that is saturated throughout: no task replays more than a piece, and what runs is carried on."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["hot", "hot", "a"]), s := rng.randrange(3000), s + rng.choice([5, 90, 1500])) for i in range(600)]
+    held, whole = [], admission._replayed
+    monkeypatch.setattr(admission, "REPLAYED", 100)
+    monkeypatch.setattr(admission, "_replayed", lambda before: held.append(before) or whole(before))
+    df = spark.createDataFrame(rows, "request_id long, host string, start_us long, end_us long").repartition(3)
+    got = admission.admit(df, 2, by).collect()
+    assert sorted(((r["request_id"], r["host"], r["admitted"]) for r in got), key=str) == one_by_one(rows, 2, bool(by))
+    assert len(held) >= 5 and any(held) and all(len(ends) <= 2 for x in held for ends in x.values())
+
+
 def test_admission_of_nothing(spark):
     df = spark.createDataFrame([], "request_id long, host string, start_us long, end_us long")
     assert admission.admit(df, 3).count() == 0 and admission.admit(df, 0, ("host",)).count() == 0
