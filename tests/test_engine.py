@@ -243,3 +243,15 @@ def test_query(spark, small, duck, name):
 def test_signals_reach_the_scan_pruned(spark, small):
     plan = catalog.QUERIES["host_extract"](spark, small)._jdf.queryExecution().toString()
     assert "html" not in plan.split("ReadSchema")[-1].split("\n")[0]
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import scrape
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    pages = spark.sql("SELECT '<p>a b</p>' AS html, true AS supported, true AS include_content, true AS want_markdown, 9L AS max_content_chars, named_struct('pruning_threshold', 0.5D, 'pruning_type', 'fixed', 'min_word_threshold', 0L) AS fit")
+    assert scrape.rendered(pages, F.col("fit"), F.lit("html")).count() == 1
+    assert int(spark.conf.get(key)) <= 4 << 20
