@@ -35,8 +35,8 @@ EXTRA = 16
 MOST_COLUMNS = 1 << 17
 #: Items and passages of items, roughly, that are compared in one pass over the documents.
 MOST_ITEMS = 20_000
-#: Bytes of text whose passages the decomposition holds at a time, so that their sums stay in a core's cache.
-RANGE_BYTES = 1 << 17
+#: Bytes of text whose passages the decomposition holds at a time.
+RANGE_BYTES = 1 << 19
 #: Cosines that are computed at a time.
 CELLS = 4 << 20
 COSINE = 0.55
@@ -156,17 +156,45 @@ def added(df: DataFrame, dtype) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["part"], dtype) for r in sorted(got, key=lambda r: r["k"])]) if got else None
 
 
-def blocks(items: Items, w: Words, weights: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of the rows of table, times weights, over the half passages; each half's document and first word."""
+#: Rows that are added up one after the other; more are added up in parts.
+RUN = 32
+
+
+def summed(table: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of table[rows] over groups of one row or more that follow each other: the k-th rows of all groups at once."""
+    if int(size.max()) > RUN:
+        parts = -(-size // RUN)
+        cut = np.full(int(parts.sum()), RUN)
+        cut[np.cumsum(parts) - 1] = size - (parts - 1) * RUN
+        part = summed(table, rows, cut)
+        return summed(part, np.arange(len(part)), parts)
+    o = np.argsort(-size, kind="stable")
+    begin, left = (np.cumsum(size) - size)[o], -size[o]
+    sums = table.take(rows[begin], axis=0)
+    for k in range(1, -int(left[0])):
+        m = np.searchsorted(left, -k)  # the groups of more than k rows come first
+        sums[:m] += table.take(rows[begin[:m] + k], axis=0)
+    out = np.empty_like(sums)
+    out[o] = sums
+    return out
+
+
+def begins(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal keys begin, and how many there are."""
+    begin = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+    return begin, np.diff(np.r_[begin, len(sorted_keys)])
+
+
+def blocks(w: Words, at: np.ndarray, col: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the rows of table over the half passages, for the places of words and their columns; each half's document and first word."""
     size = np.diff(w.first)
     halves = -(-size // HALF)
     first_half = np.r_[0, np.cumsum(halves)]
-    at, col = items.column(w.hash)
     half = first_half[w.doc[at]] + (at - w.first[w.doc[at]]) // HALF
     out = np.zeros((int(first_half[-1]), table.shape[1]), np.float32)
     if len(at):
-        begin = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-        out[half[begin]] = np.add.reduceat(table[col] * weights[col, None], begin, axis=0)
+        begin, n = begins(half)
+        out[half[begin]] = summed(table, col, n)
     doc = np.repeat(np.arange(len(size)), halves)
     start = (np.arange(len(doc)) - first_half[doc]) * HALF
     return out, doc, start
@@ -194,15 +222,15 @@ def _range(shared, idf, omega):
             key, n = np.unique(np.r_[half, half[before] - 1] * items.columns + np.r_[col, col[before]], return_counts=True)
             norm2 = np.bincount(key // items.columns, np.square(n * weights[key % items.columns]), int(first_half[-1]))
             y = np.zeros((len(norm2) + 2, x.shape[1]), np.float32)
-            begin = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-            y[half[begin] + 1] = np.add.reduceat(x[col], begin, axis=0)
+            begin, n = begins(half)
+            y[half[begin] + 1] = summed(x, col, n)
             passage = y[:-1] + y[1:]
             passage[1:] *= np.where(norm2 > 0, 1 / np.maximum(norm2, 1e-24), 0).astype(np.float32)[:, None]
             passage[0] = 0
             z = passage[1:] + passage[:-1]  # a half's words are in two passages
             o = np.argsort(col, kind="stable")
-            first = np.flatnonzero(np.r_[True, col[o][1:] != col[o][:-1]])
-            total[col[o][first]] += np.add.reduceat(z[half[o]], first, axis=0)
+            first, n = begins(col[o])
+            total[col[o[first]]] += summed(z, half[o], n)
         if some:
             total *= weights[:, None]
             for k, part in enumerate(np.array_split(total, 8)):
@@ -277,32 +305,69 @@ def decompose(rows: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK,
     return (root @ (turn[:, good] / np.sqrt(value[good]))).astype(np.float32)
 
 
+class ItemWords:
+    """The items' different words by their columns, and which items can have enough of them in a stretch of text."""
+
+    def __init__(self, items: Items):
+        found = [np.unique(items.column(np.array(s, np.uint64))[1], return_counts=True) for s in items.seqs]
+        self.of_cut = np.array([i for i, _, _ in items.cuts], np.int64)
+        self.n = np.array([len(s) for s in items.seqs], np.int64)
+        self.size = np.array([len(c) for c, _ in found], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.col, self.count = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+    def enough(self, w: Words, at: np.ndarray, col: np.ndarray, doc: np.ndarray, start: np.ndarray, span: int, item: np.ndarray, rows: int = 4096) -> np.ndarray:
+        """The hits (document, first word, item) whose stretch has WITH_ANSWER of the item's words, in any order; items of more than a passage, whose stretches are joined, are all kept.
+
+        at, col: the places of words that have columns, and their columns.
+        """
+        n, all_words = self.n[item], len(w.hash)
+        a, size = w.first[doc], w.first[doc + 1] - w.first[doc]
+        low, high = a + np.maximum(0, start - n), a + np.minimum(size, start + span + n)
+        there = np.sort(col * all_words + at)
+        there = np.r_[there, np.iinfo(np.int64).max]
+        keep = n > 2 * HALF
+        ask = np.flatnonzero(~keep)
+        for hit in np.array_split(ask, -(-len(ask) // rows)) if len(ask) else []:
+            k = self.size[item[hit]]
+            of = np.repeat(np.arange(len(hit)), k)
+            word = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + self.first[item[hit]][of]
+            key = self.col[word] * all_words
+            inside = there[np.searchsorted(there, key + low[hit][of])] < key + high[hit][of]
+            keep[hit] = np.bincount(of[inside], self.count[word[inside]], len(hit)) >= WITH_ANSWER * n[hit]
+        return np.flatnonzero(keep)
+
+
 def _search(model, item_vectors, cosine):
     def run(batches):
         items, idf, v = model.value
-        iv = item_vectors.value
+        table, iv, words = v * idf.astype(np.float32)[:, None], item_vectors.value, ItemWords(items)
         for b in pieces(batches, most=1 << 19):
             w = Words(b.column("low"), letters=True)
             if not len(w.hash):
                 continue
-            half, doc, start = blocks(items, w, idf.astype(np.float32), v)
+            at_word, col = items.column(w.hash)
+            half, doc, start = blocks(w, at_word, col, table)
             both = half.copy()
-            joined = np.flatnonzero(doc[1:] == doc[:-1])
-            both[joined] += half[joined + 1]
+            joined, alone = doc[1:] == doc[:-1], np.flatnonzero(np.r_[doc[1:] != doc[:-1], True])
+            both[:-1][joined] += half[1:][joined]
             found: dict[tuple[int, int], list] = {}
             norms = [np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9) for x in (both, half)]
             width = max(1, CELLS // len(half))
             for at in range(0, len(iv), width):
                 # the halves alone as well: a short item fills one half only
                 raw = half @ iv[at : at + width].T
-                pair = raw.copy()
-                pair[joined] += raw[joined + 1]
+                pair = np.empty_like(raw)
+                np.add(raw[:-1], raw[1:], out=pair[:-1])
+                pair[alone] = raw[alone]
                 for norm, c, span in ((norms[0], pair, 2 * HALF), (norms[1], raw, HALF)):
-                    some = np.flatnonzero(c.max(1) >= cosine * norm)
-                    c = c[some] / norm[some, None]
-                    r, k = np.nonzero(c >= cosine)
-                    for p, i, v_ in zip(some[r].tolist(), (k + at).tolist(), c[r, k].tolist(), strict=True):
-                        found.setdefault((int(doc[p]), items.cuts[i][0]), []).append((v_, int(start[p]), span))
+                    p, i = np.divmod(np.flatnonzero(c >= ((cosine - 1e-4) * norm)[:, None].astype(np.float32)), c.shape[1])
+                    c = c[p, i] / norm[p]
+                    some = np.flatnonzero(c >= cosine)
+                    p, i, c = p[some], words.of_cut[i[some] + at], c[some]
+                    some = words.enough(w, at_word, col, doc[p], start[p], span, i)
+                    for d, k, v_, s in zip(doc[p[some]].tolist(), i[some].tolist(), c[some].tolist(), start[p[some]].tolist(), strict=True):
+                        found.setdefault((d, k), []).append((v_, s, span))
             rows = []
             ids = b.column("doc_id").to_pylist()
             for (d, k), hits in sorted(found.items()):

@@ -7,6 +7,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +414,28 @@ def test_leaks_of_long_items_whose_parts_are_known(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k, _ in items]
 
 
+def test_sums_of_groups_and_items_that_a_stretch_can_hold():
+    """Sums of rows by groups of any size, and the hits that are compared word by word, against loops."""
+    rng = np.random.default_rng(3)
+    table, size = rng.standard_normal((50, 7)), np.r_[rng.integers(1, 40, 30), 1, 2500, 32, 33, 1024, 1025]
+    rows, end = rng.integers(0, 50, size.sum()), np.cumsum(size)
+    assert np.allclose(decontamination.summed(table, rows, size), [table[rows[e - n : e]].sum(0) for n, e in zip(size, end, strict=True)])
+    vocab = [f"{a}{b}x" for a in "abcdefgh" for b in "ijklmn"]
+    texts = [" ".join(rng.choice(vocab, n)) for n in (9, 12, 40, 64, 65)]
+    items, docs = decontamination.Items(list(range(5)), texts), [" ".join(rng.choice([*vocab, "other", "words"], n)) for n in (1, 30, 400, 90)]
+    w = decontamination.Words(pa.array(docs), letters=True)
+    hits = [(d, s, k) for d in range(4) for s in range(0, int(w.first[d + 1] - w.first[d]), 32) for k in range(5)]
+    doc, start, item = (np.array(c) for c in zip(*hits, strict=True))
+    for span in (32, 64):
+        got = decontamination.ItemWords(items).enough(w, *items.column(w.hash), doc, start, span, item, rows=7)
+        want = []
+        for h, (d, s, k) in enumerate(hits):
+            n, text = len(items.seqs[k]), w.hash[w.first[d] : w.first[d + 1]].tolist()
+            if n > 64 or sum(x in set(text[max(0, s - n) : s + span + n]) for x in items.seqs[k]) >= 0.5 * n:
+                want.append(h)
+        assert got.tolist() == want and 0 < len(got) < len(hits)
+
+
 def test_pipeline_takes_planted_passages_and_leaves_clean_text(spark):
     rng = random.Random(4)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n))
