@@ -182,3 +182,11 @@ def test_scratch_tables_can_be_deleted(spark):
 
 def test_every_query_has_sql_or_a_test_by_hand():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"fit_markdown", "main_text", "scrape_pages"} and duckdb.sql("SELECT 1 AS x").fetchall() == [(1,)]
+
+
+def test_links_are_made_once_a_page(spark):
+    """A page's markup is made in one place of the plan: neither again for each of its links nor for filters."""
+    df = spark.createDataFrame([(1, "http://a.b/x", '<base href="/q/"><a href="y">1</a><a href="mailto:x@y.z">2</a><a href="y">3</a>'), (2, "http://a.b/q/y", "none"), (3, "http://a.b/z", None), (1, "http://a.b/x", '<a href="/q/y">1</a>')], "page_id long, url string, html string")
+    for made, want in ((links.page_links(df), [(1, "http://a.b/q/y")]), (links.page_edges(df), [(1, 2)])):
+        assert sorted(tuple(r) for r in made.collect()) == want
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("<!--") == 1
