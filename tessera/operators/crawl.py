@@ -81,7 +81,8 @@ def crawl_pages(crawled: DataFrame, fetches: DataFrame, plan: DataFrame) -> Data
     asked = plan.where("error is null").select(F.col("index").alias("seed"), "include_content", F.col("include_markdown").alias("want_markdown"), "max_content_chars", "fit")
     rows = crawled.select("seed", "place", F.col("page").alias("request_id")).join(asked, "seed")
     once = rows.select("request_id", *way).distinct()
-    got = with_signals(fetches).drop("headers").withColumn("supported", F.lit(True))
+    signals = F.struct(F.col("signals.link_count").alias("link_count"))  # the others aren't told, so that they aren't computed
+    got = with_signals(fetches).select("request_id", "url", "final_url", "status_code", "html", "error_status", signals.alias("signals"), F.lit(True).alias("supported"))
     shown = rendered(once.join(got, "request_id"), F.col("fit"), F.lit("html")).select("request_id", *way, mapped_page().alias("page"))
     return rows.join(shown, ["request_id", *way]).select("seed", "place", "page")
 
