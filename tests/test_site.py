@@ -190,3 +190,23 @@ def test_links_are_made_once_a_page(spark):
     for made, want in ((links.page_links(df), [(1, "http://a.b/q/y")]), (links.page_edges(df), [(1, 2)])):
         assert sorted(tuple(r) for r in made.collect()) == want
         assert made._jdf.queryExecution().optimizedPlan().toString().count("<!--") == 1
+
+
+def test_equal_pages_of_a_request_are_told_once(spark):
+    """What attempts are told by is that of their own html, though equal ones of a request are read once; signals that nobody reads aren't computed."""
+    html = ["<body><article>" + "word " * 60 + "<a href='x'>y</a></article></body>", "  <p>Access Denied</p> ", "<p>a b c</p>", None]
+    rows = [(r, k, html[h]) for r, hs in ((1, (0, 0, 1, 0, 3)), (2, (1, 1, 2)), (3, (3, 3)), (4, (2, 0, 2, 1))) for k, h in enumerate(hs)]
+    df = tables.fetches_from_pages(spark.createDataFrame(rows, "page_id long, attempt int, html string").withColumn("url", F.lit("http://a.b/c"))).drop("attempt", "html")
+    own = spark.createDataFrame(rows, "request_id long, attempt int, html string")
+    df = own.join(df.dropDuplicates(["request_id"]), "request_id").withColumn("wait_for_selector", F.when(F.col("request_id") == 1, "article a"))
+    told = scrape.told_pages(df)
+    got = {(r["request_id"], r["attempt"]): r for r in told.collect()}
+    want = scrape.with_signals(df, selector=F.col("wait_for_selector")).withColumn("words", scrape.X.visible_word_count(scrape.C.trim_space(F.col("html")))).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in want:
+        g = got[r["request_id"], r["attempt"]]
+        assert g["html"] == r["html"] and g["supported"] == r["supported"]
+        if r["html"] is not None:
+            assert (g["word_count"], g["challenge"], g["main_score"], g["counted_links"], g["has_selector"], g["words"]) == (r["word_count"], r["challenge"], r["dom"]["main_score"], r["dom"]["link_count"], r["dom"]["has_selector"], r["words"])
+    plan = scrape.with_signals(df).select("signals.link_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "captcha" not in plan and "<body" not in plan
