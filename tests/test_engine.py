@@ -240,6 +240,31 @@ def test_query(spark, small, duck, name):
     assert got == want
 
 
+def test_answers_tell_of_whole_pages(spark, tmp_path):
+    """Words, links, score and marks of a challenge count wherever they are in a page of some 700 kB."""
+    early, late = "<meta>" * 117_000, "<p>Some words and <a href='/x'>a link</a> here.</p>" * 200
+    body = f"<body><article>{late}{{0}}</article></body>"
+    pages = [early + body.format(""), early + body.format("Access Denied"), body.format("<br>" * 175_000 + late), body.format("")]
+    spark.createDataFrame([(i, f"http://h{i % 3}.org/{i}", f"<html>{pages[i % 4]}</html>") for i in range(12)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    df = catalog.QUERIES["scrape_metadata"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    rel = con.sql(catalog.ORACLE_SQL["scrape_metadata"])
+    cols = sorted(df.columns)
+    got = sorted(repr([plain(r[c]) for c in cols]) for r in df.collect())
+    assert got == sorted(repr([plain(dict(zip(rel.columns, r, strict=True))[c]) for c in cols]) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("parsed", [False, True])
+def test_signals_are_those_of_whole_pages(spark, parsed):
+    html = "<html><head>" + "<meta>" * 200_000 + "<title>Late</title></head><body><article><h1>One</h1><pre>two</pre>" + "word " * 50 + "</article><p>captcha</p></body></html>"
+    df = tables.fetches_from_pages(spark.createDataFrame([(1, "http://a.b/c", html)], "page_id long, url string, html string"))
+    r = scrape.with_signals(df.withColumn("wait_for_selector", F.lit("article h1")), parsed=parsed, selector=F.col("wait_for_selector")).withColumn("has", scrape.X.contains_text("html", F.lit("ONE</h1>"))).first()
+    x = r["signals"]
+    assert (r["dom"]["title"], r["dom"]["has_selector"], r["has"], x["word_count"], x["heading_count"], x["code_block_count"], x["blocked_likelihood"]) == ("Late", True, True, 54, 1, 1, 0.85)
+    assert x["char_count"] == len("LateOnetwo" + "word " * 50 + "captcha") and x["main_content_score"] > 0.12
+
+
 def test_signals_reach_the_scan_pruned(spark, small):
     plan = catalog.QUERIES["host_extract"](spark, small)._jdf.queryExecution().toString()
     assert "html" not in plan.split("ReadSchema")[-1].split("\n")[0]

@@ -1,5 +1,6 @@
 """Native signals against plain readings of their rules."""
 
+import random
 import re
 
 import pytest
@@ -128,3 +129,24 @@ def test_long_pages_of_unclosed_tags(spark, piece):
     d = spark.range(1).select(F.repeat(F.lit(piece), 200_000).alias("html")).withColumn("shown", X.markup("html"))
     got = d.select(X.pattern_title("shown"), X.pattern_heading_count("shown"), X.pattern_link_count("shown"), X.pattern_filled_link_count("shown"), X.pattern_main_score("html"), X.pattern_selector("shown", "div.x"), F.size(links.references("html"))).first()
     assert got[0] is None and got[1] == 0
+
+
+@pytest.mark.parametrize(("piece", "words"), [("<script>x</script> y ", 200_000), ("</script><script> y ", 1), ("<style> y ", 200_000), ("<title>", 0), ("<", 0), ("<a x ", 0)])
+def test_long_pages_of_unclosed_blocks(spark, piece, words):
+    """No signal reads to the end of a page for each tag or block that isn't closed."""
+    d = spark.range(1).select(F.concat(F.lit("<body>"), F.repeat(F.lit(piece), 200_000)).alias("html"))
+    got = d.select(X.visible_word_count("html"), X.pattern_title("html"), X.pattern_main_score("html")).first()
+    assert got[0] == words and got[1] is None
+
+
+PIECES = ["<script>", "<SCRIPT x>", "</script>", "</Script>", "<style>", "</style>", "< style", "<scriptstyle", "<script", "/script>", "<", ">", " ", "a", "é b", "<b>", "</b>", "<body>", "x > y"]
+
+
+@pytest.mark.parametrize("least", [0, X.LONG_BYTES])
+def test_words_and_texts_of_blocks_in_any_order(spark, monkeypatch, least):
+    monkeypatch.setattr(X, "LONG_BYTES", least)
+    rng = random.Random(3)
+    data = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(20))) for _ in range(3000)]
+    body = lambda h: (re.search(r"(?is)<body[^<>]*>(.*)", h) or [0, ""])[1]
+    got = values(spark, data, X.visible_word_count("html"), X.body_text("html"))
+    assert got == [(word_count(h), " ".join(x for x in re.split("<[^>]*>", body(h)) if x)) for h in data]
